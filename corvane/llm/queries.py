@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,5 +27,26 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(table(spark, d, "problems"), "id", ["problem", "solution"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups}
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.lang_id import identify
+
+    return identify(table(spark, d, "problems"), "id", ["problem", "solution"], "lang")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.lang_id import mislabelled
+
+    return mislabelled(_languages(spark, d))
+
+
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    x = F.explode("languages").alias("x")
+    return _languages(spark, d).select("id", "field", "label", x).select("id", "field", "label", F.col("x.lang").alias("lang"), F.round("x.confidence", 4).alias("confidence"), F.round("x.share", 4).alias("share"))
+
+
+def p2_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("id", "field", F.explode("passages").alias("x")).select("id", "field", "x.passage_no", "x.start_at", "x.end_at", "x.lang", F.round("x.confidence", 4).alias("confidence"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_fields": p2_fields, "p2_passages": p2_passages}
 ORACLE: dict[str, str] = {}
