@@ -48,5 +48,17 @@ def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("id", "field", F.explode("passages").alias("x")).select("id", "field", "x.passage_no", "x.start_at", "x.end_at", "x.lang", F.round("x.confidence", 4).alias("confidence"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_fields": p2_fields, "p2_passages": p2_passages}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.quality import text_kinds
+
+    return text_kinds(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.quality import text_statistics
+
+    return text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_fields": p2_fields, "p2_passages": p2_passages, "p8_found": p8_found, "p8_statistics": p8_statistics}
 ORACLE: dict[str, str] = {}
