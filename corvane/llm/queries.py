@@ -48,6 +48,20 @@ def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("id", "field", F.explode("passages").alias("x")).select("id", "field", "x.passage_no", "x.start_at", "x.end_at", "x.lang", F.round("x.confidence", 4).alias("confidence"))
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.pair_defects import defects
+
+    return defects(table(spark, d, "problems"), table(spark, d, "common_words"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).select("id", "defect")
+
+
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).groupBy("defect", "reason", "shortened", "at_limit").agg(F.count("*").alias("n"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from corvane.llm.quality import text_kinds
 
@@ -60,5 +74,5 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_fields": p2_fields, "p2_passages": p2_passages, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_fields": p2_fields, "p2_passages": p2_passages, "p3_found": p3_found, "p3_reasons": p3_reasons, "p8_found": p8_found, "p8_statistics": p8_statistics}
 ORACLE: dict[str, str] = {}
