@@ -62,6 +62,64 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _defects(spark, d).groupBy("defect", "reason", "shortened", "at_limit").agg(F.count("*").alias("n"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.split_overlap import cross_split_pairs
+
+    pairs = cross_split_pairs(table(spark, d, "problems"))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.split_overlap import cross_split_pairs, overlap_report
+
+    problems = table(spark, d, "problems")
+    return overlap_report(cross_split_pairs(problems), problems)
+
+
+def p5_token_totals(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.token_budget import empty_budget, slices, totals, update
+
+    cat = table(spark, d, "source_catalog")
+    texts = slices(table(spark, d, "problems"), "id", ["problem", "solution"], cat, "problems").unionByName(slices(table(spark, d, "documents"), "doc_id", ["text"], cat, "documents"))
+    return totals(update(empty_budget(spark), texts).cells)
+
+
+def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.token_budget import count_tokens
+
+    return count_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text")
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = table(spark, d, "pack_sizes").where("pack_name is not null and capacity_tokens > 0").limit(1000).collect()
+    return {r["pack_name"]: r["capacity_tokens"] for r in rows}
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.packing import pack
+
+    return pack(_document_sizes(spark, d), _capacities(spark, d))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.packing import fill_report, pack
+
+    caps = _capacities(spark, d)
+    return fill_report(pack(_document_sizes(spark, d), caps), caps)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.mixing import mixture
+
+    return mixture(_document_sizes(spark, d), table(spark, d, "source_catalog"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm.mixing import mixture
+
+    return mixture(_document_sizes(spark, d), table(spark, d, "source_catalog"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from corvane.llm.quality import text_kinds
 
@@ -74,5 +132,5 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_fields": p2_fields, "p2_passages": p2_passages, "p3_found": p3_found, "p3_reasons": p3_reasons, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_fields": p2_fields, "p2_passages": p2_passages, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_report": p4_report, "p5_token_totals": p5_token_totals, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
 ORACLE: dict[str, str] = {}
