@@ -53,6 +53,10 @@ _PLAIN = re.compile(r"(?:[=:：]|\b(?:is|equals|be|gives?|est|vaut|égale? à|es
 _END_NOISE = re.compile(r"(?:\s|\.{2,}|…|\bQED\b|\bq\.e\.d\.?|[■∎□])+$", re.I)
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'»”)*]*\s*$")
 _WORD = re.compile(r"[^\W_㐀-鿿]+|[㐀-鿿]")
+_THREE_WORDS = re.compile(r"(?:(?<![</\\\w])[^\W\d_]{2,}(?![>\w])[^\w<>]+){3}")
+_DOLLARS = re.compile(r"\$[^$]*\$")
+_LATIN = re.compile(r"[A-Za-zÀ-ɏ]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 
@@ -84,16 +88,17 @@ def content(s: str) -> str:
 
 def stated_result(s: str, problem: str) -> str | None:
     """The result a response states, or None."""
-    body = _END_NOISE.sub("", _TAGS.sub(" ", s)).rstrip()
-    boxes, open_end = closed_boxes(body)
+    body = (_TAGS.sub(" ", s) if "<" in s else s).rstrip()
+    body = (body[:-60] + _END_NOISE.sub("", body[-60:])).rstrip()
+    boxes, open_end = closed_boxes(body) if "\\boxed{" in body else ([], False)
     boxes = [b for b in boxes if b]
     if boxes and not open_end:
         return boxes[-1]
-    marked = [h.strip().rstrip(".") for h in _HASH.findall(body)]
+    marked = [h.strip().rstrip(".") for h in _HASH.findall(body)] if "####" in body else []
     if marked and marked[-1]:
         h = marked[-1]
         return h if h.count("{") == h.count("}") else None
-    bold = [b.strip() for b in _BOLD.findall(body) if re.search(r"\d|\\text|\\emptyset", b)]
+    bold = [b.strip() for b in _BOLD.findall(body) if re.search(r"\d|\\text|\\emptyset", b)] if "**" in body else []
     if bold:
         return bold[-1]
     if open_end:
@@ -147,17 +152,23 @@ class Languages:
 
     def of(self, text: str) -> tuple[str | None, float]:
         """(language, margin over the second, 0 to 1)."""
-        t = _STEP.sub(" ", _MATH.sub(" ", _TAGS.sub(" ", text)))
-        han, cyr = len(_HAN.findall(t)), len(_CYRILLIC.findall(t))
-        latin = sum(map(len, re.findall(r"[A-Za-zÀ-ɏ]+", t)))
-        if 2 * han > max(cyr, latin) and han >= 4:
-            return "zh", 2 * han / (2 * han + cyr + latin)
-        if cyr > max(2 * han, latin) and cyr >= 8:
-            return "ru", cyr / (2 * han + cyr + latin)
+        t = _DOLLARS.sub(" ", text) if "$" in text else text
+        if "\\" in t or "<" in t:
+            t = _MATH.sub(" ", _TAGS.sub(" ", t))
+        if not t.isascii():
+            han, cyr = len(_HAN.findall(t)), len(_CYRILLIC.findall(t))
+            if han or cyr:
+                latin = sum(map(len, _LATIN.findall(t)))
+                if 2 * han > max(cyr, latin) and han >= 4:
+                    return "zh", 2 * han / (2 * han + cyr + latin)
+                if cyr > max(2 * han, latin) and cyr >= 8:
+                    return "ru", cyr / (2 * han + cyr + latin)
         score: dict[str, float] = {}
-        for w in re.findall(r"[^\W\d_]+", t.lower()):
-            for k, x in self.words.get(w, {}).items():
-                score[k] = score.get(k, 0) + x
+        known = self.words
+        for w in _LETTERS.findall(t.lower()):
+            if w in known:
+                for k, x in known[w].items():
+                    score[k] = score.get(k, 0) + x
         if not score:
             return None, 0.0
         top = sorted(score.items(), key=lambda x: (-x[1], x[0]))
@@ -180,11 +191,12 @@ def wholly_other(solution: str, problem: str, langs: Languages) -> bool:
 
 def judge(problem: str, solution: str, answer: str | None, langs: Languages) -> tuple[str | None, str]:
     """(defect or None, reason) by the rules for one pair."""
-    body = content(solution)
-    if not re.search(r"\w", body) or body.strip().lower() in PLACEHOLDERS or solution.strip().lower() in PLACEHOLDERS:
-        return "empty", "no content"
+    if not _THREE_WORDS.search(solution):
+        body = content(solution).lower()
+        if not re.search(r"\w", body) or body in PLACEHOLDERS or solution.strip().lower() in PLACEHOLDERS:
+            return "empty", "no content"
     result = stated_result(solution, problem)
-    if _REFUSAL.search(solution) and (result is None or not re.search(r"\d|emptyset|solution", result)):
+    if (result is None or not re.search(r"\d|emptyset|solution", result)) and _REFUSAL.search(solution):
         return "refusal", "declines"
     if result is None:
         if copies(solution, problem) >= 0.6:
@@ -207,7 +219,8 @@ def judge(problem: str, solution: str, answer: str | None, langs: Languages) ->
 
 
 def _trim(c):
-    return F.regexp_replace(F.regexp_replace(c, r"(?:</?[A-Za-z]+>|\s|\.{2,}|…)+$", ""), r"^\s+", "")
+    tail = F.regexp_replace(F.right(c, F.lit(60)), r"(?:</?[A-Za-z]+>|\s|\.{2,}|…)+$", "")
+    return F.ltrim(F.concat(F.left(c, F.greatest(F.length(c) - 60, F.lit(0))), tail))
 
 
 def shortened_versions(df: DataFrame, id_col: str, text: str) -> DataFrame:
