@@ -5,13 +5,15 @@ records, and a rest below one copy. The rest is drawn by Pareto order sampling:
 records are ranked by random odds divided by inclusion odds, inclusion being in
 proportion to size, and the first ones up to the rest's size are taken. The
 ranking is never sorted as a whole: sizes are summed over fine buckets of the
-rank first, and only the bucket in which a source's rest ends is ordered.
+rank first, and only the bucket in which a source's rest ends is ordered: from
+there on, records that still fit are taken in the order of their ranks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def inclusion_scale(bins: list[tuple[float, int]], rest: float) -> float:
     return hi
 
 
-def mixture(sizes: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seed: int = 17, buckets: int = 65_536) -> tuple[DataFrame, DataFrame]:
+def mixture(sizes: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seed: int = 17, buckets: int = 65_536, edge_rows: int = 1024) -> tuple[DataFrame, DataFrame]:
     """((doc_id, source, n_tokens, copies), shares).
 
     The first has each record that is used and how often; the second, for each
@@ -79,6 +81,8 @@ def mixture(sizes: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", sour
     (source, target_weight, max_repeats) is a fixed small table. Records outside
     it, with a null source or id, or without size are not used. Repeated ids
     stand for one record (the largest). No usable record gives empty results.
+    ``edge_rows`` ranks after the place where a source's rest would be exceeded
+    are tried for what is left of it.
     """
     cat = {r["source"]: r for r in catalogue.select("source", "target_weight", "max_repeats").where("source is not null").limit(100_000).collect()}
     names = F.broadcast(catalogue.select(source_key(F.col("source")).alias("_k"), F.col("source").alias("_name")).dropDuplicates(["_k"]))
@@ -103,14 +107,25 @@ def mixture(sizes: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", sour
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
     pi = F.least(F.lit(1.0), F.col("scale") * F.col("n_tokens"))
     odds = (u / (1 - u)) * (1 - pi) / pi
-    ranked = rows.join(plan, "source").withColumn("rank", F.when(F.col("rest") > 0, odds / (1 + odds))).withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)))
+    ranked = rows.join(plan, "source").withColumn("rank", F.when((F.col("rest") > 0) & (F.col("n_tokens") <= F.col("rest")), odds / (1 + odds))).withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)))
     sums = ranked.where("rank is not null").groupBy("source", "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
     cut = starts.where("before < rest and before + t >= rest").groupBy("source").agg(F.min(F.struct("bucket", "before")).alias("c")).select("source", F.col("c.bucket").alias("cut"), F.col("c.before").alias("before"))
     placed = ranked.join(F.broadcast(cut), "source", "left")  # one row a catalogued source
-    inside = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where("bucket = cut").withColumn("so_far", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("so_far + n_tokens / 2 <= rest").select("doc_id", F.lit(1).alias("_edge"))
+    first = Window.partitionBy("source").orderBy("rank", "doc_id")
+    zone = placed.where("bucket >= cut").withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= edge_rows)
+
+    def fit(pdf):
+        so_far, rest = float(pdf.before.iloc[0]), float(pdf.rest.iloc[0])
+        out = []
+        for doc, n in pdf.sort_values(["rank", "doc_id"])[["doc_id", "n_tokens"]].itertuples(index=False):
+            if so_far + n <= rest:
+                out.append(doc)
+                so_far += n
+        return pd.DataFrame({"doc_id": pd.Series(out, dtype="int64"), "_edge": pd.Series([1] * len(out), dtype="int32")})
+
+    edge = zone.groupBy("source").applyInPandas(fit, "doc_id bigint, _edge int")
     chosen = placed.join(edge, "doc_id", "left").withColumn("extra", F.when(F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))), 1).otherwise(F.coalesce("_edge", F.lit(0))))
     used = materialise(chosen.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies"), "mixture")
     got = used.groupBy("source").agg(F.count("*").alias("n_records"), F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"))
