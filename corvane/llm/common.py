@@ -3,52 +3,13 @@ label and source spellings, and vectorised word hashing."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests
-    and local mode only) a folder of this process."""
-    global _local_dir
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, _local_dir, True)
-    return f"file://{_local_dir}"
-
-
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the
-    lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._corvane_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove a table made by :func:`materialise` that nothing reads again."""
-    path = getattr(df, "_corvane_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
+from corvane.sources.store import drop_table, materialise, shared_dir  # noqa: F401
 
 # ---------------------------------------------------------------- labels
 
