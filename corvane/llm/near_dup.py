@@ -259,7 +259,7 @@ def near_duplicate_groups(
     """
     bits = bands * BITS
     sure = sure if sure is not None else round(bits * (1 - similarity - 0.18) / 2)
-    limit = limit if limit is not None else round(bits * (1 - similarity + 0.18) / 2)
+    limit = limit if limit is not None else round(bits * (1 - similarity + 0.12) / 2)
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.concat_ws(" ", *text_cols).alias("text")).where("id is not null")
     marks = materialise(_fingerprints(texts, bands), "marks")
     fps = [f"f{k}" for k in range(bands)]
