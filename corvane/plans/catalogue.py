@@ -1,4 +1,6 @@
-"""Registry of the library's queries and their SQL."""
+"""All queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from corvane.plans import vote_queries  # noqa: F401
+from corvane.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
