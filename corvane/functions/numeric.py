@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.text import strip
+from corvane.functions.text import let, strip
 
 #: What is unwrapped, dropped or refused before reading a number.
 REFUSED = r"\\text\{\s*(?:or|and)\s*\}"
@@ -32,11 +32,12 @@ def has_single_term(c: Column) -> Column:
 def cleaned(c: Column) -> Column:
     """A LaTeX number without markup; cut after the last equals sign if what is
     left of it is a single term, then after the last approximation sign."""
-    s = strip(F.regexp_replace(F.regexp_replace(strip(c), UNWRAPPED, "$1"), DROPPED, ""))
-    left, right = F.regexp_extract(s, r"^(.*)=([^=]*)$", 1), F.regexp_extract(s, r"^(.*)=([^=]*)$", 2)
-    s = F.when(s.contains("=") & has_single_term(left), strip(right)).otherwise(s)
-    left, right = F.regexp_extract(s, r"^(.*)\\approx(.*)$", 1), F.regexp_extract(s, r"^(.*)\\approx(.*)$", 2)
-    return F.when(s.contains("\\approx") & has_single_term(left), strip(right)).otherwise(s)
+
+    def cut(s: Column, mark: str, pattern: str) -> Column:
+        return F.when(s.contains(mark) & has_single_term(F.regexp_extract(s, pattern, 1)), strip(F.regexp_extract(s, pattern, 2))).otherwise(s)
+
+    plain = strip(F.regexp_replace(F.regexp_replace(strip(c), UNWRAPPED, "$1"), DROPPED, ""))
+    return let(let(plain, lambda s: cut(s, "=", r"^(.*)=([^=]*)$")), lambda s: cut(s, "\\approx", r"^(.*)\\approx(.*)$"))
 
 
 def _factor(c: Column) -> Column:
@@ -46,16 +47,18 @@ def _factor(c: Column) -> Column:
 def numeric_value(c: Column) -> Column:
     """The number that an answer states, for plain numbers, fractions, roots and
     multiples of pi; null for the rest."""
-    s = cleaned(c)
-    sign = F.when(F.regexp_extract(s, FRACTION, 1) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
-    top, bottom = F.regexp_extract(s, FRACTION, 2).try_cast("double"), F.regexp_extract(s, FRACTION, 3).try_cast("double")
-    return (
-        F.when(c.isNull() | c.rlike(REFUSED), F.lit(None).cast("double"))
-        .when(s.rlike(PLAIN), s.try_cast("double"))
-        .when(s.rlike(FRACTION), sign * F.try_divide(top, bottom))
-        .when(s.rlike(ROOT), _factor(F.regexp_extract(s, ROOT, 1)) * F.sqrt(F.regexp_extract(s, ROOT, 2).try_cast("double")))
-        .when(s.rlike(TIMES_PI), _factor(F.regexp_extract(s, TIMES_PI, 1)) * F.lit(math.pi))
-    )
+
+    def read(s: Column) -> Column:
+        sign = F.when(F.regexp_extract(s, FRACTION, 1) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
+        top, bottom = F.regexp_extract(s, FRACTION, 2).try_cast("double"), F.regexp_extract(s, FRACTION, 3).try_cast("double")
+        return (
+            F.when(s.rlike(PLAIN), s.try_cast("double"))
+            .when(s.rlike(FRACTION), sign * F.try_divide(top, bottom))
+            .when(s.rlike(ROOT), _factor(F.regexp_extract(s, ROOT, 1)) * F.sqrt(F.regexp_extract(s, ROOT, 2).try_cast("double")))
+            .when(s.rlike(TIMES_PI), _factor(F.regexp_extract(s, TIMES_PI, 1)) * F.lit(math.pi))
+        )
+
+    return let(c, lambda x: F.when(x.isNull() | x.rlike(REFUSED), F.lit(None).cast("double")).otherwise(let(cleaned(x), read)))
 
 
 def within(a: Column, b: Column, tolerance: float) -> Column:
@@ -65,8 +68,9 @@ def within(a: Column, b: Column, tolerance: float) -> Column:
 
 def same_answer(a: Column, b: Column, tolerance: float = 1e-2) -> Column:
     """Within tolerance as numbers, else the same stripped text."""
-    x, y = numeric_value(a), numeric_value(b)
-    return F.when(x.isNotNull() & y.isNotNull(), within(x, y, tolerance)).otherwise(F.coalesce(strip(a) == strip(b), F.lit(False)))
+    numbers = F.struct(numeric_value(a).alias("x"), numeric_value(b).alias("y"))
+    text = F.coalesce(strip(a) == strip(b), F.lit(False))
+    return let(numbers, lambda n: F.when(n["x"].isNotNull() & n["y"].isNotNull(), within(n["x"], n["y"], tolerance)).otherwise(text))
 
 
 # ---------------------------------------------------------------- full evaluator

@@ -22,6 +22,12 @@ FALSE_VERDICTS = ("incorrect", "wrong", "error", "mistake")
 BANNED_CODE = (r"import\s+requests", r"import\s+urllib", r"open\s*\(", r"os\.system", r"subprocess", r"eval\s*\(", r"exec\s*\(")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and its expression planned
+    once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -95,12 +101,13 @@ def code(c: Column) -> Column:
     if it has a Python keyword and no tag in small letters, else ''."""
     python, fenced = r"(?s)```python\s*\n(.*?)```", r"(?s)```\s*\n(.*?)```"
     keyword = r"\b(?:def|import|for|while|print|return|if)\b"
-    return (
-        F.when(strip(F.coalesce(c, F.lit(""))) == "", "")
-        .when(c.rlike(python), strip(F.regexp_extract(c, python, 1)))
-        .when(c.rlike(fenced), strip(F.regexp_extract(c, fenced, 1)))
-        .when(c.rlike(keyword) & ~c.rlike(r"<[a-z]+>"), strip(c))
-        .otherwise("")
+    return let(
+        F.coalesce(c, F.lit("")),
+        lambda x: F.when(strip(x) == "", "")
+        .when(x.rlike(python), strip(F.regexp_extract(x, python, 1)))
+        .when(x.rlike(fenced), strip(F.regexp_extract(x, fenced, 1)))
+        .when(x.rlike(keyword) & ~x.rlike(r"<[a-z]+>"), strip(x))
+        .otherwise(""),
     )
 
 

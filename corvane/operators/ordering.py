@@ -20,29 +20,43 @@ def ordered(df: DataFrame, *order: str) -> DataFrame:
     return materialise(rows.withColumn("_part", F.shiftright("_m", 33)).withColumn("_pos", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m"), "ordered")
 
 
-def _before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """(_part, ...): sums over all partitions before each; one row a partition."""
-    per = rows.groupBy("_part").agg(*[v.alias(k) for k, v in sums.items()])
+def _before(rows: DataFrame, aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(_part, ...): 'sum', 'min' or 'max' of a column over all partitions before
+    each; one row a partition."""
+    fns = {"sum": F.sum, "min": F.min, "max": F.max}
+    per = rows.groupBy("_part").agg(*[fns[kind](c).alias(k) for k, (kind, c) in aggs.items()])
     upto = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select("_part", *[F.coalesce(F.sum(k).over(upto), F.lit(0)).alias(k) for k in sums])
+    return per.select("_part", *[(F.coalesce(F.sum(k).over(upto), F.lit(0)) if kind == "sum" else fns[kind](k).over(upto)).alias(k) for k, (kind, _) in aggs.items()])
 
 
 def with_row_number(df: DataFrame, *order: str, name: str = "rn") -> DataFrame:
     """``df`` with a row number from 1 over a total order."""
     rows = ordered(df, *order)
-    before = _before(rows, {"_n": F.count("*")})
+    before = _before(rows.withColumn("_one", F.lit(1)), {"_n": ("sum", "_one")})
     return rows.join(before, "_part").withColumn(name, (F.col("_n") + F.col("_pos") + 1).cast("bigint")).drop("_part", "_pos", "_n")
 
 
-def running_sums(df: DataFrame, columns: dict[str, str], *order: str) -> DataFrame:
-    """``df`` with running sums over a total order: {new name: column}."""
+def running(df: DataFrame, aggs: dict[str, tuple[str, str]], *order: str) -> DataFrame:
+    """``df`` with running aggregates over a total order: {name: (kind, column)},
+    kind being 'sum', 'min' or 'max'. Null values are passed over."""
     rows = ordered(df, *order)
-    before = _before(rows, {f"_b{k}": F.sum(c) for k, c in enumerate(columns.values())})
+    before = _before(rows, {f"_b{k}": a for k, a in enumerate(aggs.values())})
     inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(before, "_part")
-    for k, (name, c) in enumerate(columns.items()):
-        out = out.withColumn(name, F.col(f"_b{k}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return out.drop("_part", "_pos", *[f"_b{k}" for k in range(len(columns))])
+    for k, (name, (kind, c)) in enumerate(aggs.items()):
+        b = F.col(f"_b{k}")
+        if kind == "sum":
+            out = out.withColumn(name, b + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+        elif kind == "min":
+            out = out.withColumn(name, F.least(b, F.min(c).over(inside)))
+        else:
+            out = out.withColumn(name, F.greatest(b, F.max(c).over(inside)))
+    return out.drop("_part", "_pos", *[f"_b{k}" for k in range(len(aggs))])
+
+
+def running_sums(df: DataFrame, columns: dict[str, str], *order: str) -> DataFrame:
+    """``df`` with running sums over a total order: {new name: column}."""
+    return running(df, {k: ("sum", c) for k, c in columns.items()}, *order)
 
 
 def take_slice(df: DataFrame, start: int | None, stop: int | None, *order: str) -> DataFrame:

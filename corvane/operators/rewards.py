@@ -30,23 +30,27 @@ def matches(text: Column, answer: Column) -> Column:
 
 
 def solution(completion: Column, answer: Column) -> Column:
-    r = X.response(completion)
-    good = N.numeric_value(answer).isNotNull() & N.numeric_value(X.answer(completion)).isNotNull() & X.has_tag(completion, "thinking") & r.isNotNull()
-    return F.when(F.coalesce(good, F.lit(False)), _if(matches(completion, answer), BASE) + _if(X.steps_are_valid(r), STEPS) - _len(r)).otherwise(F.lit(0.0))
+    def score(x: Column) -> Column:
+        good = x["want"].isNotNull() & x["got"].isNotNull() & x["thinks"] & x["r"].isNotNull()
+        return F.when(F.coalesce(good, F.lit(False)), _if(N.within(x["got"], x["want"], TOLERANCE), BASE) + _if(X.steps_are_valid(x["r"]), STEPS) - _len(x["r"])).otherwise(F.lit(0.0))
+
+    parts = F.struct(N.numeric_value(answer).alias("want"), N.numeric_value(X.answer(completion)).alias("got"), X.has_tag(completion, "thinking").alias("thinks"), X.response(completion).alias("r"))
+    return X.let(parts, score)
 
 
 def programming(completion: Column, quality_ok: Column, executed: Column, correct: Column) -> Column:
-    c = X.code_with_fallback(completion)
-    missing = (c == "") | c.isNull()
-    return F.when(missing, 0.0).when(~quality_ok, -SYNTAX).when(~executed, SYNTAX).otherwise(SYNTAX + EXECUTION + _if(correct, CORRECT) - _len(c))
+    return X.let(X.code_with_fallback(completion), lambda c: F.when((c == "") | c.isNull(), 0.0).when(~quality_ok, -SYNTAX).when(~executed, SYNTAX).otherwise(SYNTAX + EXECUTION + _if(correct, CORRECT) - _len(c)))
 
 
 def finalization(completion: Column, partial: Column, answer: Column) -> Column:
+    def score(x: Column) -> Column:
+        missing = x["r"].isNull() | x["p"].isNull() | answer.isNull() | x["got"].isNull()
+        goes_on = F.array_min(X.step_numbers(x["r"])) == X.max_step(x["p"]) + 1
+        right = N.within(N.numeric_value(x["got"]), N.numeric_value(answer), TOLERANCE)
+        return F.when(missing, 0.0).otherwise(_if(right, BASE) + _if(goes_on, CONTINUITY) - _len(completion))
+
     r = X.response(completion)
-    whole = F.concat_ws("\n", partial, r)
-    missing = r.isNull() | partial.isNull() | answer.isNull() | X.answer(whole).isNull()
-    goes_on = F.array_min(X.step_numbers(r)) == X.max_step(partial) + 1
-    return F.when(missing, 0.0).otherwise(_if(matches(whole, answer), BASE) + _if(goes_on, CONTINUITY) - _len(completion))
+    return X.let(F.struct(r.alias("r"), partial.alias("p"), X.answer(F.concat_ws("\n", partial, r)).alias("got")), score)
 
 
 def architect(completion: Column, successes: Column, attempts: int = 10) -> Column:
