@@ -113,7 +113,7 @@ def code(c: Column) -> Column:
 
 def code_with_fallback(c: Column) -> Column:
     """Code of the response section, else of the whole text."""
-    return F.coalesce(F.nullif(code(response(c)), F.lit("")), code(c))
+    return let(code(response(c)), lambda x: F.when(x != "", x).otherwise(code(c)))
 
 
 def code_problems(c: Column) -> Column:
@@ -121,6 +121,10 @@ def code_problems(c: Column) -> Column:
     return F.concat_ws(";", *[F.when(c.rlike(p), F.lit(f"banned_{k}")) for k, p in enumerate(BANNED_CODE)])
 
 
+def has_code_problems(c: Column) -> Column:
+    return c.rlike("|".join(BANNED_CODE))
+
+
 def computes(c: Column) -> Column:
     return c.rlike(r"def |print\s*\(|return |=")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as X
 from corvane.operators import votes as V
 from corvane.operators.runstats import ratio
+from corvane.sources.store import materialise
 
 KEY = ["id"]
 
@@ -32,8 +33,8 @@ def standard(df: DataFrame) -> DataFrame:
 
 def programming(df: DataFrame, tolerance: float = 1e-2) -> DataFrame:
     """Vote with tolerance over the values of usable programs."""
-    c = df.withColumn("code", X.code_with_fallback(F.col("completion")))
-    usable = c.where((F.col("code") != "") & (X.code_problems(F.col("code")) == "") & X.computes(F.col("code")))
+    ok = X.let(X.code_with_fallback(F.col("completion")), lambda c: (c != "") & ~X.has_code_problems(c) & X.computes(c))
+    usable = materialise(df.where(ok).select(*KEY, "n", "value", "is_correct"), "usable")  # texts are read once; the votes run over numbers
     v = V.majority_with_tolerance(usable, KEY, "value", "n", tolerance)
     near = usable.join(v, KEY).groupBy(*KEY).agg(F.bool_or(F.col("is_correct") & (F.abs(F.col("value") - F.col("majority_value")) <= tolerance)).alias("majority_correct"))
     return _counts(df).join(v, "id", "left").join(near, "id", "left")
