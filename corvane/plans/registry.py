@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,6 +20,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Load], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         run.__name__, run.__doc__ = name, fn.__doc__
