@@ -45,7 +45,7 @@ _TAGS = re.compile(r"</?[A-Za-z][^<>\n]{0,30}>")
 _STEP = re.compile(r"(?i)\b(?:step|schritt|étape|paso|passo|шаг)\s*\d+\s*[:.)]|第\s*\d+\s*步[:：]?")
 _MATH = re.compile(r"\$\$(.+?)\$\$|\$([^$]+)\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
 _VALUE = re.compile(
-    r"^(?:[A-Za-z](?:_\{?\w+\}?)?\s*=\s*)?(?:[-+]?\s*(?:\\[dt]?frac\{[-+]?[\d.,\s]+\}\{[-+]?[\d.,\s]+\}|[\d.,]*\d(?:\s*/\s*\d+)?)\s*(?:\\sqrt(?:\[\d+\])?\{\d+\}|\\pi|\^\{?\\circ\}?|\\%|%|\\,?\s*\\text\{[^{}]*\}|[A-Za-z]{1,3})?|[-+]?\\sqrt(?:\[\d+\])?\{\d+\}|[-+]?\\pi|\\infty|\\text\{[^{}]+\}|\\(?:emptyset|varnothing)|\{\s*\})\s*$"
+    r"^(?:[A-Za-z](?:_\{?\w+\}?)?\s*=\s*)?(?:[-+]?\s*(?:\\[dt]?frac\{[-+]?[\d.,\s]+\}\{[-+]?[\d.,\s]+\}|[\d.,]*\d(?:\s*/\s*\d+)?)\s*(?:\\sqrt(?:\[\d+\])?\{\d+\}|\\pi|\^\{?\\circ\}?|\\%|%|\\,?\s*\\text\{[^{}]*\}|[A-Za-z]{1,3})?|[-+]?\\sqrt(?:\[\d+\])?\{\d+\}|[-+]?\\pi|\\infty|(?:\\left)?[(\[]\s*[-+\d.,;\s]*\d\s*(?:\\right)?[)\]]|\\\{[-+\d.,;\s]*\\\}|\\text\{[^{}]+\}|\\(?:emptyset|varnothing)|\{\s*\})\s*$"
 )
 _BOLD = re.compile(r"\*\*([^*\n]+)\*\*")
 _HASH = re.compile(r"####[ \t]*([^\n]*)")
@@ -117,7 +117,7 @@ def stated_result(s: str, problem: str) -> str | None:
                     return value
             if _NO_SOLUTION.search(sentence) and _SENTENCE_END.search(body):
                 return value
-    if m := _PLAIN.search(body[-80:]):
+    if body.count("$") % 2 == 0 and (m := _PLAIN.search(body[-80:])):
         return m.group(1)
     sentence = re.split(r"(?<=[.!?。！？])\s+|\n", body)[-1]
     if _NO_SOLUTION.search(sentence) and _SENTENCE_END.search(body):
