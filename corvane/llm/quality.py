@@ -100,6 +100,9 @@ _HAN = re.compile(r"[㐀-鿿]")
 _GARBLED = re.compile(r"[ÂÃÐÑ][\u0080-¿]|[âãäåæçèéï][\u0080-\u009f¡-¿]|\ufffd")
 _MIXED = re.compile(r"[a-zà-ÿа-яё][A-ZА-Я]|[A-Za-zа-яё][;\[\]{},.?!=][A-Za-zа-яё]|(?<!\S)[.,?!;:][A-Za-zа-яё]")
 _BROKEN = re.compile(r"[a-zа-яё]{3,}[.?!]\s+[a-zà-ÿа-яё]")
+_BRACKETS = re.compile(r"[a-z][\[\]][a-z]")
+_STRAY = re.compile(r"\$|\\[A-Za-z]+|\w\^\w")
+_ENDS = re.compile(r"[a-zа-яё]{3,}[.?!](?:\s|$)")
 _STOP = re.compile(r"[.!?。！？…]")
 _ENCODED = re.compile(r"(?=.*[A-Z0-9])[A-Za-z0-9+/=_-]{28,}")
 _SYMBOLS = re.compile(r"[^\w\s]")
@@ -120,7 +123,7 @@ def kind_of(text: str, common: set[str], han_common: re.Pattern) -> tuple[str, s
     'table' or 'junk'.
 
     First the rules for whole texts (garbled letters, spaced letters, repeated
-    sentences or words, encoded data, scrambled words), then each line is
+    sentences or words, encoded data, scrambled letters, jumbled words), then each line is
     weighed by its length as prose, list, table, junk or formula; formulas
     count with the prose they stand in, else as list items."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -150,11 +153,16 @@ def kind_of(text: str, common: set[str], han_common: re.Pattern) -> tuple[str, s
     long_tok = sum(len(t) for t in alltoks if _ENCODED.fullmatch(t))
     if long_tok > 0.5 * solid:
         return "junk", "encoded"
+    rows = any(_TABLE.search(x) for x in lines[:3])
     if len(words) >= 8:
         mixed = len(_MIXED.findall(re.sub(r"\\?<[^>]*>|\"[^\"\n]*\"", " ", plain)))
-        if mixed > (0.12 if share > 0.12 else 0.05) * len(words) and share < 0.25 and not any(_TABLE.search(x) for x in lines[:3]):
+        if mixed > (0.12 if share > 0.12 else 0.05) * len(words) and share < 0.25 and not rows or len(_BRACKETS.findall(plain)) >= 3 and share < 0.2:
             return "junk", "scrambled"
-    broken = len(_BROKEN.findall(plain)) > 0.6 * max(1, len(re.findall(r"[a-zа-яё]{3,}[.?!](?:\s|$)", plain))) and any(c.isupper() for c in plain)
+    ends = max(1, len(_ENDS.findall(text)))
+    cut = len(_BROKEN.findall(text)) / ends if any(c.isupper() for c in text) else 0.0
+    if len(words) >= 8 and share < 0.12 and not rows and (cut > 0.3 or len(_STRAY.findall(plain)) >= 2):
+        return "junk", "jumbled"
+    broken = cut > 0.6
     good = share >= 0.05 and not (broken and share < 0.1) and (not han or len(han) <= len(words) or share >= 0.03)
     weight = Counter()
     for line in lines:
