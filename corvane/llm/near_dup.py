@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import chunks, materialise, mix64, shingles, word_hashes
 from corvane.llm.components import connected_components
 
+_SALTS = 0xFFFFFFFF  # of a group number: the salt plus one
 BITS, RADIUS, GENERATOR = 23, 3, 0b101011100011
 
 
@@ -92,7 +93,10 @@ def _fingerprints(df: DataFrame, bands: int) -> DataFrame:
     return df.mapInArrow(run, "id bigint, content bigint, n int, " + ", ".join(f"f{k} int" for k in range(bands)))
 
 
-def _to_anchors(reps: DataFrame, bands: int, band_threshold: int) -> DataFrame:
+def _to_anchors(reps: DataFrame, bands: int, band_threshold: int, salts: dict[int, int] | None = None) -> DataFrame:
+    """(key, salt, id, fingerprint words): a row for each anchor of each text.
+    ``key`` is the anchor with a last bit of 0 at home. Texts at an anchor named
+    in ``salts`` are spread over so many bins; elsewhere the salt is -1."""
     words = (bands + 1) // 2
     cols = ", ".join(f"w{k} bigint" for k in range(words))
 
@@ -108,19 +112,24 @@ def _to_anchors(reps: DataFrame, bands: int, band_threshold: int) -> DataFrame:
                 err = table[_syndromes(fp[:, k])]
                 row, rank = np.nonzero(err != 0xFFFFFFFF)
                 anchor = (fp[row, k] ^ err[row, rank]) >> np.uint32(11)
-                key = (k * 4096 + anchor.astype(np.int64)) * 2 + (rank != 0)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(ids[row]), *(pa.array(packed[row, j]) for j in range(words))], ["key", "id", *(f"w{j}" for j in range(words))])
+                where = k * 4096 + anchor.astype(np.int64)
+                key = where * 2 + (rank != 0)
+                salt = np.full(len(row), -1, np.int32)
+                for hot, n in (salts or {}).items():
+                    at = np.flatnonzero(where == hot)
+                    salt[at] = (mix64(ids[row[at]].view(np.uint64)) % np.uint64(n)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(salt), pa.array(ids[row]), *(pa.array(packed[row, j]) for j in range(words))], ["key", "salt", "id", *(f"w{j}" for j in range(words))])
 
-    return reps.mapInArrow(run, f"key int, id bigint, {cols}")
+    return reps.mapInArrow(run, f"key int, salt int, id bigint, {cols}")
 
 
 def _compare(anchored: DataFrame, bands: int, limit: int, block: int = 1 << 20) -> DataFrame:
     """Links (a < b, distance) of homes with all others at their anchor. Rows
     come sorted by anchor, homes first; a block of homes meets the members in
-    blocks, so memory is bounded whatever the size of an anchor. A member is
-    linked to its first home within half the limit and to all within the limit
-    beyond that, so that a crowd of near copies yields a star, not all its
-    pairs."""
+    blocks. In a crowd, a member is linked to its first home within half the
+    limit and to all within the limit beyond that, so that near copies yield a
+    star, not all their pairs. For salted bins, the members that found such a
+    home are given as well: (anchor, id, -1)."""
     words = (bands + 1) // 2
 
     def anchor_links(ids, fps, homes):
@@ -154,34 +163,35 @@ def _compare(anchored: DataFrame, bands: int, limit: int, block: int = 1 << 20)
                 x, y = x[use], y[use]
             a, b = ids[h[x]], ids[y]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b), dist[x, y].astype(np.int64)]))
-        return out
+        return out, ids[hub >= 0]
 
     def run(batches):
         held: list[list[np.ndarray]] = []
-        last = None
 
         def flush(rows):
-            key, ids = rows[0], rows[1]
-            anchor = key >> 1
-            cut = np.flatnonzero(np.diff(anchor, prepend=-1))
+            group, home, ids = rows[0], rows[1], rows[2]
+            cut = np.flatnonzero(np.diff(group, prepend=-1))
             found = []
-            for s, e in zip(cut, np.append(cut[1:], len(anchor))):
-                homes = int((key[s:e] & 1 == 0).sum())
+            for s, e in zip(cut, np.append(cut[1:], len(group))):
+                homes = int(home[s:e].sum())
                 if homes and e - s > 1:
-                    found += anchor_links(ids[s:e], rows[2][s:e], homes)
+                    links, held_by = anchor_links(ids[s:e], rows[3][s:e], homes)
+                    found += links
+                    if group[s] & _SALTS and len(held_by):
+                        found.append(np.stack([np.full(len(held_by), group[s] >> 32), held_by, np.full(len(held_by), -1)]))
             if found:
                 m = np.concatenate(found, 1)
-                m = m[:, np.unique(m[0] * np.int64(0x9E3779B1) ^ m[1], return_index=True)[1]]
+                m = m[:, np.unique(m[0] * np.int64(0x9E3779B1) ^ m[1] ^ (m[2] < 0), return_index=True)[1]]
                 return pa.RecordBatch.from_arrays([pa.array(m[0]), pa.array(m[1]), pa.array(m[2].astype(np.int32))], ["a", "b", "d"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = [b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy(), np.stack([b.column(2 + j).to_numpy() for j in range(words)], 1)]
+            key = b.column(0).to_numpy().astype(np.int64)
+            rows = [((key >> 1) << 32) | (b.column(1).to_numpy().astype(np.int64) + 1), key & 1 == 0, b.column(2).to_numpy(), np.stack([b.column(3 + j).to_numpy() for j in range(words)], 1)]
             if held:
                 rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
-            last = rows[0][-1] >> 1
-            cut = int(np.searchsorted(rows[0] >> 1, last))
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if cut:
                 done = flush([x[:cut] for x in rows])
                 if done is not None:
@@ -190,10 +200,32 @@ def _compare(anchored: DataFrame, bands: int, limit: int, block: int = 1 << 20)
         if held and len(held[0]) and (done := flush(held)) is not None:
             yield done
 
-    sorted_rows = anchored.repartition(F.expr("shiftright(key, 1)")).sortWithinPartitions("key", "id")
+    anchor = F.expr("shiftright(key, 1)")
+    sorted_rows = anchored.repartition(anchor, "salt").sortWithinPartitions(anchor, "salt", "key", "id")
     return sorted_rows.mapInArrow(run, "a bigint, b bigint, d int")
 
 
+def _close_pairs(reps: DataFrame, bands: int, band_threshold: int, limit: int, bin_rows: int) -> DataFrame:
+    """(a, b, d) of texts that meet at an anchor within ``limit``.
+
+    An anchor holds a text once, so none can exceed ``bin_rows`` if the texts
+    don't. Otherwise anchors are counted (their number is fixed by the code),
+    those above are compared in salted bins, and what found no close home there
+    is compared once more over all bins of its anchor."""
+    if reps.count() <= bin_rows:
+        return _compare(_to_anchors(reps, bands, band_threshold), bands, limit)
+    sizes = _to_anchors(reps, bands, band_threshold).groupBy(F.expr("shiftright(key, 1)").alias("anchor")).count().where(F.col("count") > bin_rows).collect()
+    salts = {r["anchor"]: -(-r["count"] // bin_rows) for r in sizes}
+    anchored = _to_anchors(reps, bands, band_threshold, salts)
+    first = materialise(_compare(anchored, bands, limit), "bins")
+    links = first.where("d >= 0")
+    if not salts:
+        return links
+    placed = first.where("d < 0").select(F.col("a").cast("int").alias("anchor"), F.col("b").alias("id"))
+    rest = anchored.where("salt >= 0").withColumn("anchor", F.expr("shiftright(key, 1)")).join(placed, ["anchor", "id"], "left_anti").drop("anchor").withColumn("salt", F.lit(-1)).select(*anchored.columns)
+    return links.unionByName(_compare(rest, bands, limit))
+
+
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Exact similarity of the wording of texts, pair by pair."""
     out = np.zeros(len(a))
@@ -242,7 +274,7 @@ def exact_similarity(pairs: DataFrame, texts: DataFrame, max_broadcast_ids: int
 
 
 def near_duplicate_groups(
-    df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 6, band_threshold: int = 1, sure: int | None = None, limit: int | None = None
+    df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 6, band_threshold: int = 1, sure: int | None = None, limit: int | None = None, bin_rows: int = 2_000_000
 ) -> DataFrame:
     """(id, class_id, group_id, n_links): one row per record of ``df``.
 
@@ -263,8 +295,8 @@ def near_duplicate_groups(
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.concat_ws(" ", *text_cols).alias("text")).where("id is not null")
     marks = materialise(_fingerprints(texts, bands), "marks")
     fps = [f"f{k}" for k in range(bands)]
-    reps = marks.where("n > 0").groupBy("content", *fps).agg(F.min("id").alias("id"))
-    close = _compare(_to_anchors(reps.select("id", *fps), bands, band_threshold), bands, limit)
+    reps = materialise(marks.where("n > 0").groupBy("content", *fps).agg(F.min("id").alias("id")).select("id", *fps), "reps")
+    close = _close_pairs(reps, bands, band_threshold, limit, bin_rows)
     pairs = materialise(close.groupBy("a", "b").agg(F.min("d").alias("d")).where("a <> b"), "pairs")
     unsure = exact_similarity(pairs.where(F.col("d") > sure).select("a", "b"), texts).where(F.col("similarity") >= similarity)
     links = materialise(pairs.where(F.col("d") <= sure).select("a", "b").unionByName(unsure.select("a", "b")), "links")

@@ -86,7 +86,7 @@ def rule_failures() -> Column:
 
 _FORM = re.compile(r"\$\$[^$]*\$\$|\$[^$]{0,300}\$|\\\[.{0,300}?\\\]|\\\(.{0,300}?\\\)", re.S)
 _TABLE = re.compile(
-    r"^\s*\|.*\|\s*$|^\s*\+[-=+]+\+\s*$|\S\s*\t|\t\s*\S|</?t(?:r|d|h|able|body|head)\b|&.*\\\\\s*$|\\(?:begin|end)\{(?:tabular|array)|^\s*\\hline"
+    r"^\s*\|.*\|\s*$|^\s*\+[-=+]+\+\s*$|\S\s*\t|\t\s*\S|</?t(?:r|d|h|able|body|head)\b|\\(?:begin|end)\{(?:tabular|array)|^\s*\\hline"
     r'|^"[^"]*"(?:\s?[;,|]\s?"[^"]*")+$|^[^,\s]*(?: [^,\s]+)?(?:,(?!\s)[^,]*){2,}$|^[^;\s]*(?:;(?!\s)[^;]*){2,}$|\S {2,}\S+(?: \S+)?(?: {2,}\S+(?: \S+)?)+\s*$|^\S+ {3,}\S+\s*$'
 )
 _INDEX = re.compile(r"\(p\.\s*\d|\.{3,}\s*\d+\s*$|^\s*[-*•]?\s*\[[ xX]\]\s")
@@ -179,7 +179,7 @@ def kind_of(text: str, common: set[str], han_common: re.Pattern) -> tuple[str, s
             k = "junk"
         elif _INDEX.search(line) or len(_KEYS.findall(s)) >= 3 and size <= 2 * len(_KEYS.findall(s)):
             k = "list"
-        elif _TABLE.search(line) and not (stop and size >= 8 and share >= 0.12 and not re.search(r"\t|\||<t|&", line)):
+        elif (_TABLE.search(line) or "&" in line and line.rstrip().endswith("\\\\")) and not (stop and size >= 8 and share >= 0.12 and not re.search(r"\t|\||<t|&", line)):
             k = "table"
         elif not s.replace("F", " ").strip(" .,;:()[]") or (bw <= 2 and "F" in body and not h and size <= 3):
             k = "formula"
