@@ -2,12 +2,14 @@
 
 Anchor-point covering. Each distinct text gets a fingerprint of one-bit
 min-hashes over its wording (neighbouring word pairs, and numbers alone). The
-fingerprint is cut into bands of 23 bits; the anchors of a band are the 4096
-words of the perfect binary Golay code, whose balls of radius 3 cover all
-2**23 words. A text is at home at its nearest anchor and is replicated to every
-anchor within the covering radius plus ``band_threshold``: two texts whose
-bands differ in at most ``band_threshold`` bits always meet where one is at
-home. At each anchor homes are compared with all that came, by the distance of
+fingerprint is cut into bands of 23 bits and more; the anchors of a band are the
+4096 words of the perfect binary Golay code, whose balls of radius 3 cover all
+2**23 words, times all words of the bits beyond 23 (radius 0). Those are added
+with the number of texts, so that anchors grow with it and hold about as many
+texts at every size. A text is at home at its nearest anchor and is replicated
+to every anchor within the covering radius plus ``band_threshold``: two texts
+whose bands differ in at most ``band_threshold`` bits always meet where one is
+at home. At each anchor homes are compared with all that came, by the distance of
 whole fingerprints, in blocks; what the distance cannot decide is settled by
 the exact similarity of the texts.
 """
@@ -59,14 +61,20 @@ def _functions(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (seed[:bits] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seed[bits:] >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint_batch(texts: pa.Array, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def extra_bits(texts: int) -> int:
+    """Bits beyond 23 in a band: anchors double with every doubling of more than
+    a million texts."""
+    return min(15, max(0, (max(1, texts) - 1).bit_length() - 20))
+
+
+def fingerprint_batch(texts: pa.Array, bands: int, width: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(content hash, number of shingles, [doc, band] fingerprint) of texts.
     The content hash is of the words in order; layout, case and punctuation
     play no role."""
     n = len(texts)
     content, count = np.zeros(n, np.int64), np.zeros(n, np.int32)
-    fp = np.zeros((n, bands), np.uint32)
-    mul, add = _functions(bands * BITS)
+    fp = np.zeros((n, bands), np.int64)
+    mul, add = _functions(bands * width)
     for lo, part in chunks(texts):
         w, d, num = word_hashes(part)
         if not len(w):
@@ -78,59 +86,72 @@ def fingerprint_batch(texts: pa.Array, bands: int) -> tuple[np.ndarray, np.ndarr
         first = np.flatnonzero(np.diff(sd, prepend=-1))
         docs = lo + sd[first]
         count[docs] = np.diff(np.append(first, len(sd)))
-        for k in range(bands * BITS):
+        for k in range(bands * width):
             low = np.minimum.reduceat(sh * mul[k] + add[k], first)
-            fp[docs, k // BITS] |= ((low * np.uint32(0x85EBCA6B) >> np.uint32(24)) & np.uint32(1)) << np.uint32(k % BITS)
+            fp[docs, k // width] |= ((low * np.uint32(0x85EBCA6B) >> np.uint32(24)) & np.uint32(1)).astype(np.int64) << (k % width)
     return content, count, fp
 
 
-def _fingerprints(df: DataFrame, bands: int) -> DataFrame:
+def _fingerprints(df: DataFrame, bands: int, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            content, count, fp = fingerprint_batch(b.column(1), bands)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content), pa.array(count), *(pa.array(fp[:, k].astype(np.int32)) for k in range(bands))], ["id", "content", "n", *(f"f{k}" for k in range(bands))])
+            content, count, fp = fingerprint_batch(b.column(1), bands, width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content), pa.array(count), *(pa.array(fp[:, k]) for k in range(bands))], ["id", "content", "n", *(f"f{k}" for k in range(bands))])
+
+    return df.mapInArrow(run, "id bigint, content bigint, n int, " + ", ".join(f"f{k} bigint" for k in range(bands)))
 
-    return df.mapInArrow(run, "id bigint, content bigint, n int, " + ", ".join(f"f{k} int" for k in range(bands)))
 
+def _packing(bands: int, width: int) -> tuple[int, int]:
+    """(bands in a 64-bit word, words of a fingerprint)."""
+    per_word = 63 // width
+    return per_word, -(-bands // per_word)
 
-def _to_anchors(reps: DataFrame, bands: int, band_threshold: int, salts: dict[int, int] | None = None) -> DataFrame:
+
+def _to_anchors(reps: DataFrame, bands: int, width: int, band_threshold: int, salts: dict[int, int] | None = None) -> DataFrame:
     """(key, salt, id, fingerprint words): a row for each anchor of each text.
     ``key`` is the anchor with a last bit of 0 at home. Texts at an anchor named
     in ``salts`` are spread over so many bins; elsewhere the salt is -1."""
-    words = (bands + 1) // 2
+    from itertools import combinations
+
+    extra = width - BITS
+    per_word, words = _packing(bands, width)
     cols = ", ".join(f"w{k} bigint" for k in range(words))
+    kind = np.int64 if extra else np.int32
+    flips = [(sum(1 << e for e in c), RADIUS + band_threshold - j) for j in range(min(band_threshold, extra) + 1) for c in combinations(range(extra), j)]
 
     def run(batches):
-        table = error_patterns(RADIUS + band_threshold)
         for b in batches:
             ids = b.column("id").to_numpy()
-            fp = np.stack([b.column(f"f{k}").to_numpy() for k in range(bands)], 1).astype(np.uint32)
+            fp = np.stack([b.column(f"f{k}").to_numpy() for k in range(bands)], 1)
             packed = np.zeros((len(ids), words), np.int64)
             for k in range(bands):
-                packed[:, k // 2] |= fp[:, k].astype(np.int64) << (BITS * (k % 2))
+                packed[:, k // per_word] |= fp[:, k] << (width * (k % per_word))
             for k in range(bands):
-                err = table[_syndromes(fp[:, k])]
-                row, rank = np.nonzero(err != 0xFFFFFFFF)
-                anchor = (fp[row, k] ^ err[row, rank]) >> np.uint32(11)
-                where = k * 4096 + anchor.astype(np.int64)
-                key = where * 2 + (rank != 0)
-                salt = np.full(len(row), -1, np.int32)
-                for hot, n in (salts or {}).items():
-                    at = np.flatnonzero(where == hot)
-                    salt[at] = (mix64(ids[row[at]].view(np.uint64)) % np.uint64(n)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(salt), pa.array(ids[row]), *(pa.array(packed[row, j]) for j in range(words))], ["key", "salt", "id", *(f"w{j}" for j in range(words))])
-
-    return reps.mapInArrow(run, f"key int, salt int, id bigint, {cols}")
-
-
-def _compare(anchored: DataFrame, bands: int, limit: int, block: int = 1 << 20) -> DataFrame:
+                code, beyond = (fp[:, k] & ((1 << BITS) - 1)).astype(np.uint32), fp[:, k] >> BITS
+                syndrome = _syndromes(code)
+                for flip, radius in flips:
+                    err = error_patterns(radius)[syndrome]
+                    row, rank = np.nonzero(err != 0xFFFFFFFF)
+                    anchor = ((code[row] ^ err[row, rank]) >> np.uint32(11)).astype(np.int64)
+                    where = (((k << 12) | anchor) << extra) | (beyond[row] ^ flip)
+                    key = where * 2 + ((rank != 0) | (flip != 0))
+                    salt = np.full(len(row), -1, np.int32)
+                    for hot, n in (salts or {}).items():
+                        at = np.flatnonzero(where == hot)
+                        salt[at] = (mix64(ids[row[at]].view(np.uint64)) % np.uint64(n)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(kind)), pa.array(salt), pa.array(ids[row]), *(pa.array(packed[row, j]) for j in range(words))], ["key", "salt", "id", *(f"w{j}" for j in range(words))])
+
+    return reps.mapInArrow(run, f"key {'bigint' if extra else 'int'}, salt int, id bigint, {cols}")
+
+
+def _compare(anchored: DataFrame, bands: int, width: int, limit: int, block: int = 1 << 20) -> DataFrame:
     """Links (a < b, distance) of homes with all others at their anchor. Rows
     come sorted by anchor, homes first; a block of homes meets the members in
     blocks. In a crowd, a member is linked to its first home within half the
     limit and to all within the limit beyond that, so that near copies yield a
     star, not all their pairs. For salted bins, the members that found such a
     home are given as well: (anchor, id, -1)."""
-    words = (bands + 1) // 2
+    _, words = _packing(bands, width)
 
     def anchor_links(ids, fps, homes):
         out = []
@@ -141,7 +162,7 @@ def _compare(anchored: DataFrame, bands: int, limit: int, block: int = 1 << 20)
             h = h[hub[h] < 0] if len(ids) > 256 else h
             if not len(h):
                 continue
-            dist = np.zeros((len(h), len(ids)), np.uint8)
+            dist = np.zeros((len(h), len(ids)), np.uint16)
             for j in range(words):
                 dist += np.bitwise_count(fps[h, j][:, None] ^ fps[None, :, j])
             x, y = np.nonzero(dist <= limit)
@@ -205,7 +226,7 @@ def _compare(anchored: DataFrame, bands: int, limit: int, block: int = 1 << 20)
     return sorted_rows.mapInArrow(run, "a bigint, b bigint, d int")
 
 
-def _close_pairs(reps: DataFrame, bands: int, band_threshold: int, limit: int, bin_rows: int) -> DataFrame:
+def _close_pairs(reps: DataFrame, bands: int, width: int, band_threshold: int, limit: int, bin_rows: int) -> DataFrame:
     """(a, b, d) of texts that meet at an anchor within ``limit``.
 
     An anchor holds a text once, so none can exceed ``bin_rows`` if the texts
@@ -213,17 +234,17 @@ def _close_pairs(reps: DataFrame, bands: int, band_threshold: int, limit: int, b
     those above are compared in salted bins, and what found no close home there
     is compared once more over all bins of its anchor."""
     if reps.count() <= bin_rows:
-        return _compare(_to_anchors(reps, bands, band_threshold), bands, limit)
-    sizes = _to_anchors(reps, bands, band_threshold).groupBy(F.expr("shiftright(key, 1)").alias("anchor")).count().where(F.col("count") > bin_rows).collect()
+        return _compare(_to_anchors(reps, bands, width, band_threshold), bands, width, limit)
+    sizes = _to_anchors(reps, bands, width, band_threshold).groupBy(F.expr("shiftright(key, 1)").alias("anchor")).count().where(F.col("count") > bin_rows).collect()
     salts = {r["anchor"]: -(-r["count"] // bin_rows) for r in sizes}
-    anchored = _to_anchors(reps, bands, band_threshold, salts)
-    first = materialise(_compare(anchored, bands, limit), "bins")
+    anchored = _to_anchors(reps, bands, width, band_threshold, salts)
+    first = materialise(_compare(anchored, bands, width, limit), "bins")
     links = first.where("d >= 0")
     if not salts:
         return links
-    placed = first.where("d < 0").select(F.col("a").cast("int").alias("anchor"), F.col("b").alias("id"))
+    placed = first.where("d < 0").select(F.col("a").alias("anchor"), F.col("b").alias("id"))
     rest = anchored.where("salt >= 0").withColumn("anchor", F.expr("shiftright(key, 1)")).join(placed, ["anchor", "id"], "left_anti").drop("anchor").withColumn("salt", F.lit(-1)).select(*anchored.columns)
-    return links.unionByName(_compare(rest, bands, limit))
+    return links.unionByName(_compare(rest, bands, width, limit))
 
 
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -274,7 +295,7 @@ def exact_similarity(pairs: DataFrame, texts: DataFrame, max_broadcast_ids: int
 
 
 def near_duplicate_groups(
-    df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 6, band_threshold: int = 1, sure: int | None = None, limit: int | None = None, bin_rows: int = 2_000_000
+    df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 6, band_threshold: int = 1, sure: int | None = None, limit: int | None = None, bin_rows: int = 2_000_000, extra: int | None = None
 ) -> DataFrame:
     """(id, class_id, group_id, n_links): one row per record of ``df``.
 
@@ -289,14 +310,16 @@ def near_duplicate_groups(
     dropped; repeated ids count once; other columns are ignored. An empty table
     gives an empty result.
     """
-    bits = bands * BITS
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.concat_ws(" ", *text_cols).alias("text")).where("id is not null")
+    extra = extra_bits(texts.select("id").count()) if extra is None else extra
+    width, bands = BITS + extra, bands + extra // 2
+    bits = bands * width
     sure = sure if sure is not None else round(bits * (1 - similarity - 0.18) / 2)
     limit = limit if limit is not None else round(bits * (1 - similarity + 0.12) / 2)
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.concat_ws(" ", *text_cols).alias("text")).where("id is not null")
-    marks = materialise(_fingerprints(texts, bands), "marks")
+    marks = materialise(_fingerprints(texts, bands, width), "marks")
     fps = [f"f{k}" for k in range(bands)]
     reps = materialise(marks.where("n > 0").groupBy("content", *fps).agg(F.min("id").alias("id")).select("id", *fps), "reps")
-    close = _close_pairs(reps, bands, band_threshold, limit, bin_rows)
+    close = _close_pairs(reps, bands, width, band_threshold, limit, bin_rows)
     pairs = materialise(close.groupBy("a", "b").agg(F.min("d").alias("d")).where("a <> b"), "pairs")
     unsure = exact_similarity(pairs.where(F.col("d") > sure).select("a", "b"), texts).where(F.col("similarity") >= similarity)
     links = materialise(pairs.where(F.col("d") <= sure).select("a", "b").unionByName(unsure.select("a", "b")), "links")
