@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, materialise, mix64, shingles, word_hashes
+from corvane.llm.common import CHUNK_BYTES, chunks, materialise, mix64, shingles, word_hashes
 from corvane.llm.components import connected_components
 
 _SALTS = 0xFFFFFFFF  # of a group number: the salt plus one
@@ -249,31 +250,20 @@ def _close_pairs(reps: DataFrame, bands: int, width: int, band_threshold: int, l
 
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Exact similarity of the wording of texts, pair by pair."""
+    size = [pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    done = np.cumsum(size[0] + size[1])
     out = np.zeros(len(a))
-    both = pa.concat_arrays([pa.array([x for p in zip(a.to_pylist(), b.to_pylist()) for x in p], pa.string())])
-    for lo, part in chunks(both, 1 << 18):
-        if lo % 2 or len(part) % 2:  # a pair stays together
-            return _jaccard_rows(a, b)
-        w, d, num = word_hashes(part)
-        sd, sh = shingles(w, d, num, len(part))
-        size = np.bincount(sd, minlength=len(part))
-        key = ((sd // 2).astype(np.uint64) << np.uint64(32)) | sh
-        _, c = np.unique(key, return_counts=True)
-        u = np.unique(key)
-        common = np.bincount((u[c == 2] >> np.uint64(32)).astype(np.int64), minlength=len(part) // 2)
-        total = size[0::2] + size[1::2] - common
-        out[lo // 2 : (lo + len(part)) // 2] = common / np.maximum(1, total)
-    return out
-
-
-def _jaccard_rows(a: pa.Array, b: pa.Array) -> np.ndarray:
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
-        w, d, num = word_hashes(pa.array([x, y], pa.string()))
-        sd, sh = shingles(w, d, num, 2)
-        p, q = sh[sd == 0], sh[sd == 1]
-        c = len(np.intersect1d(p, q, assume_unique=True))
-        out[i] = c / max(1, len(p) + len(q) - c)
+    lo = 0
+    while lo < len(a):
+        hi = int(max(lo + 1, np.searchsorted(done, (done[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
+        k = hi - lo
+        w, d, num = word_hashes(pa.concat_arrays([a.slice(lo, k), b.slice(lo, k)]))
+        sd, sh = shingles(w, d, num, 2 * k)
+        n = np.bincount(sd, minlength=2 * k)
+        u, c = np.unique(((sd % k).astype(np.uint64) << np.uint64(32)) | sh, return_counts=True)
+        common = np.bincount((u[c == 2] >> np.uint64(32)).astype(np.int64), minlength=k)
+        out[lo:hi] = common / np.maximum(1, n[:k] + n[k:] - common)
+        lo = hi
     return out
 
 
