@@ -73,6 +73,39 @@ def same_answer(a: Column, b: Column, tolerance: float = 1e-2) -> Column:
     return let(numbers, lambda n: F.when(n["x"].isNotNull() & n["y"].isNotNull(), within(n["x"], n["y"], tolerance)).otherwise(text))
 
 
+def verify(solution: Column, answer: Column, tolerance: float = 1e-2) -> Column:
+    """struct(ok, stated): whether the answer that a solution states equals
+    ``answer`` as numbers within tolerance, and the stated text, also when it
+    does not."""
+    from corvane.functions.text import answer as stated_answer
+
+    return let(stated_answer(solution), lambda s: F.struct(within(numeric_value(s), numeric_value(answer), tolerance).alias("ok"), s.alias("stated")))
+
+
+#: Near misses around a known answer.
+MULTIPLIERS = (0.5, 2.0, -1.0, 10.0, 0.1, 5.0, 0.01, 20.0, -0.5, -2.0, -5.0, -10.0, 100.0, 0.001)
+OFFSETS = (0.1, 1.0, -0.1, -1.0, 100.0, 10.0, -10.0, 1000.0, -1000.0, 0.01, -0.01)
+EDGES = (0.0, 1.0, -1.0, 1e10, -1e10)
+
+
+def wrong_cases(correct: Column, total: int = 0, seed: int = 7) -> Column:
+    """Values that are no answer: edge cases, multiples and, below 1, offsets,
+    each more than 0.01 away; filled up to ``total`` by values drawn from a hash
+    of the answer, so that the same answer has the same cases. For an infinite
+    answer only finite edge cases."""
+    finite = F.abs(correct) < float("inf")
+    fixed = F.array(*[F.lit(x) for x in EDGES])
+    multiples = F.array(*[correct * x for x in MULTIPLIERS])
+    offsets = F.when(F.abs(correct) < 1, F.array(*[correct + x for x in OFFSETS])).otherwise(F.array().cast("array<double>"))
+    cases = F.when(finite, F.concat(fixed, multiples, offsets)).otherwise(fixed)
+    if total:
+        u = lambda i: F.pmod(F.xxhash64(correct, i, F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+        span = F.greatest(F.lit(100.0), F.abs(correct) * 100)
+        cases = F.when(finite, F.concat(cases, F.transform(F.sequence(F.lit(1), F.lit(total)), lambda i: (u(i) * 2 - 1) * span))).otherwise(cases)
+    good = F.filter(cases, lambda v: (F.abs(v) < float("inf")) & ((F.abs(v - correct) > 1e-2) | ~finite))
+    return F.slice(good, 1, total) if total else good
+
+
 # ---------------------------------------------------------------- full evaluator
 
 _TOKEN = re.compile(r"\s*(?:(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.?\d*|\.\d+)|\\([A-Za-z]+)|(.))", re.S)

@@ -19,7 +19,21 @@ CJK = r"[\x{4e00}-\x{9fff}]"
 CYRILLIC = r"[\x{0400}-\x{04ff}]"
 TRUE_VERDICTS = ("correct", "right", "valid", "solution is good")
 FALSE_VERDICTS = ("incorrect", "wrong", "error", "mistake")
-BANNED_CODE = (r"import\s+requests", r"import\s+urllib", r"open\s*\(", r"os\.system", r"subprocess", r"eval\s*\(", r"exec\s*\(")
+#: Patterns of code that is refused, and what is said of each.
+BANNED_CODE = (
+    (r"os\.system", "Contains potentially unsafe system call"),
+    (r"subprocess\.", "Contains potentially unsafe subprocess call"),
+    (r"exec\s*\(", "Contains potentially unsafe exec call"),
+    (r"eval\s*\(", "Contains potentially unsafe eval call"),
+    (r"__import__", "Contains potentially unsafe dynamic import"),
+    (r"open\s*\(.+,\s*['\"]w", "Contains file write operation"),
+    (r"import\s+requests", "Contains network request library"),
+)
+COMPUTES = r"\bdef\b|\bprint\b|\breturn\b|=\s*[a-zA-Z0-9_]+"
+CODE_PYTHON, CODE_BLOCK = r"(?s)```python\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```"
+CODE_WORDS = r"\b(?:def|import|print|for|if|return)\b"
+#: Ways to number a step, in the order in which they are tried.
+STEP_NUMBERS = (r"^.*?Step\s*(\d+)[:.)\s]", r"^.*?(\d+)[:.)](?:\s|$)", r"^\s*(\d+)\.\s", r"^\s*\((\d+)\)\s", r"^\s*Step\s*(\d+)$")
 
 
 def let(value: Column, body) -> Column:
@@ -99,14 +113,12 @@ def tag_by_position(c: Column, tag: str) -> Column:
 def code(c: Column) -> Column:
     """The first Python block, else the first fenced block, else the whole text
     if it has a Python keyword and no tag in small letters, else ''."""
-    python, fenced = r"(?s)```python\s*\n(.*?)```", r"(?s)```\s*\n(.*?)```"
-    keyword = r"\b(?:def|import|for|while|print|return|if)\b"
     return let(
         F.coalesce(c, F.lit("")),
         lambda x: F.when(strip(x) == "", "")
-        .when(x.rlike(python), strip(F.regexp_extract(x, python, 1)))
-        .when(x.rlike(fenced), strip(F.regexp_extract(x, fenced, 1)))
-        .when(x.rlike(keyword) & ~x.rlike(r"<[a-z]+>"), strip(x))
+        .when(x.rlike(CODE_PYTHON), F.regexp_extract(x, CODE_PYTHON, 1))
+        .when(x.rlike(CODE_BLOCK), F.regexp_extract(x, CODE_BLOCK, 1))
+        .when(x.rlike(CODE_WORDS) & ~x.rlike(r"<[a-z]+>"), x)
         .otherwise(""),
     )
 
@@ -117,16 +129,16 @@ def code_with_fallback(c: Column) -> Column:
 
 
 def code_problems(c: Column) -> Column:
-    """The banned patterns that code holds, joined by ';' ('' if none)."""
-    return F.concat_ws(";", *[F.when(c.rlike(p), F.lit(f"banned_{k}")) for k, p in enumerate(BANNED_CODE)])
+    """What is said of the banned patterns that code holds, joined by '; '."""
+    return F.concat_ws("; ", *[F.when(c.rlike(p), F.lit(said)) for p, said in BANNED_CODE])
 
 
 def has_code_problems(c: Column) -> Column:
-    return c.rlike("|".join(BANNED_CODE))
+    return c.rlike("|".join(p for p, _ in BANNED_CODE))
 
 
 def computes(c: Column) -> Column:
-    return c.rlike(r"def |print\s*\(|return |=")
+    return c.rlike(COMPUTES)
 
 
 def verdict_is_correct(c: Column) -> Column:
@@ -193,6 +205,11 @@ def step_numbers(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"Step (\d+)"), F.lit(1)), lambda x: x.cast("int"))
 
 
+def step_number(c: Column) -> Column:
+    """The number a step states, by the first way of numbering that fits."""
+    return F.coalesce(*[F.when(c.rlike(p), F.regexp_extract(c, p, 1).try_cast("int")) for p in STEP_NUMBERS])
+
+
 def max_step(c: Column) -> Column:
     return F.coalesce(F.array_max(step_numbers(c)), F.lit(0))
 
@@ -220,6 +237,16 @@ def steps_are_valid(c: Column, start: int = 0) -> Column:
     return F.when(F.size(tagged) > 0, each).otherwise(F.coalesce(untagged, F.lit(False)))
 
 
+def unsalvageable(c: Column) -> Column:
+    """Why no first wrong step can be looked for in a response, or null."""
+    steps = F.regexp_extract_all(c, F.lit(r"(?s)<step>.*?</step>"), F.lit(0))
+    inner = F.transform(tagged_steps(c), step_number)
+    return (
+        F.when(~c.contains("<step>"), "no_step_tags_in_response").when(F.size(steps) < 2, "insufficient_steps").when(F.exists(inner, lambda x: x.isNull()), "missing_step_numbers")
+        .when(inner != F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), "non_sequential_step_numbers")
+    )
+
+
 def split_steps(c: Column) -> Column:
     """All tagged steps with their tags; else the parts at the word 'Step', the
     part before the first kept only if it speaks of an analysis or thinking."""

@@ -13,12 +13,12 @@ WEIGHTS = {"solution": 0.20, "programming": 0.15, "finalization": 0.15, "tutor":
 
 def chat_prompt(system: str, problem: Column) -> Column:
     """One prompt; its parts are separated by a backslash and an n, literally."""
-    sep = "\\n"
-    return F.concat(F.lit(f"<system>{sep}{system}{sep}<user>{sep}"), problem, F.lit(f"{sep}<assistant>"))
+    n = "\\n"
+    return F.concat(F.lit(f"<|im_start|>system{n}{system}<|im_end|>{n}<|im_start|>user{n}"), problem, F.lit(f"<|im_end|>{n}<|im_start|>assistant{n}"))
 
 
-def sft_text(problem: Column, solution: Column) -> Column:
-    return F.concat(F.lit("<|user|>\n"), problem, F.lit("<|end|>\n<|assistant|>\n"), solution, F.lit("<|end|>"))
+def sft_text(system: str, problem: Column, solution: Column) -> Column:
+    return F.concat(F.lit(f"<|im_start|>system<|im_sep|>{system}<|im_end|><|im_start|>user<|im_sep|>"), problem, F.lit("<|im_end|><|im_start|>assistant<|im_sep|>"), solution, F.lit("<|im_end|>"))
 
 
 def examples(df: DataFrame, kind: str, system: str) -> DataFrame:
@@ -53,10 +53,27 @@ def oversample(df: DataFrame, times: int) -> DataFrame:
 
 
 def fold_chat(df: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
-    """(key, prompt): the messages of a conversation in order, with their roles,
-    and the assistant's turn opened at the end."""
-    turn = F.struct(F.col(order).alias("o"), F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), F.col(text), F.lit("<|end|>\n")).alias("t"))
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("a")).select(key, F.concat(F.array_join(F.transform("a", lambda x: x["t"]), ""), F.lit("<|assistant|>\n")).alias("prompt"))
+    """(key, prompt): the messages of a conversation in order, with their roles
+    ('human' is 'user'), and the assistant's turn opened at the end. Separators
+    are a backslash and an n, literally, after system and user turns only."""
+    n = "\\n"
+    r = F.when(F.lower(role) == "human", "user").otherwise(F.lower(role))
+    end = F.when(r.isin("system", "user"), F.lit(f"<|im_end|>{n}")).otherwise(F.lit("<|im_end|>"))
+    turn = F.struct(F.col(order).alias("o"), F.concat(F.lit("<|im_start|>"), r, F.lit(n), F.col(text), end).alias("t"))
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("a")).select(key, F.concat(F.array_join(F.transform("a", lambda x: x["t"]), ""), F.lit(f"<|im_start|>assistant{n}")).alias("prompt"))
+
+
+def single_message(df: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
+    """(key, message): the last system and the last human message as one; without
+    a human one the last message of all."""
+
+    def last(cond: Column) -> Column:
+        return F.max_by(F.when(cond, F.col(text)), F.when(cond, F.col(order)))
+
+    r = F.lower(role)
+    per = df.groupBy(key).agg(last(r == "system").alias("s"), last(r.isin("human", "user")).alias("u"), F.max_by(text, order).alias("any"))
+    both = F.concat(F.lit("System instructions:\n"), "s", F.lit("\n\nUser message:\n"), "u")
+    return per.select(key, F.when((F.col("s") != "") & (F.col("u") != ""), both).when(F.col("u") != "", F.col("u")).otherwise(F.col("any")).alias("message"))
 
 
 def tutor_examples(df: DataFrame, echo: str = "Solve the following problem step by step") -> DataFrame:

@@ -99,6 +99,16 @@ def test_driven(df: DataFrame) -> DataFrame:
     return a.groupBy(*KEY).agg(F.count_if("impl_ok").alias("impl_ok"), F.count_if("test_ok").alias("test_ok"), F.count_if(F.col("impl_ok") & F.col("test_ok")).alias("both_ok")).join(best, "id")
 
 
+def step_statistics(found: DataFrame) -> DataFrame:
+    """One row over rows of :func:`steps`: how many wrong steps were found, where
+    on average, and how many solutions were recovered before the end."""
+    w = F.col("wrong_step").isNotNull()
+    return found.agg(
+        F.count("*").alias("problems"), F.count_if(w).alias("wrong_steps_found"), F.round(F.avg(F.when(w, F.try_divide("wrong_step", "total_steps"))), 6).alias("avg_wrong_step_position"),
+        F.count_if(F.col("total_steps") < 2).alias("unsalvageable"), ratio(F.count_if(w & (F.col("wrong_step") > 0)), F.count_if(w)).alias("recovery_rate"), F.round(F.avg("completion_score"), 6).alias("avg_completion_score"),
+    )
+
+
 def steps(df: DataFrame) -> DataFrame:
     """First wrong step of each problem's flags, its place and how much of the
     solution stands before it."""

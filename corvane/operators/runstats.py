@@ -67,12 +67,36 @@ def merge_counts(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(column).alias("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def test_verdicts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, verdict, timeouts, errors) of test functions from their outcomes
+    ('True', 'False', 'Timeout...', 'ERROR...') on cases of which some are the
+    right one (``right_case``): a function has to accept every right case and no
+    wrong one; timeouts and errors on wrong cases are no acceptance, and are told
+    apart where there is nothing else."""
+    right, o = F.col("right_case"), F.col("outcome")
+    verdict = (
+        F.when(F.count_if(right) == 0, "no_correct_case").when(F.count_if(right & (o != "True")) > 0, "rejects_correct").when(F.count_if(~right & (o == "True")) > 0, "accepts_wrong")
+        .when((F.count_if(~right & (o == "False")) == 0) & (F.count_if(~right) > 0), "only_errors").otherwise("ok")
+    )
+    return df.groupBy(*keys).agg(verdict.alias("verdict"), F.count_if(o.startswith("Timeout")).alias("timeouts"), F.count_if(o.startswith("ERROR")).alias("errors"))
+
+
 def transitions(df: DataFrame, before: Column, after: Column) -> DataFrame:
     """One row: improved, worsened, kept_right, kept_wrong; null is false."""
     b, a = F.coalesce(before, F.lit(False)), F.coalesce(after, F.lit(False))
     return df.agg(F.count_if(~b & a).alias("improved"), F.count_if(b & ~a).alias("worsened"), F.count_if(b & a).alias("kept_right"), F.count_if(~b & ~a).alias("kept_wrong"))
 
 
+def quality_change(df: DataFrame, before: str, after: str) -> DataFrame:
+    """One row: how many values there are, their means, and in how many of the
+    rows that have both the later one is larger or smaller."""
+    a, b = F.col(before), F.col(after)
+    return df.agg(
+        F.count(a).alias("n_initial"), F.count(b).alias("n_final"), F.round(F.avg(a), 6).alias("avg_initial"), F.round(F.avg(b), 6).alias("avg_final"),
+        F.count_if(b > a).alias("improved"), F.count_if(b < a).alias("worsened"), F.count_if(a.isNotNull() & b.isNotNull()).alias("pairs"),
+    )
+
+
 def two_models(df: DataFrame, key: str, first: Column, second: Column) -> DataFrame:
     """One row comparing the correct counts of two models per problem."""
     a, b = F.col("a"), F.col("b")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corvane.functions import numeric as N
 from corvane.functions import text as X
 from corvane.operators import mixture as M
 from corvane.operators import ordering as O
@@ -12,8 +13,9 @@ from corvane.operators import pipelines as P
 from corvane.operators import rewards as W
 from corvane.operators import runstats as R
 from corvane.operators import similarity as S
+from corvane.operators import votes as V
 from corvane.plans.registry import ATT, COMPLETIONS, completions, query, tag_sql
-from corvane.plans.text_queries import _CODE, _SPLIT
+from corvane.plans.text_queries import _CODE, _QUOTED, _SPLIT
 from corvane.plans.vote_queries import attempts
 
 _TOTAL = ["run_id", "id", "attempt_number"]
@@ -176,25 +178,64 @@ def running_reward_stats(t):
 
 # ---------------------------------------------------------------- prompts, samples, mixtures
 
+_NUM_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(q, '{p}') THEN TRY_CAST(regexp_extract(q, '{p}', 1) AS INTEGER) END" for p in X.STEP_NUMBERS) + ")"
+
 _SYS = "You are a careful solver."
 
 
-@query("prompt_render", rf"SELECT id, '<system>\n{_SYS}\n<user>\n' || problem || '\n<assistant>' AS prompt, answer, 'solution' AS example_type FROM problems")
+@query("prompt_render", rf"SELECT id, '<|im_start|>system\n{_SYS}<|im_end|>\n<|im_start|>user\n' || problem || '<|im_end|>\n<|im_start|>assistant\n' AS prompt, answer, x.t AS example_type FROM problems, (VALUES ('solution'), ('programming'), ('architect')) AS x(t)")
 def prompt_render(t):
-    return M.examples(t("problems"), "solution", _SYS)
+    p = t("problems")
+    return M.examples(p, "solution", _SYS).unionByName(M.examples(p, "programming", _SYS)).unionByName(M.examples(p, "architect", _SYS))
 
 
-@query("sft_render", "SELECT id, md5('<|user|>' || chr(10) || problem || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) || solution || '<|end|>') AS text_md5 FROM problems")
+@query("sft_render", "SELECT id, md5('<|im_start|>system<|im_sep|>You are a careful solver.<|im_end|><|im_start|>user<|im_sep|>' || problem || '<|im_end|><|im_start|>assistant<|im_sep|>' || solution || '<|im_end|>') AS text_md5 FROM problems")
 def sft_render(t):
-    return t("problems").select("id", F.md5(M.sft_text(F.col("problem"), F.col("solution"))).alias("text_md5"))
+    return t("problems").select("id", F.md5(M.sft_text(_SYS, F.col("problem"), F.col("solution"))).alias("text_md5"))
 
 
-@query("chat_render", f"""WITH {ATT} SELECT id, run_id, md5(string_agg('<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10), '' ORDER BY o) || '<|assistant|>' || chr(10)) AS prompt_md5 FROM (SELECT id, run_id, attempt_number AS o, CASE WHEN attempt_number % 2 = 1 THEN 'user' ELSE 'assistant' END AS r, coalesce(model_answer, '') AS x FROM att) GROUP BY id, run_id""")
+@query("chat_render", rf"""WITH {ATT} SELECT id, run_id, md5(string_agg('<|im_start|>' || r || '\n' || x || '<|im_end|>' || CASE WHEN r = 'user' THEN '\n' ELSE '' END, '' ORDER BY o) || '<|im_start|>assistant\n') AS prompt_md5 FROM (SELECT id, run_id, attempt_number AS o, CASE WHEN attempt_number % 2 = 1 THEN 'user' ELSE 'assistant' END AS r, coalesce(model_answer, '') AS x FROM att) GROUP BY id, run_id""")
 def chat_render(t):
     a = attempts(t).select("id", "run_id", F.struct("id", "run_id").alias("k"), "attempt_number", F.when(F.col("attempt_number") % 2 == 1, "user").otherwise("assistant").alias("r"), F.coalesce("model_answer", F.lit("")).alias("x"))
     return M.fold_chat(a, "k", "attempt_number", "r", "x").select("k.id", "k.run_id", F.md5("prompt").alias("prompt_md5"))
 
 
+@query("chat_single_message", f"""WITH {ATT}, x AS (SELECT id, run_id, attempt_number AS o, CASE WHEN attempt_number = 1 THEN 'system' WHEN attempt_number % 2 = 0 THEN 'human' ELSE 'assistant' END AS r, coalesce(model_answer, '') AS t FROM att), y AS (SELECT id, run_id, arg_max(t, o) FILTER (WHERE r = 'system') AS s, arg_max(t, o) FILTER (WHERE r = 'human') AS u, arg_max(t, o) AS a FROM x GROUP BY id, run_id)
+ SELECT id, run_id, CASE WHEN s <> '' AND u <> '' THEN 'System instructions:' || chr(10) || s || chr(10) || chr(10) || 'User message:' || chr(10) || u WHEN u <> '' THEN u ELSE a END AS message FROM y""")
+def chat_single_message(t):
+    r = F.when(F.col("attempt_number") == 1, "system").when(F.col("attempt_number") % 2 == 0, "human").otherwise("assistant")
+    a = attempts(t).select(F.struct("id", "run_id").alias("k"), "attempt_number", r.alias("r"), F.coalesce("model_answer", F.lit("")).alias("x"))
+    return M.single_message(a, "k", "attempt_number", "r", "x").select("k.id", "k.run_id", "message")
+
+
+@query("reward_kwargs", f"WITH {ATT}, x AS (SELECT id, run_id, list(model_answer ORDER BY attempt_number) AS a, count(*) AS n FROM att GROUP BY id, run_id) SELECT id, run_id, i AS reward_index, coalesce(a[i + 1], '(default)') AS kwarg FROM (SELECT id, run_id, a, CAST(unnest(range(0, n + 2)) AS INTEGER) AS i FROM x)")
+def reward_kwargs(t):
+    """Each completion's argument by position, with a default where the list of
+    arguments is too short or has none."""
+    folded = V.fan_in(attempts(t), ["id", "run_id"], "attempt_number", "model_answer")
+    a = folded.select("id", "run_id", F.transform("attempts", lambda x: x["model_answer"]).alias("a"))
+    return a.select("id", "run_id", "a", F.explode(F.sequence(F.lit(0), F.size("a") + 1)).alias("reward_index")).select("id", "run_id", "reward_index", F.coalesce(F.get("a", F.col("reward_index")), F.lit("(default)")).alias("kwarg"))
+
+
+@query("example_type_counts", f"WITH {COMPLETIONS}, x AS (SELECT CASE WHEN l_partkey % 31 = 0 THEN 'strange' ELSE {_TYPE} END AS e FROM comp) SELECT CASE WHEN e = 'strange' THEN 'unknown' ELSE e END AS example_type, count(*) AS n FROM x GROUP BY 1")
+def example_type_counts(t):
+    e = F.when(F.col("l_partkey") % 31 == 0, "strange").otherwise(F.expr(_TYPE))
+    return completions(t).select(e.alias("e")).groupBy(F.when(F.col("e").isin(*W.TYPES), F.col("e")).otherwise("unknown").alias("example_type")).agg(F.count("*").alias("n"))
+
+
+@query("token_count_stats", "WITH x AS (SELECT length(problem || coalesce(solution, '')) // 4 AS n FROM problems) SELECT CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most, round(avg(n), 6) AS mean, count(*) FILTER (WHERE n > 250) AS over_limit FROM x")
+def token_count_stats(t):
+    n = t("problems").select(X.token_estimate(F.concat("problem", F.coalesce("solution", F.lit("")))).alias("n"))
+    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.count_if(F.col("n") > 250).alias("over_limit"))
+
+
+@query("unsalvageable_reasons", f"""WITH {ATT}, x AS (SELECT model_solution AS s, regexp_extract_all(model_solution, '(?s)<step>(.*?)</step>', 1) AS g FROM att WHERE model_solution IS NOT NULL), y AS (SELECT s, g, list_transform(g, lambda q: {_NUM_SQL}) AS n FROM x)
+ SELECT coalesce(CASE WHEN NOT contains(s, '<step>') THEN 'no_step_tags_in_response' WHEN len(g) < 2 THEN 'insufficient_steps' WHEN len(list_filter(n, lambda q: q IS NULL)) > 0 THEN 'missing_step_numbers' WHEN n <> CAST(range(1, len(g) + 1) AS INTEGER[]) THEN 'non_sequential_step_numbers' END, '(none)') AS reason, count(*) AS n FROM y GROUP BY 1""")
+def unsalvageable_reasons(t):
+    a = attempts(t).where("model_solution is not null")
+    return a.groupBy(F.coalesce(X.unsalvageable(F.col("model_solution")), F.lit("(none)")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("tutor_examples", rf"""WITH {ATT}, x AS (SELECT *, CASE WHEN coalesce(problem, '') = '' THEN 'no problem' WHEN coalesce(model_solution, '') = '' THEN 'no solution' WHEN {tag_sql('model_solution', 'response')} IS NULL THEN 'no response' WHEN contains(model_solution, 'Solve the following problem step by step') THEN 'echo' WHEN is_correct IS NULL THEN 'no flag'
  WHEN NOT is_correct AND coalesce(len(regexp_extract_all(model_answer, '\b[0-9]+\b')), 0) <> 1 THEN 'no wrong step' WHEN NOT is_correct AND length(regexp_extract(model_answer, '\b[0-9]+\b')) > 9 THEN 'no wrong step' WHEN is_correct AND CAST(('0x' || substr(md5(problem), 1, 8)) AS UBIGINT) % 20 <> 0 THEN 'bucket' END AS reason FROM att) SELECT id, run_id, attempt_number, reason, CASE WHEN reason IS NULL THEN 'tutor' ELSE 'solution' END AS example_type FROM x""")
 def tutor_examples(t):
@@ -231,13 +272,33 @@ def oversample(t):
     return M.oversample(t("problems").select("id"), 4)
 
 
-@query("test_matrix", """WITH x AS (SELECT o_orderkey AS id, o_totalprice AS c FROM orders), d AS (SELECT id, c, unnest([0.0, 1.0, -1.0, 1e10, -1e10, c * 0.5, c * 2, -c, c + 1, c - 1]) AS v FROM x) SELECT id, round(v, 4) AS test_case, false AS expected FROM d WHERE abs(v - c) >= 0.01 UNION ALL SELECT id, round(c, 4), true FROM x""")
+_CASES = "[" + ", ".join([str(x) for x in N.EDGES] + [f"c * {x}" for x in N.MULTIPLIERS]) + "]"
+_OFFSETS = "[" + ", ".join(f"c + {x}" for x in N.OFFSETS) + "]"
+
+
+@query("test_matrix", f"""WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 100) / 100.0::DOUBLE ELSE o_totalprice END AS c FROM orders), d AS (SELECT id, c, unnest(list_concat({_CASES}, CASE WHEN abs(c) < 1 THEN {_OFFSETS} ELSE [] END)) AS v FROM x) SELECT id, round(v, 6) AS test_case, false AS expected FROM d WHERE abs(v - c) > 0.01 UNION ALL SELECT id, round(c, 6), true FROM x""")
 def test_matrix(t):
-    c = F.col("c")
+    c = F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 100) / F.lit(100.0)).otherwise(F.col("o_totalprice"))
+    x = t("orders").select(F.col("o_orderkey").alias("id"), c.alias("c"))
+    wrong = x.select("id", F.explode(N.wrong_cases(F.col("c"))).alias("v")).select("id", F.round("v", 6).alias("test_case"), F.lit(False).alias("expected"))
+    return wrong.unionByName(x.select("id", F.round("c", 6).alias("test_case"), F.lit(True).alias("expected")))
+
+
+@query("test_cases_filled")
+def test_cases_filled(t):
+    """The correct answer and fifty wrong ones for each order."""
     x = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("c"))
-    cases = F.array(*[F.lit(v) for v in (0.0, 1.0, -1.0, 1e10, -1e10)], c * 0.5, c * 2, -c, c + 1, c - 1)
-    wrong = x.select("id", "c", F.explode(F.filter(cases, lambda v: (F.abs(v) < float("inf")) & (F.abs(v - c) >= 1e-2))).alias("v")).select("id", F.round("v", 4).alias("test_case"), F.lit(False).alias("expected"))
-    return wrong.unionByName(x.select("id", F.round("c", 4).alias("test_case"), F.lit(True).alias("expected")))
+    return x.select("id", F.posexplode(F.concat(F.array("c"), N.wrong_cases(F.col("c"), 50))).alias("case_no", "test_case"))
+
+
+_OUT = "CASE WHEN l_linenumber = 1 THEN (CASE WHEN l_linestatus = 'O' THEN 'True' ELSE 'False' END) WHEN l_partkey % 7 = 0 THEN 'True' WHEN l_partkey % 5 = 0 THEN 'Timeout' WHEN l_partkey % 11 = 0 THEN 'ERROR: x' ELSE 'False' END"
+
+
+@query("test_function_verdicts", f"""WITH x AS (SELECT l_orderkey AS id, l_linenumber = 1 AS right_case, {_OUT} AS o FROM lineitem) SELECT id, CASE WHEN count(*) FILTER (WHERE right_case) = 0 THEN 'no_correct_case' WHEN count(*) FILTER (WHERE right_case AND o <> 'True') > 0 THEN 'rejects_correct' WHEN count(*) FILTER (WHERE NOT right_case AND o = 'True') > 0 THEN 'accepts_wrong'
+ WHEN count(*) FILTER (WHERE NOT right_case AND o = 'False') = 0 AND count(*) FILTER (WHERE NOT right_case) > 0 THEN 'only_errors' ELSE 'ok' END AS verdict, count(*) FILTER (WHERE o LIKE 'Timeout%') AS timeouts, count(*) FILTER (WHERE o LIKE 'ERROR%') AS errors FROM x GROUP BY id""")
+def test_function_verdicts(t):
+    x = t("lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") == 1).alias("right_case"), F.expr(_OUT).alias("outcome"))
+    return R.test_verdicts(x, ["id"])
 
 
 @query("events_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -279,7 +340,7 @@ def pipeline_standard(t):
     return P.standard(completions(t))
 
 
-_USABLE = rf"usable AS (SELECT * FROM (SELECT *, {_CODE} AS code FROM comp) WHERE code <> '' AND NOT regexp_matches(code, 'import\s+requests|import\s+urllib|open\s*\(|os\.system|subprocess|eval\s*\(|exec\s*\(') AND regexp_matches(code, 'def |print\s*\(|return |='))"
+_USABLE = rf"usable AS (SELECT * FROM (SELECT *, {_CODE} AS code FROM comp) WHERE code <> '' AND NOT regexp_matches(code, '{"|".join(p for p, _ in _QUOTED)}') AND regexp_matches(code, '{X.COMPUTES}'))"
 
 
 @query("pipeline_programming", f"""WITH {COMPLETIONS}, {_CNT}, {_USABLE}, per AS (SELECT id, value AS v, count(*) AS c, min(n) AS f FROM usable GROUP BY 1, 2), sc AS (SELECT a.id, a.v, a.f, a.c * CAST(sum(b.c) AS BIGINT) AS score FROM per a JOIN per b ON a.id = b.id AND abs(a.v - b.v) <= 0.01 GROUP BY a.id, a.v, a.f, a.c),
@@ -332,3 +393,10 @@ def pipeline_tdd(t):
  SELECT id, CAST(c AS INTEGER) AS total_steps, CAST(i AS INTEGER) AS wrong_step, CASE WHEN i IS NULL THEN NULL WHEN c <= 2 THEN 'short_solution' WHEN i = 0 THEN 'beginning' WHEN i = c - 1 THEN 'end' WHEN i < c / 3.0 THEN 'early' WHEN i < 2 * c / 3.0 THEN 'middle' ELSE 'late' END AS position_category, round(i * 1.0 / c, 6) AS completion_score FROM z""")
 def pipeline_step(t):
     return P.steps(completions(t))
+
+
+@query("wrong_step_stats", f"""WITH {COMPLETIONS}, x AS (SELECT id, n - 1 AS i, is_correct OR verified AS ok, count(*) OVER (PARTITION BY id) AS c FROM comp), y AS (SELECT id, c, bool_or(ok AND i = c // 2) AS mid, min(i) FILTER (WHERE NOT ok AND i >= c // 2) AS up, max(i) FILTER (WHERE ok AND i < c // 2) AS down FROM x GROUP BY id, c),
+ z AS (SELECT id, c, CASE WHEN c < 2 THEN NULL WHEN mid THEN up ELSE coalesce(down + 1, 0) END AS i FROM y)
+ SELECT count(*) AS problems, count(i) AS wrong_steps_found, round(avg(i * 1.0 / c), 6) AS avg_wrong_step_position, count(*) FILTER (WHERE c < 2) AS unsalvageable, round(100.0 * count(*) FILTER (WHERE i > 0) / count(i), 6) AS recovery_rate, round(avg(i * 1.0 / c), 6) AS avg_completion_score FROM z""")
+def wrong_step_stats(t):
+    return P.step_statistics(P.steps(completions(t)))

@@ -195,9 +195,9 @@ def thinking_length_stats(t):
     return a.groupBy("run_id").agg(mean(n).alias("avg_all"), mean(F.when(F.col("is_correct"), n)).alias("avg_correct"), mean(F.when(~F.col("is_correct"), n)).alias("avg_incorrect"))
 
 
-_PY, _FENCE = r"(?s)```python\s*\n(.*?)```", r"(?s)```\s*\n(.*?)```"
-_CODE = rf"""CASE WHEN {strip_sql('completion')} = '' THEN '' WHEN regexp_matches(completion, '{_PY}') THEN {strip_sql(f"regexp_extract(completion, '{_PY}', 1)")} WHEN regexp_matches(completion, '{_FENCE}') THEN {strip_sql(f"regexp_extract(completion, '{_FENCE}', 1)")}
- WHEN regexp_matches(completion, '\b(?:def|import|for|while|print|return|if)\b') AND NOT regexp_matches(completion, '<[a-z]+>') THEN {strip_sql('completion')} ELSE '' END"""
+_PY, _FENCE = X.CODE_PYTHON, X.CODE_BLOCK
+_CODE = rf"""CASE WHEN {strip_sql('completion')} = '' THEN '' WHEN regexp_matches(completion, '{_PY}') THEN regexp_extract(completion, '{_PY}', 1) WHEN regexp_matches(completion, '{_FENCE}') THEN regexp_extract(completion, '{_FENCE}', 1)
+ WHEN regexp_matches(completion, '{X.CODE_WORDS}') AND NOT regexp_matches(completion, '<[a-z]+>') THEN completion ELSE '' END"""
 
 
 @query("code_extract", f"WITH {COMPLETIONS} SELECT id, n, {_CODE} AS code FROM comp")
@@ -205,10 +205,11 @@ def code_extract(t):
     return completions(t).select("id", "n", X.code(F.col("completion")).alias("code"))
 
 
-_BANNED = ", ".join(f"CASE WHEN regexp_matches(code, '{p}') THEN 'banned_{k}' END" for k, p in enumerate(X.BANNED_CODE))
+_QUOTED = [(p.replace("'", "''"), said) for p, said in X.BANNED_CODE]
+_BANNED = ", ".join(f"CASE WHEN regexp_matches(code, '{p}') THEN '{said}' END" for p, said in _QUOTED)
 
 
-@query("code_quality_patterns", rf"WITH {COMPLETIONS}, x AS (SELECT id, n, {_CODE} AS code FROM comp) SELECT id, n, concat_ws(';', {_BANNED}) AS problems, regexp_matches(code, 'def |print\s*\(|return |=') AS computes FROM x")
+@query("code_quality_patterns", rf"WITH {COMPLETIONS}, x AS (SELECT id, n, {_CODE} AS code FROM comp) SELECT id, n, concat_ws('; ', {_BANNED}) AS problems, regexp_matches(code, '{X.COMPUTES}') AS computes FROM x")
 def code_quality_patterns(t):
     c = completions(t).select("id", "n", X.code(F.col("completion")).alias("code"))
     return c.select("id", "n", X.code_problems(F.col("code")).alias("problems"), X.computes(F.col("code")).alias("computes"))

@@ -8,7 +8,7 @@ from corvane.functions import numeric as N
 from corvane.functions import text as X
 from corvane.operators import runstats as R
 from corvane.operators import votes as V
-from corvane.plans.registry import ATT, COMPLETIONS, KEYS, STATS, VOTES, completions, number_sql, query
+from corvane.plans.registry import ATT, COMPLETIONS, KEYS, STATS, VOTES, answer_sql, completions, number_sql, query
 
 
 def attempts(t):
@@ -125,6 +125,29 @@ def improvement_flags(t):
     return R.transitions(per, F.col("b"), F.col("a"))
 
 
+_HALF = "per1 AS (SELECT id, run_id, model_answer, count(*) AS c, min(attempt_number) AS f FROM att WHERE model_answer IS NOT NULL AND attempt_number <= total_attempts // 2 GROUP BY id, run_id, model_answer), v1 AS (SELECT id, run_id, model_answer AS a1 FROM (SELECT *, row_number() OVER (PARTITION BY id, run_id ORDER BY c DESC, f) AS r FROM per1) WHERE r = 1)"
+
+
+@query("majority_improvement", f"""{_PRE}, {_HALF}, x AS (SELECT a.id, a.run_id, max(correct_answer) AS want, max(majority_answer) AS fin, max(a1) AS ini FROM att a LEFT JOIN votes v ON a.id = v.id AND a.run_id = v.run_id LEFT JOIN v1 ON a.id = v1.id AND a.run_id = v1.run_id GROUP BY a.id, a.run_id)
+ SELECT count(*) FILTER (WHERE coalesce(fin = want, false) AND NOT coalesce(ini = want, false)) AS improved, count(*) FILTER (WHERE NOT coalesce(fin = want, false) AND coalesce(ini = want, false)) AS worsened, count(*) FILTER (WHERE coalesce(fin = want, false) AND coalesce(ini = want, false)) AS kept_right, count(*) FILTER (WHERE NOT coalesce(fin = want, false) AND NOT coalesce(ini = want, false)) AS kept_wrong FROM x""")
+def majority_improvement(t):
+    """The vote of the first half of the attempts against that of all."""
+    a = attempts(t)
+    ini = V.majority(a.where("attempt_number <= total_attempts div 2"), KEYS, "model_answer", "attempt_number").select(*KEYS, F.col("majority_answer").alias("ini"))
+    fin = _votes(a).select(*KEYS, F.col("majority_answer").alias("fin"))
+    x = a.groupBy(*KEYS).agg(F.max("correct_answer").alias("want")).join(fin, KEYS, "left").join(ini, KEYS, "left")
+    return R.transitions(x, F.col("ini") == F.col("want"), F.col("fin") == F.col("want"))
+
+
+@query("quality_change", f"""WITH {COMPLETIONS}, x AS (SELECT id, abs(sum(value - 25) FILTER (WHERE n = 1)) AS a, abs(sum(value - 25) FILTER (WHERE n = 2)) AS b FROM comp GROUP BY id)
+ SELECT count(a) AS n_initial, count(b) AS n_final, round(avg(a), 6) AS avg_initial, round(avg(b), 6) AS avg_final, count(*) FILTER (WHERE b > a) AS improved, count(*) FILTER (WHERE b < a) AS worsened, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS pairs FROM x""")
+def quality_change(t):
+    """Sizes of a quality value before and after, over the pairs that have both."""
+    v = F.col("value") - 25
+    x = completions(t).groupBy("id").agg(F.abs(F.sum(F.when(F.col("n") == 1, v))).alias("a"), F.abs(F.sum(F.when(F.col("n") == 2, v))).alias("b"))
+    return R.quality_change(x, "a", "b")
+
+
 @query("two_model_comparison", f"""WITH {COMPLETIONS}, per AS (SELECT id, count(*) FILTER (WHERE is_correct AND l_linestatus = 'O') AS a, count(*) FILTER (WHERE is_correct AND l_linestatus <> 'O') AS b FROM comp GROUP BY id)
  SELECT count(*) AS problems, CAST(sum(a) AS BIGINT) AS first_correct, CAST(sum(b) AS BIGINT) AS second_correct, count(*) FILTER (WHERE a > 0 AND b > 0) AS "both", count(*) FILTER (WHERE a = 0 AND b = 0) AS neither, count(*) FILTER (WHERE (a > 0) <> (b > 0)) AS disagree,
  count(*) FILTER (WHERE a > 0 AND b = 0) AS first_better, count(*) FILTER (WHERE a = 0 AND b > 0) AS second_better, round(coalesce(100.0 * count(*) FILTER (WHERE a > 0 AND b = 0) / nullif(count(*) FILTER (WHERE (a > 0) <> (b > 0)), 0), 0), 6) AS first_win_rate FROM per""")
@@ -197,6 +220,13 @@ def verify_answers(t):
     return attempts(t).select("id", "run_id", "attempt_number", N.same_answer(F.col("model_answer"), F.col("correct_answer")).alias("verified"))
 
 
+@query("verify_solutions", f"""WITH {ATT}, s AS (SELECT id, run_id, attempt_number, correct_answer, {answer_sql("model_solution")} AS stated FROM att), m AS ({number_sql("stated", "s")}), m1 AS (SELECT * RENAME (v AS sv) FROM m), c AS ({number_sql("correct_answer", "m1")})
+ SELECT id, run_id, attempt_number, coalesce(abs(sv - v) <= 0.01, false) AS ok, stated FROM c""")
+def verify_solutions(t):
+    a = attempts(t).select("id", "run_id", "attempt_number", N.verify(F.col("model_solution"), F.col("correct_answer")).alias("r"))
+    return a.select("id", "run_id", "attempt_number", "r.ok", "r.stated")
+
+
 @query("success_rates", f"WITH {ATT} SELECT id, count(*) AS total, count(*) FILTER (WHERE is_correct) AS correct, count(*) FILTER (WHERE NOT is_correct) AS incorrect, count(*) FILTER (WHERE is_correct IS NULL) AS unknown, count(*) FILTER (WHERE is_correct) = count(*) AS all_correct, round(100.0 * count(*) FILTER (WHERE is_correct) / count(*), 6) AS success_rate FROM att GROUP BY id")
 def success_rates(t):
     return V.success(attempts(t), ["id"]).withColumn("success_rate", F.round("success_rate", 6))
