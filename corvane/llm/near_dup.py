@@ -145,48 +145,78 @@ def _to_anchors(reps: DataFrame, bands: int, width: int, band_threshold: int, sa
     return reps.mapInArrow(run, f"key {'bigint' if extra else 'int'}, salt int, id bigint, {cols}")
 
 
-def _compare(anchored: DataFrame, bands: int, width: int, limit: int, block: int = 1 << 20) -> DataFrame:
+CROWD, DENSE = 256, 4  # members; links a member
+
+
+def _distance(fps: np.ndarray, i, j) -> np.ndarray:
+    """Bits in which fingerprints ``i`` and ``j`` (broadcast) differ."""
+    return sum(np.bitwise_count(fps[i, k] ^ fps[j, k]).astype(np.int16) for k in range(fps.shape[1]))
+
+
+def _all_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int) -> list[np.ndarray] | None:
+    """Every link (a, b, distance) of a home with a member; None if they are
+    more than ``DENSE`` for each member."""
+    d = _distance(fps, np.arange(homes)[:, None], np.arange(len(ids))[None, :])
+    x, y = np.nonzero(d <= limit)
+    if len(x) - homes > DENSE * len(ids):
+        return None
+    keep = (ids[x] < ids[y]) | ((ids[x] > ids[y]) & (y >= homes))
+    x, y = x[keep], y[keep]
+    return [np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), d[x, y].astype(np.int64)])]
+
+
+def _crowd_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int, sure: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(links, ids that follow a leader) of a crowd at one anchor: enough links
+    for its connected parts, never all pairs.
+
+    A home is linked to one member of each part it is not yet in; links that
+    are sure join parts. Members of its part within half the limit follow it:
+    whatever lies within the limit of a follower lies within one and a half of
+    the leader, so followers are compared with that rim alone."""
+    n, radius = len(ids), limit // 2
+    part, follows = np.arange(n), np.zeros(n, bool)
+    everyone = np.arange(n)
+    out = []
+
+    def link(i: int, near: np.ndarray, d: np.ndarray) -> None:
+        for chosen, joins in ((d <= sure, True), (d > sure, False)):
+            y, dy = near[chosen], d[chosen]
+            apart = part[y] != part[i]
+            if apart.any():
+                y, dy = y[apart], dy[apart]
+                parts, first = np.unique(part[y], return_index=True)
+                y, dy = y[first], dy[first]
+                out.append(np.stack([np.minimum(ids[i], ids[y]), np.maximum(ids[i], ids[y]), dy.astype(np.int64)]))
+                if joins:
+                    part[np.isin(part, parts)] = part[i]
+
+    for i in range(homes):
+        if follows[i]:
+            continue
+        d = _distance(fps, i, everyone)
+        near = np.flatnonzero(d <= limit)
+        link(i, near, d[near])
+        own = part == part[i]
+        members = np.flatnonzero((d <= radius) & own & ~follows)
+        members = members[members != i]
+        rim = np.flatnonzero((d <= limit + radius) & ~own)
+        if len(rim):
+            for a in members[members < homes]:
+                da = _distance(fps, a, rim)
+                if (at := np.flatnonzero(da <= limit)).size:
+                    link(a, rim[at], da[at])
+        follows[members] = True
+    return out, ids[follows]
+
+
+def _compare(anchored: DataFrame, bands: int, width: int, limit: int, sure: int) -> DataFrame:
     """Links (a < b, distance) of homes with all others at their anchor. Rows
-    come sorted by anchor, homes first; a block of homes meets the members in
-    blocks. In a crowd, a member is linked to its first home within half the
-    limit and to all within the limit beyond that, so that near copies yield a
-    star, not all their pairs. For salted bins, the members that found such a
-    home are given as well: (anchor, id, -1)."""
+    come sorted by anchor, homes first. A crowd (more than CROWD members, or more
+    than DENSE links for each) gives no more links than its
+    connected parts need; for salted bins, the members that follow a leader
+    are given as well: (anchor, id, -1)."""
     _, words = _packing(bands, width)
 
-    def anchor_links(ids, fps, homes):
-        out = []
-        step = max(1, block // max(1, len(ids)))
-        hub = np.full(len(ids), -1, np.int64)
-        for lo in range(0, homes, step):
-            h = np.arange(lo, min(homes, lo + step))
-            h = h[hub[h] < 0] if len(ids) > 256 else h
-            if not len(h):
-                continue
-            dist = np.zeros((len(h), len(ids)), np.uint16)
-            for j in range(words):
-                dist += np.bitwise_count(fps[h, j][:, None] ^ fps[None, :, j])
-            x, y = np.nonzero(dist <= limit)
-            keep = (ids[h[x]] < ids[y]) | ((ids[h[x]] > ids[y]) & (y >= homes))
-            x, y = x[keep], y[keep]
-            if len(ids) > 256 and len(x):
-                close = dist[x, y] * 2 <= limit
-                order = np.lexsort((x, y))
-                x, y, close = x[order], y[order], close[order]
-                seen = np.zeros(len(ids), bool)
-                first_close = np.zeros(len(x), bool)
-                at = np.flatnonzero(close)
-                _, f = np.unique(y[at], return_index=True)
-                first_close[at[f]] = True
-                seen = hub[y] >= 0
-                use = ~close | (first_close & ~seen)
-                newly = close & first_close & ~seen
-                hub[y[newly]] = h[x[newly]]
-                x, y = x[use], y[use]
-            a, b = ids[h[x]], ids[y]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), dist[x, y].astype(np.int64)]))
-        return out, ids[hub >= 0]
-
     def run(batches):
         held: list[list[np.ndarray]] = []
 
@@ -197,7 +227,9 @@ def _compare(anchored: DataFrame, bands: int, width: int, limit: int, block: int
             for s, e in zip(cut, np.append(cut[1:], len(group))):
                 homes = int(home[s:e].sum())
                 if homes and e - s > 1:
-                    links, held_by = anchor_links(ids[s:e], rows[3][s:e], homes)
+                    links, held_by = _all_links(ids[s:e], rows[3][s:e], homes, limit) if e - s <= CROWD else None, ids[:0]
+                    if links is None:
+                        links, held_by = _crowd_links(ids[s:e], rows[3][s:e], homes, limit, sure)
                     found += links
                     if group[s] & _SALTS and len(held_by):
                         found.append(np.stack([np.full(len(held_by), group[s] >> 32), held_by, np.full(len(held_by), -1)]))
@@ -227,25 +259,25 @@ def _compare(anchored: DataFrame, bands: int, width: int, limit: int, block: int
     return sorted_rows.mapInArrow(run, "a bigint, b bigint, d int")
 
 
-def _close_pairs(reps: DataFrame, bands: int, width: int, band_threshold: int, limit: int, bin_rows: int) -> DataFrame:
+def _close_pairs(reps: DataFrame, bands: int, width: int, band_threshold: int, limit: int, sure: int, bin_rows: int) -> DataFrame:
     """(a, b, d) of texts that meet at an anchor within ``limit``.
 
     An anchor holds a text once, so none can exceed ``bin_rows`` if the texts
     don't. Otherwise anchors are counted (their number is fixed by the code),
-    those above are compared in salted bins, and what found no close home there
-    is compared once more over all bins of its anchor."""
+    those above are compared in salted bins, and what follows no leader there is
+    compared once more over all bins of its anchor."""
     if reps.count() <= bin_rows:
-        return _compare(_to_anchors(reps, bands, width, band_threshold), bands, width, limit)
+        return _compare(_to_anchors(reps, bands, width, band_threshold), bands, width, limit, sure)
     sizes = _to_anchors(reps, bands, width, band_threshold).groupBy(F.expr("shiftright(key, 1)").alias("anchor")).count().where(F.col("count") > bin_rows).collect()
     salts = {r["anchor"]: -(-r["count"] // bin_rows) for r in sizes}
     anchored = _to_anchors(reps, bands, width, band_threshold, salts)
-    first = materialise(_compare(anchored, bands, width, limit), "bins")
+    first = materialise(_compare(anchored, bands, width, limit, sure), "bins")
     links = first.where("d >= 0")
     if not salts:
         return links
     placed = first.where("d < 0").select(F.col("a").alias("anchor"), F.col("b").alias("id"))
     rest = anchored.where("salt >= 0").withColumn("anchor", F.expr("shiftright(key, 1)")).join(placed, ["anchor", "id"], "left_anti").drop("anchor").withColumn("salt", F.lit(-1)).select(*anchored.columns)
-    return links.unionByName(_compare(rest, bands, width, limit))
+    return links.unionByName(_compare(rest, bands, width, limit, sure))
 
 
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -295,7 +327,9 @@ def near_duplicate_groups(
     linked to. ``text_cols`` are compared together, null counting as empty.
 
     Links of fingerprint distance up to ``sure`` are taken, those between
-    ``sure`` and ``limit`` are settled by the exact similarity. Records without
+    ``sure`` and ``limit`` are settled by the exact similarity. In crowds of
+    near copies only the links that their connected parts need are made, and
+    ``n_links`` counts those. Records without
     any word have no class: their ids stand for themselves. A null id is
     dropped; repeated ids count once; other columns are ignored. An empty table
     gives an empty result.
@@ -309,9 +343,14 @@ def near_duplicate_groups(
     marks = materialise(_fingerprints(texts, bands, width), "marks")
     fps = [f"f{k}" for k in range(bands)]
     reps = materialise(marks.where("n > 0").groupBy("content", *fps).agg(F.min("id").alias("id")).select("id", *fps), "reps")
-    close = _close_pairs(reps, bands, width, band_threshold, limit, bin_rows)
+    close = _close_pairs(reps, bands, width, band_threshold, limit, sure, bin_rows)
     pairs = materialise(close.groupBy("a", "b").agg(F.min("d").alias("d")).where("a <> b"), "pairs")
-    unsure = exact_similarity(pairs.where(F.col("d") > sure).select("a", "b"), texts).where(F.col("similarity") >= similarity)
+    doubtful = pairs.where(F.col("d") > sure).select("a", "b")
+    if doubtful.count() > reps.count():  # crowds: only what could join parts is worth an exact look
+        part = materialise(connected_components(pairs.where(F.col("d") <= sure).select("a", "b")), "parts")
+        sides = doubtful.join(part.select(F.col("id").alias("a"), F.col("component").alias("_pa")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("component").alias("_pb")), "b", "left")
+        doubtful = sides.where("coalesce(_pa, a) <> coalesce(_pb, b)").select("a", "b")
+    unsure = exact_similarity(doubtful, texts).where(F.col("similarity") >= similarity)
     links = materialise(pairs.where(F.col("d") <= sure).select("a", "b").unionByName(unsure.select("a", "b")), "links")
     comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
