@@ -145,18 +145,28 @@ def _to_anchors(reps: DataFrame, bands: int, width: int, band_threshold: int, sa
     return reps.mapInArrow(run, f"key {'bigint' if extra else 'int'}, salt int, id bigint, {cols}")
 
 
-CROWD, DENSE = 256, 4  # members; links a member
+CROWD, DENSE = 4096, 4  # members; links a member
 
 
 def _distance(fps: np.ndarray, i, j) -> np.ndarray:
     """Bits in which fingerprints ``i`` and ``j`` (broadcast) differ."""
-    return sum(np.bitwise_count(fps[i, k] ^ fps[j, k]).astype(np.int16) for k in range(fps.shape[1]))
+    words = fps.shape[1]
+    d = np.bitwise_count(fps[i, 0] ^ fps[j, 0])
+    if words > 3:
+        d = d.astype(np.uint16)
+    for k in range(1, words):
+        d += np.bitwise_count(fps[i, k] ^ fps[j, k])
+    return d
 
 
 def _all_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int) -> list[np.ndarray] | None:
     """Every link (a, b, distance) of a home with a member; None if they are
     more than ``DENSE`` for each member."""
-    d = _distance(fps, np.arange(homes)[:, None], np.arange(len(ids))[None, :])
+    d = np.bitwise_count(fps[:homes, 0][:, None] ^ fps[:, 0][None, :])
+    if fps.shape[1] > 3:
+        d = d.astype(np.uint16)
+    for k in range(1, fps.shape[1]):
+        d += np.bitwise_count(fps[:homes, k][:, None] ^ fps[:, k][None, :])
     x, y = np.nonzero(d <= limit)
     if len(x) - homes > DENSE * len(ids):
         return None
@@ -199,7 +209,7 @@ def _crowd_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int, sure:
         own = part == part[i]
         members = np.flatnonzero((d <= radius) & own & ~follows)
         members = members[members != i]
-        rim = np.flatnonzero((d <= limit + radius) & ~own)
+        rim = np.flatnonzero((d <= limit + radius) & ~own) if len(members) else members
         if len(rim):
             for a in members[members < homes]:
                 da = _distance(fps, a, rim)
