@@ -18,7 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     global _local_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path.rstrip("/")
+        if "://" in path:
+            return path.rstrip("/")
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)  # in the file system that the cluster means
+        return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="corvane-")
         atexit.register(shutil.rmtree, _local_dir, True)
