@@ -150,7 +150,7 @@ def kind_of(text: str, common: set[str], han_common: re.Pattern) -> tuple[str, s
         share = sum(map(len, han_common.findall(plain))) / len(han)
     else:
         share = sum(w in common for w in words) / max(1, len(words))
-    long_tok = sum(len(t) for t in alltoks if _ENCODED.fullmatch(t))
+    long_tok = sum(len(t) for t in alltoks if len(t) >= 28 and _ENCODED.fullmatch(t))
     if long_tok > 0.5 * solid:
         return "junk", "encoded"
     rows = any(_TABLE.search(x) for x in lines[:3])
