@@ -1,9 +1,9 @@
 """Problem 4: evaluation records that stand, exactly or almost, in training.
 
-Evaluation texts are cut into passages of a few normalised words. The rarest
-passages of each text go, in shards of bounded size, into Aho-Corasick
-automata; every training text is scanned whole by every shard. Matched
-intervals are merged into a coverage of each evaluation text, and pairs with
+Evaluation texts are cut into passages of a few normalised words. All passages
+go, in shards of whole evaluation texts of bounded size, into Aho-Corasick
+automata; every training text is scanned whole by every shard. The length of
+matched passages gives the coverage of each evaluation text, and pairs with
 enough of it are settled by the exact similarity of the texts. Texts with the
 same words are one text throughout and come apart again only in the result.
 """
@@ -14,11 +14,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise
-from corvane.llm.near_dup import exact_similarity, fingerprint_batch
+from corvane.llm.common import chunks, materialise, shared_dir, shingles, word_hashes
+from corvane.llm.near_dup import fingerprint_batch
 
 _ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(128)) + bytes(range(128, 256))
 #: Separators outside ASCII, in UTF-8: U+00A0-00BF, U+2000-206F, U+3000-303F, U+FF00-FFEF
@@ -70,21 +70,66 @@ def _content(df: DataFrame) -> DataFrame:
 
 
 def _cut(reps: DataFrame) -> DataFrame:
+    """(content, text, passages) of evaluation texts, all passages in order."""
+
     def run(batches):
         for b in batches:
-            ids, starts, ends, texts = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for s, e, p in passages(normalise(t)):
-                    ids.append(i)
-                    starts.append(s)
-                    ends.append(e)
-                    texts.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.binary())], ["eval_id", "start_at", "end_at", "passage"])
+            cut = [[p for _, _, p in passages(normalise(t))] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.list_(pa.binary()))], ["content", "text", "passages"])
+
+    return reps.select("content", "text").mapInArrow(run, "content bigint, text string, passages array<binary>")
 
-    return reps.select("id", "text").mapInArrow(run, "eval_id bigint, start_at int, end_at int, passage binary")
 
+def _shingle_arrays(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct shingles of each text, as :func:`jaccard` compares them."""
+    out: list[np.ndarray] = []
+    for _, part in chunks(texts):
+        w, d, num = word_hashes(part)
+        sd, sh = shingles(w, d, num, len(part)) if len(w) else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        out += np.split(sh, np.cumsum(np.bincount(sd, minlength=len(part)))[:-1])
+    return out
+
+
+class _Shard:
+    """Evaluation texts, the automaton of all their passages, and by passage the
+    texts that hold it (once for each time it stands there)."""
+
+    def __init__(self, contents: np.ndarray, texts: pa.Array, cut: list[list[bytes]], least_coverage: float):
+        import ahocorasick
 
-def _read_shard(path: str, shard: int) -> list[tuple[bytes, int]]:
+        self.contents, self.texts = contents, _shingle_arrays(texts)
+        self.n = np.array([len(x) for x in self.texts])
+        self.sets: dict[int, frozenset] = {}
+        number: dict[bytes, int] = {}
+        key = np.array([number.setdefault(p, len(number)) for ps in cut for p in ps], np.int64)
+        at = np.repeat(np.arange(len(cut)), [len(ps) for ps in cut])
+        self.holders = at[np.argsort(key, kind="stable")]
+        self.count = np.bincount(key, minlength=len(number))
+        self.start = np.cumsum(self.count) - self.count
+        self.size = np.array([len(p) for p in number], np.float64)
+        self.least = least_coverage * np.bincount(at, self.size[key], len(cut))
+        self.automaton = ahocorasick.Automaton()
+        for p, k in number.items():
+            self.automaton.add_word(p.decode("latin-1"), k)
+        self.automaton.make_automaton()
+
+    def near(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, evaluation text) with enough of the evaluation text covered."""
+        keys = [list({k for _, k in self.automaton.iter(t)}) for t in texts]
+        flat = np.fromiter((k for ks in keys for k in ks), np.int64)
+        count = self.count[flat]
+        rows = np.repeat(self.start[flat] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        owner = np.repeat(np.repeat(np.arange(len(keys)), [len(ks) for ks in keys]), count)
+        covered = np.bincount(owner * len(self.n) + self.holders[rows], np.repeat(self.size[flat], count), len(keys) * len(self.n))
+        return np.nonzero(covered.reshape(len(keys), -1) >= self.least)
+
+    def shingle_set(self, k: int) -> frozenset:
+        if k not in self.sets:
+            self.sets[k] = frozenset(self.texts[k].tolist())
+        return self.sets[k]
+
+
+def _read_shard(path: str, shard: int, least_coverage: float) -> _Shard | None:
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
@@ -94,101 +139,97 @@ def _read_shard(path: str, shard: int) -> list[tuple[bytes, int]]:
     try:
         infos = system.get_file_info(fs.FileSelector(f"{base}/shard={shard}"))
     except FileNotFoundError:
-        return []
-    out: list[tuple[bytes, int]] = []
-    for f in sorted(i.path for i in infos if i.path.endswith(".parquet")):
-        t = pq.ParquetFile(system.open_input_file(f)).read(["passage", "key"])
-        out += zip(t.column("passage").to_pylist(), t.column("key").to_pylist())
-    return out
+        return None
+    files = sorted(i.path for i in infos if i.path.endswith(".parquet"))
+    if not files:
+        return None
+    t = pa.concat_tables(pq.ParquetFile(system.open_input_file(f)).read(["content", "text", "passages"]) for f in files).combine_chunks()
+    return _Shard(t.column("content").to_numpy(), pa.concat_arrays(t.column("text").chunks), t.column("passages").to_pylist(), least_coverage)
+
+
+BLOCK = 32  # training texts compared with a shard at a time
 
 
-def _scan(train: DataFrame, path: str, shards: int) -> DataFrame:
-    """(train_id, key) of the passages that stand in each training text. A task
+def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_coverage: float) -> DataFrame:
+    """(ct, ce): contents of training and evaluation texts that are near. A task
     reads its texts once, as one list of normalised texts, and lets one shard
-    after the other run over them, so it holds one automaton at a time."""
+    after the other run over them, so it holds one automaton at a time. A shard
+    holds whole evaluation texts, so their coverage is known where it is found,
+    and the exact similarity is taken there too."""
 
     def run(batches):
-        import ahocorasick
-
-        ids, texts = [], []
+        contents: list[int] = []
+        texts: list[str] = []
+        words: list[np.ndarray] = []
 
         def found():
-            for shard in range(shards):
-                pats = _read_shard(path, shard)
-                if not pats:
+            n = np.array([len(x) for x in words])
+            for k in range(shards):
+                shard = _read_shard(path, k, least_coverage)
+                if shard is None:
                     continue
-                auto = ahocorasick.Automaton()
-                for p, key in pats:
-                    auto.add_word(p.decode("latin-1"), key)
-                auto.make_automaton()
-                hit_ids, hit_keys = [], []
-                for i, t in zip(ids, texts):
-                    keys = {key for _, key in auto.iter(t)}
-                    hit_ids += [i] * len(keys)
-                    hit_keys += keys
-                del auto
-                yield pa.RecordBatch.from_arrays([pa.array(hit_ids, pa.int64()), pa.array(hit_keys, pa.int64())], ["train_id", "key"])
+                ct, ce = [], []
+                for lo in range(0, len(texts), BLOCK):
+                    x, y = shard.near(texts[lo : lo + BLOCK])
+                    x = x + lo
+                    small, large = np.minimum(n[x], shard.n[y]), np.maximum(n[x], shard.n[y])
+                    may = small >= similarity * large - 1e-6
+                    last, own = -1, frozenset()
+                    for i, j in zip(x[may].tolist(), y[may].tolist()):
+                        if i != last:
+                            last, own = i, frozenset(words[i].tolist())
+                        common = len(own & shard.shingle_set(j))
+                        if common / max(1, n[i] + shard.n[j] - common) >= similarity:
+                            ct.append(contents[i])
+                            ce.append(int(shard.contents[j]))
+                del shard
+                yield pa.RecordBatch.from_arrays([pa.array(ct, pa.int64()), pa.array(ce, pa.int64())], ["ct", "ce"])
 
         size = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = normalise(t).decode("latin-1")
-                ids.append(i)
-                texts.append(n)
-                size += len(n)
-                if size > 1 << 26:  # texts held at a time
-                    yield from found()
-                    ids, texts, size = [], [], 0
-        if ids:
+            words += _shingle_arrays(b.column(1))
+            contents += b.column(0).to_pylist()
+            new = [normalise(t).decode("latin-1") for t in b.column(1).to_pylist()]
+            texts += new
+            size += sum(map(len, new))
+            if size > 1 << 26:  # texts held at a time
+                yield from found()
+                contents, texts, words, size = [], [], [], 0
+        if contents:
             yield from found()
 
-    return train.select("id", "text").mapInArrow(run, "train_id bigint, key bigint")
+    return train.select("content", "text").mapInArrow(run, "ct bigint, ce bigint")
 
 
 def cross_split_pairs(
-    df: DataFrame, id_col: str = "id", text: str = "problem", split: str = "split_name", train: str = "train", similarity: float = 0.55, seeds: int = 8, least_coverage: float = 0.2, shard_passages: int = 100_000, max_broadcast_ids: int = 100_000
+    df: DataFrame, id_col: str = "id", text: str = "problem", split: str = "split_name", train: str = "train", similarity: float = 0.55, least_coverage: float = 0.2, shard_passages: int = 100_000, max_broadcast_ids: int = 100_000
 ) -> DataFrame:
     """(train_id, eval_id): pairs of a training and an evaluation record whose
     texts are the same, exactly or up to small edits.
 
     Every row whose split is not ``train`` (null included) is an evaluation
-    record. Of each evaluation text the ``seeds`` passages that the fewest
-    evaluation texts hold are searched; a pair needs ``least_coverage`` of
-    their length in the training text, and then the ``similarity`` of the whole
-    texts. A text of fewer passages is searched with all. Null, empty and
+    record. All passages of each evaluation text are searched; a pair needs
+    ``least_coverage`` of their length in the training text, and then the
+    ``similarity`` of the whole texts. Null, empty and
     wordless texts have no partner; a null id is dropped; repeated ids count
     once; other columns are ignored; an empty table gives none.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(split) == train, F.lit(False)).alias("train")).where("id is not null and text is not null")
     hashed = materialise(_content(rows).where("n > 0").withColumn("rid", F.monotonically_increasing_id()), "hashed")
     marks = hashed.select("id", "content", "train").distinct()
-    reps = materialise(hashed.groupBy("content", "train").agg(F.min(F.struct("id", "rid")).alias("r")).select("content", "train", F.col("r.rid").alias("rid")), "reps")
-    copies = materialise(hashed.select("rid").join(reps.select("rid"), "rid", "left_anti"), "copies")
+    reps = materialise(hashed.groupBy("content", "train").agg(F.min(F.struct("id", "rid")).alias("r")).select(F.col("r.rid").alias("rid")), "reps")
+    copies = materialise(hashed.select("rid").join(reps, "rid", "left_anti"), "copies")
     few = copies.count() <= max_broadcast_ids
-    texts = hashed.join(F.broadcast(copies) if few else copies, "rid", "left_anti").select(F.col("rid").alias("id"), "text", "train")
-    cut = _cut(texts.where("not train")).withColumn("key", F.xxhash64("passage"))
-    cut = materialise(cut, "cut")
-    freq = cut.groupBy("key").agg(F.countDistinct("eval_id").alias("freq"))
-    rank = F.row_number().over(Window.partitionBy("eval_id").orderBy("freq", F.xxhash64("key", "start_at"), "start_at"))
-    chosen = materialise(cut.join(freq, "key").withColumn("r", rank).where(F.col("r") <= seeds).select("eval_id", "start_at", "end_at", "key", "passage"), "seeds")
-    n = chosen.select("key").distinct().count()
-    if n == 0:
+    texts = hashed.join(F.broadcast(copies) if few else copies, "rid", "left_anti").select("content", "text", "train")
+    cut = materialise(_cut(texts.where("not train")), "cut")
+    n = cut.agg(F.sum(F.size("passages"))).first()[0]
+    if not n:
         return df.sparkSession.createDataFrame([], "train_id bigint, eval_id bigint")
     shards = -(-n // shard_passages)
-    from corvane.llm.common import shared_dir
-
     path = f"{shared_dir(df.sparkSession)}/corvane/shards-{np.random.default_rng().integers(1 << 62):x}"
-    chosen.dropDuplicates(["key"]).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).select("shard", "passage", "key").repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    hits = _scan(texts.where("train"), path, shards)
-    spans = chosen.select("eval_id", "key", (F.col("end_at") - F.col("start_at")).alias("size"))
-    total = spans.groupBy("eval_id").agg(F.sum("size").alias("total"))
-    cover = hits.join(spans, "key").groupBy("eval_id", "train_id").agg(F.sum("size").alias("covered"))
-    near = materialise(cover.join(total, "eval_id").where(F.col("covered") >= least_coverage * F.col("total")).select("eval_id", "train_id", (F.col("covered") / F.col("total")).alias("coverage")), "cover")
+    cut.where("size(passages) > 0").withColumn("shard", F.pmod(F.xxhash64("content"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    sure = materialise(_scan(texts.where("train"), path, shards, similarity, least_coverage).where("ct <> ce"), "near")
     same = marks.where("train").select("content", F.col("id").alias("train_id")).join(marks.where("not train").select("content", F.col("id").alias("eval_id")), "content").select("train_id", "eval_id")
-    near_reps = near.join(reps.where("train").select(F.col("rid").alias("train_id"), F.col("content").alias("ct")), "train_id").join(reps.where("not train").select(F.col("rid").alias("eval_id"), F.col("content").alias("ce")), "eval_id").where("ct <> ce")
-    near_reps = materialise(near_reps.select("train_id", "eval_id", "ct", "ce"), "near")
-    checked = exact_similarity(near_reps.select(F.col("train_id").alias("a"), F.col("eval_id").alias("b")), texts.select("id", "text")).where(F.col("similarity") >= similarity)
-    sure = near_reps.join(checked.select(F.col("a").alias("train_id"), F.col("b").alias("eval_id")), ["train_id", "eval_id"], "left_semi").select("ct", "ce")
     almost = (
         sure.join(marks.where("train").select(F.col("content").alias("ct"), F.col("id").alias("train_id")), "ct")
         .join(marks.where("not train").select(F.col("content").alias("ce"), F.col("id").alias("eval_id")), "ce")
