@@ -179,8 +179,9 @@ def _crowd_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int, sure:
     """(links, ids that follow a leader) of a crowd at one anchor: enough links
     for its connected parts, never all pairs.
 
-    A home is linked to one member of each part it is not yet in; links that
-    are sure join parts. Members of its part within half the limit follow it:
+    A home is surely linked to one member of each part it is not yet in, which
+    joins the parts. Links that are not sure are all kept, since one may fail
+    where another with the same part passes. Members of its part within half the limit follow it:
     whatever lies within the limit of a follower lies within one and a half of
     the leader, so followers are compared with that rim alone."""
     n, radius = len(ids), limit // 2
@@ -194,8 +195,9 @@ def _crowd_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int, sure:
             apart = part[y] != part[i]
             if apart.any():
                 y, dy = y[apart], dy[apart]
-                parts, first = np.unique(part[y], return_index=True)
-                y, dy = y[first], dy[first]
+                if joins:
+                    parts, first = np.unique(part[y], return_index=True)
+                    y, dy = y[first], dy[first]
                 out.append(np.stack([np.minimum(ids[i], ids[y]), np.maximum(ids[i], ids[y]), dy.astype(np.int64)]))
                 if joins:
                     part[np.isin(part, parts)] = part[i]

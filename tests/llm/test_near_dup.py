@@ -126,6 +126,13 @@ def test_crowd_of_near_copies_is_one_group(spark, bin_rows):
     assert {r.group_id for r in near_dup.near_duplicate_groups(df, "id", ["t"], bin_rows=bin_rows).collect()} == {0}
 
 
+def test_crowd_keeps_every_undecided_link_between_parts():
+    fps = np.array([[0], [0xFF], [0x7F], [0x3F]], np.int64)  # 1, 2, 3 are one part; each is 8, 7, 6 bits from 0
+    links = near_dup._crowd_links(np.arange(4), fps, 4, 10, 3)
+    found = np.concatenate(links[0] if isinstance(links, tuple) else links, 1)
+    assert {(0, 1), (0, 2), (0, 3)} <= set(zip(found[0].tolist(), found[1].tolist()))
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (None, 3)]
