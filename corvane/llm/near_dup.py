@@ -4,9 +4,9 @@ Anchor-point covering. Each distinct text gets a fingerprint of one-bit
 min-hashes over its wording (neighbouring word pairs, and numbers alone). The
 fingerprint is cut into bands of 23 bits and more; the anchors of a band are the
 4096 words of the perfect binary Golay code, whose balls of radius 3 cover all
-2**23 words, times all words of the bits beyond 23 (radius 0). Those are added
-with the number of texts, so that anchors grow with it and hold about as many
-texts at every size. A text is at home at its nearest anchor and is replicated
+2**23 words, times all words of the bits beyond 23 (radius 0). Bits and bands
+are the same at every size; a caller may ask for more bits, and gets so many
+more bands that no fewer pairs meet. A text is at home at its nearest anchor and is replicated
 to every anchor within the covering radius plus ``band_threshold``: two texts
 whose bands differ in at most ``band_threshold`` bits always meet where one is
 at home. At each anchor homes are compared with all that came, by the distance of
@@ -16,6 +16,8 @@ the exact similarity of the texts.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,9 +65,15 @@ def _functions(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def extra_bits(texts: int) -> int:
-    """Bits beyond 23 in a band: anchors double with every doubling of more than
-    a million texts."""
-    return min(15, max(0, (max(1, texts) - 1).bit_length() - 20))
+    """Bits beyond 23 in a band at which anchors double with every doubling of
+    more than a million texts; for callers that want them."""
+    return min(12, max(0, (max(1, texts) - 1).bit_length() - 20))
+
+
+def bands_for(bands: int, extra: int) -> int:
+    """Bands of 23 + ``extra`` bits in which, at every similarity from 0.6 on, at
+    least as many pairs meet as in ``bands`` of 23 bits (``band_threshold`` 1)."""
+    return math.ceil(bands * 1.207**extra)
 
 
 def fingerprint_batch(texts: pa.Array, bands: int, width: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,7 +337,7 @@ def exact_similarity(pairs: DataFrame, texts: DataFrame, max_broadcast_ids: int
 
 
 def near_duplicate_groups(
-    df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 6, band_threshold: int = 1, sure: int | None = None, limit: int | None = None, bin_rows: int = 2_000_000, extra: int | None = None
+    df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 6, band_threshold: int = 1, sure: int | None = None, limit: int | None = None, bin_rows: int = 2_000_000, extra: int = 0
 ) -> DataFrame:
     """(id, class_id, group_id, n_links): one row per record of ``df``.
 
@@ -338,6 +346,8 @@ def near_duplicate_groups(
     where it is alone); ``n_links`` the number of other classes its class is
     linked to. ``text_cols`` are compared together, null counting as empty.
 
+    ``extra`` (0 to 12) bits a band give more anchors with fewer texts each.
+
     Links of fingerprint distance up to ``sure`` are taken, those between
     ``sure`` and ``limit`` are settled by the exact similarity. In crowds of
     near copies only the links that their connected parts need are made, and
@@ -347,8 +357,7 @@ def near_duplicate_groups(
     gives an empty result.
     """
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.concat_ws(" ", *text_cols).alias("text")).where("id is not null")
-    extra = extra_bits(texts.select("id").count()) if extra is None else extra
-    width, bands = BITS + extra, bands + extra // 2
+    width, bands = BITS + extra, bands_for(bands, extra)
     bits = bands * width
     sure = sure if sure is not None else round(bits * (1 - similarity - 0.18) / 2)
     limit = limit if limit is not None else round(bits * (1 - similarity + 0.12) / 2)

@@ -1,5 +1,6 @@
 """Near-duplicate groups and cross-split overlap against brute force."""
 
+import inspect
 import random
 from collections import defaultdict
 
@@ -117,6 +118,20 @@ def test_more_anchors_give_the_same_groups(spark, problems):
         assert plain == {r.id: r.group_id for r in near_dup.near_duplicate_groups(problems, "id", ["problem", "solution"], extra=extra).collect()}
 
 
+def test_no_fewer_pairs_meet_with_more_bits():
+    rng, size = np.random.default_rng(3), 200_000
+    x = rng.integers(0, 1 << 23, size).astype(np.uint32)
+    home = lambda w: w ^ near_dup.error_patterns(3)[near_dup._syndromes(w), 0]
+    for similarity in (0.6, 0.7, 0.8):
+        p = (1 - similarity) / 2
+        y = x ^ sum((rng.random(size) < p).astype(np.uint32) << np.uint32(b) for b in range(23))
+        d = np.minimum(np.bitwise_count(y ^ home(x)), np.bitwise_count(x ^ home(y)))
+        in_band = lambda e: (1 - p) ** e * (d <= 4).mean() + e * p * (1 - p) ** max(0, e - 1) * (d <= 3).mean()  # noqa: B023, E731
+        meet = [1 - (1 - in_band(e)) ** near_dup.bands_for(6, e) for e in range(13)]
+        assert min(meet) >= meet[0] - 0.003
+    assert inspect.signature(near_dup.near_duplicate_groups).parameters["extra"].default == 0  # the same at every size
+
+
 @pytest.mark.parametrize("bin_rows", [2_000_000, 100])
 def test_crowd_of_near_copies_is_one_group(spark, bin_rows):
     rng = random.Random(9)
