@@ -148,6 +148,15 @@ def test_crowd_keeps_every_undecided_link_between_parts():
     assert {(0, 1), (0, 2), (0, 3)} <= set(zip(found[0].tolist(), found[1].tolist()))
 
 
+def test_distance_limit_leaves_room_for_the_threshold(spark, monkeypatch):
+    """A pair at the threshold lies 27.6 bits apart, with a deviation of 4.7."""
+    seen = []
+    compare = near_dup._close_pairs
+    monkeypatch.setattr(near_dup, "_close_pairs", lambda *a: seen.append(a[4]) or compare(*a))
+    near_dup.near_duplicate_groups(spark.createDataFrame([(1, "a b c")], "id bigint, t string"), "id", ["t"])
+    assert seen == [40]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (None, 3)]
