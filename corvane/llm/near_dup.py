@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from corvane.llm.common import CHUNK_BYTES, chunks, materialise, mix64, shingles, word_hashes
 from corvane.llm.components import connected_components
 
-_SALTS = 0xFFFFFFFF  # of a group number: the salt plus one
 BITS, RADIUS, GENERATOR = 23, 3, 0b101011100011
 
 
@@ -119,7 +118,8 @@ def _packing(bands: int, width: int) -> tuple[int, int]:
 def _to_anchors(reps: DataFrame, bands: int, width: int, band_threshold: int, salts: dict[int, int] | None = None) -> DataFrame:
     """(key, salt, id, fingerprint words): a row for each anchor of each text.
     ``key`` is the anchor with a last bit of 0 at home. Texts at an anchor named
-    in ``salts`` are spread over so many bins; elsewhere the salt is -1."""
+    in ``salts`` are spread over so many bins, and go to each pair of bins with
+    theirs, numbered by the salt; elsewhere the salt is -1."""
     from itertools import combinations
 
     extra = width - BITS
@@ -147,7 +147,13 @@ def _to_anchors(reps: DataFrame, bands: int, width: int, band_threshold: int, sa
                     salt = np.full(len(row), -1, np.int32)
                     for hot, n in (salts or {}).items():
                         at = np.flatnonzero(where == hot)
-                        salt[at] = (mix64(ids[row[at]].view(np.uint64)) % np.uint64(n)).astype(np.int32)
+                        if len(at):
+                            own = (mix64(ids[row[at]].view(np.uint64)) % np.uint64(n)).astype(np.int64)[:, None]
+                            other = np.arange(n)[None, :]
+                            pair = (np.minimum(own, other) * n + np.maximum(own, other)).astype(np.int32).ravel()
+                            take = np.concatenate([np.flatnonzero(where != hot), np.repeat(at, n)])
+                            salt = np.concatenate([salt[where != hot], pair])
+                            row, where, key = row[take], where[take], key[take]
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(kind)), pa.array(salt), pa.array(ids[row]), *(pa.array(packed[row, j]) for j in range(words))], ["key", "salt", "id", *(f"w{j}" for j in range(words))])
 
     return reps.mapInArrow(run, f"key {'bigint' if extra else 'int'}, salt int, id bigint, {cols}")
@@ -183,9 +189,9 @@ def _all_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int) -> list
     return [np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), d[x, y].astype(np.int64)])]
 
 
-def _crowd_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int, sure: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(links, ids that follow a leader) of a crowd at one anchor: enough links
-    for its connected parts, never all pairs.
+def _crowd_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int, sure: int) -> list[np.ndarray]:
+    """Links of a crowd at one anchor: enough for its connected parts, never all
+    pairs that are sure.
 
     A home is surely linked to one member of each part it is not yet in, which
     joins the parts. Links that are not sure are all kept, since one may fail
@@ -226,15 +232,14 @@ def _crowd_links(ids: np.ndarray, fps: np.ndarray, homes: int, limit: int, sure:
                 if (at := np.flatnonzero(da <= limit)).size:
                     link(a, rim[at], da[at])
         follows[members] = True
-    return out, ids[follows]
+    return out
 
 
 def _compare(anchored: DataFrame, bands: int, width: int, limit: int, sure: int) -> DataFrame:
     """Links (a < b, distance) of homes with all others at their anchor. Rows
     come sorted by anchor, homes first. A crowd (more than CROWD members, or more
-    than DENSE links for each) gives no more links than its
-    connected parts need; for salted bins, the members that follow a leader
-    are given as well: (anchor, id, -1)."""
+    than DENSE links for each) gives no more sure links than its
+    connected parts need."""
     _, words = _packing(bands, width)
 
     def run(batches):
@@ -247,15 +252,13 @@ def _compare(anchored: DataFrame, bands: int, width: int, limit: int, sure: int)
             for s, e in zip(cut, np.append(cut[1:], len(group))):
                 homes = int(home[s:e].sum())
                 if homes and e - s > 1:
-                    links, held_by = _all_links(ids[s:e], rows[3][s:e], homes, limit) if e - s <= CROWD else None, ids[:0]
+                    links = _all_links(ids[s:e], rows[3][s:e], homes, limit) if e - s <= CROWD else None
                     if links is None:
-                        links, held_by = _crowd_links(ids[s:e], rows[3][s:e], homes, limit, sure)
+                        links = _crowd_links(ids[s:e], rows[3][s:e], homes, limit, sure)
                     found += links
-                    if group[s] & _SALTS and len(held_by):
-                        found.append(np.stack([np.full(len(held_by), group[s] >> 32), held_by, np.full(len(held_by), -1)]))
             if found:
                 m = np.concatenate(found, 1)
-                m = m[:, np.unique(m[0] * np.int64(0x9E3779B1) ^ m[1] ^ (m[2] < 0), return_index=True)[1]]
+                m = m[:, np.unique(m[0] * np.int64(0x9E3779B1) ^ m[1], return_index=True)[1]]
                 return pa.RecordBatch.from_arrays([pa.array(m[0]), pa.array(m[1]), pa.array(m[2].astype(np.int32))], ["a", "b", "d"])
 
         for b in batches:
@@ -284,20 +287,13 @@ def _close_pairs(reps: DataFrame, bands: int, width: int, band_threshold: int, l
 
     An anchor holds a text once, so none can exceed ``bin_rows`` if the texts
     don't. Otherwise anchors are counted (their number is fixed by the code),
-    those above are compared in salted bins, and what follows no leader there is
-    compared once more over all bins of its anchor."""
+    those above are spread over salted bins of half that size, and every two bins
+    are compared together, so any two texts at an anchor are."""
     if reps.count() <= bin_rows:
         return _compare(_to_anchors(reps, bands, width, band_threshold), bands, width, limit, sure)
     sizes = _to_anchors(reps, bands, width, band_threshold).groupBy(F.expr("shiftright(key, 1)").alias("anchor")).count().where(F.col("count") > bin_rows).collect()
-    salts = {r["anchor"]: -(-r["count"] // bin_rows) for r in sizes}
-    anchored = _to_anchors(reps, bands, width, band_threshold, salts)
-    first = materialise(_compare(anchored, bands, width, limit, sure), "bins")
-    links = first.where("d >= 0")
-    if not salts:
-        return links
-    placed = first.where("d < 0").select(F.col("a").alias("anchor"), F.col("b").alias("id"))
-    rest = anchored.where("salt >= 0").withColumn("anchor", F.expr("shiftright(key, 1)")).join(placed, ["anchor", "id"], "left_anti").drop("anchor").withColumn("salt", F.lit(-1)).select(*anchored.columns)
-    return links.unionByName(_compare(rest, bands, width, limit, sure))
+    salts = {r["anchor"]: -(-2 * r["count"] // bin_rows) for r in sizes}
+    return _compare(_to_anchors(reps, bands, width, band_threshold, salts), bands, width, limit, sure)
 
 
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:

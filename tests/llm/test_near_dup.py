@@ -111,6 +111,18 @@ def test_salted_bins_give_the_same_groups(spark, problems):
     assert plain == salted
 
 
+def test_salted_bins_compare_followers_across_bins(spark):
+    """Edges of two tight clusters are within the limit, their cores, which lead
+    them in their bins, are not within it of the other cluster at all."""
+    core_a, edge_a, edge_b, core_b = ((1 << k) - 1 for k in (0, 6, 17, 23))
+    rows = [(k, 0, (core_a if k < 60 else core_b)) for k in range(120)]
+    rows += [(200 + k, 0, edge_a) for k in range(8)] + [(300 + k, 0, edge_b) for k in range(8)]
+    reps = spark.createDataFrame(rows, "id bigint, f0 bigint, f1 bigint")
+    for bin_rows in (1000, 50):
+        got = near_dup._close_pairs(reps, 2, 23, 1, 12, 6, bin_rows).collect()
+        assert {(200 + k, 300 + j) for k in range(8) for j in range(8)} <= {(r.a, r.b) for r in got}
+
+
 def test_more_anchors_give_the_same_groups(spark, problems):
     assert [near_dup.extra_bits(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 22, 10**9)] == [0, 0, 1, 2, 10]
     plain = {r.id: r.group_id for r in near_dup.near_duplicate_groups(problems, "id", ["problem", "solution"]).collect()}
