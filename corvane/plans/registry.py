@@ -3,6 +3,7 @@ the same on the same tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,5 +108,9 @@ COMPLETIONS = f"""comp AS (SELECT l_orderkey AS id, CAST(row_number() OVER ({_OR
 
 def completions(t: Load) -> DataFrame:
     li = t("lineitem")
-    li.createOrReplaceTempView("_corvane_lineitem")
-    return li.sparkSession.sql("WITH " + COMPLETIONS.replace("FROM lineitem", "FROM _corvane_lineitem") + " SELECT * FROM comp")
+    view = f"_corvane_{uuid.uuid4().hex}"
+    li.createTempView(view)
+    try:
+        return li.sparkSession.sql("WITH " + COMPLETIONS.replace("FROM lineitem", f"FROM {view}") + " SELECT * FROM comp")
+    finally:
+        li.sparkSession.catalog.dropTempView(view)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,7 +25,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if not getattr(sc, "_corvane_shipped", False):
         root = Path(__file__).resolve().parent
-        path = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane.zip"
+        folder = tempfile.mkdtemp(prefix="corvane-")  # of the driver, which serves the file to executors
+        atexit.register(shutil.rmtree, folder, True)
+        path = Path(folder) / "corvane.zip"
         with zipfile.ZipFile(path, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))

@@ -3,12 +3,10 @@ functions, over batches)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.sources.store import shared_dir
+from corvane.sources.store import new_path
 
 
 def with_event_time(df: DataFrame, time: str = "ts", late: str | None = None) -> DataFrame:
@@ -50,7 +48,7 @@ def run_to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there now, to its end. Every trigger replaces
     ('complete') or extends ('append') a table in the shared folder, whose
     state and progress are kept there too: a restart goes on where it stopped."""
-    base = f"{shared_dir(df.sparkSession)}/corvane/stream-{uuid.uuid4().hex}"
+    base = new_path(df.sparkSession, "stream")
     out, schema = f"{base}/out", df.schema
 
     def sink(batch: DataFrame, epoch: int) -> None:
