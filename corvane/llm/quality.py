@@ -1,17 +1,19 @@
 """Problem 8: per-document text statistics, and which documents are not prose.
 
-All statistics are built-in column functions over whole texts (no Python); the
-rules are fixed thresholds in the manner of the published web-corpus filters,
-each failure recorded by name. A second set of statistics (items, cells,
-sentences, echo of lines and words) tells lists, tables and junk apart.
+All statistics are built-in column functions over whole texts: lengths,
+symbols, punctuation, bullets, common words, repetition, and the shares of a
+text (by characters) that stand in rows of fields, in items, in page furniture
+and in sentences. Rules with fixed thresholds are applied to them; every rule a
+text fails is recorded by name. The first failed rule with a kind gives the
+kind, so what is not prose follows from the recorded failures alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from functools import reduce
+from operator import or_
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,40 @@ MAX_SYMBOL_RATIO = 0.1
 MAX_BULLET_SHARE, MAX_ELLIPSIS_SHARE = 0.9, 0.3
 MIN_ALPHA_SHARE, MIN_COMMON_WORDS = 0.8, 2
 
-_FORMULA = r"\$\$[^$]*\$\$|\$[^$]{0,300}\$|\\\[[^\]]{0,300}\\\]|\\\([^)]{0,300}\\\)"
-_CJK = r"[㐀-鿿]"
+# Java patterns; formulas have any length, an opening without its end stops at the next one
+_FORMULA = r"\$\$[^$]*\$\$|\$[^$]*\$|\\\[(?:[^\\]|\\(?!\[))*?\\\]|\\\((?:[^\\]|\\(?!\())*?\\\)"
+_HAN = r"[㐀-鿿]"
+_WORD = r"[\p{L}\p{M}&&[^㐀-鿿]]+"
+_STOP = r"[.!?。！？…]\W?$"
+#: A line that is a row of fields: ruled, tabbed, tagged, quoted, separated or aligned.
+_ROW = (
+    r"^\s*\|.*\|\s*$|^\s*\+[-=+]+\+\s*$|\S\s*\t|\t\s*\S|</?t(?:r|d|h|able|body|head)\b|\\(?:begin|end)\{(?:tabular|array)|^\s*\\hline|&.*\\\\$"
+    r'|^"[^"]*"(?:\s?[;,|]\s?"[^"]*")+$|^[^,\s]*(?: [^,\s]+)?(?:,(?!\s)[^,]*){2,}$|^[^;\s]*(?:;(?!\s)[^;]*){2,}$|\S {2,}\S+(?: \S+)?(?: {2,}\S+(?: \S+)?)+\s*$|^\S+ {3,}\S+\s*$'
+)
+_HARD_ROW = r"\t|\||<t|&"
+_BULLET = r"^\s*(?:[-*•+‣–—]\s+|\[[ xX]?\]\s+|\(?\d+[.):]\s*|\(?[a-zA-Z][.)]\s*|\d+(?:\.\d+)+\s+)"
+_LABEL = r"^\s*\p{Lu}\p{L}+\s+\d+\s*[:.]\s*"  # a word and its number open the line
+#: A line that points elsewhere: leaders or page numbers at its end.
+_POINTER = r"\.{3,}\s*\d+\s*$|\(\p{L}{1,3}\.\s*\d+(?:,\s*\d+)*\)\s*$"
+_NUMBERED = r"(?<![\w.])\d+(?:[):]\s*|\.\s+)-?\d"
+_FIELDS = r"\b\w+=[\w.-]+"
+_SEPARATOR = r"[,;、，；·/](?=\s|$|[㐀-鿿])| / "
+_GARBLED = r"[ÂÃÐÑ][\x{80}-¿]|[âãäåæçèéï][\x{80}-\x{9f}¡-¿]|\x{fffd}"
+_INNER = r"\p{Ll}\p{Lu}|\p{L}[;\[\]{},.?!=]\p{L}|\s[.,?!;:]\p{L}"
+_CUT = r"[a-zа-яё]{3,}[.?!]\s+[a-zà-ÿа-яё]"
+_ENDS = r"[a-zа-яё]{3,}[.?!](?:\s|$)"
+_SYMBOL = r"[^\p{L}\p{M}\p{N}\s]"
+_STRAY = r"\$|\\[A-Za-z]+|[\p{L}\p{N}_]\^[\p{L}\p{N}_]"
+#: Wording of page furniture.
+FURNITURE = (
+    "log in|log out|sign in|sign up|register|reply|replies|quote|print|next|next page|previous|previous page|share|share this|report|report abuse|loading|advertisement|cookie settings|"
+    "accept all|reject all|skip to content|back to top|mark as read|newest first|oldest first|last edited|forgot password|subscribe|unsubscribe|home|menu|search|read more|comments|privacy policy|terms of use|all rights reserved"
+).split("|")
+_FURNITURE = r"(?i)^\W*(?:\d+\s+)?(?:" + "|".join(FURNITURE) + r")\W*$"
+_PARTS = r"\s+[·|•]\s+|\s{2,}"
+_ANY_ROW = ("|", "\t", "<t", "</t", "\\hline", "\\begin", "&", '"', "  ", "+-", "+=")
+_TIGHT = r"[,;]\S"
+_MARK = "\ue000"  # stands for a formula
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -34,200 +68,218 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def common_word_lists(common_words: DataFrame) -> tuple[list[str], list[str]]:
+    """Common words (word) of alphabetic and of CJK script: a fixed small table
+    of function words, whole."""
+    words = sorted({r["word"].lower() for r in common_words.select("word").where("word is not null").distinct().collect()})
+    han = [w for w in words if re.search(_HAN, w)]
+    return [w for w in words if w not in set(han)], sorted(han, key=lambda w: (-len(w), w))
+
+
 def basic_statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
     """``df`` with word_count, mean_word_length, symbol_ratio, end_punct_share,
-    common_word_share, bullet_share, ellipsis_share and alpha_word_share.
-
-    Words are runs without white space. ``common_words`` (word) is a fixed small
-    table, inlined as a literal set; its words of CJK characters are counted as
-    substrings per character of that script. Null is the empty text, whose
-    counts and shares are 0."""
-    words = sorted({r["word"].lower() for r in common_words.select("word").where("word is not null").distinct().limit(5000).collect()})
-    han = [w for w in words if any("㐀" <= ch <= "鿿" for ch in w)]
-    plain = [w for w in words if w not in han]
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("_t", t).withColumn("_low", F.lower("_t"))
+    common_word_share, common_words, bullet_share, ellipsis_share and
+    alpha_word_share.
+
+    Words are runs without white space; common words are looked for among runs
+    of letters, those of CJK script as substrings per character of it. Null is
+    the empty text, whose counts and shares are 0. Names of ``df``'s own columns
+    that are equal to one of these are replaced."""
+    plain, han = common_word_lists(common_words)
+    out = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_low", F.lower("_t"))
     out = out.withColumn("_toks", F.filter(F.split("_low", r"\s+"), lambda x: x != "")).withColumn("_lines", F.filter(F.split("_t", r"\n"), lambda x: F.trim(x) != ""))
+    out = out.withColumn("_words", F.regexp_extract_all("_low", F.lit(_WORD), F.lit(0))).withColumn("_han", _count(F.col("_t"), _HAN))
     n, lines = F.size("_toks"), F.size("_lines")
-    chars = F.length(F.regexp_replace("_t", r"\s", ""))
-    han_chars = _count(F.col("_t"), _CJK)
-    common = _count(F.col("_low"), r"(?<![\p{L}])(?:" + "|".join(plain) + r")(?![\p{L}])") if plain else F.lit(0)
-    common_han = _count(F.col("_low"), "|".join(sorted(han, key=len, reverse=True))) if han else F.lit(0)
-    letters_words = _count(F.col("_low"), r"[\p{L}&&[^㐀-鿿]]+")
-    return out.select(
-        *[F.col(c) for c in df.columns],
-        n.cast("bigint").alias("word_count"),
-        _share(chars.cast("double"), n).alias("mean_word_length"),
-        _share(_count(F.col("_t"), r"#|\.\.\.|…").cast("double"), n).alias("symbol_ratio"),
-        _share(F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?。！？;:”\"»)]\s*$"))).cast("double"), lines).alias("end_punct_share"),
-        _share((common + common_han).cast("double"), letters_words + han_chars).alias("common_word_share"),
-        (common + common_han).cast("bigint").alias("common_words"),
-        _share(F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*(?:[-*•+‣–]|\d+[.)]|\(?[a-zA-Z0-9]\))\s"))).cast("double"), lines).alias("bullet_share"),
-        _share(F.size(F.filter("_lines", lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))).cast("double"), lines).alias("ellipsis_share"),
-        _share(_count(F.col("_low"), r"(?<!\S)(?=\S*\p{L})\S+").cast("double"), n).alias("alpha_word_share"),
+    common = F.size(F.filter("_words", lambda w: w.isin(plain))) if plain else F.lit(0)
+    common_han = F.when(F.col("_han") > 0, _count(F.col("_low"), "|".join(map(re.escape, han)))).otherwise(F.lit(0)) if han else F.lit(0)
+    out = out.withColumn("_common", common + common_han)
+    stats = {
+        "word_count": n.cast("bigint"),
+        "mean_word_length": _share(_sum(F.transform("_toks", lambda x: F.length(x))).cast("double"), n),
+        "symbol_ratio": _share(_count(F.col("_t"), r"#|\.\.\.|…").cast("double"), n),
+        "end_punct_share": _share(F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?。！？;:”\"»)]\s*$"))).cast("double"), lines),
+        "common_word_share": _share(F.col("_common").cast("double"), F.size("_words") + F.col("_han")),
+        "common_words": F.col("_common").cast("bigint"),
+        "bullet_share": _share(F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*(?:[-*•+‣–]|\d+[.)]|\(?[a-zA-Z0-9]\))\s"))).cast("double"), lines),
+        "ellipsis_share": _share(F.size(F.filter("_lines", lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))).cast("double"), lines),
+        "alpha_word_share": _share(F.size(F.filter("_toks", lambda x: x.rlike(r"\p{L}"))).cast("double"), n),
+    }
+    return out.withColumns(stats).select(*[c for c in df.columns if c not in stats], *stats)
+
+
+def layout_statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
+    """``df`` with the statistics that tell lists, tables and junk apart.
+
+    Shares of characters outside blank lines: ``sentence_share``, ``row_share``,
+    ``item_share``, ``furniture_share``, ``other_share`` (lines that are none of
+    these); formulas alone on a line count with the sentences if the text has
+    any, else with the items. Of the whole text: ``garbled_share``,
+    ``letter_share`` (words of one letter), ``distinct_words``,
+    ``distinct_sentences``, ``encoded_share``, ``inner_share`` (marks or capitals
+    within words), ``symbol_share``, ``distinct_symbols`` (of texts without wording), ``known_share`` (common words outside
+    formulas), ``cut_share`` (sentences that go on in small letters after their
+    end), ``stray`` (pieces of formulas outside any)."""
+    plain, han = common_word_lists(common_words)
+    out = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_p", F.regexp_replace("_t", _FORMULA, _MARK))
+    out = out.withColumn("_b", F.translate("_p", _MARK, " "))
+    bare = F.col("_b")
+    out = out.withColumns(
+        {
+            "_formula_length": _share((F.length("_t") - F.length("_p")).cast("double"), _count(F.col("_p"), _MARK)),
+            "_may_row": reduce(or_, [F.col("_p").contains(x) for x in _ANY_ROW]) | F.col("_p").rlike(_TIGHT),
+            "_may_fields": F.col("_b").contains("="),
+            "_words": F.regexp_extract_all(F.lower(bare), F.lit(_WORD), F.lit(0)),
+            "_h": _count(F.col("_p"), _HAN),
+            "_toks": F.filter(F.split(bare, r"\s+"), lambda x: x != ""),
+            "_solid": F.length(F.regexp_replace("_t", r"\s", "")),
+            "_lines": F.filter(F.split("_p", r"\n"), lambda x: x.rlike(r"\S")),
+            "_pieces": F.filter(F.transform(F.split("_t", r"(?<=[.!?。！？])\s*|\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 12),
+        }
     )
+    w, h = F.size("_words"), F.col("_h")
+    common = F.size(F.filter("_words", lambda x: x.isin(plain))) if plain else F.lit(0)
+    # a CJK word counts by its characters, as the text does
+    common_han = F.length(F.regexp_replace("_p", rf"[^㐀-鿿]|(?:{'|'.join(map(re.escape, han))})", "")) if han else h
+    known = F.when(h > w, _share((h - common_han).cast("double"), h)).otherwise(_share(common.cast("double"), F.greatest(w, F.lit(1))))
+    n = F.size("_toks")
+    out = out.withColumns(
+        {
+            "known_share": known,
+            "garbled": _count(F.col("_t"), _GARBLED),
+            "letter_share": F.when(
+                (F.size("_toks") >= 10) & (w + h > 0) & (F.length(F.regexp_replace(bare, r"\s+", "")) <= 1.6 * F.size("_toks")),
+                _share(_count(bare, r"(?<!\S)\p{L}(?!\S)").cast("double"), F.size("_toks")),
+            ).otherwise(0.0),
+            "distinct_words": F.when(n >= 8, _share(F.greatest(F.size(F.array_distinct("_toks")) - 2, F.lit(0)).cast("double"), n)).otherwise(1.0),
+            "distinct_sentences": F.when(F.size("_pieces") >= 3, _share(F.size(F.array_distinct("_pieces")).cast("double"), F.size("_pieces"))).otherwise(1.0),
+            "encoded_share": _share(_sum(F.transform(F.filter("_toks", lambda x: x.rlike(r"^(?=.*[A-Z0-9])[A-Za-z0-9+/=_-]{28,}$")), lambda x: F.length(x))).cast("double"), F.col("_solid")),
+            "inner_share": F.when(w >= 8, _share(_count(F.when(bare.rlike('[<"]'), F.regexp_replace(bare, r'<[^>]*>|"[^"\n]*"', " ")).otherwise(bare), _INNER).cast("double"), w)).otherwise(0.0),
+            "symbol_share": _share(_count(F.col("_t"), _SYMBOL).cast("double"), F.col("_solid")),
+            "distinct_symbols": F.when(F.col("_t").rlike(r"\p{L}.*\p{L}.*\p{L}"), 0).otherwise(F.size(F.array_distinct(F.regexp_extract_all("_t", F.lit(_SYMBOL), F.lit(0))))),
+            "brackets": _count(bare, r"[a-z][\[\]][a-z]"),
+            "cut_share": F.when(F.col("_t").rlike(r"\p{Lu}"), _count(F.col("_t"), _CUT) / F.greatest(_count(F.col("_t"), _ENDS), F.lit(1))).otherwise(0.0),
+            "stray": _count(bare, _STRAY),
+            "_n_words": w,
+            "_n_lines": F.size("_lines"),
+            "_rows_first": F.exists(F.slice("_lines", 1, 3), lambda x: x.rlike(_ROW)),
+        }
+    )
+    k, cut = F.col("known_share"), F.col("cut_share") > 0.6
+    good = (k >= 0.05) & ~(cut & (k < 0.1)) & ((h <= F.col("_n_words")) | (k >= 0.03))
 
+    def split_bullet(line: Column) -> Column:
+        return F.struct(line.alias("s"), F.regexp_replace(line, f"{_BULLET}|{_LABEL}", "").alias("body"))
 
-def rule_failures() -> Column:
-    """The names of the fixed-threshold rules a row of
-    :func:`basic_statistics` fails, in a fixed order."""
-    rules = [
-        ("few_words", F.col("word_count") < MIN_WORDS),
-        ("many_words", F.col("word_count") > MAX_WORDS),
-        ("mean_word_length", ~F.col("mean_word_length").between(MIN_MEAN_WORD, MAX_MEAN_WORD)),
-        ("symbols", F.col("symbol_ratio") > MAX_SYMBOL_RATIO),
-        ("bullets", F.col("bullet_share") > MAX_BULLET_SHARE),
-        ("ellipses", F.col("ellipsis_share") > MAX_ELLIPSIS_SHARE),
-        ("few_alphabetic_words", F.col("alpha_word_share") < MIN_ALPHA_SHARE),
-        ("few_common_words", F.col("common_words") < MIN_COMMON_WORDS),
-    ]
-    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules]), lambda x: x.isNotNull())
+    def features(x: Column) -> Column:
+        line, body = x["s"], x["body"]
+        return F.struct(
+            line.alias("s"),
+            (F.length(line) - F.length(F.replace(line, F.lit(_MARK), F.lit("")))).alias("m"),
+            _count(line, _WORD).alias("w"),
+            F.when(h > 0, _count(line, _HAN)).otherwise(0).alias("h"),
+            F.when(body != line, _count(body, _WORD)).alias("bw"),
+            F.right(F.rtrim(body), F.lit(2)).rlike(_STOP).alias("stop"),
+        )
 
+    def judge(x: Column) -> Column:
+        line, m = x["s"], x["m"]  # a formula counts as a word
+        bullet = x["bw"].isNotNull()
+        size, bw = x["w"] + m + x["h"] / 2, F.coalesce(x["bw"], x["w"]) + m
+        parts = F.split(F.trim(line), _PARTS)
+        row = F.col("_may_row") & line.rlike(_ROW)
+        kind = (
+            F.when((k < 0.2) & (F.size(F.filter(parts, lambda p: p.rlike(_FURNITURE))) * 2 > F.size(parts)), "furniture")
+            .when(F.col("_may_fields") & ~x["stop"] & (_count(line, _FIELDS) >= 3), "furniture")
+            .when(~x["stop"] & (line.rlike(_POINTER) | (_count(line, _NUMBERED) >= F.greatest(F.lit(3.0), size / 2))), "item")
+            .when(row & ~(x["stop"] & (size >= 8) & (k >= 0.12) & ~line.rlike(_HARD_ROW)), "row")
+            .when(line.rlike(f"^[\\s{_MARK}.,;:()\\[\\]]*$") | ((bw <= 2) & (m > 0) & (x["h"] == 0) & (size <= 3)), "formula")
+            .when(_count(line, _SEPARATOR) >= F.greatest(F.when(x["stop"], 5.0).otherwise(3.0), size / 4.2), "item")
+            .when(bullet & ~x["stop"] & (bw <= 6) & (m == 0) & (x["h"] <= 12), "item")
+            .when(good & ((bw >= 4) | (x["h"] >= 6) | ((bw >= 2) & x["stop"])), "sentence")
+            .when(((bw >= 5) | (x["h"] >= 8)) & x["stop"] & (line.rlike(r"^\s*\p{Lu}") | (x["h"] > 0)) & ~cut & (F.col("_n_lines") <= 3) & (_count(line, r"\$") % 2 == 0), "sentence")
+            .when(bullet, "item")
+            .otherwise("other")
+        )
+        return F.struct(kind.alias("k"), (F.length(F.trim(line)) + x["h"] + m * F.col("_formula_length")).alias("n"))
 
-_FORM = re.compile(r"\$\$[^$]*\$\$|\$[^$]{0,300}\$|\\\[.{0,300}?\\\]|\\\(.{0,300}?\\\)", re.S)
-_TABLE = re.compile(
-    r"^\s*\|.*\|\s*$|^\s*\+[-=+]+\+\s*$|\S\s*\t|\t\s*\S|</?t(?:r|d|h|able|body|head)\b|\\(?:begin|end)\{(?:tabular|array)|^\s*\\hline"
-    r'|^"[^"]*"(?:\s?[;,|]\s?"[^"]*")+$|^[^,\s]*(?: [^,\s]+)?(?:,(?!\s)[^,]*){2,}$|^[^;\s]*(?:;(?!\s)[^;]*){2,}$|\S {2,}\S+(?: \S+)?(?: {2,}\S+(?: \S+)?)+\s*$|^\S+ {3,}\S+\s*$'
-)
-_INDEX = re.compile(r"\(p\.\s*\d|\.{3,}\s*\d+\s*$|^\s*[-*•]?\s*\[[ xX]\]\s")
-_BULLET = re.compile(r"^\s*(?:[-*•+‣–—]\s+|\(?\d+[.):]\s*|\(?[a-zA-Z][.)]\s*|\d+(?:\.\d+)+\s+|(?:Step|Item)\s+\d+\s*[:.]\s*)")
-_KEYS = re.compile(r"\b\d+\s*(?:[):]\s*|\.\s+)-?\d")
-_FIELDS = re.compile(r"\b\w+=[\w.-]+")
-_PARTS = re.compile(r"\s+[·|•]\s+|\s{2,}")
-_SEPARATOR = re.compile(r"[,;、，；·/](?=\s|$|[㐀-鿿])| / ")
-_WORD = re.compile(r"[^\W\d_㐀-鿿]+")
-_HAN = re.compile(r"[㐀-鿿]")
-_GARBLED = re.compile(r"[ÂÃÐÑ][\u0080-¿]|[âãäåæçèéï][\u0080-\u009f¡-¿]|\ufffd")
-_MIXED = re.compile(r"[a-zà-ÿа-яё][A-ZА-Я]|[A-Za-zа-яё][;\[\]{},.?!=][A-Za-zа-яё]|(?<!\S)[.,?!;:][A-Za-zа-яё]")
-_BROKEN = re.compile(r"[a-zа-яё]{3,}[.?!]\s+[a-zà-ÿа-яё]")
-_BRACKETS = re.compile(r"[a-z][\[\]][a-z]")
-_STRAY = re.compile(r"\$|\\[A-Za-z]+|\w\^\w")
-_ENDS = re.compile(r"[a-zа-яё]{3,}[.?!](?:\s|$)")
-_STOP = re.compile(r"[.!?。！？…]")
-_ENCODED = re.compile(r"(?=.*[A-Z0-9])[A-Za-z0-9+/=_-]{28,}")
-_SYMBOLS = re.compile(r"[^\w\s]")
-#: Wording of page furniture.
-FURNITURE = (
-    "log in|log out|sign in|sign up|register|reply|replies|quote|print|next|next page|previous|previous page|share|share this|report|report abuse|loading|advertisement|cookie settings|"
-    "accept all|reject all|skip to content|back to top|mark as read|newest first|oldest first|last edited|forgot password|subscribe|unsubscribe|home|menu|search|read more|comments|privacy policy|terms of use|all rights reserved"
-).split("|")
-_FURNITURE = re.compile(r"^\W*(?:\d+\s+)?(?:" + "|".join(FURNITURE) + r")\W*(?:\s{2,}.*)?$", re.I)
-
-
-def _words(s: str) -> list[str]:
-    return _WORD.findall(s.lower())
-
-
-def kind_of(text: str, common: set[str], han_common: re.Pattern) -> tuple[str, str]:
-    """(kind, reason): what the greater part of a text is: 'prose', 'list',
-    'table' or 'junk'.
-
-    First the rules for whole texts (garbled letters, spaced letters, repeated
-    sentences or words, encoded data, scrambled letters, jumbled words), then each line is
-    weighed by its length as prose, list, table, junk or formula; formulas
-    count with the prose they stand in, else as list items."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    if not lines:
-        return "junk", "empty"
-    plain = _FORM.sub(" ", text)
-    words, han = _words(plain), _HAN.findall(plain)
-    toks = plain.split()
-    solid = max(1, len(re.sub(r"\s", "", text)))
-    if len(_GARBLED.findall(text)) >= max(2, 0.003 * len(text)):
-        return "junk", "garbled"
-    if len(toks) >= 10 and sum(map(len, toks)) <= 1.6 * len(toks) and (words or han):
-        letters = sum(len(t) == 1 and t.isalpha() for t in toks)
-        if letters > 0.6 * len(toks):
-            return "junk", "spaced"
-    pieces = [p for x in re.split(r"(?<=[.!?。！？])\s*|\n", text) if len(p := x.strip()) >= 4]
-    body = [p for p in pieces if len(p) > 12]
-    if len(body) >= 3 and Counter(body).most_common(1)[0][1] > 0.5 * len(body) and len(set(body)) <= len(body) / 2:
-        return "junk", "repeated"
-    alltoks = text.split()
-    if len(alltoks) >= 8 and len(set(alltoks)) <= max(2, 0.15 * len(alltoks)) and not _TABLE.search(lines[0]):
-        return "junk", "repeated"
-    if len(han) > len(words):
-        share = sum(map(len, han_common.findall(plain))) / len(han)
-    else:
-        share = sum(w in common for w in words) / max(1, len(words))
-    long_tok = sum(len(t) for t in alltoks if len(t) >= 28 and _ENCODED.fullmatch(t))
-    if long_tok > 0.5 * solid:
-        return "junk", "encoded"
-    rows = any(_TABLE.search(x) for x in lines[:3])
-    if len(words) >= 8:
-        mixed = len(_MIXED.findall(re.sub(r"\\?<[^>]*>|\"[^\"\n]*\"", " ", plain)))
-        if mixed > (0.12 if share > 0.12 else 0.05) * len(words) and share < 0.25 and not rows or len(_BRACKETS.findall(plain)) >= 3 and share < 0.2:
-            return "junk", "scrambled"
-    ends = max(1, len(_ENDS.findall(text)))
-    cut = len(_BROKEN.findall(text)) / ends if any(c.isupper() for c in text) else 0.0
-    if len(words) >= 8 and share < 0.12 and not rows and (cut > 0.3 or len(_STRAY.findall(plain)) >= 2):
-        return "junk", "jumbled"
-    broken = cut > 0.6
-    good = share >= 0.05 and not (broken and share < 0.1) and (not han or len(han) <= len(words) or share >= 0.03)
-    weight = Counter()
-    for line in lines:
-        s = _FORM.sub(" F ", line)
-        w, h = len(_words(s)), len(_HAN.findall(s))
-        n = len(line.strip()) + h
-        seps = len(_SEPARATOR.findall(s))
-        size = w + h / 2
-        body = _BULLET.sub("", s, count=1)
-        bullet = body != s
-        bw, stop = len(_words(body)), bool(_STOP.search(body.rstrip()[-2:]))
-        parts = _PARTS.split(line.strip())
-        if _FURNITURE.match(line) or len(parts) > 2 and sum(bool(_FURNITURE.match(p)) for p in parts) > 0.5 * len(parts) or len(_FIELDS.findall(s)) >= 3 and not stop:
-            k = "junk"
-        elif _INDEX.search(line) or len(_KEYS.findall(s)) >= 3 and size <= 2 * len(_KEYS.findall(s)):
-            k = "list"
-        elif (_TABLE.search(line) or "&" in line and line.rstrip().endswith("\\\\")) and not (stop and size >= 8 and share >= 0.12 and not re.search(r"\t|\||<t|&", line)):
-            k = "table"
-        elif not s.replace("F", " ").strip(" .,;:()[]") or (bw <= 2 and "F" in body and not h and size <= 3):
-            k = "formula"
-        elif seps >= (5 if stop else 3) and seps >= size / 4.2:
-            k = "list"
-        elif good and (bw >= 4 or h >= 6 or bw >= 2 and stop):
-            k = "prose"
-        elif (bw >= 5 or h >= 8) and stop and s.strip()[0].isupper() | (h > 0) and not broken and len(lines) <= 3 and len(re.findall(r"\$", line)) % 2 == 0:
-            k = "prose"
-        elif bullet:
-            k = "list"
-        else:
-            k = "junk"
-        weight[k] += n
-    total = sum(weight.values())
-    formulas = weight.pop("formula", 0)
-    if weight["prose"] * 2 >= total - formulas and weight["prose"]:
-        return "prose", ""
-    weight["list"] += formulas
-    weight.pop("prose", 0)
-    k = max(("table", "list", "junk"), key=lambda x: weight[x])
-    if k != "junk" and len(_SYMBOLS.findall(plain)) > 0.55 * solid and len(set(_SYMBOLS.findall(plain))) >= 14:
-        return "junk", "symbols"
-    return k, "lines"
-
-
-def common_word_sets(common_words: DataFrame) -> tuple[set[str], re.Pattern]:
-    """Common words as a set and, for CJK ones, a pattern; a fixed small table."""
-    words = [r["word"].lower() for r in common_words.select("word").where("word is not null").distinct().limit(5000).collect()]
-    han = sorted((w for w in words if _HAN.search(w)), key=lambda w: (-len(w), w))
-    return {w for w in words if not _HAN.search(w)}, re.compile("|".join(map(re.escape, han)) or r"(?!)")
-
-
-def text_kinds(df: DataFrame, id_col: str, text: str, common_words: DataFrame) -> DataFrame:
-    """(doc_id, kind, reason) of each row. A null, empty or blank text is junk
-    ('empty'); repeated texts count each time; texts are read whole; other
-    columns are ignored; an empty table gives none."""
-    common, han = common_word_sets(common_words)
-
-    def run(batches):
-        for b in batches:
-            found = [kind_of(t or "", common, han) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], ["doc_id", "kind", "reason"])
-
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id bigint, kind string, reason string")
+    out = out.withColumn("_judged", F.transform(F.transform(F.transform("_lines", split_bullet), features), judge))
+    weigh = lambda kind: F.aggregate("_judged", F.lit(0.0), lambda a, x: a + F.when(x["k"] == kind, x["n"]).otherwise(0.0))
+    out = out.withColumns({f"_{c}": weigh(c) for c in ("sentence", "row", "item", "furniture", "formula", "other")})
+    total = F.col("_sentence") + F.col("_row") + F.col("_item") + F.col("_furniture") + F.col("_formula") + F.col("_other")
+    lone = (F.col("_sentence") == 0) | (F.col("_sentence") * 2 < total - F.col("_formula"))  # formulas that stand in no prose
+    stats = {
+        "sentence_share": _share((F.col("_sentence") + F.when(lone, 0).otherwise(F.col("_formula"))).cast("double"), total),
+        "row_share": _share(F.col("_row").cast("double"), total),
+        "item_share": _share((F.col("_item") + F.when(lone, F.col("_formula")).otherwise(0)).cast("double"), total),
+        "furniture_share": _share(F.col("_furniture").cast("double"), total),
+        "other_share": _share(F.col("_other").cast("double"), total),
+        "garbled_share": F.when(F.col("garbled") >= 2, _share(F.col("garbled").cast("double"), F.length("_t"))).otherwise(0.0),
+        **{c: F.col(c) for c in ("letter_share", "distinct_words", "distinct_sentences", "encoded_share", "inner_share", "symbol_share", "known_share", "cut_share", "stray", "distinct_symbols")},
+        "brackets": F.col("brackets"),
+        "letter_words": F.col("_n_words"),
+        "field_rows_first": F.col("_rows_first"),
+        "empty": F.size("_lines") == 0,
+    }
+    return out.select(*[F.col(c) for c in df.columns if c not in stats], *[v.alias(c) for c, v in stats.items()])
+
+
+def rules() -> list[tuple[str, str | None, Column]]:
+    """(name, kind, condition) of the fixed-threshold rules over both kinds of
+    statistics, in the order in which they decide. Those without a kind say that
+    a text is unfit for training, not what it is."""
+    c = F.col
+    wordy = c("letter_words") >= 8
+    not_prose = c("sentence_share") < 0.5
+    junk_share = c("furniture_share") + c("other_share")
+    return [
+        ("empty", "junk", c("empty")),
+        ("garbled", "junk", c("garbled_share") >= 0.003),
+        ("spaced_letters", "junk", c("letter_share") > 0.6),
+        ("repeated_sentences", "junk", c("distinct_sentences") <= 0.4),
+        ("repeated_words", "junk", (c("distinct_words") <= 0.15) & ~c("field_rows_first")),
+        ("encoded", "junk", c("encoded_share") > 0.5),
+        ("marks_within_words", "junk", wordy & (c("known_share") < 0.25) & ~c("field_rows_first") & (c("inner_share") > F.when(c("known_share") > 0.12, 0.12).otherwise(0.05))),
+        ("brackets_within_words", "junk", wordy & (c("brackets") >= 3) & (c("known_share") < 0.2)),
+        ("unconnected_words", "junk", wordy & (c("known_share") < 0.12) & ~c("field_rows_first") & ((c("cut_share") > 0.3) | (c("stray") >= 2))),
+        ("symbols_only", "junk", (c("symbol_share") > 0.4) & (c("distinct_symbols") >= 12)),
+        ("field_rows", "table", not_prose & (c("row_share") >= c("item_share")) & (c("row_share") >= junk_share)),
+        ("items", "list", not_prose & (c("item_share") > c("row_share")) & (c("item_share") >= junk_share)),
+        ("no_sentences", "junk", not_prose),
+        ("few_words", None, c("word_count") < MIN_WORDS),
+        ("many_words", None, c("word_count") > MAX_WORDS),
+        ("mean_word_length", None, ~c("mean_word_length").between(MIN_MEAN_WORD, MAX_MEAN_WORD)),
+        ("symbols", None, c("symbol_ratio") > MAX_SYMBOL_RATIO),
+        ("bullets", None, c("bullet_share") > MAX_BULLET_SHARE),
+        ("ellipses", None, c("ellipsis_share") > MAX_ELLIPSIS_SHARE),
+        ("few_alphabetic_words", None, c("alpha_word_share") < MIN_ALPHA_SHARE),
+        ("few_common_words", None, c("common_words") < MIN_COMMON_WORDS),
+    ]
 
 
 def text_statistics(df: DataFrame, id_col: str, text: str, common_words: DataFrame) -> DataFrame:
-    """(doc_id, statistics ..., failed_rules): one row per row of ``df``."""
+    """(doc_id, statistics ..., failed_rules, kind): one row per row of ``df``.
+
+    ``failed_rules`` has the names of all rules a text fails, in order; ``kind``
+    is that of the first of them with one, else 'prose'. A null, empty or blank
+    text fails 'empty' and is junk; repeated texts and ids count each time; very
+    long texts are read whole; other columns are ignored, whatever their names;
+    an empty table gives none."""
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return basic_statistics(rows, "text", common_words).drop("text").withColumn("failed_rules", F.array_join(rule_failures(), ","))
+    stats = layout_statistics(basic_statistics(rows, "text", common_words), "text", common_words)
+    failed = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, _, cond in rules()]), lambda x: x.isNotNull())
+    kinds = {name: kind for name, kind, _ in rules() if kind}
+    first = F.get(F.filter("failed_rules", lambda x: x.isin(list(kinds))), F.lit(0))
+    table = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    # A condition on what comes out must not travel back through these expressions, which it would repeat: the row number stops it.
+    out = stats.drop("text").withColumns({"failed_rules": failed, "_nr": F.monotonically_increasing_id()})
+    return out.withColumn("kind", F.coalesce(F.try_element_at(table, first), F.lit("prose"))).where("_nr >= 0").drop("_nr")
+
+
+def not_prose(df: DataFrame, id_col: str, text: str, common_words: DataFrame) -> DataFrame:
+    """(doc_id, kind, failed_rules) of the texts that are lists, tables or junk by
+    the rules they fail."""
+    return text_statistics(df, id_col, text, common_words).where("kind <> 'prose'").select("doc_id", "kind", F.array_join("failed_rules", ",").alias("failed_rules"))
