@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.sources.store import drop_table, materialise, shared_dir  # noqa: F401
+from corvane.sources.store import application_dir, drop_table, materialise, new_path, path_exists, scratch  # noqa: F401
 
 # ---------------------------------------------------------------- labels
 

@@ -10,6 +10,7 @@ labelled again.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -18,14 +19,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.byte_gru import ByteGRU
-from corvane.llm.common import LANGUAGES, language_code
+from corvane.llm.common import LANGUAGES, application_dir, language_code, path_exists
 
-_FORMULA = re.compile(r"\$\$[^$]*\$\$|\$[^$]{0,400}\$|\\\[.{0,400}?\\\]|\\\(.{0,400}?\\\)|</?[A-Za-z][^<>]{0,40}>|\\[A-Za-z]+(?:\{[^{}]*\})*|https?://\S+|(?i:\bstep\s+\d+\s*[:.)])", re.S)
+#: Formulas of any length (an opening without its end stops at the next one), tags, commands, links, step markers.
+_FORMULA = re.compile(
+    r"\$\$[^$]*\$\$|\$[^$]*\$|\\\[(?:[^\\]|\\(?!\[))*?\\\]|\\\((?:[^\\]|\\(?!\())*?\\\)"
+    r"|</?[A-Za-z][^<>]*>|\\[A-Za-z]+(?:\{[^{}]*\})*|https?://\S+|(?i:\bstep\s+\d+\s*[:.)])"
+)
 _SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?](?![\s\"'»”)㐀-鿿]|$)[^.!?。！？\n]*)*[.!?。！？\n]?")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _CJK = re.compile(r"[㐀-鿿]")
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 MIN_WORDS, MIN_CJK = 3, 4
+KEEP_SMALL = 4  # words in small letters from which a sentence is labelled by those alone
 
 
 def _blank(m: re.Match) -> str:
@@ -36,7 +41,8 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, what is labelled, letters) of the sentences of ``text`` that
     hold enough words to have a language. What is labelled is in lower case,
     without formulas, numbers and, where the sentence has other words in small
-    letters, capitalised words after the first (names)."""
+    letters, capitalised words (names); the first word is kept where those are
+    few."""
     out = []
     plain = _FORMULA.sub(_blank, text) if ("$" in text or "\\" in text or "<" in text or "tep" in text or "http" in text) else text
     for m in _SENTENCE.finditer(plain):
@@ -46,8 +52,12 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
         words = _NOT_LETTER.sub(" ", s).split()
         if not words:
             continue
-        if len(words) > 2 and any(w[0].islower() for w in words):
-            words = [w for i, w in enumerate(words) if i == 0 or not w[0].isupper()]
+        if len(words) > 2:
+            small = [w for w in words if not w[0].isupper()]
+            if len(small) >= KEEP_SMALL:
+                words = small
+            elif small:
+                words = words[:1] + [w for w in words[1:] if not w[0].isupper()]
         key = " ".join(words).lower()
         cjk = len(_CJK.findall(key)) if not key.isascii() else 0
         if cjk >= MIN_CJK or len(words) - (cjk > 0) >= MIN_WORDS:
@@ -66,50 +76,56 @@ def training_sample(df: DataFrame, text_cols: list[str], label: str, per_languag
     return [(r[c], LANGUAGES.index(r["_code"])) for r in rows for c in text_cols if r[c]]
 
 
-def train(rows: list[tuple[str, int]], hidden: int = 24, steps: int = 900, seed: int = 7, rounds: int = 3) -> ByteGRU:
+def _votes(texts: list[tuple[list[str], int]], use: list[int]) -> dict[str, list[int]]:
+    """How many of some texts hold each sentence, by the texts' labels."""
+    votes: dict[str, list[int]] = {}
+    for k in use:
+        for key in texts[k][0]:
+            votes.setdefault(key, [0] * len(LANGUAGES))[texts[k][1]] += 1
+    return votes
+
+
+def train(rows: list[tuple[str, int]], hidden: int = 24, steps: int = 900, seed: int = 7, rounds: int = 3, repair: int = 300, stress: float = 8.0) -> ByteGRU:
     """A network fitted to labelled texts, in ``rounds``.
 
     Received labels are partly wrong and some texts mix languages. So a
     sentence has the label of most texts that hold it, and is left out where no
     label has most; and after each round, texts whose pooled sentences the
-    network takes for another language than their label are left out."""
+    network takes for another language than their label are left out. In a last
+    round of ``repair`` steps, sentences that several texts agree on and that
+    the network still takes for something else weigh ``stress`` times as much:
+    a frequent short sentence that it has wrong would spoil every text with it."""
     net = ByteGRU(len(LANGUAGES), hidden, seed)
     texts = [(list(dict.fromkeys(s[2] for s in sentences(t))), y) for t, y in rows]
     use = [k for k, (keys, _) in enumerate(texts) if keys]
     for turn in range(rounds):
-        votes: dict[str, list[int]] = {}
-        for k in use:
-            for key in texts[k][0]:
-                votes.setdefault(key, [0] * len(LANGUAGES))[texts[k][1]] += 1
-        pairs = sorted((key, v.index(max(v)), max(v)) for key, v in votes.items() if 2 * max(v) > sum(v))
+        pairs = sorted((key, v.index(max(v)), max(v)) for key, v in _votes(texts, use).items() if 2 * max(v) > sum(v))
         if not pairs:
-            break
+            return net
         net.fit([p[0].encode() for p in pairs], np.array([p[1] for p in pairs]), np.sqrt([p[2] for p in pairs]), steps=steps // rounds, rate=0.02 / (turn + 1), seed=seed + turn)
-        if turn + 1 < rounds:
-            lab = Labeller(net)
-            lab.learn({key for keys, _ in texts for key in keys})
-            use = [k for k, (keys, y) in enumerate(texts) if keys and lab.most(keys) == y]
+        lab = Labeller(net)
+        lab.learn({key for keys, _ in texts for key in keys})
+        use = [k for k, (keys, y) in enumerate(texts) if keys and lab.most(keys) == y]
+    pairs = sorted((key, v.index(max(v)), max(v)) for key, v in _votes(texts, use).items() if max(v) >= 0.75 * sum(v))
+    if pairs and repair:
+        weights = [np.sqrt(n) * (stress if n > 1 and lab.seen[key][0] != y else 1) for key, y, n in pairs]
+        net.fit([p[0].encode() for p in pairs], np.array([p[1] for p in pairs]), np.array(weights), steps=repair, rate=0.005, seed=seed + rounds)
     return net
 
 
-def possible(keys: list[str]) -> np.ndarray:
-    """[text, language]: whether most letters of a text are of the language's
-    script. A text mostly in another script keeps all languages."""
-    out = np.ones((len(keys), len(LANGUAGES)), bool)
-    ru, zh = LANGUAGES.index("ru"), LANGUAGES.index("zh")
-    for i, k in enumerate(keys):
-        han = cyr = 0
-        if not k.isascii():
-            han, cyr = 2 * len(_CJK.findall(k)), len(_CYRILLIC.findall(k))
-        latin = len(k) - k.count(" ") - han // 2 - cyr
-        if han or cyr or latin:
-            only = zh if han >= max(cyr, latin) else ru if cyr >= max(han, latin) else -1
-            if only >= 0:
-                out[i] = False
-                out[i, only] = True
-            else:
-                out[i, [ru, zh]] = False
-    return out
+def fitted(df: DataFrame, text_cols: list[str], label: str, per_language: int, key: str, steps: int = 900) -> ByteGRU:
+    """The network of a table's sample. Its weights are kept in the shared folder
+    under a hash of the sample, so that one sample is fitted once, whichever
+    query asks first; the same sample gives the same weights."""
+    spark = df.sparkSession
+    rows = training_sample(df, text_cols, label, per_language, key)
+    mark = hashlib.md5(repr((steps, rows)).encode()).hexdigest()
+    path = f"{application_dir(spark)}/language-{mark}"
+    if path_exists(spark, path):
+        return ByteGRU.load(bytes(spark.read.parquet(path).first()["weights"]))
+    net = train(rows, steps=steps)
+    spark.createDataFrame([(bytearray(net.dump()),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return net
 
 
 class Labeller:
@@ -125,7 +141,6 @@ class Labeller:
         if not new:
             return
         pooled = self.net.pooled([k.encode() for k in new]) / self.temper
-        pooled[~possible(new)] -= 1e3
         pooled -= pooled.max(1, keepdims=True)
         p = np.exp(pooled)
         p /= p.sum(1, keepdims=True)
@@ -184,7 +199,7 @@ def identify(df: DataFrame, id_col: str, text_cols: list[str], label: str | None
     ignored; repeated ids give repeated rows; an empty table gives none.
     """
     if net is None:
-        net = train(training_sample(df, text_cols, label, per_language, id_col), steps=steps)
+        net = fitted(df, text_cols, label, per_language, id_col, steps)
     code = language_code(F.col(label)) if label else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), code.alias("label"), *[F.col(c).cast("string").alias(f"t{k}") for k, c in enumerate(text_cols)])
 
@@ -211,6 +226,20 @@ def identify(df: DataFrame, id_col: str, text_cols: list[str], label: str | None
     return rows.mapInArrow(run, SCHEMA)
 
 
+def calibration(df: DataFrame, id_col: str, text_cols: list[str], label: str, per_language: int = 400) -> DataFrame:
+    """(bin, n, mean_confidence, agreement): for tenths of the confidence in a
+    field's largest language, how many fields of rows outside the sample there
+    are and how many have the language of their label. Labels are partly wrong,
+    so agreement is below accuracy by the share of wrong labels."""
+    code = language_code(F.col(label))
+    rank = F.row_number().over(Window.partitionBy("_code").orderBy(F.xxhash64(id_col), id_col))
+    sampled = df.select(F.col(id_col).cast("bigint").alias("id"), code.alias("_code")).where(F.col("_code").isin(LANGUAGES)).withColumn("_r", rank).where(F.col("_r") <= per_language).select("id")
+    found = identify(df, id_col, text_cols, label, per_language).where(F.col("label").isin(LANGUAGES)).join(F.broadcast(sampled), "id", "left_anti")
+    top = F.get("languages", F.lit(0))
+    rows = found.select(top["confidence"].alias("p"), (top["lang"] == F.col("label")).cast("int").alias("ok"))
+    return rows.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean_confidence"), F.round(F.avg("ok"), 4).alias("agreement"))
+
+
 def mislabelled(found: DataFrame) -> DataFrame:
     """(id, field, lang): each language of the fields whose label is missing or
     names another language, or that hold sentences of more than one."""
