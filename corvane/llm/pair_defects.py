@@ -1,11 +1,12 @@
 """Problem 3: defective prompt/response pairs and their one type of defect.
 
 Responses are sorted by text over all partitions and each is compared with its
-next different neighbour: one that is a prefix of it is a shortened version.
-Lengths at which unusually many unfinished responses stop are length limits.
-With these marks, rules for emptiness, refusals, copies of the question,
-results that are missing or cut, and the language of the response settle the
-type. Ranges are drawn over (text, id), so that copies of one text are spread
+next different neighbour by the length of their common prefix: one that the
+neighbour goes on from is a shortened version. Lengths at which unusually many
+unfinished responses stop are length limits. These marks decide first; rules
+for emptiness, refusals, copies of the question, results that are missing or
+cut, and the language of the response decide where there is no mark. What
+decided is told by ``reason``. Ranges are drawn over (text, id), so that copies of one text are spread
 over partitions like all other rows.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise
+from corvane.llm.common import materialise, scratch
 
 MIN_PREFIX = 20
 
@@ -50,7 +51,8 @@ _VALUE = re.compile(
 _BOLD = re.compile(r"\*\*([^*\n]+)\*\*")
 _HASH = re.compile(r"####[ \t]*([^\n]*)")
 _PLAIN = re.compile(r"(?:[=:：]|\b(?:is|equals|be|gives?|est|vaut|égale? à|es|igual a|son|ist|gleich|beträgt|é|равн\w+|это)|是|等于|为)\s*(-?\d[\d.,]*(?:/\d+)?)\s*[.。!]?\s*$", re.I)
-_END_NOISE = re.compile(r"(?:\s|\.{2,}|…|\bQED\b|\bq\.e\.d\.?|[■∎□])+$", re.I)
+_END_NOISE = re.compile(r"(?:\.{2,}|…|\bQED|\bq\.e\.d\.?|[■∎□])$", re.I)
+MAX_TAIL = 60  # characters that may follow the formula of a stated result
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'»”)*]*\s*$")
 _WORD = re.compile(r"[^\W_㐀-鿿]+|[㐀-鿿]")
 _THREE_WORDS = re.compile(r"(?:(?<![</\\\w])[^\W\d_]{2,}(?![>\w])[^\w<>]+){3}")
@@ -86,10 +88,20 @@ def content(s: str) -> str:
     return re.sub(r"[\s$#*:_.,;!?…\[\](){}\\|=\-–—]+", " ", t).strip()
 
 
+def without_end_noise(s: str) -> str:
+    """Without dots, ends-of-proof and blanks at the end, however many."""
+    while True:
+        t = s.rstrip()
+        m = _END_NOISE.search(t, max(0, len(t.rstrip(".")) - 8))
+        if not m:
+            return t
+        s = t[: m.start()]
+
+
 def stated_result(s: str, problem: str) -> str | None:
     """The result a response states, or None."""
     body = (_TAGS.sub(" ", s) if "<" in s else s).rstrip()
-    body = (body[:-60] + _END_NOISE.sub("", body[-60:])).rstrip()
+    body = without_end_noise(body)
     boxes, open_end = closed_boxes(body) if "\\boxed{" in body else ([], False)
     boxes = [b for b in boxes if b]
     if boxes and not open_end:
@@ -110,14 +122,14 @@ def stated_result(s: str, problem: str) -> str | None:
         value = next(g for g in last.groups() if g is not None).strip()
         tail = body[last.end() :]
         head = body[: last.start()]
-        if len(tail) <= 60 and "?" not in tail and "？" not in tail and not re.search(r"[.!。！]\s*\S", tail):
+        if len(tail) <= MAX_TAIL and "?" not in tail and "？" not in tail and not re.search(r"[.!。！]\s*\S", tail):
             sentence = re.split(r"[.!?。！？]\s+|[。！？\n]", head)[-1]
             if _VALUE.match(value) and len(_WORD.findall(sentence + tail)) >= 2 and (sentence.strip() + "$" + value + "$") not in problem:
                 if _SENTENCE_END.search(body) or not tail.strip() or len(_WORD.findall(tail)) <= 4:
                     return value
             if _NO_SOLUTION.search(sentence) and _SENTENCE_END.search(body):
                 return value
-    if body.count("$") % 2 == 0 and (m := _PLAIN.search(body[-80:])):
+    if body.count("$") % 2 == 0 and (m := _PLAIN.search(body, body.rfind("\n") + 1)):
         return m.group(1)
     sentence = re.split(r"(?<=[.!?。！？])\s+|\n", body)[-1]
     if _NO_SOLUTION.search(sentence) and _SENTENCE_END.search(body):
@@ -126,7 +138,7 @@ def stated_result(s: str, problem: str) -> str | None:
 
 
 def plain_result(r: str) -> str:
-    r = re.sub(r"\\(?:text|mathrm|textbf)\{([^{}]*)\}", r"\1", _END_NOISE.sub("", r))
+    r = re.sub(r"\\(?:text|mathrm|textbf)\{([^{}]*)\}", r"\1", without_end_noise(r))
     return re.sub(r"[\s$]|\\[,;! ]|\.$", "", r)
 
 
@@ -219,8 +231,9 @@ def judge(problem: str, solution: str, answer: str | None, langs: Languages) ->
 
 
 def _trim(c):
-    tail = F.regexp_replace(F.right(c, F.lit(60)), r"(?:</?[A-Za-z]+>|\s|\.{2,}|…)+$", "")
-    return F.ltrim(F.concat(F.left(c, F.greatest(F.length(c) - 60, F.lit(0))), tail))
+    """Without tags, blanks and dots at the end; runs are taken whole, so that a
+    text is passed once."""
+    return F.ltrim(F.regexp_replace(c, r"(?<!\s)(?:</?[A-Za-z]+>|\s++|(?<!\.)\.{2,}+|…++)+\z", ""))
 
 
 def shortened_versions(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -306,11 +319,12 @@ def defects(df: DataFrame, common_words: DataFrame, id_col: str = "id", problem:
     A null solution is empty; a null problem is the empty text; a null answer is
     no defect; rows with repeated ids are judged each. ``shortened`` tells that
     another response goes on where this one stops, ``at_limit`` that it stops at
-    a length limit: a response that breaks off within a sentence is truncated
-    with either mark even if a value stands in it earlier. Texts are read whole;
+    a length limit: a response that breaks off within a sentence is truncated by
+    either mark, whatever stands in it earlier, unless it is empty, a refusal or
+    a copy of the question. Texts are read whole;
     other columns are ignored; an empty table gives none.
     """
-    words = [(r["lang"], r["word"]) for r in common_words.where("lang is not null and word is not null").select("lang", "word").limit(5000).collect()]
+    words = [(r["lang"], r["word"]) for r in common_words.where("lang is not null and word is not null").select("lang", "word").distinct().collect()]  # a fixed small table
 
     def run(batches):
         langs = Languages(words)
@@ -325,9 +339,12 @@ def defects(df: DataFrame, common_words: DataFrame, id_col: str = "id", problem:
             )
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), *[F.col(c).cast("string").alias(k) for k, c in (("p", problem), ("s", solution), ("a", answer))])
-    judged = materialise(rows.mapInArrow(run, "id bigint, defect string, reason string, stops boolean, n int").where("defect is not null or stops"), "judged")
-    short = shortened_versions(df, id_col, solution).distinct().withColumn("shortened", F.lit(True))
-    limits = length_limits(judged.where("stops and n > 0")).withColumn("at_limit", F.lit(True))
-    marked = judged.join(short, "id", "left").join(limits, "n", "left").na.fill(False, ["shortened", "at_limit"])
-    broken = F.col("defect").isNull() & F.col("stops") & (F.col("shortened") | F.col("at_limit"))
-    return marked.withColumn("reason", F.when(broken, F.lit("breaks off")).otherwise(F.col("reason"))).withColumn("defect", F.when(broken, F.lit("truncated")).otherwise(F.col("defect"))).where("defect is not null").select("id", "defect", "reason", "shortened", "at_limit")
+    with scratch(df.sparkSession) as tables:
+        judged = materialise(rows.mapInArrow(run, "id bigint, defect string, reason string, stops boolean, n int").where("defect is not null or stops"), "judged")
+        short = shortened_versions(df, id_col, solution).distinct().withColumn("shortened", F.lit(True))
+        limits = length_limits(judged.where("stops and n > 0")).withColumn("at_limit", F.lit(True))
+        marked = judged.join(short, "id", "left").join(F.broadcast(limits), "n", "left").na.fill(False, ["shortened", "at_limit"])  # distinct lengths with a spike
+        open_ended = F.col("stops") & ~F.coalesce(F.col("defect"), F.lit("")).isin("empty", "refusal", "copied_question")
+        marks = F.when(open_ended & F.col("shortened"), "shortened version of a neighbour").when(open_ended & F.col("at_limit"), "stops at a length limit")
+        out = marked.select("id", F.when(marks.isNotNull(), "truncated").otherwise(F.col("defect")).alias("defect"), F.coalesce(marks, "reason").alias("reason"), "shortened", "at_limit")
+        return tables.keep(materialise(out.where("defect is not null"), "defects"))
