@@ -2,10 +2,12 @@
 
 Evaluation texts are cut into passages of a few normalised words. All passages
 go, in shards of whole evaluation texts of bounded size, into Aho-Corasick
-automata; every training text is scanned whole by every shard. The length of
-matched passages gives the coverage of each evaluation text, and pairs with
-enough of it are settled by the exact similarity of the texts. Texts with the
-same words are one text throughout and come apart again only in the result.
+automata; every training text is scanned whole by every shard. The matched
+passages of an evaluation text, as intervals of it, are merged into its
+coverage: by one training text, which together with the exact similarity of the
+texts settles the pairs, and by all of them, which is reported for each
+evaluation record. Texts with the same words are one text throughout and come
+apart again only in the result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, materialise, shared_dir, shingles, word_hashes
+from corvane.llm.common import chunks, materialise, new_path, scratch, shingles, word_hashes
 from corvane.llm.near_dup import fingerprint_batch
 
 _ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -108,6 +110,7 @@ class _Shard:
         self.start = np.cumsum(self.count) - self.count
         self.size = np.array([len(p) for p in number], np.float64)
         self.least = least_coverage * np.bincount(at, self.size[key], len(cut))
+        self.found = np.zeros(len(number), bool)  # by any text so far
         self.automaton = ahocorasick.Automaton()
         for p, k in number.items():
             self.automaton.add_word(p.decode("latin-1"), k)
@@ -117,6 +120,7 @@ class _Shard:
         """(text, evaluation text) with enough of the evaluation text covered."""
         keys = [list({k for _, k in self.automaton.iter(t)}) for t in texts]
         flat = np.fromiter((k for ks in keys for k in ks), np.int64)
+        self.found[flat] = True
         count = self.count[flat]
         rows = np.repeat(self.start[flat] - np.cumsum(count) + count, count) + np.arange(count.sum())
         owner = np.repeat(np.repeat(np.arange(len(keys)), [len(ks) for ks in keys]), count)
@@ -129,7 +133,7 @@ class _Shard:
         return self.sets[k]
 
 
-def _read_shard(path: str, shard: int, least_coverage: float) -> _Shard | None:
+def _read_shard(path: str, shard: int) -> pa.Table | None:
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
@@ -143,7 +147,10 @@ def _read_shard(path: str, shard: int, least_coverage: float) -> _Shard | None:
     files = sorted(i.path for i in infos if i.path.endswith(".parquet"))
     if not files:
         return None
-    t = pa.concat_tables(pq.ParquetFile(system.open_input_file(f)).read(["content", "text", "passages"]) for f in files).combine_chunks()
+    return pa.concat_tables(pq.ParquetFile(system.open_input_file(f)).read(["content", "text", "passages"]) for f in files).combine_chunks()
+
+
+def _automaton(t: pa.Table, least_coverage: float) -> _Shard:
     return _Shard(t.column("content").to_numpy(), pa.concat_arrays(t.column("text").chunks), t.column("passages").to_pylist(), least_coverage)
 
 
@@ -151,8 +158,9 @@ BLOCK = 32  # training texts compared with a shard at a time
 
 
 def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_coverage: float) -> DataFrame:
-    """(ct, ce): contents of training and evaluation texts that are near. A task
-    reads its texts once, as one list of normalised texts, and lets one shard
+    """(ct, ce, shard, passage): contents of training and evaluation texts that are
+    near, and, without contents, the passages of a shard that a task has found in
+    any text, each once. A task reads its texts once, as one list of normalised texts, and lets one shard
     after the other run over them, so it holds one automaton at a time. A shard
     holds whole evaluation texts, so their coverage is known where it is found,
     and the exact similarity is taken there too."""
@@ -165,9 +173,10 @@ def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_cov
         def found():
             n = np.array([len(x) for x in words])
             for k in range(shards):
-                shard = _read_shard(path, k, least_coverage)
-                if shard is None:
+                table = _read_shard(path, k)
+                if table is None:
                     continue
+                shard = _automaton(table, least_coverage)
                 ct, ce = [], []
                 for lo in range(0, len(texts), BLOCK):
                     x, y = shard.near(texts[lo : lo + BLOCK])
@@ -182,8 +191,13 @@ def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_cov
                         if common / max(1, n[i] + shard.n[j] - common) >= similarity:
                             ct.append(contents[i])
                             ce.append(int(shard.contents[j]))
-                del shard
-                yield pa.RecordBatch.from_arrays([pa.array(ct, pa.int64()), pa.array(ce, pa.int64())], ["ct", "ce"])
+                found = np.flatnonzero(shard.found)
+                del shard, table
+                none = [None] * len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ct + none, pa.int64()), pa.array(ce + none, pa.int64()), pa.array([k] * (len(ct) + len(found)), pa.int32()), pa.array([None] * len(ct) + found.tolist(), pa.int32())],
+                    ["ct", "ce", "shard", "passage"],
+                )
 
         size = 0
         for b in batches:
@@ -198,7 +212,81 @@ def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_cov
         if contents:
             yield from found()
 
-    return train.select("content", "text").mapInArrow(run, "ct bigint, ce bigint")
+    return train.select("content", "text").mapInArrow(run, "ct bigint, ce bigint, shard int, passage int")
+
+
+def merged(found: list[bool], bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The found ones of consecutive intervals, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for ok, (start, end) in zip(found, bounds):
+        if ok and out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        elif ok:
+            out.append((start, end))
+    return out
+
+
+def _coverage(found: DataFrame, path: str, shards: int) -> DataFrame:
+    """(ce, coverage, n_intervals, longest) of each evaluation text: the share of
+    its normalised text in the merged intervals of passages that any training
+    text holds, how many intervals these are, and the length of the longest.
+    ``found`` (shard, passage) is bounded for a shard by its passages."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        (shard,) = key
+        table = _read_shard(path, int(shard))
+        if table is None:
+            return pd.DataFrame({"ce": [], "coverage": [], "n_intervals": [], "longest": []})
+        hit = set(pdf.passage.dropna().astype(int).tolist())
+        number: dict[bytes, int] = {}
+        rows = []
+        for content, cut in zip(table.column("content").to_pylist(), table.column("passages").to_pylist()):
+            ok, bounds, at = [], [], 0
+            for p in cut:
+                ok.append(number.setdefault(p, len(number)) in hit)
+                bounds.append((at, at + len(p)))
+                at += len(p) - 1  # neighbours share the blank between them
+            spans = merged(ok, bounds)
+            rows.append((content, sum(e - s for s, e in spans) / max(1, bounds[-1][1]), len(spans), max((e - s for s, e in spans), default=0)))
+        return pd.DataFrame(rows, columns=["ce", "coverage", "n_intervals", "longest"])
+
+    every = found.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("int").alias("passage"))
+    return found.unionByName(every).groupBy("shard").applyInPandas(run, "ce bigint, coverage double, n_intervals int, longest int")
+
+
+def _search(df: DataFrame, id_col: str, text: str, split: str, train: str, similarity: float, least_coverage: float, shard_passages: int, max_broadcast_ids: int, coverage: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(marks (id, content, train), near (ct, ce), coverage of evaluation contents
+    or None), as tables."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(split) == train, F.lit(False)).alias("train")).where("id is not null and text is not null")
+    hashed = materialise(_content(rows).where("n > 0").withColumn("rid", F.monotonically_increasing_id()), "hashed")
+    marks = materialise(hashed.select("id", "content", "train").distinct(), "marks")
+    reps = materialise(hashed.groupBy("content", "train").agg(F.min(F.struct("id", "rid")).alias("r")).select(F.col("r.rid").alias("rid")), "reps")
+    copies = materialise(hashed.select("rid").join(reps, "rid", "left_anti"), "copies")
+    few = copies.count() <= max_broadcast_ids
+    texts = hashed.join(F.broadcast(copies) if few else copies, "rid", "left_anti").select("content", "text", "train")
+    cut = materialise(_cut(texts.where("not train")), "cut")
+    n = cut.agg(F.sum(F.size("passages"))).first()[0]
+    spark = df.sparkSession
+    if not n:
+        return marks, spark.createDataFrame([], "ct bigint, ce bigint"), spark.createDataFrame([], "ce bigint, coverage double, n_intervals int, longest int")
+    shards = -(-n // shard_passages)
+    path = new_path(spark, "shards")
+    cut.where("size(passages) > 0").withColumn("shard", F.pmod(F.xxhash64("content"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    scanned = materialise(_scan(texts.where("train"), path, shards, similarity, least_coverage).where("ct is null or ct <> ce"), "scanned")
+    near = scanned.where("ct is not null").select("ct", "ce")
+    found = scanned.where("ct is null").select("shard", "passage").distinct()
+    return marks, near, materialise(_coverage(found, path, shards), "coverage") if coverage else None
+
+
+def _sides(marks: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(training records (ct, train_id), evaluation records (ce, eval_id), links
+    (ct, ce) between contents, equal ones included)."""
+    train = marks.where("train").select(F.col("content").alias("ct"), F.col("id").alias("train_id"))
+    held = marks.where("not train").select(F.col("content").alias("ce"), F.col("id").alias("eval_id"))
+    same = train.select("ct").distinct().join(held.select(F.col("ce").alias("ct")).distinct(), "ct", "left_semi").select("ct", F.col("ct").alias("ce"))
+    return train, held, same.unionByName(near)
 
 
 def cross_split_pairs(
@@ -214,32 +302,44 @@ def cross_split_pairs(
     wordless texts have no partner; a null id is dropped; repeated ids count
     once; other columns are ignored; an empty table gives none.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(split) == train, F.lit(False)).alias("train")).where("id is not null and text is not null")
-    hashed = materialise(_content(rows).where("n > 0").withColumn("rid", F.monotonically_increasing_id()), "hashed")
-    marks = hashed.select("id", "content", "train").distinct()
-    reps = materialise(hashed.groupBy("content", "train").agg(F.min(F.struct("id", "rid")).alias("r")).select(F.col("r.rid").alias("rid")), "reps")
-    copies = materialise(hashed.select("rid").join(reps, "rid", "left_anti"), "copies")
-    few = copies.count() <= max_broadcast_ids
-    texts = hashed.join(F.broadcast(copies) if few else copies, "rid", "left_anti").select("content", "text", "train")
-    cut = materialise(_cut(texts.where("not train")), "cut")
-    n = cut.agg(F.sum(F.size("passages"))).first()[0]
-    if not n:
-        return df.sparkSession.createDataFrame([], "train_id bigint, eval_id bigint")
-    shards = -(-n // shard_passages)
-    path = f"{shared_dir(df.sparkSession)}/corvane/shards-{np.random.default_rng().integers(1 << 62):x}"
-    cut.where("size(passages) > 0").withColumn("shard", F.pmod(F.xxhash64("content"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    sure = materialise(_scan(texts.where("train"), path, shards, similarity, least_coverage).where("ct <> ce"), "near")
-    same = marks.where("train").select("content", F.col("id").alias("train_id")).join(marks.where("not train").select("content", F.col("id").alias("eval_id")), "content").select("train_id", "eval_id")
-    almost = (
-        sure.join(marks.where("train").select(F.col("content").alias("ct"), F.col("id").alias("train_id")), "ct")
-        .join(marks.where("not train").select(F.col("content").alias("ce"), F.col("id").alias("eval_id")), "ce")
-        .select("train_id", "eval_id")
-    )
-    return same.unionByName(almost).where("train_id <> eval_id")
+    with scratch(df.sparkSession) as tables:
+        marks, near, _ = _search(df, id_col, text, split, train, similarity, least_coverage, shard_passages, max_broadcast_ids, False)
+        left, right, links = _sides(marks, near)
+        pairs = links.join(left, "ct").join(right, "ce").select("train_id", "eval_id").where("train_id <> eval_id")
+        return tables.keep(materialise(pairs, "pairs"))
 
 
-def overlap_report(pairs: DataFrame, df: DataFrame, id_col: str = "id", split: str = "split_name", source: str = "source") -> DataFrame:
-    """(split_name, source, n_pairs, n_records): overlapping pairs and distinct
-    evaluation records per split and source of the evaluation record."""
-    per = pairs.groupBy("eval_id").agg(F.count("*").alias("n"))
-    return per.join(df.select(F.col(id_col).alias("eval_id"), F.col(split).alias("split_name"), F.col(source).alias("source")), "eval_id").groupBy("split_name", "source").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_records"))
+def overlap_by_record(
+    df: DataFrame, id_col: str = "id", text: str = "problem", split: str = "split_name", source: str = "source", train: str = "train", similarity: float = 0.55, least_coverage: float = 0.2, shard_passages: int = 100_000, max_broadcast_ids: int = 100_000
+) -> DataFrame:
+    """(id, split_name, source, n_partners, coverage, n_intervals, longest): one row
+    for each evaluation record with words.
+
+    ``n_partners`` training records are the same or almost the same, counted by
+    distinct texts, so that copies on both sides are never expanded to pairs;
+    ``coverage`` is the share of the record in merged intervals of passages that
+    stand anywhere in the training texts. Ids are taken to be unique; else as
+    :func:`cross_split_pairs`.
+    """
+    with scratch(df.sparkSession) as tables:
+        marks, near, cover = _search(df, id_col, text, split, train, similarity, least_coverage, shard_passages, max_broadcast_ids, True)
+        left, right, links = _sides(marks, near)
+        partners = links.join(left.groupBy("ct").agg(F.count("*").alias("c")), "ct").groupBy("ce").agg(F.sum("c").alias("n_partners"))
+        per = partners.join(cover, "ce", "full").join(right, "ce")
+        named = df.select(F.col(id_col).cast("bigint").alias("eval_id"), F.col(split).alias("split_name"), F.col(source).alias("source")).where(~F.coalesce(F.col("split_name") == train, F.lit(False)))
+        out = per.join(named, "eval_id").select(F.col("eval_id").alias("id"), "split_name", "source", F.coalesce("n_partners", F.lit(0)).alias("n_partners"), F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"), F.coalesce("n_intervals", F.lit(0)).alias("n_intervals"), F.coalesce("longest", F.lit(0)).alias("longest"))
+        return tables.keep(materialise(out, "overlap"))
+
+
+def overlap_report(records: DataFrame) -> DataFrame:
+    """(split_name, source, n_records, n_overlapping, n_pairs, mean_coverage,
+    n_covered): evaluation records per split and source, those with a partner in
+    training, their pairs, the mean share of a record that stands somewhere in
+    training, and the records of which at least 80 % do."""
+    return records.groupBy("split_name", "source").agg(
+        F.count("*").alias("n_records"),
+        F.sum(F.when(F.col("n_partners") > 0, 1).otherwise(0)).alias("n_overlapping"),
+        F.sum("n_partners").alias("n_pairs"),
+        F.round(F.avg("coverage"), 4).alias("mean_coverage"),
+        F.sum(F.when(F.col("coverage") >= 0.8, 1).otherwise(0)).alias("n_covered"),
+    )
