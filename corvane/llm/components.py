@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from corvane.llm.common import drop_table, materialise
 
 
-def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component) for each id in ``links`` (a, b); the component is its
     smallest id. Alternating large-star and small-star contraction: each round
     is two aggregations and two joins on the links alone, so a hub is only ever
     reduced by its minimum, never gathered. Links that are null on a side or
-    loops are ignored; no links give an empty table."""
+    loops are ignored; no links give an empty table. Links that have not come to
+    rest after ``max_rounds`` raise an error (rounds grow as the logarithm of the
+    longest path)."""
     edges = materialise(
         links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi is not null and lo is not null and hi > lo").distinct(), "cc"
     )
@@ -33,6 +35,8 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         edges, mark, old = new, new_mark, mark
         if mark == old:
             break
+    else:
+        raise RuntimeError(f"components have not come to rest in {max_rounds} rounds")
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(edges.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 
 

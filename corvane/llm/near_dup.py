@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CHUNK_BYTES, chunks, materialise, mix64, shingles, word_hashes
+from corvane.llm.common import CHUNK_BYTES, chunks, materialise, mix64, scratch, shingles, word_hashes
 from corvane.llm.components import connected_components
 
 BITS, RADIUS, GENERATOR = 23, 3, 0b101011100011
@@ -335,23 +335,25 @@ def exact_similarity(pairs: DataFrame, texts: DataFrame, max_broadcast_ids: int
 def near_duplicate_groups(
     df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 6, band_threshold: int = 1, sure: int | None = None, limit: int | None = None, bin_rows: int = 2_000_000, extra: int = 0
 ) -> DataFrame:
-    """(id, class_id, group_id, n_links): one row per record of ``df``.
+    """(id, class_id, group_id): one row per record of ``df``.
 
     ``class_id`` is the smallest id with the same words in the same order;
     ``group_id`` the smallest id of its near-duplicate group (its own class
-    where it is alone); ``n_links`` the number of other classes its class is
-    linked to. ``text_cols`` are compared together, null counting as empty.
+    where it is alone). ``text_cols`` are compared together, null counting as empty.
 
     ``extra`` (0 to 12) bits a band give more anchors with fewer texts each.
 
-    Links of fingerprint distance up to ``sure`` are taken, those between
-    ``sure`` and ``limit`` are settled by the exact similarity. In crowds of
-    near copies only the links that their connected parts need are made, and
-    ``n_links`` counts those. Records without
-    any word have no class: their ids stand for themselves. A null id is
-    dropped; repeated ids count once; other columns are ignored. An empty table
-    gives an empty result.
+    Links of fingerprint distance up to ``sure`` are taken; those between
+    ``sure`` and ``limit`` are settled by the exact similarity, unless the sure
+    ones have joined their two parts already. Records without any word have no
+    class: their ids stand for themselves. A null id is dropped; repeated ids
+    count once; other columns are ignored. An empty table gives an empty result.
     """
+    with scratch(df.sparkSession) as tables:
+        return tables.keep(materialise(_groups(df, id_col, text_cols, similarity, bands, band_threshold, sure, limit, bin_rows, extra), "groups"))
+
+
+def _groups(df, id_col, text_cols, similarity, bands, band_threshold, sure, limit, bin_rows, extra) -> DataFrame:
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.concat_ws(" ", *text_cols).alias("text")).where("id is not null")
     width, bands = BITS + extra, bands_for(bands, extra)
     bits = bands * width
@@ -362,24 +364,30 @@ def near_duplicate_groups(
     reps = materialise(marks.where("n > 0").groupBy("content", *fps).agg(F.min("id").alias("id")).select("id", *fps), "reps")
     close = _close_pairs(reps, bands, width, band_threshold, limit, sure, bin_rows)
     pairs = materialise(close.groupBy("a", "b").agg(F.min("d").alias("d")).where("a <> b"), "pairs")
-    doubtful = pairs.where(F.col("d") > sure).select("a", "b")
-    if doubtful.count() > reps.count():  # crowds: only what could join parts is worth an exact look
-        part = materialise(connected_components(pairs.where(F.col("d") <= sure).select("a", "b")), "parts")
-        sides = doubtful.join(part.select(F.col("id").alias("a"), F.col("component").alias("_pa")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("component").alias("_pb")), "b", "left")
-        doubtful = sides.where("coalesce(_pa, a) <> coalesce(_pb, b)").select("a", "b")
-    unsure = exact_similarity(doubtful, texts).where(F.col("similarity") >= similarity)
-    links = materialise(pairs.where(F.col("d") <= sure).select("a", "b").unionByName(unsure.select("a", "b")), "links")
-    comps = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-    named = comps.join(degree, "id", "left").select(F.col("id").alias("class_id"), F.col("component"), F.col("count").alias("n_links"))
+    part = materialise(connected_components(pairs.where(F.col("d") <= sure).select("a", "b")), "parts")
+    side = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    sides = pairs.where(F.col("d") > sure).select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    sides = materialise(sides.select("a", "b", F.coalesce("_a", "a").alias("pa"), F.coalesce("_b", "b").alias("pb")).where("pa <> pb"), "sides")
+    near = exact_similarity(sides.select("a", "b"), texts).where(F.col("similarity") >= similarity)
+    joined = connected_components(sides.join(near.select("a", "b"), ["a", "b"], "left_semi").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    over = materialise(joined.select(F.col("id").alias("component"), F.col("component").alias("_top")), "over")  # parts that came together
+    inside = part.join(over, "component", "left").select(F.col("id").alias("class_id"), F.coalesce("_top", "component").alias("component"))
+    alone = over.join(part.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("class_id"), F.col("_top").alias("component"))
+    named = inside.unionByName(alone)
     classes = marks.groupBy("content", F.when(F.col("n") == 0, F.col("id")).alias("empty_id")).agg(F.min("id").alias("class_id"))
     members = marks.select("id", "content", F.when(F.col("n") == 0, F.col("id")).alias("empty_id")).distinct()
     with_class = members.join(classes, (members["content"] == classes["content"]) & members["empty_id"].eqNullSafe(classes["empty_id"])).select("id", "class_id")
-    return with_class.join(named, "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return with_class.join(named, "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"))
+
 
+def pairs_of_groups(groups: DataFrame, rows_a_task: int = 2048) -> DataFrame:
+    """(id_a < id_b) of all records that share a group.
 
-def pairs_of_groups(groups: DataFrame) -> DataFrame:
-    """(id_a < id_b) of all records that share a group."""
-    size = groups.groupBy("group_id").count().where("count > 1").select("group_id")
-    inside = materialise(groups.join(size, "group_id", "left_semi").select("id", "group_id"), "members")
-    return inside.select(F.col("id").alias("id_a"), "group_id").join(inside.select(F.col("id").alias("id_b"), "group_id"), "group_id").where("id_a < id_b").select("id_a", "id_b")
+    A group of more than ``rows_a_task`` records is dealt out to as many salts as
+    it has multiples of that: each record is once on the left, under its own
+    salt, and on the right under all salts of its group."""
+    size = groups.groupBy("group_id").count().where("count > 1").select("group_id", F.ceil(F.col("count") / rows_a_task).cast("int").alias("salts"))
+    inside = groups.join(size, "group_id").select("id", "group_id", "salts")
+    left = inside.select(F.col("id").alias("id_a"), "group_id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    right = inside.select(F.col("id").alias("id_b"), "group_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["group_id", "salt"]).where("id_a < id_b").select("id_a", "id_b")
