@@ -5,19 +5,18 @@ records, and a rest below one copy. The rest is drawn by Pareto order sampling:
 records are ranked by random odds divided by inclusion odds, inclusion being in
 proportion to size, and the first ones up to the rest's size are taken. The
 ranking is never sorted as a whole: sizes are summed over fine buckets of the
-rank first, and only the bucket in which a source's rest ends is ordered: from
-there on, records that still fit are taken in the order of their ranks.
+rank first, and only the bucket in which a source's rest ends is ordered; the
+gap that is left there is filled by the largest later records that fit.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise, source_key
+from corvane.llm.common import materialise, scratch, source_key
 
 BINS_PER_OCTAVE = 16
 
@@ -72,19 +71,30 @@ def inclusion_scale(bins: list[tuple[float, int]], rest: float) -> float:
     return hi
 
 
-def mixture(sizes: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seed: int = 17, buckets: int = 65_536, edge_rows: int = 1024) -> tuple[DataFrame, DataFrame]:
+def mixture(sizes: DataFrame, catalogue: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """((doc_id, source, n_tokens, copies), shares).
 
+    Options: ``id_col``, ``source`` and ``size`` name the columns, ``total`` is
+    the size wanted, ``seed`` draws another sample, ``buckets`` cut the ranks.
+
     The first has each record that is used and how often; the second, for each
     catalogued source: source, target_weight, max_repeats, available_tokens,
     target_tokens, n_records, actual_tokens, actual_share. The catalogue
     (source, target_weight, max_repeats) is a fixed small table. Records outside
     it, with a null source or id, or without size are not used. Repeated ids
     stand for one record (the largest). No usable record gives empty results.
-    ``edge_rows`` ranks after the place where a source's rest would be exceeded
-    are tried for what is left of it.
+    Where the next rank would exceed a source's rest, up to ``fillers`` records of
+    later ranks follow, each the largest that still fits; a record larger than the
+    whole rest is in no sample. A source of the catalogue that stands in it twice
+    has the values of one of its rows.
     """
-    cat = {r["source"]: r for r in catalogue.select("source", "target_weight", "max_repeats").where("source is not null").limit(100_000).collect()}
+    with scratch(sizes.sparkSession) as tables:
+        used, shares = _mixture(sizes, catalogue, **options)
+        return tables.keep(used), shares
+
+
+def _mixture(sizes: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seed: int = 17, buckets: int = 65_536, fillers: int = 3) -> tuple[DataFrame, DataFrame]:
+    cat = {r["source"]: r for r in catalogue.select("source", "target_weight", "max_repeats").where("source is not null").collect()}
     names = F.broadcast(catalogue.select(source_key(F.col("source")).alias("_k"), F.col("source").alias("_name")).dropDuplicates(["_k"]))
     rows = sizes.select(F.col(id_col).cast("bigint").alias("doc_id"), source_key(F.col(source)).alias("_k"), F.col(size).cast("bigint").alias("n_tokens")).where("doc_id is not null and n_tokens > 0")
     rows = rows.join(names, "_k").groupBy("doc_id").agg(F.max(F.struct("n_tokens", "_name")).alias("m")).select("doc_id", F.col("m._name").alias("source"), F.col("m.n_tokens").alias("n_tokens"))
@@ -113,20 +123,18 @@ def mixture(sizes: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", sour
     starts = sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
     cut = starts.where("before < rest and before + t >= rest").groupBy("source").agg(F.min(F.struct("bucket", "before")).alias("c")).select("source", F.col("c.bucket").alias("cut"), F.col("c.before").alias("before"))
     placed = ranked.join(F.broadcast(cut), "source", "left")  # one row a catalogued source
-    first = Window.partitionBy("source").orderBy("rank", "doc_id")
-    zone = placed.where("bucket >= cut").withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= edge_rows)
-
-    def fit(pdf):
-        so_far, rest = float(pdf.before.iloc[0]), float(pdf.rest.iloc[0])
-        out = []
-        for doc, n in pdf.sort_values(["rank", "doc_id"])[["doc_id", "n_tokens"]].itertuples(index=False):
-            if so_far + n <= rest:
-                out.append(doc)
-                so_far += n
-        return pd.DataFrame({"doc_id": pd.Series(out, dtype="int64"), "_edge": pd.Series([1] * len(out), dtype="int32")})
-
-    edge = zone.groupBy("source").applyInPandas(fit, "doc_id bigint, _edge int")
-    chosen = placed.join(edge, "doc_id", "left").withColumn("extra", F.when(F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))), 1).otherwise(F.coalesce("_edge", F.lit(0))))
+    upto_here = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over one bucket of a source
+    edge = placed.where("bucket = cut").withColumn("upto", F.col("before") + F.sum("n_tokens").over(upto_here)).where("upto <= rest").select("doc_id", "source", "n_tokens", "upto")
+    edge = materialise(edge, "edge")
+    gaps = cut.join(plan.select("source", "rest"), "source").join(edge.groupBy("source").agg(F.max("upto").alias("upto")), "source", "left").select("source", (F.col("rest") - F.coalesce("upto", "before")).alias("gap"))
+    chosen_edge = edge.select("doc_id")
+    later = placed.where("bucket >= cut").select("doc_id", "source", "rank", "n_tokens")
+    for _ in range(fillers):  # one record a source and round
+        fits = later.join(F.broadcast(gaps), "source").where("n_tokens <= gap").join(chosen_edge, "doc_id", "left_anti")
+        best = materialise(fits.groupBy("source").agg(F.max(F.struct("n_tokens", -F.col("rank"), "doc_id")).alias("m")).select("source", F.col("m.doc_id").alias("doc_id"), F.col("m.n_tokens").alias("n")), "filler")
+        gaps = gaps.join(best, "source", "left").select("source", (F.col("gap") - F.coalesce("n", F.lit(0))).alias("gap"))
+        chosen_edge = chosen_edge.unionByName(best.select("doc_id"))
+    chosen = placed.join(chosen_edge.withColumn("_edge", F.lit(1)), "doc_id", "left").withColumn("extra", F.when(F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))), 1).otherwise(F.coalesce("_edge", F.lit(0))))
     used = materialise(chosen.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies"), "mixture")
     got = used.groupBy("source").agg(F.count("*").alias("n_records"), F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"))
     everything = F.sum("actual_tokens").over(Window.partitionBy(F.lit(1)))

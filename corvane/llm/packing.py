@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise
+from corvane.llm.common import materialise, scratch
 
 _OUT = "pack_name string, container string, item string, n bigint, left_open boolean"
 
@@ -92,6 +92,11 @@ def pack(sizes: DataFrame, capacities: dict[str, int], id_col: str = "doc_id", s
     size alone, so the result is the same on every cluster. An empty table
     gives none. ``capacities`` is a fixed small mapping.
     """
+    with scratch(sizes.sparkSession) as tables:
+        return tables.keep(materialise(_packed(sizes, capacities, id_col, size, open_windows, tokens_per_part, fan_in), "packed"))
+
+
+def _packed(sizes: DataFrame, capacities: dict[str, int], id_col: str, size: str, open_windows: int, tokens_per_part: int, fan_in: int) -> DataFrame:
     rows = sizes.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
     rows = materialise(rows.groupBy("doc_id", "n").agg(F.count("*").alias("_m")).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int")))).select("doc_id", "n", F.col("_c").alias("copy_no")), "sizes")
     total = rows.agg(F.sum("n")).first()[0] or 0

@@ -50,6 +50,15 @@ def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("id", "field", F.explode("passages").alias("x")).select("id", "field", "x.passage_no", "x.start_at", "x.end_at", "x.lang", F.round("x.confidence", 4).alias("confidence"))
 
 
+def p2_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """How often fields labelled with a confidence have the language of their
+    label, among rows that the network was not fitted on and whose label names
+    one of its languages."""
+    from corvane.llm.lang_id import calibration
+
+    return calibration(table(spark, d, "problems"), "id", ["problem", "solution"], "lang")
+
+
 def _defects(spark: SparkSession, d: str) -> DataFrame:
     from corvane.llm.pair_defects import defects
 
@@ -72,10 +81,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    from corvane.llm.split_overlap import cross_split_pairs, overlap_report
+    from corvane.llm.split_overlap import overlap_by_record, overlap_report
 
-    problems = table(spark, d, "problems")
-    return overlap_report(cross_split_pairs(problems), problems)
+    return overlap_report(overlap_by_record(table(spark, d, "problems")))
 
 
 def p5_token_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +94,23 @@ def p5_token_totals(spark: SparkSession, d: str) -> DataFrame:
     return totals(update(empty_budget(spark), texts).cells)
 
 
+def p5_updates(spark: SparkSession, d: str) -> DataFrame:
+    """The same totals by signed deltas: an earlier state of the tables, in which
+    late rows are missing, every seventh text was another and some rows stood
+    that are gone by now, brought up to date."""
+    from corvane.llm.token_budget import empty_budget, slices, totals, update
+
+    cat = table(spark, d, "source_catalog")
+    problems, documents = table(spark, d, "problems"), table(spark, d, "documents")
+    now = slices(problems, "id", ["problem", "solution"], cat, "problems").unionByName(slices(documents, "doc_id", ["text"], cat, "documents"))
+    changed = lambda c, key: F.when(F.pmod(F.col(key), F.lit(7)) == 0, F.concat(F.reverse(c), F.lit(" "))).otherwise(F.col(c)).alias(c)
+    at = problems.agg(F.percentile_approx("added_at", 0.8).alias("t")).first()["t"]
+    early = problems.where(F.col("added_at") <= F.lit(at)).withColumn("solution", changed("solution", "id"))
+    gone = documents.where("doc_id % 11 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    before = slices(early, "id", ["problem", "solution"], cat, "problems").unionByName(slices(documents.unionByName(gone), "doc_id", ["text"], cat, "documents"))
+    return totals(update(update(empty_budget(spark), before), now).cells)
+
+
 def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
     from corvane.llm.token_budget import count_tokens
 
@@ -93,7 +118,7 @@ def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
-    rows = table(spark, d, "pack_sizes").where("pack_name is not null and capacity_tokens > 0").limit(1000).collect()
+    rows = table(spark, d, "pack_sizes").where("pack_name is not null and capacity_tokens > 0").collect()  # a fixed small table
     return {r["pack_name"]: r["capacity_tokens"] for r in rows}
 
 
@@ -123,16 +148,30 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    from corvane.llm.quality import text_kinds
+    from corvane.llm.quality import not_prose
 
-    return text_kinds(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).where("kind <> 'prose'").select("doc_id", "kind")
+    return not_prose(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).select("doc_id", "kind")
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     from corvane.llm.quality import text_statistics
 
-    return text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+    return text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+def p8_failures(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each kind fail each rule."""
+    from corvane.llm.quality import text_statistics
+
+    stats = text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+    return stats.select("kind", F.explode("failed_rules").alias("rule")).groupBy("kind", "rule").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_fields": p2_fields, "p2_passages": p2_passages, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_report": p4_report, "p5_token_totals": p5_token_totals, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        *(p1_found, p1_groups, p2_found, p2_fields, p2_passages, p2_calibration, p3_found, p3_reasons, p4_found, p4_report),
+        *(p5_token_totals, p5_updates, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_statistics, p8_failures),
+    )
+}
 ORACLE: dict[str, str] = {}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import language_code, materialise, with_catalogue
+from corvane.llm.common import language_code, materialise, scratch, with_catalogue
 
 TOKENIZERS = "/opt/tokenizers"
 DEFAULT_FILE = "byte_bpe_50k.tiktoken"
@@ -94,19 +94,20 @@ def update(before: Budget, texts: DataFrame, path: str = f"{TOKENIZERS}/{DEFAULT
     A row is known by (origin, id). Repeated ids are rows of their own: their
     cells are counted each. A null text counts as empty, with 0 tokens. The
     result equals that of an update from nothing."""
-    mark = tokenizer_hash(path)
-    now = texts.withColumn("content", content_hash(F.col("text")))
-    known = before.counts.where(F.col("tokenizer") == mark).select("content", "n_tokens")
-    unseen = now.where("text is not null and text <> ''").join(known, "content", "left_anti").dropDuplicates(["content"])
-    fresh = count_tokens(unseen, ["content"], "text", path).withColumn("tokenizer", F.lit(mark)).select("content", "tokenizer", "n_tokens")
-    counts = materialise(before.counts.unionByName(fresh), "counts")
-    sized = counts.where(F.col("tokenizer") == mark).select("content", "n_tokens")
-    rows = materialise(now.drop("text").join(sized, "content", "left").na.fill(0, ["n_tokens"]).select("id", "content", "n_tokens", *CELL), "rows")
-    old, new = before.rows.withColumn("sign", F.lit(-1)), rows.withColumn("sign", F.lit(1))
-    deltas = old.unionByName(new).groupBy("id", "content", "n_tokens", *CELL).agg(F.sum("sign").alias("sign")).where("sign <> 0")
-    change = deltas.groupBy(*CELL).agg(F.sum("sign").cast("bigint").alias("n_texts"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("n_tokens"))
-    cells = before.cells.unionByName(change).groupBy(*CELL).agg(F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens")).where("n_texts <> 0")
-    return Budget(counts, rows, materialise(cells, "cells"))
+    with scratch(texts.sparkSession) as tables:
+        mark = tokenizer_hash(path)
+        now = texts.withColumn("content", content_hash(F.col("text")))
+        known = before.counts.where(F.col("tokenizer") == mark).select("content", "n_tokens")
+        unseen = now.where("text is not null and text <> ''").join(known, "content", "left_anti").dropDuplicates(["content"])
+        fresh = count_tokens(unseen, ["content"], "text", path).withColumn("tokenizer", F.lit(mark)).select("content", "tokenizer", "n_tokens")
+        counts = materialise(before.counts.unionByName(fresh), "counts")
+        sized = counts.where(F.col("tokenizer") == mark).select("content", "n_tokens")
+        rows = materialise(now.drop("text").join(sized, "content", "left").na.fill(0, ["n_tokens"]).select("id", "content", "n_tokens", *CELL), "rows")
+        old, new = before.rows.withColumn("sign", F.lit(-1)), rows.withColumn("sign", F.lit(1))
+        deltas = old.unionByName(new).groupBy("id", "content", "n_tokens", *CELL).agg(F.sum("sign").alias("sign")).where("sign <> 0")
+        change = deltas.groupBy(*CELL).agg(F.sum("sign").cast("bigint").alias("n_texts"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("n_tokens"))
+        cells = before.cells.unionByName(change).groupBy(*CELL).agg(F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens")).where("n_texts <> 0")
+        return Budget(tables.keep(counts), tables.keep(rows), tables.keep(materialise(cells, "cells")))
 
 
 def totals(cells: DataFrame) -> DataFrame:

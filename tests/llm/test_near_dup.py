@@ -98,7 +98,7 @@ def test_edge_cases(spark):
     assert set(got) == {r[0] for r in rows if r[0] is not None}
     assert got[1].group_id == 1 and got[2].group_id == 2 and got[3].group_id == got[4].group_id == 3
     assert {got[k].group_id for k in [*range(100, 140), 200, 201]} == {100}
-    assert {got[k].class_id for k in [*range(100, 140), 200]} == {100} and got[201].class_id == 201 and got[201].n_links == 1
+    assert {got[k].class_id for k in [*range(100, 140), 200]} == {100} and got[201].class_id == 201
     assert got[300].group_id == 300 and got[301].group_id == 301
     empty = df.where("id < 0")
     assert near_dup.near_duplicate_groups(empty, "id", ["problem", "solution"]).count() == 0
@@ -203,8 +203,57 @@ def test_overlap_equals_brute_force(spark, problems):
     want = {tuple(sorted((rows[i].id, rows[j].id))) for i in range(len(rows)) for j in range(i) if (rows[i].split_name == "train") != (rows[j].split_name == "train") and sets[i] and jac(sets[i], sets[j]) >= 0.55}
     got = split_overlap.cross_split_pairs(problems).collect()
     assert {tuple(sorted((r.train_id, r.eval_id))) for r in got} == want and len(got) == len(want)
-    report = split_overlap.overlap_report(split_overlap.cross_split_pairs(problems), problems).collect()
+    records = split_overlap.overlap_by_record(problems)
+    report = split_overlap.overlap_report(records).collect()
     assert sum(r.n_pairs for r in report) == len(want) and {r.split_name for r in report} <= {"validation", "test"}
+    cover = {r.id: r for r in records.collect()}
+    train = [split_overlap.normalise(r.problem) for r in rows if r.split_name == "train"]
+    for r in rows:
+        n = split_overlap.normalise(r.problem)
+        if r.split_name == "train" or n.strip() == b"":
+            continue
+        parts = split_overlap.passages(n)
+        marked = bytearray(len(n))
+        for s, e, p in parts:
+            if any(p in t for t in train):
+                marked[s:e] = b"\1" * (e - s)
+        assert cover[r.id].coverage == pytest.approx(sum(marked) / len(n), abs=1e-5)
+
+
+def test_intervals_that_touch_are_merged():
+    bounds = [(0, 10), (9, 20), (19, 30), (29, 41)]
+    assert split_overlap.merged([True, True, False, True], bounds) == [(0, 20), (29, 41)]
+    assert split_overlap.merged([False] * 4, bounds) == [] and split_overlap.merged([], []) == []
+
+
+def test_report_counts_copies_without_pairs(spark):
+    t = BASE.format(17, 29, 5)
+    rows = [(k, t if k % 2 else t.replace("corn", "cron"), "train", "a") for k in range(50)] + [(100 + k, t, "test", "a") for k in range(30)] + [(200, "nothing of this kind stands anywhere else at all", "test", "b")]
+    df = spark.createDataFrame(rows, "id bigint, problem string, split_name string, source string")
+    got = {r.source: r for r in split_overlap.overlap_report(split_overlap.overlap_by_record(df)).collect()}
+    assert (got["a"].n_records, got["a"].n_overlapping, got["a"].n_pairs, got["a"].mean_coverage) == (30, 30, 1500, 1.0)
+    assert (got["b"].n_records, got["b"].n_overlapping, got["b"].n_pairs) == (1, 0, 0)
+    assert split_overlap.overlap_by_record(df.where("id < 0")).count() == 0
+
+
+def test_nothing_but_results_is_left(spark, problems):
+    from pathlib import Path
+
+    from corvane.sources import store
+
+    folder = Path(store.application_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = set(folder.iterdir())
+    near_dup.near_duplicate_groups(problems, "id", ["problem", "solution"])
+    split_overlap.cross_split_pairs(problems)
+    left = sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before)
+    assert left == ["groups", "pairs"]
+
+
+def test_hot_groups_are_dealt_out(spark):
+    groups = spark.createDataFrame([(k, 0, 1 if k < 90 else k) for k in range(100)], "id bigint, class_id bigint, group_id bigint")
+    for rows_a_task in (7, 2048):
+        got = [(r.id_a, r.id_b) for r in near_dup.pairs_of_groups(groups, rows_a_task).collect()]
+        assert len(got) == len(set(got)) == 90 * 89 // 2 and all(a < b < 90 for a, b in got)
 
 
 def test_overlap_edge_cases(spark):

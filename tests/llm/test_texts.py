@@ -83,6 +83,32 @@ def test_held_out_accuracy(spark, tables, network):
     assert len(judged) > 250 and np.mean([found[i] == k for i, k in judged]) > 0.98
 
 
+def test_confidence_is_no_lower_than_its_accuracy_by_much(spark, tables, network):
+    """Fields labelled with 0.9 or more are right at least as often as 0.9."""
+    words = [(r.lang, r.word) for r in tables["common_words"].collect()]
+    langs = pair_defects.Languages(words)
+    truth = {r.id: langs.of(r.problem) for r in tables["problems"].select("id", "problem").collect() if r.problem}
+    found = lang_id.identify(tables["problems"], "id", ["problem"], "lang", net=network).collect()
+    sure = [r.languages[0].lang == truth[r.id][0] for r in found if r.languages[0].confidence >= 0.9 and truth.get(r.id, (None, 0))[1] > 0.3]
+    assert len(sure) > 200 and np.mean(sure) >= 0.97
+
+
+def test_weights_are_kept_for_the_same_sample(spark, tables):
+    some = spark.createDataFrame(tables["problems"].orderBy("id").limit(60).collect(), tables["problems"].schema)
+    a = lang_id.fitted(some, ["problem"], "lang", 5, "id", steps=9)
+    b = lang_id.fitted(some, ["problem"], "lang", 5, "id", steps=9)
+    assert all((a.w[k] == b.w[k]).all() for k in a.w)
+    copy = byte_gru.ByteGRU.load(a.dump())
+    assert copy.pooled([b"hello"]) == pytest.approx(a.pooled([b"hello"]))
+
+
+def test_network_alone_tells_scripts_apart(network):
+    lab = lang_id.Labeller(network)
+    keys = ["остаток принадлежит второй половине", "然后把已知的数值代入", "the remaining share belongs to the other half"]
+    lab.learn(set(keys))
+    assert [lang_id.LANGUAGES[lab.seen[k][0]] for k in keys] == ["ru", "zh", "en"]
+
+
 def test_mixed_and_edge_fields(spark, network):
     en = "The remaining share belongs to the other half, therefore the total becomes larger. In this step the relation removes one case."
     de = "Das Gleichsetzen der beiden Seiten ergibt, dass die Summe gleich ist. Wie groß ist der Durchschnitt der Knöpfe?"
@@ -144,6 +170,28 @@ def test_defects_table(spark, tables):
     assert pair_defects.defects(df.where("id < 0"), tables["common_words"]).count() == 0
 
 
+def test_marks_decide_before_the_rules(spark, tables):
+    """A response that a neighbour goes on from is truncated even if a value
+    stands near its end, and so are many that stop at one length."""
+    whole = "Since the parts add up, we find that the sum of both is $3 + 4 = 7$ and so, as {} says, the answer is $7$ because"
+    rows = [(1, P, whole.format("Ann"), "7"), (2, P, whole.format("Ann") + " by the rule of Ann. The answer is $7$.", "7"), (3, P, whole.format("Bea") + " of it.", "7")]
+    rng = random.Random(8)
+    cut = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows += [(100 + k, P, (f"{k} result is {k} " + cut[k:])[:140] + "x", None) for k in range(40)]
+    rows += [(200 + k, P, f"Answer {k}: " + "so it goes on " * k + "= $5$.", None) for k in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, problem string, solution string, answer string")
+    got = {r.id: r for r in pair_defects.defects(df, tables["common_words"]).collect()}
+    assert got[1].defect == "truncated" and got[1].shortened and got[1].reason.startswith("shortened")
+    assert 2 not in got and 3 not in got
+    assert all(got[100 + k].at_limit and got[100 + k].reason.startswith("stops at") for k in range(40))
+
+
+def test_long_ends_are_trimmed(spark, tables):
+    rows = [(1, P, "The answer is $7$." + "." * 50_000 + " " * 50_000, "7"), (2, P, "The answer is $7$. " + "<b>" * 500, "7"), (3, P, "So we get " + "9" * 500, None), (4, P, " " * 100_000, None)]
+    df = spark.createDataFrame(rows, "id bigint, problem string, solution string, answer string")
+    assert {r.id: r.defect for r in pair_defects.defects(df, tables["common_words"]).collect()} == {3: "truncated", 4: "empty"}
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_shortened_versions_across_partitions(spark, parts):
     rng = random.Random(parts)
@@ -202,9 +250,21 @@ KINDS = [
 
 def test_kinds(spark, tables):
     df = spark.createDataFrame([(k, t, "x") for k, (t, _) in enumerate(KINDS)], "doc_id bigint, text string, kind string")
-    got = {r.doc_id: r.kind for r in quality.text_kinds(df, "doc_id", "text", tables["common_words"]).collect()}
+    got = {r.doc_id: r.kind for r in quality.text_statistics(df, "doc_id", "text", tables["common_words"]).collect()}
     assert {k: v for k, v in got.items() if v != KINDS[k][1]} == {}
-    assert quality.text_kinds(df.where("doc_id < 0"), "doc_id", "text", tables["common_words"]).count() == 0
+    assert quality.text_statistics(df.where("doc_id < 0"), "doc_id", "text", tables["common_words"]).count() == 0
+    found = {r.doc_id: r for r in quality.not_prose(df, "doc_id", "text", tables["common_words"]).collect()}
+    assert {k: r.kind for k, r in found.items()} == {k: v for k, (_, v) in enumerate(KINDS) if v != "prose"}
+    kinds = {name: kind for name, kind, _ in quality.rules()}
+    for r in found.values():  # the kind is that of the first failed rule with one
+        assert next(kinds[x] for x in r.failed_rules.split(",") if kinds[x]) == r.kind
+
+
+def test_very_long_texts_are_read_whole(spark, tables):
+    rows = [(1, "$" + "x + " * 30_000 + "y$ " + PROSE), (2, PROSE + "\n" * 100_000 + PROSE), (3, "- apples\n" * 30_000), (4, "." * 200_000), (5, " " * 200_000 + PROSE)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.kind for r in quality.text_statistics(df, "doc_id", "text", tables["common_words"]).collect()}
+    assert got[1] == got[2] == got[5] == "prose" and got[3] != "prose" and got[4] != "prose"
 
 
 def test_statistics_against_python(spark, tables):
@@ -218,7 +278,7 @@ def test_statistics_against_python(spark, tables):
         assert got[i].mean_word_length == pytest.approx(sum(map(len, toks)) / len(toks) if toks else 0)
     assert got[1].end_punct_share == 0.5 and got[1].bullet_share == 0.5
     assert got[1].common_words == sum(w in common_set for w in "the cat sat it is here a b".split())
-    assert got[4].failed_rules == "many_words,few_common_words" and got[2].failed_rules.startswith("few_words")
+    assert {"many_words", "few_common_words", "repeated_words"} <= set(got[4].failed_rules) and got[2].failed_rules[0] == "empty"
     assert got[5].common_word_share > 0.3
 
 
