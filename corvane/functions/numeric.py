@@ -36,7 +36,7 @@ def cleaned(c: Column) -> Column:
     def cut(s: Column, mark: str, pattern: str) -> Column:
         return F.when(s.contains(mark) & has_single_term(F.regexp_extract(s, pattern, 1)), strip(F.regexp_extract(s, pattern, 2))).otherwise(s)
 
-    plain = strip(F.regexp_replace(F.regexp_replace(strip(c), UNWRAPPED, "$1"), DROPPED, ""))
+    plain = strip(F.regexp_replace(F.regexp_replace(c, UNWRAPPED, "$1"), DROPPED, ""))
     return let(let(plain, lambda s: cut(s, "=", r"^(.*)=([^=]*)$")), lambda s: cut(s, "\\approx", r"^(.*)\\approx(.*)$"))
 
 
@@ -44,9 +44,9 @@ def _factor(c: Column) -> Column:
     return F.when(c.isin("", "+"), F.lit(1.0)).when(c == "-", F.lit(-1.0)).otherwise(c.try_cast("double"))
 
 
-def numeric_value(c: Column) -> Column:
+def fast_value(c: Column) -> Column:
     """The number that an answer states, for plain numbers, fractions, roots and
-    multiples of pi; null for the rest."""
+    multiples of pi; null for the rest. Built-in expressions only."""
 
     def read(s: Column) -> Column:
         sign = F.when(F.regexp_extract(s, FRACTION, 1) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -61,6 +61,37 @@ def numeric_value(c: Column) -> Column:
     return let(c, lambda x: F.when(x.isNull() | x.rlike(REFUSED), F.lit(None).cast("double")).otherwise(let(cleaned(x), read)))
 
 
+def numeric_value(c: Column) -> Column:
+    """The number that an answer states: by :func:`fast_value`, and by the full
+    evaluator for what that leaves and that holds a digit or a constant. The
+    evaluator sees nulls for all other rows. Not for use inside a lambda."""
+    fast = fast_value(c)
+    return F.coalesce(fast, evaluate_udf(F.when(fast.isNull() & c.rlike(r"[0-9]|\\pi|(?<![A-Za-z\\])e(?![A-Za-z])"), c)))
+
+
+def float_value(c: Column) -> Column:
+    """:func:`numeric_value`, else the text as a plain float."""
+    return F.coalesce(numeric_value(c), strip(c).try_cast("double"))
+
+
+def int_value(c: Column) -> Column:
+    """An integer that a text is, with a sign and blanks around at most; null for
+    all else, fractions included."""
+    return F.when(strip(c).rlike(r"^[+-]?[0-9]+$"), strip(c).try_cast("decimal(38,0)"))
+
+
+def percent(c: Column) -> Column:
+    """A percentage with one decimal."""
+    return F.when(c.isNotNull(), F.concat(F.format_string("%.1f", c.cast("double")), F.lit("%")))
+
+
+def same_value(a: Column, b: Column, tolerance: float = 1e-2) -> Column:
+    """Within tolerance where both texts are plain floats, else the same stripped
+    text; false where either is null."""
+    x, y = strip(a).try_cast("double"), strip(b).try_cast("double")
+    return F.coalesce(F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(strip(a) == strip(b)), F.lit(False))
+
+
 def within(a: Column, b: Column, tolerance: float) -> Column:
     """abs(a - b) <= tolerance; false if either is null."""
     return F.coalesce(F.abs(a - b) <= F.lit(tolerance), F.lit(False))
@@ -79,7 +110,8 @@ def verify(solution: Column, answer: Column, tolerance: float = 1e-2) -> Column:
     does not."""
     from corvane.functions.text import answer as stated_answer
 
-    return let(stated_answer(solution), lambda s: F.struct(within(numeric_value(s), numeric_value(answer), tolerance).alias("ok"), s.alias("stated")))
+    stated = stated_answer(solution)
+    return F.struct(within(numeric_value(stated), numeric_value(answer), tolerance).alias("ok"), stated.alias("stated"))
 
 
 #: Near misses around a known answer.
@@ -88,24 +120,44 @@ OFFSETS = (0.1, 1.0, -0.1, -1.0, 100.0, 10.0, -10.0, 1000.0, -1000.0, 0.01, -0.0
 EDGES = (0.0, 1.0, -1.0, 1e10, -1e10)
 
 
+LARGE = (1e6, 1e7, 1e8, 1e9, -1e6, -1e7, -1e8, -1e9)
+
+
 def wrong_cases(correct: Column, total: int = 0, seed: int = 7) -> Column:
     """Values that are no answer: edge cases, multiples and, below 1, offsets,
     each more than 0.01 away; filled up to ``total`` by values drawn from a hash
-    of the answer, so that the same answer has the same cases. For an infinite
-    answer only finite edge cases."""
+    of the answer, so that the same answer has the same cases: a third each are
+    random multiples, random offsets and random values. For an infinite answer
+    edge cases, large values and random powers of ten, all finite."""
     finite = F.abs(correct) < float("inf")
-    fixed = F.array(*[F.lit(x) for x in EDGES])
+    edges = F.array(*[F.lit(x) for x in EDGES[:3]], F.when(correct == float("inf"), 1e9).otherwise(EDGES[3]), F.when(correct == float("-inf"), -1e9).otherwise(EDGES[4]))
     multiples = F.array(*[correct * x for x in MULTIPLIERS])
     offsets = F.when(F.abs(correct) < 1, F.array(*[correct + x for x in OFFSETS])).otherwise(F.array().cast("array<double>"))
-    cases = F.when(finite, F.concat(fixed, multiples, offsets)).otherwise(fixed)
+    cases = F.when(finite, F.concat(edges, multiples, offsets)).otherwise(F.concat(edges, F.array(*[F.lit(x) for x in LARGE])))
     if total:
-        u = lambda i: F.pmod(F.xxhash64(correct, i, F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-        span = F.greatest(F.lit(100.0), F.abs(correct) * 100)
-        cases = F.when(finite, F.concat(cases, F.transform(F.sequence(F.lit(1), F.lit(total)), lambda i: (u(i) * 2 - 1) * span))).otherwise(cases)
-    good = F.filter(cases, lambda v: (F.abs(v) < float("inf")) & ((F.abs(v - correct) > 1e-2) | ~finite))
+        u = lambda i, k: F.pmod(F.xxhash64(correct, i, F.lit(seed), F.lit(k)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+        side = lambda i: F.when(u(i, 2) < 0.5, -1.0).otherwise(1.0)
+
+        def drawn(i: Column) -> Column:
+            way = F.floor(u(i, 0) * 3)
+            multiple = correct * (F.lit(0.001) + u(i, 1) * (100.0 - 0.001)) * side(i)
+            offset = correct + (u(i, 1) * 2 - 1) * F.greatest(F.lit(1.0), F.abs(correct) * 10)
+            anything = (u(i, 1) * 2 - 1) * F.greatest(F.lit(100.0), F.abs(correct) * 100)
+            return F.when(~finite, side(i) * F.pow(F.lit(10.0), F.floor(u(i, 1) * 6) + 4)).when(way == 0, multiple).when(way == 1, offset).otherwise(anything)
+
+        cases = F.concat(cases, F.transform(F.sequence(F.lit(1), F.lit(2 * total)), drawn))
+    good = F.array_distinct(F.filter(cases, lambda v: (F.abs(v) < float("inf")) & ((F.abs(v - correct) > 1e-2) | ~finite)))
     return F.slice(good, 1, total) if total else good
 
 
+def test_cases(correct: Column, total: int = 50, seed: int = 7) -> Column:
+    """The right value and up to ``total`` wrong ones, in an order drawn from a
+    hash; the right one is always among them."""
+    every = F.concat(F.array(correct), wrong_cases(correct, total, seed))
+    keyed = F.transform(every, lambda v: F.struct(F.xxhash64(v, correct, F.lit(seed)).alias("h"), v.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+
+
 # ---------------------------------------------------------------- full evaluator
 
 _TOKEN = re.compile(r"\s*(?:(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.?\d*|\.\d+)|\\([A-Za-z]+)|(.))", re.S)
@@ -247,10 +299,9 @@ def evaluate(latex: str | None) -> float | None:
     """The value of LaTeX arithmetic, or None."""
     if latex is None:
         return None
-    s = latex.strip().strip("$").strip()
-    if not s or re.search(REFUSED, s):
+    if re.search(REFUSED, latex):
         return None
-    s = re.sub(DROPPED, "", re.sub(UNWRAPPED, r"\1", s)).strip()
+    s = re.sub(DROPPED, "", re.sub(UNWRAPPED, r"\1", latex)).strip().strip("$").strip()
     for mark in ("=", "\\approx"):
         if mark in s:
             left, right = s.rsplit(mark, 1)
@@ -264,9 +315,11 @@ def evaluate(latex: str | None) -> float | None:
 
 @F.pandas_udf(T.DoubleType())
 def evaluate_udf(s: pd.Series) -> pd.Series:
-    return s.map(evaluate).astype("float64")
+    """Each distinct text of a batch once."""
+    values = {t: evaluate(t) for t in s.dropna().unique()}
+    return s.map(values).astype("float64")
 
 
 def full_numeric_value(c: Column) -> Column:
-    """:func:`evaluate` over a column, in Arrow batches."""
-    return evaluate_udf(c)
+    """The full evaluator for what :func:`fast_value` cannot read."""
+    return numeric_value(c)

@@ -7,13 +7,18 @@ are used with ASCII classes; null gives null unless said otherwise.
 
 from __future__ import annotations
 
+import ast
+import warnings
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Patterns that define the results of this module.
 MULTIPLE_CHOICE = r"(?:(?:[(\s]|^)[A-D][\s).][^A-D]*){4}"
 BOXED_OPEN = r"\\boxed\{"
-#: A closed ``\boxed{}`` whose content nests braces up to three deep.
+#: A closed ``\boxed{}`` whose content nests braces up to three deep: nearly all are. Deeper ones are counted out.
 BOXED = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 CJK = r"[\x{4e00}-\x{9fff}]"
 CYRILLIC = r"[\x{0400}-\x{04ff}]"
@@ -29,6 +34,8 @@ BANNED_CODE = (
     (r"open\s*\(.+,\s*['\"]w", "Contains file write operation"),
     (r"import\s+requests", "Contains network request library"),
 )
+#: White space at the ends of a text: that of Unicode, not of ASCII alone.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 COMPUTES = r"\bdef\b|\bprint\b|\breturn\b|=\s*[a-zA-Z0-9_]+"
 CODE_PYTHON, CODE_BLOCK = r"(?s)```python\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```"
 CODE_WORDS = r"\b(?:def|import|print|for|if|return)\b"
@@ -43,8 +50,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at both ends; runs inside a text are passed once."""
+    return F.regexp_replace(c, rf"\A{BLANK}+|(?<!{BLANK}){BLANK}+\z", "")
 
 
 def count_boxed(c: Column) -> Column:
@@ -65,10 +72,37 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def closed_length(tail: Column) -> Column:
+    """Characters up to the brace that closes one opened just before ``tail``,
+    at any depth; null if none does. Folds over braces, not over characters."""
+    parts = F.regexp_extract_all(tail, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        return F.when(a["depth"] == 0, a).otherwise(F.struct(depth.alias("depth"), (a["n"] + F.when(depth == 0, 0).otherwise(F.length(x))).alias("n")))
+
+    return F.aggregate(parts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step, lambda a: F.when(a["depth"] == 0, a["n"]))
+
+
+def matching_brace(c: Column, start: Column) -> Column:
+    """Index (from 0) of the brace that closes the one at index ``start``, -1 if
+    none does. Escapes are not special."""
+    return F.coalesce(start + 1 + closed_length(F.substring(c, start + 2, F.length(c))), F.lit(-1))
+
+
+def _deep_box(c: Column) -> Column:
+    parts = F.split(c, BOXED_OPEN)
+    tail = lambda k: F.array_join(F.slice(parts, k + 1, F.size(parts)), "\\boxed{")
+    found = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: let(tail(k), lambda t: F.left(t, closed_length(t))))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
 def boxed_answer(c: Column) -> Column:
-    """Stripped content of the first closed ``\\boxed{}``; an open one is passed
-    over."""
-    return strip(first_match(c, BOXED))
+    """Stripped content of the first closed ``\\boxed{}``, however deep its
+    braces nest; an open one is passed over and the next is tried."""
+
+    flat = F.regexp_instr(c, F.lit(BOXED)) == F.instr(c, "\\boxed{")  # not bound by let: a caller may hand the result to a Python function
+    return strip(F.when(~c.contains("\\boxed{"), None).when(flat, F.regexp_extract(c, BOXED, 1)).otherwise(_deep_box(c)))
 
 
 def marked_answer(c: Column) -> Column:
@@ -133,6 +167,36 @@ def code_problems(c: Column) -> Column:
     return F.concat_ws("; ", *[F.when(c.rlike(p), F.lit(said)) for p, said in BANNED_CODE])
 
 
+@F.pandas_udf(T.BooleanType())
+def _parses(codes: pd.Series) -> pd.Series:
+    """Whether texts are programs by their syntax; they are parsed, never run."""
+
+    def ok(code: str | None) -> bool | None:
+        if code is None:
+            return None
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(code)
+            return True
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return False
+
+    return codes.map(ok).astype("boolean")
+
+
+def code_quality(c: Column) -> Column:
+    """struct(ok, message): empty, not parsable, banned patterns joined by '; ',
+    or nothing computed, the first that applies. Only what passes all other
+    checks is sent to be parsed; a text that breaks off in a bracket or block
+    does not parse."""
+    x = F.coalesce(c, F.lit(""))
+    said, empty = code_problems(x), strip(x) == ""
+    parsed = _parses(F.when(~empty, x))
+    message = F.when(empty, "Empty code").when(~parsed, "Syntax error").when(said != "", said).when(~computes(x), "Code doesn't appear to compute anything")
+    return F.struct(message.isNull().alias("ok"), F.coalesce(message, F.lit("")).alias("message"))
+
+
 def has_code_problems(c: Column) -> Column:
     return c.rlike("|".join(p for p, _ in BANNED_CODE))
 
@@ -210,6 +274,23 @@ def step_number(c: Column) -> Column:
     return F.coalesce(*[F.when(c.rlike(p), F.regexp_extract(c, p, 1).try_cast("int")) for p in STEP_NUMBERS])
 
 
+def numbered_sections(c: Column) -> Column:
+    """Step sections that state a number ('Step 3:', in any case), at least 1."""
+    return F.greatest(F.lit(1), F.size(F.filter(tagged_steps(c), lambda x: x.rlike(r"(?i)Step\s*\d+[:.)\s]"))))
+
+
+def list_status(c: Column) -> Column:
+    """struct(has_steps, is_ordered): whether the response section numbers its
+    steps 'N. ', and whether the numbers rise."""
+
+    def read(numbers: Column) -> Column:
+        has = F.coalesce(F.size(numbers) > 0, F.lit(False))
+        return F.struct(has.alias("has_steps"), (has & F.coalesce(strictly_increasing(numbers), F.lit(False))).alias("is_ordered"))
+
+    found = F.regexp_extract_all(F.coalesce(response(c), F.lit("")), F.lit(r"(\d+)\.\s"), F.lit(1))
+    return let(F.transform(found, lambda x: x.try_cast("decimal(38,0)")), read)
+
+
 def max_step(c: Column) -> Column:
     return F.coalesce(F.array_max(step_numbers(c)), F.lit(0))
 
@@ -281,5 +362,33 @@ def first_wrong_step(valid: Column) -> Column:
     return F.when(n < 2, None).when(F.get(valid, start), up).otherwise(down)
 
 
+def walk_to_wrong_step(state: Column) -> Column:
+    """As :func:`first_wrong_step`, from a state per step: 'valid', 'invalid' or
+    'verified', a right result by a continuation that is not valid, which ends
+    the walk without a result wherever it is met."""
+    n = F.size(state)
+    start = F.floor(n / 2).cast("int")
+    index = F.sequence(F.lit(0), n - 1)
+    at = lambda i: F.get(state, i)
+    up = F.array_min(F.filter(index, lambda i: (i >= start) & (at(i) != "valid")))
+    down = F.array_max(F.filter(index, lambda i: (i < start) & (at(i) != "invalid")))
+    rising = F.when(at(up) == "invalid", up)
+    falling = F.when(down.isNull(), 0).when(at(down) == "valid", down + 1)
+    return F.when(n < 2, None).when(at(start) == "valid", rising).when(at(start) == "invalid", falling)
+
+
 def position_category(index: Column, n: Column) -> Column:
     return F.when(n <= 2, "short_solution").when(index == 0, "beginning").when(index == n - 1, "end").when(index < n / 3, "early").when(index < 2 * n / 3, "middle").otherwise("late")
+
+
+# ---------------------------------------------------------------- lookups
+
+
+def lookup(table: Column, key: Column, default: Column) -> Column:
+    """The value of a key in a map, or a default where the key is not there."""
+    return F.coalesce(F.try_element_at(table, key), default)
+
+
+def first_or_self(nested: Column, alone: Column) -> Column:
+    """The first of a nested list, or the value itself where it is no list."""
+    return F.coalesce(F.get(nested, F.lit(0)), alone)

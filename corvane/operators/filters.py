@@ -22,6 +22,18 @@ def normalise_aliases(df: DataFrame, default_source: str = "unknown") -> DataFra
     return out.where("problem is not null and solution is not null")
 
 
+def normalise_validation(df: DataFrame) -> DataFrame:
+    """(id, problem, solution, source, answer) of validation records: as strings,
+    what is missing or empty in one column is taken from its alias, and is '' if
+    that has none either; no row is dropped."""
+
+    def either(*names: str) -> Column:
+        have = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in df.columns]
+        return F.coalesce(*have, F.lit(""))
+
+    return df.select("id", either("problem", "question").alias("problem"), either("solution").alias("solution"), either("source").alias("source"), either("answer", "correct_answer").alias("answer"))
+
+
 def waterfall(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """``df`` with ``reason``: the first rule a row falls under, null for rows
     that stay. One expression, one pass; rules are tried in order."""

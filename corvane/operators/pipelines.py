@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import numeric as N
 from corvane.functions import text as X
 from corvane.operators import votes as V
 from corvane.operators.runstats import ratio
@@ -23,12 +24,15 @@ def _counts(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEY).agg(F.count("*").alias("total"), c.alias("correct"), ratio(c, F.count("*")).alias("success_rate"))
 
 
-def standard(df: DataFrame) -> DataFrame:
-    """Answers of the responses, their vote, and thinking lengths."""
-    a = df.withColumn("model_answer", X.answer(F.col("completion"))).withColumn("tl", X.thinking_length(F.col("completion")))
+def standard(df: DataFrame, answered: bool = False) -> DataFrame:
+    """Answers of the responses, their vote and whether it is right, and thinking
+    lengths. With ``answered`` the rows bring ``model_answer``."""
+    a = df if answered else df.withColumn("model_answer", X.answer(F.col("completion")))
+    a = a.withColumn("tl", X.thinking_length(F.col("completion")))
     v = V.majority(a, KEY, "model_answer", "n").select("id", "majority_answer", "majority_count")
+    hit = a.join(v, KEY).groupBy(*KEY).agg(F.coalesce(F.bool_or(F.col("is_correct") & (F.col("model_answer") == F.col("majority_answer"))), F.lit(False)).alias("majority_correct"))
     t = a.groupBy(*KEY).agg(F.round(F.avg("tl"), 6).alias("avg_thinking"), F.round(F.coalesce(F.avg(F.when(F.col("is_correct"), F.col("tl"))), F.lit(0.0)), 6).alias("avg_thinking_correct"))
-    return _counts(a).join(v, "id", "left").join(t, "id")
+    return _counts(a).join(v, "id", "left").join(hit, "id", "left").join(t, "id")
 
 
 def programming(df: DataFrame, tolerance: float = 1e-2) -> DataFrame:
@@ -47,10 +51,15 @@ def test_functions(df: DataFrame) -> DataFrame:
 
 
 def programmer_and_test(df: DataFrame) -> DataFrame:
-    """Vote of all values, then of those whose test passed, else of all."""
+    """Vote of all values, then of those whose test passed, else of all; whether
+    each equals the answer within tolerance; and how many attempts are right and
+    passed their test."""
     first = V.majority(df, KEY, "value", "n").select("id", F.col("majority_answer").alias("initial_answer"), ratio(F.col("majority_count"), F.col("valid_count")).alias("initial_pct"))
     second = V.majority(df.where("test_passed"), KEY, "value", "n").select("id", F.col("majority_answer").alias("verified_answer"))
-    return first.join(second, "id", "left").select("id", "initial_answer", "initial_pct", F.coalesce("verified_answer", "initial_answer").alias("final_answer"), F.col("verified_answer").isNull().alias("fell_back"))
+    both = df.groupBy(*KEY).agg(F.count_if(F.col("is_correct") & F.col("test_passed")).alias("n_both"), F.max("answer").alias("_want"))
+    out = first.join(second, "id", "left").join(both, "id").withColumn("final_answer", F.coalesce("verified_answer", "initial_answer"))
+    right = lambda c: N.same_value(F.col(c).cast("string"), F.col("_want"))
+    return out.select("id", "initial_answer", "initial_pct", "final_answer", F.col("verified_answer").isNull().alias("fell_back"), right("initial_answer").alias("initial_correct"), right("final_answer").alias("final_correct"), "n_both")
 
 
 def tutor(df: DataFrame) -> DataFrame:
@@ -84,10 +93,17 @@ def dual_source(df: DataFrame) -> DataFrame:
     return df.withColumn("proof_ok", p & ok).withColumn("code_ok", k & ok).withColumn("answer_source", source)
 
 
+def _vote_is_right(df: DataFrame) -> DataFrame:
+    """(id, majority_correct): whether the vote equals the answer within tolerance."""
+    v = V.majority(df, KEY, "value", "n").select("id", "majority_answer")
+    want = df.groupBy(*KEY).agg(F.max("answer").alias("_want"))
+    return v.join(want, "id").select("id", N.same_value(F.col("majority_answer").cast("string"), F.col("_want")).alias("majority_correct"))
+
+
 def dual_proof(df: DataFrame) -> DataFrame:
     a = dual_source(df)
     best = V.best_by_priority(a, KEY, [F.col("proof_ok") & F.col("code_ok"), F.col("code_ok"), F.col("proof_ok"), F.col("answer_source").startswith("matching")], "n").select("id", F.col("n").alias("best_attempt"), "priority", "answer_source")
-    return a.groupBy(*KEY).agg(F.count_if("proof_ok").alias("proofs_ok"), F.count_if("code_ok").alias("codes_ok")).join(best, "id")
+    return a.groupBy(*KEY).agg(F.count_if("proof_ok").alias("proofs_ok"), F.count_if("code_ok").alias("codes_ok")).join(best, "id").join(_vote_is_right(df), "id", "left")
 
 
 def test_driven(df: DataFrame) -> DataFrame:
@@ -96,7 +112,7 @@ def test_driven(df: DataFrame) -> DataFrame:
     source = F.when(~i, "invalid_solution").when(t & F.col("test_passed") & ok, "verified_implementation").when(ok, "implementation_fallback").otherwise("implementation_fallback_incorrect")
     a = df.withColumn("impl_ok", i & ok).withColumn("test_ok", t & F.col("test_passed")).withColumn("answer_source", source)
     best = V.best_by_priority(a, KEY, [F.col("impl_ok") & F.col("test_ok"), F.col("impl_ok"), F.col("test_ok")], "n").select("id", F.col("n").alias("best_attempt"), "priority", "answer_source")
-    return a.groupBy(*KEY).agg(F.count_if("impl_ok").alias("impl_ok"), F.count_if("test_ok").alias("test_ok"), F.count_if(F.col("impl_ok") & F.col("test_ok")).alias("both_ok")).join(best, "id")
+    return a.groupBy(*KEY).agg(F.count_if("impl_ok").alias("impl_ok"), F.count_if("test_ok").alias("test_ok"), F.count_if(F.col("impl_ok") & F.col("test_ok")).alias("both_ok")).join(best, "id").join(_vote_is_right(df), "id", "left")
 
 
 def step_statistics(found: DataFrame) -> DataFrame:
@@ -116,3 +132,16 @@ def steps(df: DataFrame) -> DataFrame:
     w = v.select("id", F.size("v").alias("total_steps"), X.first_wrong_step(F.col("v")).cast("int").alias("wrong_step"))
     place = F.when(F.col("wrong_step").isNotNull(), X.position_category(F.col("wrong_step"), F.col("total_steps")))
     return w.select("id", "total_steps", "wrong_step", place.alias("position_category"), F.round(F.try_divide("wrong_step", "total_steps"), 6).alias("completion_score"))
+
+
+def wrong_attempts(df: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """(keys, n_wrong, n_unsalvageable, first_usable, reasons): of the first ``k``
+    wrong attempts of each problem, how many cannot be searched for a wrong step
+    and why, and the first that can. ``df`` has keys, attempt_number, completion
+    and is_correct."""
+    first = V.first_k(df.where(~F.col("is_correct") & F.col("completion").isNotNull()), keys, "attempt_number", k).withColumn("reason", X.unsalvageable(F.col("completion")))
+    bad = F.col("reason").isNotNull()
+    return first.groupBy(*keys).agg(
+        F.count("*").alias("n_wrong"), F.count_if(bad).alias("n_unsalvageable"), F.min(F.when(~bad, F.col("attempt_number"))).alias("first_usable"),
+        F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"),
+    )

@@ -46,11 +46,12 @@ def finalization(completion: Column, partial: Column, answer: Column) -> Column:
     def score(x: Column) -> Column:
         missing = x["r"].isNull() | x["p"].isNull() | answer.isNull() | x["got"].isNull()
         goes_on = F.array_min(X.step_numbers(x["r"])) == X.max_step(x["p"]) + 1
-        right = N.within(N.numeric_value(x["got"]), N.numeric_value(answer), TOLERANCE)
+        right = N.within(x["value"], x["want"], TOLERANCE)
         return F.when(missing, 0.0).otherwise(_if(right, BASE) + _if(goes_on, CONTINUITY) - _len(completion))
 
     r = X.response(completion)
-    return X.let(F.struct(r.alias("r"), partial.alias("p"), X.answer(F.concat_ws("\n", partial, r)).alias("got")), score)
+    got = X.answer(F.concat_ws("\n", partial, r))
+    return X.let(F.struct(r.alias("r"), partial.alias("p"), got.alias("got"), N.numeric_value(got).alias("value"), N.numeric_value(answer).alias("want")), score)
 
 
 def architect(completion: Column, successes: Column, attempts: int = 10) -> Column:
@@ -108,3 +109,29 @@ def dispatch(df: DataFrame, batch: list[str], kind: str = "example_type") -> Dat
     p, f, s = F.col("_programming"), F.col("_finalization"), F.col("_solution")
     chain = chain.when((p > 0) & (p >= f) & (p >= s), "programming").when(f > s, "finalization").otherwise("solution")
     return per.select(*batch, chain.alias("reward_type"))
+
+
+def scored(df: DataFrame, batch: list[str], rewards: dict[str, Column], answer: str = "answer", kind: str = "example_type") -> DataFrame:
+    """``df`` with reward_type, reward and adjusted: the one reward of each batch
+    (see :func:`dispatch`) for all its rows, 0 where the answer is missing, then
+    no negative ones in a batch whose mean is. ``rewards`` has a column for each
+    type; a type without one scores 0."""
+    typed = df.join(dispatch(df, batch, kind), batch)
+    chain = F.when(F.col(answer).isNull(), 0.0)
+    for name, value in rewards.items():
+        chain = chain.when(F.col("reward_type") == name, value)
+    return clip_negative_batches(typed.withColumn("reward", F.coalesce(chain.otherwise(0.0), F.lit(0.0))), batch, "reward")
+
+
+def guarded(completions: Column, prompts: Column, answers: Column, rewards: Column) -> Column:
+    """The rewards of a batch given as arrays, or a 0 for each completion where
+    completions, prompts and answers are not equally many."""
+    n = F.size(completions)
+    return F.when((n == F.coalesce(F.size(prompts), F.lit(-1))) & (n == F.coalesce(F.size(answers), F.lit(-1))), rewards).otherwise(F.transform(completions, lambda _: F.lit(0.0)))
+
+
+def error_class(structure_ok: Column, quality_ok: Column, executed: Column, message: Column) -> Column:
+    """'structure', 'syntax', 'timeout', 'execution' or 'ok': why a program got no
+    further."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return F.when(no(structure_ok), "structure").when(no(quality_ok), "syntax").when(no(executed) & F.coalesce(message.contains("timed out"), F.lit(False)), "timeout").when(no(executed), "execution").otherwise("ok")

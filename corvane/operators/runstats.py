@@ -3,7 +3,7 @@ aggregate (two passes where a mean of the run is compared with)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,14 +25,16 @@ def ratio(a: Column, b: Column, scale: float = 100.0, digits: int = 6) -> Column
 def run_statistics(stats: DataFrame) -> DataFrame:
     """One row over stat rows: totals, pass@k, averages, most common answers and
     how many problems are above the average of those with any correct one."""
-    c = F.col("correct_solutions")
-    mean = stats.where(c > 0).agg(F.sum(c).alias("_s"), F.count("*").alias("_n"))
-    n = F.count("*")
-    above = F.count_if((c > 0) & (c * F.col("_n") > F.col("_s")))
-    at_least = F.count_if(c > 0)
-    return stats.join(mean).agg(
-        n.alias("total"), F.sum("total_solutions").alias("attempts"), F.sum(c).alias("correct"), at_least.alias("at_least_one"), ratio(at_least, n).alias("pass_rate"),
-        ratio(F.sum(c), n, 1.0).alias("avg_correct"), F.count_if("is_most_common_correct").alias("most_common_correct"), above.alias("above_average"),
+    # Counts of equal rows first: they are few (bounded by the most attempts a problem has), so that the stat rows are read and computed once.
+    c, k = F.col("correct_solutions"), F.col("_k")
+    per = stats.groupBy(c, F.coalesce("is_most_common_correct", F.lit(False)).alias("_m")).agg(F.count("*").alias("_k"), F.sum("total_solutions").alias("_t"))
+    whole = Window.partitionBy(F.lit(1))
+    s, n = F.sum(F.when(c > 0, c * k)).over(whole), F.sum(F.when(c > 0, k)).over(whole)
+    some = lambda cond: F.coalesce(F.sum(F.when(cond, k)), F.lit(0))
+    total = F.coalesce(F.sum(k), F.lit(0))
+    return per.withColumn("_above", (c > 0) & (c * n > s)).agg(
+        total.alias("total"), F.sum("_t").alias("attempts"), F.sum(c * k).alias("correct"), some(c > 0).alias("at_least_one"), ratio(some(c > 0), total).alias("pass_rate"),
+        ratio(F.sum(c * k), total, 1.0).alias("avg_correct"), some(F.col("_m")).alias("most_common_correct"), some(F.col("_above")).alias("above_average"),
     )
 
 
@@ -106,3 +108,69 @@ def two_models(df: DataFrame, key: str, first: Column, second: Column) -> DataFr
         F.count_if((a > 0) != (b > 0)).alias("disagree"), F.count_if((a > 0) & (b == 0)).alias("first_better"), F.count_if((a == 0) & (b > 0)).alias("second_better"),
         ratio(F.count_if((a > 0) & (b == 0)), F.count_if((a > 0) != (b > 0))).alias("first_win_rate"),
     )
+
+
+def _given(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def matches(df: DataFrame) -> Column:
+    """Flags of a problem's solutions: ``initial_correctness``, else
+    ``is_correct_list``, else ``is_correct`` alone, else none; columns that are
+    not there count as null."""
+    one = F.when(_given(df, "is_correct", "boolean").isNotNull(), F.array(_given(df, "is_correct", "boolean")))
+    return F.coalesce(_given(df, "initial_correctness", "array<boolean>"), _given(df, "is_correct_list", "array<boolean>"), one, F.array().cast("array<boolean>"))
+
+
+def _true(flags: Column) -> Column:
+    return F.coalesce(F.size(F.filter(flags, lambda x: x)), F.lit(0))
+
+
+def before_and_after(df: DataFrame) -> DataFrame:
+    """One row over statistics rows (any of initial_correctness,
+    final_correctness, is_correct_list, is_correct, is_most_common_correct,
+    most_common_correct, initial_majority_correct, final_majority_correct):
+    problems and their correct solutions, the vote before and after with the
+    older one-vote flags counted to both, and totals of both sides."""
+    flag = lambda c: F.coalesce(_given(df, c, "boolean"), F.lit(False))
+    a, b = _given(df, "initial_correctness", "array<boolean>"), _given(df, "final_correctness", "array<boolean>")
+    both, older = flag("is_most_common_correct"), flag("most_common_correct")
+    size = lambda c: F.sum(F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)))
+    n, hits = F.count("*"), _true(matches(df))
+    votes = lambda side: F.sum(F.when(both, 1).otherwise(flag(side).cast("int") + older.cast("int")))
+    return df.agg(
+        n.alias("total"), F.count_if(hits > 0).alias("at_least_one"), F.sum(hits).alias("total_correct"), ratio(F.sum(hits), n, 1.0).alias("avg_correct"),
+        votes("initial_majority_correct").alias("initial_most_common_correct"), votes("final_majority_correct").alias("final_most_common_correct"),
+        size(a).alias("total_initial_solutions"), F.sum(_true(a)).alias("total_initial_correct"), ratio(F.sum(_true(a)), size(a)).alias("overall_initial_success_rate"),
+        F.count_if(_true(a) > 0).alias("examples_with_at_least_one_correct"), ratio(F.count_if(_true(a) > 0), n).alias("examples_with_at_least_one_correct_rate"),
+        F.count_if(flag("initial_majority_correct")).alias("initial_majority_correct_count"), ratio(F.count_if(flag("initial_majority_correct")), n).alias("initial_majority_correct_rate"),
+        size(b).alias("total_final_solutions"), F.sum(_true(b)).alias("total_final_correct"), ratio(F.sum(_true(b)), size(b)).alias("overall_final_success_rate"),
+        F.count_if(flag("final_majority_correct")).alias("final_majority_correct_count"), ratio(F.count_if(flag("final_majority_correct")), n).alias("final_majority_correct_rate"),
+    )
+
+
+def step_report(df: DataFrame) -> DataFrame:
+    """One row over step statistics, each of a single solution (wrong_step_found,
+    wrong_step_index, total_steps, completion_score, unsalvageable) or of several
+    (wrong_steps_found, avg_wrong_step_position, avg_completion_score,
+    unsalvageable_solutions), with the rates of sections found: counts and flags
+    add up, and means run over both kinds of positions."""
+    g = lambda c, kind="double": _given(df, c, kind)
+    flag = lambda c: F.coalesce(g(c, "boolean"), F.lit(False)).cast("int")
+    place = F.when((g("wrong_step_index", "int") >= 0) & (g("total_steps", "int") > 0), g("wrong_step_index", "int") / g("total_steps", "int"))
+    means = g("avg_wrong_step_position")
+    value = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    score = F.coalesce(g("avg_completion_score"), g("completion_score"))
+    return df.agg(
+        F.sum(F.coalesce(g("wrong_steps_found", "int"), flag("wrong_step_found"))).alias("wrong_steps_found"),
+        F.round(F.try_divide(value(means) + value(place), F.count(means) + F.count(place)), 6).alias("avg_wrong_step_position"),
+        F.round(F.avg(score), 6).alias("avg_completion_score"),
+        F.sum(F.coalesce(g("unsalvageable_solutions", "int"), flag("unsalvageable"))).alias("unsalvageable_solutions"),
+        F.round(F.avg(g("thinking_extraction_rate")), 6).alias("thinking_extraction_rate"), F.round(F.avg(g("response_extraction_rate")), 6).alias("response_extraction_rate"),
+    )
+
+
+def top_by_count(df: DataFrame, column: str, k: int, first: str) -> DataFrame:
+    """(column, n): the ``k`` most frequent values, ties to the first seen."""
+    per = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), F.min(first).alias("_f"))
+    return per.orderBy(F.col("n").desc(), "_f").limit(k).select(column, "n")

@@ -37,7 +37,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec
 
     The queries are a stated set whose size is counted first and must not exceed
     ``max_queries``; they go to every task, which keeps ``k`` rows for each query
-    from its own rows. Partial lists are merged by query."""
+    from its own rows, by blocks of matrix products: of a block only what reaches
+    the k-th best is ranked. Partial lists are merged by query."""
     if queries.count() > max_queries:
         raise ValueError(f"more than {max_queries} queries: run them in blocks")
     rows = queries.where(F.col(vector).isNotNull()).select(id_col, vector).collect()
@@ -48,26 +49,33 @@ def top_k(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec
 
     def run(batches):
         ids, qs = sent.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        n = len(ids)
+        who, sim, near = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)  # the best so far, by query
+        floor = np.full(n, -1.0)  # similarity of the k-th best so far
         for b in batches:
-            vid = b.column(0).to_numpy()
-            col = b.column(1)
-            keep = ~np.asarray(col.is_null())
-            if not keep.any() or not len(ids):
+            keep = ~np.asarray(b.column(1).is_null())
+            if not keep.any() or not n:
                 continue
-            vid = vid[keep]
-            v = _unit(np.array([x for x in col.to_pylist() if x is not None], np.float64))
-            for lo in range(0, len(ids), block):
-                sims = np.clip(qs[lo : lo + block] @ v.T, 0, 1)
-                for j in range(sims.shape[0]):
-                    s, i = sims[j], vid
-                    ok = i != ids[lo + j]
-                    s, i = np.concatenate([best[lo + j][0], s[ok]]), np.concatenate([best[lo + j][1], i[ok]])
-                    order = np.lexsort((i, -np.round(s, 9)))[:k]
-                    best[lo + j] = (s[order], i[order])
-        n = [len(b[0]) for b in best]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], ["query_id", "vec_id", "similarity"])
+            vid = b.column(0).to_numpy()[keep]
+            v = _unit(np.array([x for x in b.column(1).to_pylist() if x is not None], np.float64))
+            more = []
+            for lo in range(0, n, block):
+                s = np.round(np.clip(qs[lo : lo + block] @ v.T, 0, 1), 9)
+                s[ids[lo : lo + block, None] == vid[None, :]] = -2  # not itself
+                least = floor[lo : lo + block]
+                if s.shape[1] > k:
+                    least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+                x, y = np.nonzero((s >= least[:, None]) & (s > -2))
+                more.append((x + lo, s[x, y], vid[y]))
+            who, sim, near = (np.concatenate([old, *new]) for old, new in zip((who, sim, near), zip(*more)))
+            order = np.lexsort((near, -sim, who))
+            who, sim, near = who[order], sim[order], near[order]
+            first = np.searchsorted(who, np.arange(n))
+            rank = np.arange(len(who)) - first[who]
+            who, sim, near, rank = (x[rank < k] for x in (who, sim, near, rank))
+            floor[who[rank == k - 1]] = sim[rank == k - 1]
+        if len(who):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(near), pa.array(sim)], ["query_id", "vec_id", "similarity"])
 
     part = df.select(F.col(id_col).cast("bigint").alias(id_col), vector).mapInArrow(run, "query_id bigint, vec_id bigint, similarity double")
     from pyspark.sql import Window
@@ -88,3 +96,23 @@ def group_means(df: DataFrame, group: str = "label", vector: str = "embedding")
     u = df.where(F.col(vector).isNotNull()).select(group, unit(cleaned(F.col(vector))).alias("u"))
     per = u.select(group, F.posexplode("u").alias("i", "x")).groupBy(group, "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     return per.groupBy(group).agg(F.max("n").alias("n"), F.round(F.sqrt(F.sum(F.col("s") * F.col("s"))) / F.max("n"), 6).alias("centroid_norm"))
+
+
+def embed(df: DataFrame, text: str, encode, size: int, batch: int = 8, out: str = "embedding") -> DataFrame:
+    """``df`` with vectors of ``size`` that ``encode`` (texts -> vectors) gives for
+    batches of texts; zeros for a null text and for a batch on which it fails."""
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        vectors: list[list[float]] = []
+        for lo in range(0, len(texts), batch):
+            part = texts.iloc[lo : lo + batch]
+            try:
+                got = encode(part.fillna("").tolist())
+                vectors += [[0.0] * size if t is None else [float(x) for x in v] for t, v in zip(part, got, strict=True)]
+            except Exception:  # a failed batch counts as zeros, like a text without one
+                vectors += [[0.0] * size] * len(part)
+        return pd.Series(vectors)
+
+    return df.withColumn(out, run(text))

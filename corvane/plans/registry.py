@@ -49,8 +49,12 @@ KEYS = ["id", "run_id"]
 BOXED_SQL = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 
 
+#: White space by the Unicode standard's property, and the separators of ASCII.
+BLANK_SQL = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def strip_sql(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g')"
 
 
 def boxed_sql(x: str) -> str:
@@ -73,7 +77,7 @@ def tag_sql(x: str, tag: str) -> str:
 def clean_sql(x: str) -> str:
     from corvane.functions.numeric import DROPPED
 
-    s = strip_sql(rf"regexp_replace(regexp_replace({strip_sql(x)}, '\\textbf\{{([^{{}}]*)\}}', '\1', 'g'), '{DROPPED}', '', 'g')")
+    s = strip_sql(rf"regexp_replace(regexp_replace({x}, '\\textbf\{{([^{{}}]*)\}}', '\1', 'g'), '{DROPPED}', '', 'g')")
     return s
 
 

@@ -186,7 +186,8 @@ _SYS = "You are a careful solver."
 @query("prompt_render", rf"SELECT id, '<|im_start|>system\n{_SYS}<|im_end|>\n<|im_start|>user\n' || problem || '<|im_end|>\n<|im_start|>assistant\n' AS prompt, answer, x.t AS example_type FROM problems, (VALUES ('solution'), ('programming'), ('architect')) AS x(t)")
 def prompt_render(t):
     p = t("problems")
-    return M.examples(p, "solution", _SYS).unionByName(M.examples(p, "programming", _SYS)).unionByName(M.examples(p, "architect", _SYS))
+    every = M.examples(p, "solution", _SYS).unionByName(M.examples(p, "programming", _SYS)).unionByName(M.examples(p, "architect", _SYS))
+    return every.select("id", "prompt", "answer", "example_type")
 
 
 @query("sft_render", "SELECT id, md5('<|im_start|>system<|im_sep|>You are a careful solver.<|im_end|><|im_start|>user<|im_sep|>' || problem || '<|im_end|><|im_start|>assistant<|im_sep|>' || solution || '<|im_end|>') AS text_md5 FROM problems")
@@ -236,7 +237,7 @@ def unsalvageable_reasons(t):
     return a.groupBy(F.coalesce(X.unsalvageable(F.col("model_solution")), F.lit("(none)")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("tutor_examples", rf"""WITH {ATT}, x AS (SELECT *, CASE WHEN coalesce(problem, '') = '' THEN 'no problem' WHEN coalesce(model_solution, '') = '' THEN 'no solution' WHEN {tag_sql('model_solution', 'response')} IS NULL THEN 'no response' WHEN contains(model_solution, 'Solve the following problem step by step') THEN 'echo' WHEN is_correct IS NULL THEN 'no flag'
+@query("tutor_examples", rf"""WITH {ATT}, x AS (SELECT *, CASE WHEN coalesce(problem, '') = '' THEN 'no problem' WHEN coalesce(model_solution, '') = '' THEN 'no solution' WHEN {tag_sql('model_solution', 'response')} IS NULL THEN 'no response' WHEN contains(model_solution, 'Begin with the first calculation or operation') THEN 'echo' WHEN is_correct IS NULL THEN 'no flag'
  WHEN NOT is_correct AND coalesce(len(regexp_extract_all(model_answer, '\b[0-9]+\b')), 0) <> 1 THEN 'no wrong step' WHEN NOT is_correct AND length(regexp_extract(model_answer, '\b[0-9]+\b')) > 9 THEN 'no wrong step' WHEN is_correct AND CAST(('0x' || substr(md5(problem), 1, 8)) AS UBIGINT) % 20 <> 0 THEN 'bucket' END AS reason FROM att) SELECT id, run_id, attempt_number, reason, CASE WHEN reason IS NULL THEN 'tutor' ELSE 'solution' END AS example_type FROM x""")
 def tutor_examples(t):
     return M.tutor_examples(attempts(t))
@@ -335,7 +336,7 @@ _BOX = r"CASE WHEN regexp_matches(completion, '\\boxed\{([0-9]+)\}') THEN regexp
 _TL = "CASE WHEN contains(completion, '<thinking>') THEN length(regexp_extract(completion, '(?s)<thinking>(.*?)</thinking>', 1)) ELSE 0 END"
 
 
-@query("pipeline_standard", f"WITH {COMPLETIONS}, {_CNT}, a AS (SELECT *, {_BOX} AS ma, {_TL} AS tl FROM comp), {_vote('ma', 'a', 'm')}, th AS (SELECT id, round(avg(tl), 6) AS avg_thinking, round(coalesce(avg(tl) FILTER (WHERE is_correct), 0), 6) AS avg_thinking_correct FROM a GROUP BY id) SELECT cnt.*, m.v AS majority_answer, m.c AS majority_count, avg_thinking, avg_thinking_correct FROM cnt LEFT JOIN m USING (id) JOIN th USING (id)")
+@query("pipeline_standard", f"WITH {COMPLETIONS}, {_CNT}, a AS (SELECT *, {_BOX} AS ma, {_TL} AS tl FROM comp), {_vote('ma', 'a', 'm')}, th AS (SELECT id, round(avg(tl), 6) AS avg_thinking, round(coalesce(avg(tl) FILTER (WHERE is_correct), 0), 6) AS avg_thinking_correct FROM a GROUP BY id), hit AS (SELECT a.id, coalesce(bool_or(is_correct AND ma = m.v), false) AS majority_correct FROM a JOIN m ON a.id = m.id GROUP BY a.id) SELECT cnt.*, m.v AS majority_answer, m.c AS majority_count, majority_correct, avg_thinking, avg_thinking_correct FROM cnt LEFT JOIN m USING (id) LEFT JOIN hit USING (id) JOIN th USING (id)")
 def pipeline_standard(t):
     return P.standard(completions(t))
 
@@ -355,7 +356,7 @@ def pipeline_test(t):
     return P.test_functions(completions(t))
 
 
-@query("pipeline_programmer_test", f"WITH {COMPLETIONS}, {_vote('value', 'comp', 'm')}, {_vote('value', 'comp', 'w', 'test_passed')} SELECT m.id, m.v AS initial_answer, round(100.0 * m.c / m.tot, 6) AS initial_pct, coalesce(w.v, m.v) AS final_answer, w.v IS NULL AS fell_back FROM m LEFT JOIN w ON m.id = w.id")
+@query("pipeline_programmer_test", f"WITH {COMPLETIONS}, {_vote('value', 'comp', 'm')}, {_vote('value', 'comp', 'w', 'test_passed')} SELECT m.id, m.v AS initial_answer, round(100.0 * m.c / m.tot, 6) AS initial_pct, coalesce(w.v, m.v) AS final_answer, w.v IS NULL AS fell_back, abs(m.v - want) <= 0.01 AS initial_correct, abs(coalesce(w.v, m.v) - want) <= 0.01 AS final_correct, n_both FROM m LEFT JOIN w ON m.id = w.id JOIN (SELECT id, CAST(max(answer) AS DOUBLE) AS want, count(*) FILTER (WHERE is_correct AND test_passed) AS n_both FROM comp GROUP BY id) b ON m.id = b.id")
 def pipeline_programmer_test(t):
     return P.programmer_and_test(completions(t))
 
@@ -375,15 +376,18 @@ def pipeline_architect(t):
 _DS = "CASE WHEN p AND k AND verified AND is_correct THEN 'matching' WHEN p AND k AND verified THEN 'matching_incorrect' WHEN k AND is_correct THEN 'code_fallback' WHEN p AND is_correct THEN 'proof_fallback' WHEN k THEN 'code_fallback_incorrect' WHEN p THEN 'proof_fallback_incorrect' ELSE 'invalid_solution' END"
 
 
-@query("pipeline_dual", f"""WITH {COMPLETIONS}, a AS (SELECT *, l_suppkey % 3 = 0 AS p, l_suppkey % 3 <> 2 AS k FROM comp), b AS (SELECT *, p AND is_correct AS po, k AND is_correct AS co, {_DS} AS answer_source FROM a), d AS (SELECT *, CASE WHEN po AND co THEN 1 WHEN co THEN 2 WHEN po THEN 3 WHEN answer_source LIKE 'matching%' THEN 4 ELSE 5 END AS priority FROM b),
- best AS (SELECT id, n AS best_attempt, priority, answer_source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, n) AS r FROM d) WHERE r = 1) SELECT id, proofs_ok, codes_ok, best_attempt, priority, answer_source FROM (SELECT id, count(*) FILTER (WHERE po) AS proofs_ok, count(*) FILTER (WHERE co) AS codes_ok FROM d GROUP BY id) JOIN best USING (id)""")
+_RIGHT = "vr AS (SELECT m.id, abs(m.v - want) <= 0.01 AS majority_correct FROM m JOIN (SELECT id, CAST(max(answer) AS DOUBLE) AS want FROM comp GROUP BY id) w ON m.id = w.id)"
+
+
+@query("pipeline_dual", f"""WITH {COMPLETIONS}, {_vote('value', 'comp', 'm')}, {_RIGHT}, a AS (SELECT *, l_suppkey % 3 = 0 AS p, l_suppkey % 3 <> 2 AS k FROM comp), b AS (SELECT *, p AND is_correct AS po, k AND is_correct AS co, {_DS} AS answer_source FROM a), d AS (SELECT *, CASE WHEN po AND co THEN 1 WHEN co THEN 2 WHEN po THEN 3 WHEN answer_source LIKE 'matching%' THEN 4 ELSE 5 END AS priority FROM b),
+ best AS (SELECT id, n AS best_attempt, priority, answer_source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, n) AS r FROM d) WHERE r = 1) SELECT id, proofs_ok, codes_ok, best_attempt, priority, answer_source, majority_correct FROM (SELECT id, count(*) FILTER (WHERE po) AS proofs_ok, count(*) FILTER (WHERE co) AS codes_ok FROM d GROUP BY id) JOIN best USING (id) LEFT JOIN vr USING (id)""")
 def pipeline_dual(t):
     return P.dual_proof(completions(t))
 
 
-@query("pipeline_tdd", f"""WITH {COMPLETIONS}, a AS (SELECT *, l_partkey % 3 <> 0 AS t, l_partkey % 4 <> 0 AS i FROM comp), b AS (SELECT *, i AND is_correct AS io, t AND test_passed AS tk, CASE WHEN NOT i THEN 'invalid_solution' WHEN t AND test_passed AND is_correct THEN 'verified_implementation' WHEN is_correct THEN 'implementation_fallback' ELSE 'implementation_fallback_incorrect' END AS answer_source FROM a),
+@query("pipeline_tdd", f"""WITH {COMPLETIONS}, {_vote('value', 'comp', 'm')}, {_RIGHT}, a AS (SELECT *, l_partkey % 3 <> 0 AS t, l_partkey % 4 <> 0 AS i FROM comp), b AS (SELECT *, i AND is_correct AS io, t AND test_passed AS tk, CASE WHEN NOT i THEN 'invalid_solution' WHEN t AND test_passed AND is_correct THEN 'verified_implementation' WHEN is_correct THEN 'implementation_fallback' ELSE 'implementation_fallback_incorrect' END AS answer_source FROM a),
  d AS (SELECT *, CASE WHEN io AND tk THEN 1 WHEN io THEN 2 WHEN tk THEN 3 ELSE 4 END AS priority FROM b), best AS (SELECT id, n AS best_attempt, priority, answer_source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, n) AS r FROM d) WHERE r = 1)
- SELECT id, impl_ok, test_ok, both_ok, best_attempt, priority, answer_source FROM (SELECT id, count(*) FILTER (WHERE io) AS impl_ok, count(*) FILTER (WHERE tk) AS test_ok, count(*) FILTER (WHERE io AND tk) AS both_ok FROM d GROUP BY id) JOIN best USING (id)""")
+ SELECT id, impl_ok, test_ok, both_ok, best_attempt, priority, answer_source, majority_correct FROM (SELECT id, count(*) FILTER (WHERE io) AS impl_ok, count(*) FILTER (WHERE tk) AS test_ok, count(*) FILTER (WHERE io AND tk) AS both_ok FROM d GROUP BY id) JOIN best USING (id) LEFT JOIN vr USING (id)""")
 def pipeline_tdd(t):
     return P.test_driven(completions(t))
 

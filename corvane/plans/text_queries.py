@@ -88,9 +88,9 @@ def numeric_fast_path(t):
     return t(_P).select("id", F.round(N.numeric_value(F.col("answer")), 6).alias("numeric_value"))
 
 
-@query("numeric_full")
+@query("numeric_full", f"WITH x AS ({number_sql('answer', 'problems')}) SELECT id, answer, round(v, 6) AS numeric_value FROM x")
 def numeric_full(t):
-    return t(_P).select("id", "answer", N.full_numeric_value(F.col("answer")).alias("numeric_value"))
+    return t(_P).select("id", "answer", F.round(N.full_numeric_value(F.col("answer")), 6).alias("numeric_value"))
 
 
 @query("alias_normalise", "SELECT id, coalesce(problem, question) AS problem, solution, coalesce(source, 'unknown') AS source, coalesce(answer, correct_answer) AS answer FROM raw_problems WHERE coalesce(problem, question) IS NOT NULL AND solution IS NOT NULL")
@@ -232,15 +232,15 @@ def set_checks(t):
     return attempts(t).where("model_solution is not null").select("id", "run_id", "attempt_number", full.alias("complete"), s.rlike(X.CJK).alias("has_cjk"), s.rlike(X.CYRILLIC).alias("has_cyrillic"))
 
 
-_MISC = r"""SELECT id, contains(coalesce(solution, ''), '\boxed') AS has_boxed, CAST(greatest(1, len(regexp_extract_all(coalesce(solution, ''), 'Step [0-9]+'))) AS INTEGER) AS manual_steps, left(problem, 200) AS preview, contains(lower(problem), 'how many') OR contains(lower(problem), 'determine') AS mentions,
- regexp_matches(source, '^[^/]+/[^/]+$') AS is_repository, TRY_CAST(answer AS INTEGER) AS as_int, CAST(length(problem) // 4 AS BIGINT) AS token_estimate, CAST(('0x' || substr(md5(problem), 1, 8)) AS UBIGINT) % 20 AS bucket FROM problems"""
+_MISC = r"""SELECT id, contains(coalesce(solution, ''), '\boxed') AS has_boxed, CAST(greatest(1, len(list_filter(regexp_extract_all(coalesce(solution, ''), '(?s)<step>(.*?)</step>', 1), lambda b: regexp_matches(b, '(?i)Step\s*[0-9]+[:.)\s]')))) AS INTEGER) AS manual_steps, left(problem, 200) AS preview, contains(lower(problem), 'how many') OR contains(lower(problem), 'determine') AS mentions,
+ regexp_matches(source, '^[^/]+/[^/]+$') AS is_repository, TRY_CAST(answer AS HUGEINT) AS as_int, CAST(length(problem) // 4 AS BIGINT) AS token_estimate, CAST(('0x' || substr(md5(problem), 1, 8)) AS UBIGINT) % 20 AS bucket FROM problems"""
 
 
-@query("scalar_misc", _MISC.replace("CAST(('0x' || substr(md5(problem), 1, 8)) AS UBIGINT) % 20", "CAST(CAST(('0x' || substr(md5(problem), 1, 8)) AS UBIGINT) % 20 AS BIGINT)").replace("TRY_CAST(answer AS INTEGER)", "CASE WHEN regexp_matches(answer, '^\\s*[+-]?[0-9]{1,9}\\s*$') THEN TRY_CAST(answer AS INTEGER) END"))
+@query("scalar_misc", _MISC.replace("CAST(('0x' || substr(md5(problem), 1, 8)) AS UBIGINT) % 20", "CAST(CAST(('0x' || substr(md5(problem), 1, 8)) AS UBIGINT) % 20 AS BIGINT)").replace("TRY_CAST(answer AS HUGEINT)", "CASE WHEN regexp_matches(answer, '^\\s*[+-]?[0-9]+\\s*$') THEN CAST(CAST(trim(answer) AS HUGEINT) AS VARCHAR) END"))
 def scalar_misc(t):
     s = F.coalesce("solution", F.lit(""))
-    as_int = F.when(F.col("answer").rlike(r"^\s*[+-]?[0-9]{1,9}\s*$"), F.col("answer").try_cast("int"))
+    as_int = N.int_value(F.col("answer")).cast("string")
     return t(_P).select(
-        "id", s.contains("\\boxed").alias("has_boxed"), F.greatest(F.lit(1), F.regexp_count(s, F.lit("Step [0-9]+"))).alias("manual_steps"), F.left("problem", F.lit(200)).alias("preview"), X.mentions_any(F.col("problem"), ["how many", "determine"]).alias("mentions"),
+        "id", s.contains("\\boxed").alias("has_boxed"), X.numbered_sections(s).alias("manual_steps"), F.left("problem", F.lit(200)).alias("preview"), X.mentions_any(F.col("problem"), ["how many", "determine"]).alias("mentions"),
         X.is_repository_name(F.col("source")).alias("is_repository"), as_int.alias("as_int"), X.token_estimate(F.col("problem")).alias("token_estimate"), X.md5_bucket(F.col("problem"), 20).cast("bigint").alias("bucket"),
     )

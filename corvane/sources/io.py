@@ -9,6 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.store import new_path
+
 _SLICE = re.compile(r"^(\w+)(?:\[(\d*):(\d*)\])?$")
 
 
@@ -23,20 +25,29 @@ def parse_slice(spec: str) -> tuple[str, int | None, int | None]:
 
 
 def read_split(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A Parquet table, or the ``split=...`` partition of one."""
+    """A Parquet table, or the ``split=...`` partition of one; where it has no
+    such split, its first one."""
     df = spark.read.parquet(path)
-    return df.where(F.col("split") == split) if split and "split" in df.columns else df
+    if not split or "split" not in df.columns:
+        return df
+    wanted = df.where(F.col("split") == split)
+    if wanted.isEmpty():
+        first = df.agg(F.min("split").alias("s")).first()["s"]
+        return df.where(F.col("split") == first)
+    return wanted
 
 
 def read_json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Rows of a file (or glob) that holds one JSON array of objects each; files
     that are no JSON or whose root is not an array of objects give no rows."""
     texts = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\["))
+    items = texts.select(F.explode(F.from_json("value", "array<string>")).alias("j")).where(F.col("j").rlike(r"^\s*\{"))
     if schema is None:
-        df = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-        return df.where(F.col("_corrupt").isNull()).drop("_corrupt") if "_corrupt" in df.columns else df
+        path = new_path(spark, "objects")
+        items.write.text(path)
+        return spark.read.option("mode", "DROPMALFORMED").json(path)
     ddl = schema if isinstance(schema, str) else schema.simpleString()
-    return texts.select(F.explode(F.from_json("value", f"array<struct<{ddl}>>")).alias("r")).select("r.*")
+    return items.select(F.from_json("j", f"struct<{ddl}>").alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +80,49 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array with an object a line, non-ASCII text as it is, in one file
+    of a folder. Its lines are written in parallel, then one task joins them as a
+    stream, so that it holds a line at a time: a sink for what one reader takes."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+
+    def lines(parts):
+        import pyarrow as pa
+
+        before = "["
+        for b in parts:
+            out = []
+            for j in b.column(0).to_pylist():
+                out.append(before + "  " + j if before == "[" else ",\n  " + j)
+                before = ","
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "\n]"])], ["value"])
+
+    rows.coalesce(1).mapInArrow(lines, "value string").write.mode("overwrite").option("lineSep", "").text(path)
+
+
+def save_all(path: str, *results: DataFrame) -> None:
+    """The results of several runs as one table, by name."""
+    union_by_name(*results).write.mode("overwrite").parquet(path)
+
+
+def append_log(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """Add lines of progress to a log kept as text files."""
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def write_snapshot(statistics: DataFrame, path: str) -> None:
+    """Reward statistics as they are now: JSON with nulls, stamped with the time
+    of writing."""
+    write_json(statistics.withColumn("saved_at", F.current_timestamp()), path)
+
+
+def settings(spark: SparkSession, defaults: dict[str, str], prefix: str = "spark.corvane.") -> dict[str, str]:
+    """Settings of the session under a prefix over their defaults."""
+    return {k: spark.conf.get(prefix + k, v) for k, v in defaults.items()}
+
+
 def table_info(df: DataFrame, name: str) -> str:
     """Sidecar metadata: name, number of rows and schema, as JSON."""
     return json.dumps({"name": name, "num_rows": df.count(), "features": json.loads(df.schema.json())["fields"]}, ensure_ascii=False, indent=2)
@@ -80,6 +134,8 @@ def convert(spark: SparkSession, source: str, target: str, source_format: str, t
     df = readers[source_format](source)
     if target_format == "json":
         write_json(df, target)
+    elif target_format == "json_array":
+        write_json_array(df, target)
     elif target_format == "csv":
         df.write.mode("overwrite").option("header", True).csv(target)
     else:

@@ -1,5 +1,7 @@
 """Golden cases of the column functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,92 @@ def test_multiple_choice_and_kinds(spark):
 def test_strictly_increasing(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([1, 1],), ([2],), ([],)], "v array<int>")
     assert [r[0] for r in df.select(X.strictly_increasing(F.col("v"))).collect()] == [True, False, True, False]
+
+
+# ---------------------------------------------------------------- values of any depth
+
+
+def test_boxes_of_any_depth_equal_counting(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["\\boxed{", "{", "}", "a", "}", " "]) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+
+    def want(s):
+        at = 0
+        while (k := s.find("\\boxed{", at)) >= 0:
+            depth, j = 1, k + 7
+            while j < len(s) and depth:
+                depth += (s[j] == "{") - (s[j] == "}")
+                j += 1
+            if not depth:
+                return s[k + 7 : j - 1].strip()
+            at = k + 7
+        return None
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, s string").select("k", X.boxed_answer(F.col("s")).alias("b")).collect()
+    assert {r.k: r.b for r in rows} == {k: want(s) for k, s in enumerate(texts)}
+
+
+def test_strip_is_that_of_python(spark):
+    blanks = [" ", " ", "　", "\x1c", "\x85", "\t", "\x0b", " ", "﻿"]
+    texts = [b + "a b" + c for b in blanks for c in blanks] + ["", " ", None, "\n\n" * 5000 + "x"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(X.strip(F.col("s"))).collect()]
+    assert got == [t.strip() if t is not None else None for t in texts]
+
+
+@pytest.mark.parametrize("value", [7.0, -0.4, 0.0, 1e10, float("inf"), float("-inf")])
+def test_filled_cases(spark, value):
+    row = spark.range(1)
+    cases = row.select(N.test_cases(F.lit(value), 50).alias("c")).first().c
+    assert value in cases and len(cases) <= 51 and len(set(cases)) == len(cases)
+    wrong = [c for c in cases if c != value]
+    assert all(abs(c) < float("inf") for c in wrong) and len(wrong) >= (50 if abs(value) < float("inf") else 14)
+    if abs(value) < float("inf"):
+        assert all(abs(c - value) > 1e-2 for c in wrong)
+    else:
+        assert 1e9 in cases and -1e9 in cases and (1e10 in cases) == (value < 0)
+    assert cases == row.select(N.test_cases(F.lit(value), 50).alias("c")).first().c
+
+
+def test_evaluator_serves_filters_and_rewards(spark):
+    from corvane.operators import filters, rewards
+
+    rows = [(1, "p" * 10, "so $x$ is \\boxed{2^{10}}", "1024"), (2, "p" * 10, "\\boxed{\\frac{3\\sqrt{2}}{4}}", "1.0606601717798212"), (3, "p" * 10, "\\boxed{x+1}", "3")]
+    df = spark.createDataFrame(rows, "id int, problem string, solution string, answer string")
+    kept = {r.id: r.reason for r in filters.waterfall(df, filters.standard_rules()).collect()}
+    assert kept == {1: None, 2: None, 3: "not_numeric"}
+    got = {r.id: r.ok for r in df.select("id", rewards.matches(F.col("solution"), F.col("answer")).alias("ok")).collect()}
+    assert got == {1: True, 2: True, 3: False}
+    assert {r.id: r.r.ok for r in df.select("id", N.verify(F.col("solution"), F.col("answer")).alias("r")).collect()} == got
+
+
+def test_walk_equals_the_loop(spark):
+    def walk(states):
+        n = len(states)
+        if n < 2:
+            return None
+        k, up, bad, wrong = n // 2, None, None, None
+        while True:
+            if states[k] == "verified":
+                return None
+            if states[k] == "valid":
+                if up is None:
+                    up = True
+                elif not up:
+                    return bad
+                if k + 1 >= n:
+                    return None
+                k += 1
+            else:
+                bad = k
+                if up is None:
+                    up, wrong = False, k
+                elif up:
+                    return k
+                if k == 0:
+                    return 0
+                k -= 1
+
+    rng = random.Random(5)
+    rows = [(k, [rng.choice(["valid", "valid", "invalid", "invalid", "verified"]) for _ in range(rng.randint(0, 9))]) for k in range(500)]
+    got = {r.k: r.w for r in spark.createDataFrame(rows, "k int, s array<string>").select("k", X.walk_to_wrong_step(F.col("s")).alias("w")).collect()}
+    assert got == {k: walk(s) for k, s in rows}
