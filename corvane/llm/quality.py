@@ -68,6 +68,12 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def _without_blanks(c: Column) -> Column:
+    for x in (" ", "\n", "\t", "\r"):
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
+
+
 def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
@@ -122,7 +128,9 @@ def layout_statistics(df: DataFrame, text: str, common_words: DataFrame) -> Data
     ``distinct_sentences``, ``encoded_share``, ``inner_share`` (marks or capitals
     within words), ``symbol_share``, ``distinct_symbols`` (of texts without wording), ``known_share`` (common words outside
     formulas), ``cut_share`` (sentences that go on in small letters after their
-    end), ``stray`` (pieces of formulas outside any)."""
+    end), ``stray`` (pieces of formulas outside any). What tells garbled wording
+    (inner_share, brackets, cut_share, stray) is 0 where common words are as
+    frequent as in sentences."""
     plain, han = common_word_lists(common_words)
     out = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_p", F.regexp_replace("_t", _FORMULA, _MARK))
     out = out.withColumn("_b", F.translate("_p", _MARK, " "))
@@ -135,7 +143,7 @@ def layout_statistics(df: DataFrame, text: str, common_words: DataFrame) -> Data
             "_words": F.regexp_extract_all(F.lower(bare), F.lit(_WORD), F.lit(0)),
             "_h": _count(F.col("_p"), _HAN),
             "_toks": F.filter(F.split(bare, r"\s+"), lambda x: x != ""),
-            "_solid": F.length(F.regexp_replace("_t", r"\s", "")),
+            "_solid": F.length(_without_blanks(F.col("_t"))),
             "_lines": F.filter(F.split("_p", r"\n"), lambda x: x.rlike(r"\S")),
             "_pieces": F.filter(F.transform(F.split("_t", r"(?<=[.!?。！？])\s*|\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 12),
         }
@@ -151,24 +159,30 @@ def layout_statistics(df: DataFrame, text: str, common_words: DataFrame) -> Data
             "known_share": known,
             "garbled": _count(F.col("_t"), _GARBLED),
             "letter_share": F.when(
-                (F.size("_toks") >= 10) & (w + h > 0) & (F.length(F.regexp_replace(bare, r"\s+", "")) <= 1.6 * F.size("_toks")),
+                (F.size("_toks") >= 10) & (w + h > 0) & (F.length(_without_blanks(bare)) <= 1.6 * F.size("_toks")),
                 _share(_count(bare, r"(?<!\S)\p{L}(?!\S)").cast("double"), F.size("_toks")),
             ).otherwise(0.0),
             "distinct_words": F.when(n >= 8, _share(F.greatest(F.size(F.array_distinct("_toks")) - 2, F.lit(0)).cast("double"), n)).otherwise(1.0),
             "distinct_sentences": F.when(F.size("_pieces") >= 3, _share(F.size(F.array_distinct("_pieces")).cast("double"), F.size("_pieces"))).otherwise(1.0),
-            "encoded_share": _share(_sum(F.transform(F.filter("_toks", lambda x: x.rlike(r"^(?=.*[A-Z0-9])[A-Za-z0-9+/=_-]{28,}$")), lambda x: F.length(x))).cast("double"), F.col("_solid")),
-            "inner_share": F.when(w >= 8, _share(_count(F.when(bare.rlike('[<"]'), F.regexp_replace(bare, r'<[^>]*>|"[^"\n]*"', " ")).otherwise(bare), _INNER).cast("double"), w)).otherwise(0.0),
+            "encoded_share": _share(_sum(F.transform(F.filter("_toks", lambda x: (F.length(x) >= 28) & x.rlike(r"^(?=.*[A-Z0-9])[A-Za-z0-9+/=_-]{28,}$")), lambda x: F.length(x))).cast("double"), F.col("_solid")),
             "symbol_share": _share(_count(F.col("_t"), _SYMBOL).cast("double"), F.col("_solid")),
             "distinct_symbols": F.when(F.col("_t").rlike(r"\p{L}.*\p{L}.*\p{L}"), 0).otherwise(F.size(F.array_distinct(F.regexp_extract_all("_t", F.lit(_SYMBOL), F.lit(0))))),
-            "brackets": _count(bare, r"[a-z][\[\]][a-z]"),
-            "cut_share": F.when(F.col("_t").rlike(r"\p{Lu}"), _count(F.col("_t"), _CUT) / F.greatest(_count(F.col("_t"), _ENDS), F.lit(1))).otherwise(0.0),
-            "stray": _count(bare, _STRAY),
             "_n_words": w,
             "_n_lines": F.size("_lines"),
             "_rows_first": F.exists(F.slice("_lines", 1, 3), lambda x: x.rlike(_ROW)),
         }
     )
-    k, cut = F.col("known_share"), F.col("cut_share") > 0.6
+    k = F.col("known_share")
+    few = lambda limit, value, otherwise=0.0: F.when(k < limit, value).otherwise(otherwise)
+    out = out.withColumns(
+        {
+            "inner_share": few(0.25, F.when(w >= 8, _share(_count(F.when(bare.rlike('[<"]'), F.regexp_replace(bare, r'<[^>]*>|"[^"\n]*"', " ")).otherwise(bare), _INNER).cast("double"), w)).otherwise(0.0)),
+            "brackets": few(0.2, _count(bare, r"[a-z][\[\]][a-z]"), 0),
+            "cut_share": few(0.12, F.when(F.col("_t").rlike(r"\p{Lu}"), _count(F.col("_t"), _CUT) / F.greatest(_count(F.col("_t"), _ENDS), F.lit(1))).otherwise(0.0)),
+            "stray": few(0.12, _count(bare, _STRAY), 0),
+        }
+    )
+    cut = F.col("cut_share") > 0.6
     good = (k >= 0.05) & ~(cut & (k < 0.1)) & ((h <= F.col("_n_words")) | (k >= 0.03))
 
     def split_bullet(line: Column) -> Column:
