@@ -231,9 +231,10 @@ def judge(problem: str, solution: str, answer: str | None, langs: Languages) ->
 
 
 def _trim(c):
-    """Without tags, blanks and dots at the end; runs are taken whole, so that a
-    text is passed once."""
-    return F.ltrim(F.regexp_replace(c, r"(?<!\s)(?:</?[A-Za-z]+>|\s++|(?<!\.)\.{2,}+|…++)+\z", ""))
+    """Without tags, blanks and dots at the end, however many."""
+    noise = F.lit(" \n\t\r\u00a0.…")
+    base = F.rtrim(c, noise)
+    return F.ltrim(F.when(base.endswith(">"), F.rtrim(F.regexp_replace(base, r"(?:</?[A-Za-z]+>[\s.…]*+)+\z", ""), noise)).otherwise(base))
 
 
 def shortened_versions(df: DataFrame, id_col: str, text: str) -> DataFrame:
