@@ -157,10 +157,10 @@ def _automaton(t: pa.Table, least_coverage: float) -> _Shard:
 BLOCK = 32  # training texts compared with a shard at a time
 
 
-def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_coverage: float) -> DataFrame:
+def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_coverage: float, coverage: bool) -> DataFrame:
     """(ct, ce, shard, passage): contents of training and evaluation texts that are
-    near, and, without contents, the passages of a shard that a task has found in
-    any text, each once. A task reads its texts once, as one list of normalised texts, and lets one shard
+    near, and, with ``coverage`` and without contents, the passages of a shard that
+    a task has found in any text, each once. A task reads its texts once, as one list of normalised texts, and lets one shard
     after the other run over them, so it holds one automaton at a time. A shard
     holds whole evaluation texts, so their coverage is known where it is found,
     and the exact similarity is taken there too."""
@@ -191,7 +191,7 @@ def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_cov
                         if common / max(1, n[i] + shard.n[j] - common) >= similarity:
                             ct.append(contents[i])
                             ce.append(int(shard.contents[j]))
-                found = np.flatnonzero(shard.found)
+                found = np.flatnonzero(shard.found) if coverage else np.empty(0, np.int64)
                 del shard, table
                 none = [None] * len(found)
                 yield pa.RecordBatch.from_arrays(
@@ -274,7 +274,7 @@ def _search(df: DataFrame, id_col: str, text: str, split: str, train: str, simil
     shards = -(-n // shard_passages)
     path = new_path(spark, "shards")
     cut.where("size(passages) > 0").withColumn("shard", F.pmod(F.xxhash64("content"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    scanned = materialise(_scan(texts.where("train"), path, shards, similarity, least_coverage).where("ct is null or ct <> ce"), "scanned")
+    scanned = materialise(_scan(texts.where("train"), path, shards, similarity, least_coverage, coverage).where("ct is null or ct <> ce"), "scanned")
     near = scanned.where("ct is not null").select("ct", "ce")
     found = scanned.where("ct is null").select("shard", "passage").distinct()
     return marks, near, materialise(_coverage(found, path, shards), "coverage") if coverage else None
@@ -290,7 +290,7 @@ def _sides(marks: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, Dat
 
 
 def cross_split_pairs(
-    df: DataFrame, id_col: str = "id", text: str = "problem", split: str = "split_name", train: str = "train", similarity: float = 0.55, least_coverage: float = 0.2, shard_passages: int = 100_000, max_broadcast_ids: int = 100_000
+    df: DataFrame, id_col: str = "id", text: str = "problem", split: str = "split_name", train: str = "train", similarity: float = 0.55, least_coverage: float = 0.2, shard_passages: int = 250_000, max_broadcast_ids: int = 100_000
 ) -> DataFrame:
     """(train_id, eval_id): pairs of a training and an evaluation record whose
     texts are the same, exactly or up to small edits.
@@ -310,7 +310,7 @@ def cross_split_pairs(
 
 
 def overlap_by_record(
-    df: DataFrame, id_col: str = "id", text: str = "problem", split: str = "split_name", source: str = "source", train: str = "train", similarity: float = 0.55, least_coverage: float = 0.2, shard_passages: int = 100_000, max_broadcast_ids: int = 100_000
+    df: DataFrame, id_col: str = "id", text: str = "problem", split: str = "split_name", source: str = "source", train: str = "train", similarity: float = 0.55, least_coverage: float = 0.2, shard_passages: int = 250_000, max_broadcast_ids: int = 100_000
 ) -> DataFrame:
     """(id, split_name, source, n_partners, coverage, n_intervals, longest): one row
     for each evaluation record with words.
