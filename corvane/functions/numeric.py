@@ -145,9 +145,10 @@ def wrong_cases(correct: Column, total: int = 0, seed: int = 7) -> Column:
             anything = (u(i, 1) * 2 - 1) * F.greatest(F.lit(100.0), F.abs(correct) * 100)
             return F.when(~finite, side(i) * F.pow(F.lit(10.0), F.floor(u(i, 1) * 6) + 4)).when(way == 0, multiple).when(way == 1, offset).otherwise(anything)
 
-        cases = F.concat(cases, F.transform(F.sequence(F.lit(1), F.lit(2 * total)), drawn))
-    good = F.array_distinct(F.filter(cases, lambda v: (F.abs(v) < float("inf")) & ((F.abs(v - correct) > 1e-2) | ~finite)))
-    return F.slice(good, 1, total) if total else good
+    good = lambda values: F.filter(values, lambda v: (F.abs(v) < float("inf")) & ((F.abs(v - correct) > 1e-2) | ~finite))
+    if not total:
+        return good(cases)
+    return F.slice(F.concat(good(cases), F.array_except(good(F.transform(F.sequence(F.lit(1), F.lit(2 * total)), drawn)), cases)), 1, total)
 
 
 def test_cases(correct: Column, total: int = 50, seed: int = 7) -> Column:

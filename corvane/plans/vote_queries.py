@@ -8,7 +8,7 @@ from corvane.functions import numeric as N
 from corvane.functions import text as X
 from corvane.operators import runstats as R
 from corvane.operators import votes as V
-from corvane.plans.registry import ATT, COMPLETIONS, KEYS, STATS, VOTES, answer_sql, completions, number_sql, query
+from corvane.plans.registry import ATT, COMPLETIONS, KEYS, STATS, VOTES, answer_sql, completions, number_sql, query, strip_sql
 
 
 def attempts(t):
@@ -199,7 +199,7 @@ def judge_stats(t):
     return attempts(t).groupBy("run_id").agg(F.count("is_correct").alias("judge_decisions"), F.round(F.avg(F.col("is_correct").cast("double")), 6).alias("judge_accuracy"))
 
 
-@query("error_class_counts", rf"WITH {ATT} SELECT CASE WHEN model_solution IS NULL OR regexp_matches(model_solution, '^\s*$') THEN 'empty' WHEN model_answer IS NULL THEN 'no_answer' WHEN is_correct IS NULL THEN 'unknown' WHEN is_correct THEN 'ok' ELSE 'wrong' END AS error_class, count(*) AS n FROM att GROUP BY 1")
+@query("error_class_counts", rf"WITH {ATT} SELECT CASE WHEN model_solution IS NULL OR {strip_sql('model_solution')} = '' THEN 'empty' WHEN model_answer IS NULL THEN 'no_answer' WHEN is_correct IS NULL THEN 'unknown' WHEN is_correct THEN 'ok' ELSE 'wrong' END AS error_class, count(*) AS n FROM att GROUP BY 1")
 def error_class_counts(t):
     s = F.col("model_solution")
     kind = F.when(s.isNull() | (X.strip(s) == ""), "empty").when(F.col("model_answer").isNull(), "no_answer").when(F.col("is_correct").isNull(), "unknown").when(F.col("is_correct"), "ok").otherwise("wrong")

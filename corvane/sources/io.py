@@ -89,17 +89,17 @@ def write_json_array(df: DataFrame, path: str) -> None:
     def lines(parts):
         import pyarrow as pa
 
-        before = "["
+        held = None  # a row is followed by a comma if there is another
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], ["value"])
         for b in parts:
-            out = []
-            for j in b.column(0).to_pylist():
-                out.append(before + "  " + j if before == "[" else ",\n  " + j)
-                before = ","
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "\n]"])], ["value"])
-
-    rows.coalesce(1).mapInArrow(lines, "value string").write.mode("overwrite").option("lineSep", "").text(path)
+            rows = b.column(0).to_pylist()
+            if rows:
+                out = ([] if held is None else [held]) + rows
+                held = out.pop()
+                yield pa.RecordBatch.from_arrays([pa.array([f"  {j}," for j in out], pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([*([] if held is None else [f"  {held}"]), "]"])], ["value"])
+
+    rows.coalesce(1).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def save_all(path: str, *results: DataFrame) -> None:
