@@ -86,39 +86,68 @@ def common_word_lists(common_words: DataFrame) -> tuple[list[str], list[str]]:
     return [w for w in words if w not in set(han)], sorted(han, key=lambda w: (-len(w), w))
 
 
-def basic_statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
-    """``df`` with word_count, mean_word_length, symbol_ratio, end_punct_share,
-    common_word_share, common_words, bullet_share, ellipsis_share and
-    alpha_word_share.
+def _arrays(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with what both kinds of statistics count: the text ``_t``, ``_p``
+    with a mark for each formula, ``_b`` without formulas; its ``_toks`` (runs
+    without blanks) and ``_lines``, of ``_t`` and ``_p``; ``_words`` (runs of
+    letters outside formulas, in lower case) and ``_h`` (CJK characters)."""
+    out = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_p", F.when(F.col("_t").rlike(r"[$\\]"), F.regexp_replace("_t", _FORMULA, _MARK)).otherwise(F.col("_t")))
+    out = out.withColumn("_b", F.translate("_p", _MARK, " "))
+    return out.withColumns(
+        {
+            "_toks": F.filter(F.split("_t", r"\s+"), lambda x: x != ""),
+            "_lines": F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"\S")),
+            "_words": F.regexp_extract_all(F.lower("_b"), F.lit(_WORD), F.lit(0)),
+            "_h": F.when(F.col("_t").rlike(_HAN), _count(F.col("_b"), _HAN)).otherwise(0),
+        }
+    )
 
-    Words are runs without white space; common words are looked for among runs
-    of letters, those of CJK script as substrings per character of it. Null is
-    the empty text, whose counts and shares are 0. Names of ``df``'s own columns
-    that are equal to one of these are replaced."""
+
+def _common(common_words: DataFrame) -> tuple[Column, Column]:
+    """(common words among ``_words``, CJK characters in common words)."""
     plain, han = common_word_lists(common_words)
-    out = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_low", F.lower("_t"))
-    out = out.withColumn("_toks", F.filter(F.split("_low", r"\s+"), lambda x: x != "")).withColumn("_lines", F.filter(F.split("_t", r"\n"), lambda x: F.trim(x) != ""))
-    out = out.withColumn("_words", F.regexp_extract_all("_low", F.lit(_WORD), F.lit(0))).withColumn("_han", _count(F.col("_t"), _HAN))
+    common = F.size(F.filter("_words", lambda x: x.isin(plain))) if plain else F.lit(0)
+    # a CJK word counts by its characters, as the text does
+    pattern = rf"[^㐀-鿿]|(?:{'|'.join(map(re.escape, han))})"
+    common_han = F.when(F.col("_h") > 0, F.col("_h") - F.length(F.regexp_replace("_b", pattern, ""))).otherwise(0) if han else F.lit(0)
+    return common, common_han
+
+
+def _basic(out: DataFrame) -> dict[str, Column]:
     n, lines = F.size("_toks"), F.size("_lines")
-    common = F.size(F.filter("_words", lambda w: w.isin(plain))) if plain else F.lit(0)
-    common_han = F.when(F.col("_han") > 0, _count(F.col("_low"), "|".join(map(re.escape, han)))).otherwise(F.lit(0)) if han else F.lit(0)
-    out = out.withColumn("_common", common + common_han)
-    stats = {
+    return {
         "word_count": n.cast("bigint"),
         "mean_word_length": _share(_sum(F.transform("_toks", lambda x: F.length(x))).cast("double"), n),
         "symbol_ratio": _share(_count(F.col("_t"), r"#|\.\.\.|…").cast("double"), n),
         "end_punct_share": _share(F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?。！？;:”\"»)]\s*$"))).cast("double"), lines),
-        "common_word_share": _share(F.col("_common").cast("double"), F.size("_words") + F.col("_han")),
-        "common_words": F.col("_common").cast("bigint"),
+        "common_word_share": _share((F.col("_common") + F.col("_common_han")).cast("double"), F.size("_words") + F.col("_h")),
+        "common_words": (F.col("_common") + F.col("_common_han")).cast("bigint"),
         "bullet_share": _share(F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*(?:[-*•+‣–]|\d+[.)]|\(?[a-zA-Z0-9]\))\s"))).cast("double"), lines),
         "ellipsis_share": _share(F.size(F.filter("_lines", lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))).cast("double"), lines),
         "alpha_word_share": _share(F.size(F.filter("_toks", lambda x: x.rlike(r"\p{L}"))).cast("double"), n),
     }
-    return out.withColumns(stats).select(*[c for c in df.columns if c not in stats], *stats)
 
 
-def layout_statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
-    """``df`` with the statistics that tell lists, tables and junk apart.
+def statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
+    """``df`` without columns of these names, and the statistics of ``text``.
+
+    Basic ones: word_count, mean_word_length, symbol_ratio, end_punct_share,
+    common_word_share, common_words, bullet_share, ellipsis_share and
+    alpha_word_share. Words are runs without white space; common words are looked
+    for among runs of letters outside formulas, those of CJK script as substrings
+    by their characters. And those that tell lists, tables and junk apart, see
+    :func:`_layout`. Null is the empty text, whose counts and shares are 0."""
+    common, common_han = _common(common_words)
+    out = _arrays(df, text).withColumns({"_common": common, "_common_han": common_han})
+    basic = _basic(out)
+    out = out.withColumns({f"_s_{k}": v for k, v in basic.items()})
+    layout, out = _layout(out)
+    names = {**{k: F.col(f"_s_{k}") for k in basic}, **layout}
+    return out.select(*[F.col(c) for c in df.columns if c not in names], *[v.alias(k) for k, v in names.items()])
+
+
+def _layout(out: DataFrame) -> tuple[dict[str, Column], DataFrame]:
+    """The statistics that tell lists, tables and junk apart, over :func:`_arrays`.
 
     Shares of characters outside blank lines: ``sentence_share``, ``row_share``,
     ``item_share``, ``furniture_share``, ``other_share`` (lines that are none of
@@ -131,45 +160,36 @@ def layout_statistics(df: DataFrame, text: str, common_words: DataFrame) -> Data
     end), ``stray`` (pieces of formulas outside any). What tells garbled wording
     (inner_share, brackets, cut_share, stray) is 0 where common words are as
     frequent as in sentences."""
-    plain, han = common_word_lists(common_words)
-    out = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_p", F.regexp_replace("_t", _FORMULA, _MARK))
-    out = out.withColumn("_b", F.translate("_p", _MARK, " "))
-    bare = F.col("_b")
+    bare, w, h = F.col("_b"), F.size("_words"), F.col("_h")
     out = out.withColumns(
         {
-            "_formula_length": _share((F.length("_t") - F.length("_p")).cast("double"), _count(F.col("_p"), _MARK)),
+            "_formula_length": _share((F.length("_t") - F.length("_p")).cast("double"), F.length("_p") - F.length(F.replace(F.col("_p"), F.lit(_MARK), F.lit("")))),
             "_may_row": reduce(or_, [F.col("_p").contains(x) for x in _ANY_ROW]) | F.col("_p").rlike(_TIGHT),
-            "_may_fields": F.col("_b").contains("="),
-            "_words": F.regexp_extract_all(F.lower(bare), F.lit(_WORD), F.lit(0)),
-            "_h": _count(F.col("_p"), _HAN),
-            "_toks": F.filter(F.split(bare, r"\s+"), lambda x: x != ""),
+            "_may_fields": bare.contains("="),
             "_solid": F.length(_without_blanks(F.col("_t"))),
-            "_lines": F.filter(F.split("_p", r"\n"), lambda x: x.rlike(r"\S")),
+            "_bare_toks": F.when(F.col("_t") == bare, F.col("_toks")).otherwise(F.filter(F.split(bare, r"\s+"), lambda x: x != "")),
+            "_marked_lines": F.when(F.col("_t") == F.col("_p"), F.col("_lines")).otherwise(F.filter(F.split("_p", "\n"), lambda x: x.rlike(r"\S"))),
             "_pieces": F.filter(F.transform(F.split("_t", r"(?<=[.!?。！？])\s*|\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 12),
         }
     )
-    w, h = F.size("_words"), F.col("_h")
-    common = F.size(F.filter("_words", lambda x: x.isin(plain))) if plain else F.lit(0)
-    # a CJK word counts by its characters, as the text does
-    common_han = F.length(F.regexp_replace("_p", rf"[^㐀-鿿]|(?:{'|'.join(map(re.escape, han))})", "")) if han else h
-    known = F.when(h > w, _share((h - common_han).cast("double"), h)).otherwise(_share(common.cast("double"), F.greatest(w, F.lit(1))))
-    n = F.size("_toks")
+    known = F.when(h > w, _share(F.col("_common_han").cast("double"), h)).otherwise(_share(F.col("_common").cast("double"), F.greatest(w, F.lit(1))))
+    n = F.size("_bare_toks")
     out = out.withColumns(
         {
             "known_share": known,
             "garbled": _count(F.col("_t"), _GARBLED),
             "letter_share": F.when(
-                (F.size("_toks") >= 10) & (w + h > 0) & (F.length(_without_blanks(bare)) <= 1.6 * F.size("_toks")),
-                _share(_count(bare, r"(?<!\S)\p{L}(?!\S)").cast("double"), F.size("_toks")),
+                (F.size("_bare_toks") >= 10) & (w + h > 0) & (F.length(_without_blanks(bare)) <= 1.6 * F.size("_bare_toks")),
+                _share(_count(bare, r"(?<!\S)\p{L}(?!\S)").cast("double"), F.size("_bare_toks")),
             ).otherwise(0.0),
-            "distinct_words": F.when(n >= 8, _share(F.greatest(F.size(F.array_distinct("_toks")) - 2, F.lit(0)).cast("double"), n)).otherwise(1.0),
+            "distinct_words": F.when(n >= 8, _share(F.greatest(F.size(F.array_distinct("_bare_toks")) - 2, F.lit(0)).cast("double"), n)).otherwise(1.0),
             "distinct_sentences": F.when(F.size("_pieces") >= 3, _share(F.size(F.array_distinct("_pieces")).cast("double"), F.size("_pieces"))).otherwise(1.0),
-            "encoded_share": _share(_sum(F.transform(F.filter("_toks", lambda x: (F.length(x) >= 28) & x.rlike(r"^(?=.*[A-Z0-9])[A-Za-z0-9+/=_-]{28,}$")), lambda x: F.length(x))).cast("double"), F.col("_solid")),
+            "encoded_share": _share(_sum(F.transform(F.filter("_bare_toks", lambda x: (F.length(x) >= 28) & x.rlike(r"^(?=.*[A-Z0-9])[A-Za-z0-9+/=_-]{28,}$")), lambda x: F.length(x))).cast("double"), F.col("_solid")),
             "symbol_share": _share(_count(F.col("_t"), _SYMBOL).cast("double"), F.col("_solid")),
             "distinct_symbols": F.when(F.col("_t").rlike(r"\p{L}.*\p{L}.*\p{L}"), 0).otherwise(F.size(F.array_distinct(F.regexp_extract_all("_t", F.lit(_SYMBOL), F.lit(0))))),
             "_n_words": w,
-            "_n_lines": F.size("_lines"),
-            "_rows_first": F.exists(F.slice("_lines", 1, 3), lambda x: x.rlike(_ROW)),
+            "_n_lines": F.size("_marked_lines"),
+            "_rows_first": F.exists(F.slice("_marked_lines", 1, 3), lambda x: x.rlike(_ROW)),
         }
     )
     k = F.col("known_share")
@@ -220,7 +240,7 @@ def layout_statistics(df: DataFrame, text: str, common_words: DataFrame) -> Data
         )
         return F.struct(kind.alias("k"), (F.length(F.trim(line)) + x["h"] + m * F.col("_formula_length")).alias("n"))
 
-    out = out.withColumn("_judged", F.transform(F.transform(F.transform("_lines", split_bullet), features), judge))
+    out = out.withColumn("_judged", F.transform(F.transform(F.transform("_marked_lines", split_bullet), features), judge))
     weigh = lambda kind: F.aggregate("_judged", F.lit(0.0), lambda a, x: a + F.when(x["k"] == kind, x["n"]).otherwise(0.0))
     out = out.withColumns({f"_{c}": weigh(c) for c in ("sentence", "row", "item", "furniture", "formula", "other")})
     total = F.col("_sentence") + F.col("_row") + F.col("_item") + F.col("_furniture") + F.col("_formula") + F.col("_other")
@@ -236,9 +256,9 @@ def layout_statistics(df: DataFrame, text: str, common_words: DataFrame) -> Data
         "brackets": F.col("brackets"),
         "letter_words": F.col("_n_words"),
         "field_rows_first": F.col("_rows_first"),
-        "empty": F.size("_lines") == 0,
+        "empty": F.size("_marked_lines") == 0,
     }
-    return out.select(*[F.col(c) for c in df.columns if c not in stats], *[v.alias(c) for c, v in stats.items()])
+    return stats, out
 
 
 def rules() -> list[tuple[str, str | None, Column]]:
@@ -283,7 +303,7 @@ def text_statistics(df: DataFrame, id_col: str, text: str, common_words: DataFra
     long texts are read whole; other columns are ignored, whatever their names;
     an empty table gives none."""
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    stats = layout_statistics(basic_statistics(rows, "text", common_words), "text", common_words)
+    stats = statistics(rows, "text", common_words)
     failed = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, _, cond in rules()]), lambda x: x.isNotNull())
     kinds = {name: kind for name, kind, _ in rules() if kind}
     first = F.get(F.filter("failed_rules", lambda x: x.isin(list(kinds))), F.lit(0))
