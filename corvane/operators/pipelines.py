@@ -93,17 +93,19 @@ def dual_source(df: DataFrame) -> DataFrame:
     return df.withColumn("proof_ok", p & ok).withColumn("code_ok", k & ok).withColumn("answer_source", source)
 
 
-def _vote_is_right(df: DataFrame) -> DataFrame:
-    """(id, majority_correct): whether the vote equals the answer within tolerance."""
+def _with_vote(per: DataFrame, df: DataFrame) -> DataFrame:
+    """``per`` (with _want) and majority_correct: whether the vote equals the
+    answer within tolerance."""
     v = V.majority(df, KEY, "value", "n").select("id", "majority_answer")
-    want = df.groupBy(*KEY).agg(F.max("answer").alias("_want"))
-    return v.join(want, "id").select("id", N.same_value(F.col("majority_answer").cast("string"), F.col("_want")).alias("majority_correct"))
+    right = N.same_value(F.col("majority_answer").cast("string"), F.col("_want"))
+    return per.join(v, "id", "left").withColumn("majority_correct", F.when(F.col("majority_answer").isNotNull(), right)).drop("_want", "majority_answer")
 
 
 def dual_proof(df: DataFrame) -> DataFrame:
     a = dual_source(df)
     best = V.best_by_priority(a, KEY, [F.col("proof_ok") & F.col("code_ok"), F.col("code_ok"), F.col("proof_ok"), F.col("answer_source").startswith("matching")], "n").select("id", F.col("n").alias("best_attempt"), "priority", "answer_source")
-    return a.groupBy(*KEY).agg(F.count_if("proof_ok").alias("proofs_ok"), F.count_if("code_ok").alias("codes_ok")).join(best, "id").join(_vote_is_right(df), "id", "left")
+    per = a.groupBy(*KEY).agg(F.count_if("proof_ok").alias("proofs_ok"), F.count_if("code_ok").alias("codes_ok"), F.max("answer").alias("_want")).join(best, "id")
+    return _with_vote(per, df)
 
 
 def test_driven(df: DataFrame) -> DataFrame:
@@ -112,7 +114,8 @@ def test_driven(df: DataFrame) -> DataFrame:
     source = F.when(~i, "invalid_solution").when(t & F.col("test_passed") & ok, "verified_implementation").when(ok, "implementation_fallback").otherwise("implementation_fallback_incorrect")
     a = df.withColumn("impl_ok", i & ok).withColumn("test_ok", t & F.col("test_passed")).withColumn("answer_source", source)
     best = V.best_by_priority(a, KEY, [F.col("impl_ok") & F.col("test_ok"), F.col("impl_ok"), F.col("test_ok")], "n").select("id", F.col("n").alias("best_attempt"), "priority", "answer_source")
-    return a.groupBy(*KEY).agg(F.count_if("impl_ok").alias("impl_ok"), F.count_if("test_ok").alias("test_ok"), F.count_if(F.col("impl_ok") & F.col("test_ok")).alias("both_ok")).join(best, "id").join(_vote_is_right(df), "id", "left")
+    per = a.groupBy(*KEY).agg(F.count_if("impl_ok").alias("impl_ok"), F.count_if("test_ok").alias("test_ok"), F.count_if(F.col("impl_ok") & F.col("test_ok")).alias("both_ok"), F.max("answer").alias("_want")).join(best, "id")
+    return _with_vote(per, df)
 
 
 def step_statistics(found: DataFrame) -> DataFrame:
