@@ -133,7 +133,7 @@ class ByteGRU:
             grads["wx" + d], grads["u" + d] = dwx, du
         return float(loss), grads
 
-    def fit(self, seqs: list[bytes], labels: np.ndarray, weights: np.ndarray | None = None, width: int = 48, batch: int = 192, steps: int = 240, rate: float = 0.02, seed: int = 7, average: float = 0.98) -> list[float]:
+    def fit(self, seqs: list[bytes], labels: np.ndarray, weights: np.ndarray | None = None, width: int = 48, batch: int = 128, steps: int = 240, rate: float = 0.02, seed: int = 7, average: float = 0.98) -> list[float]:
         """Adam over random windows of ``width`` bytes, a class
         as often as the root of its number of texts, a text by its weight. The
         result is the running average of the weights over the last 40 % of the
