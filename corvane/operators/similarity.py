@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,8 +102,6 @@ def group_means(df: DataFrame, group: str = "label", vector: str = "embedding")
 def embed(df: DataFrame, text: str, encode, size: int, batch: int = 8, out: str = "embedding") -> DataFrame:
     """``df`` with vectors of ``size`` that ``encode`` (texts -> vectors) gives for
     batches of texts; zeros for a null text and for a batch on which it fails."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
         vectors: list[list[float]] = []

@@ -1,5 +1,6 @@
 """Operators against small brute-force models."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -101,8 +102,10 @@ def test_aliases_and_lists(spark):
 
 def test_samples(spark):
     df = spark.range(50).withColumnRenamed("id", "k")
-    one = [r.k for r in mixture.seeded_sample(df.repartition(5), "k", 1, 10).collect()]
-    assert one == [r.k for r in mixture.seeded_sample(df.repartition(2), "k", 1, 10).collect()] and len(one) == 10
+    one = sorted(r.k for r in mixture.seeded_sample(df.repartition(5), "k", 1, 10).collect())
+    assert one == sorted(r.k for r in mixture.seeded_sample(df.repartition(2), "k", 1, 10).collect()) and len(one) == 10
+    assert one == sorted(sorted(range(50), key=lambda k: hashlib.md5(f"1:{k}".encode()).hexdigest())[:10])
+    assert mixture.seeded_sample(df, "k", 1, 0).count() == 0 and mixture.seeded_sample(df.where("k < 0"), "k", 1, 5).count() == 0
     assert mixture.seeded_sample(df, "k", 1, 99).count() == 50
     assert Counter(r.copy_no for r in mixture.oversample(df, 3).collect()) == {1: 50, 2: 50, 3: 50}
 
@@ -127,3 +130,44 @@ def test_mean_pool_and_cleaning(spark):
     assert df.select(similarity.mean_pool(F.col("v"), F.col("m"))).first()[0] == [2.0, 3.0]
     odd = spark.createDataFrame([([float("nan"), float("inf"), float("-inf"), 2.0],)], "v array<double>")
     assert odd.select(similarity.cleaned(F.col("v"))).first()[0] == [0.0, 1.0, -1.0, 2.0]
+
+
+def test_strict_take(spark):
+    import pytest
+
+    assert [r.id for r in mixture.strict_take(spark.range(5), 3, "id").collect()] == [0, 1, 2]
+    with pytest.raises(ValueError, match="3 rows wanted, 2 there"):
+        mixture.strict_take(spark.range(2), 3, "id")
+
+
+def test_failed_batches_embed_as_zeros(spark):
+    def encode(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [[len(t), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "bcd", "bad", "x", None, "yy"])], "k int, t string").coalesce(1)
+    got = {r.k: r.embedding for r in similarity.embed(df, "t", encode, 2, batch=2).collect()}
+    assert got == {0: [1.0, 1.0], 1: [3.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0], 5: [2.0, 1.0]}
+
+
+def test_report_of_rows_without_optional_columns(spark):
+    df = spark.createDataFrame([(True,), (False,), (None,)], "is_correct boolean")
+    r = runstats.before_and_after(df).first()
+    assert (r.total, r.at_least_one, r.total_correct, r.total_initial_solutions, r.overall_initial_success_rate) == (3, 1, 1, 0, 0.0)
+    assert runstats.before_and_after(df.where("is_correct is null and is_correct")).first().total == 0
+    s = runstats.step_report(spark.createDataFrame([(True, 1, 4), (True, -1, 4), (False, 2, 0)], "wrong_step_found boolean, wrong_step_index int, total_steps int")).first()
+    assert (s.wrong_steps_found, s.avg_wrong_step_position) == (2, 0.25)
+
+
+def test_token_limits_of_prompts(spark):
+    steps = "<response>" + "".join(f"<step>Step {k}: {'long words ' * 6}</step>" for k in range(1, 5)) + "</response>"
+    df = spark.createDataFrame([(k, "p", steps, "True") for k in range(12)], "id int, problem string, model_solution string, is_correct string")
+    wide = {r.id: r for r in mixture.finalization_prompts(df, "s").collect()}
+    assert len(wide) == 12 and {r.split_at for r in wide.values()} == {1, 2, 3}
+    three = next(r for r in wide.values() if r.split_at == 3)
+    limit = (len("Problem: p\n\nPartial Solution: ") + len(three.partial_solution)) // 4  # what three steps reach and their prompt exceeds
+    narrow = {r.id: r for r in mixture.finalization_prompts(df, "s", limit=limit).collect()}
+    assert all(r.token_count <= limit and r.split_at < 3 for r in narrow.values())
+    assert {k for k, r in wide.items() if r.split_at == 3} <= {k for k, r in narrow.items() if r.split_at == 1}
+    assert mixture.finalization_prompts(df, "s", limit=20).count() == 0
