@@ -106,6 +106,13 @@ def fold_chat(df: DataFrame, key: str, order: str, role: str, text: str) -> Data
     return df.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("a")).select(key, F.concat(F.array_join(F.transform("a", lambda x: x["t"]), ""), F.lit(f"<|im_start|>assistant{n}")).alias("prompt"))
 
 
+def fold_chat_separated(df: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
+    """As :func:`fold_chat` in the other template: a separator mark between role
+    and text, nothing between turns, roles in small letters as they are."""
+    turn = F.struct(F.col(order).alias("o"), F.concat(F.lit("<|im_start|>"), F.lower(role), F.lit("<|im_sep|>"), F.col(text), F.lit("<|im_end|>")).alias("t"))
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("a")).select(key, F.concat(F.array_join(F.transform("a", lambda x: x["t"]), ""), F.lit("<|im_start|>assistant<|im_sep|>")).alias("prompt"))
+
+
 def single_message(df: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
     """(key, message): the last system and the last human message as one; without
     a human one the last message of all."""

@@ -7,13 +7,13 @@ test_passed, verified. Each pipeline gives one row for each problem.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import numeric as N
 from corvane.functions import text as X
 from corvane.operators import votes as V
-from corvane.operators.runstats import ratio
+from corvane.operators.runstats import ratio, test_verdicts
 from corvane.sources.store import materialise
 
 KEY = ["id"]
@@ -35,13 +35,19 @@ def standard(df: DataFrame, answered: bool = False) -> DataFrame:
     return _counts(a).join(v, "id", "left").join(hit, "id", "left").join(t, "id")
 
 
-def programming(df: DataFrame, tolerance: float = 1e-2) -> DataFrame:
-    """Vote with tolerance over the values of usable programs."""
+def _usable_vote(df: DataFrame, tolerance: float) -> DataFrame:
+    """(id, majority_value, score, majority_correct): vote with tolerance over the
+    values of usable programs."""
     ok = X.let(X.code_with_fallback(F.col("completion")), lambda c: (c != "") & ~X.has_code_problems(c) & X.computes(c))
     usable = materialise(df.where(ok).select(*KEY, "n", "value", "is_correct"), "usable")  # texts are read once; the votes run over numbers
     v = V.majority_with_tolerance(usable, KEY, "value", "n", tolerance)
     near = usable.join(v, KEY).groupBy(*KEY).agg(F.bool_or(F.col("is_correct") & (F.abs(F.col("value") - F.col("majority_value")) <= tolerance)).alias("majority_correct"))
-    return _counts(df).join(v, "id", "left").join(near, "id", "left")
+    return v.join(near, "id", "left")
+
+
+def programming(df: DataFrame, tolerance: float = 1e-2) -> DataFrame:
+    """Counts of right attempts, and the vote over usable programs."""
+    return _counts(df).join(_usable_vote(df, tolerance), "id", "left")
 
 
 def test_functions(df: DataFrame) -> DataFrame:
@@ -73,12 +79,22 @@ def tutor(df: DataFrame) -> DataFrame:
     return a.withColumn("fixed", fixed).withColumn("final", final).groupBy("id", "has_clear_winner").agg(F.count_if("fixed").alias("fixed"), F.count_if("is_correct").alias("initial_correct"), F.count_if("final").alias("final_correct"), (F.count_if("final") > F.count_if("is_correct")).alias("improved"))
 
 
-def architect(df: DataFrame) -> DataFrame:
-    """Attempts of a plan and a program each: two role rows, and the vote."""
-    roles = df.select("id", "n", F.explode(F.array(F.struct(F.lit("engineer").alias("role"), F.length("completion").alias("size")), F.struct(F.lit("programmer").alias("role"), F.length(X.code(F.col("completion"))).alias("size")))).alias("r"))
-    sizes = roles.groupBy("id").agg(F.count("*").alias("n_roles"), F.sum(F.when(F.col("r.role") == "engineer", F.col("r.size"))).alias("plan_chars"), F.sum(F.when(F.col("r.role") == "programmer", F.col("r.size"))).alias("code_chars"))
+#: Fixed value: the guidance that stands in where an engineer's text has no response section.
+DEFAULT_GUIDANCE = "Please solve this problem using appropriate Python libraries and techniques."
+
+
+def architect(df: DataFrame, tolerance: float = 1e-2) -> DataFrame:
+    """Attempts of a plan and a program each: the guidance handed on (a default
+    where the plan has none), two role rows, the vote of all values, and that of
+    usable programs with tolerance."""
+    c = F.col("completion")
+    guidance = F.coalesce(X.response(c), F.lit(DEFAULT_GUIDANCE))
+    sizes = df.groupBy("id").agg(
+        (2 * F.count("*")).alias("n_roles"), F.sum(F.length(c)).alias("plan_chars"), F.sum(F.length(X.code(c))).alias("code_chars"),
+        F.sum(F.length(guidance)).alias("guidance_chars"), F.count_if(X.response(c).isNull()).alias("without_guidance"),
+    )
     v = V.majority(df, KEY, "value", "n").select("id", "majority_answer")
-    return sizes.join(v, "id", "left")
+    return sizes.join(v, "id", "left").join(_usable_vote(df, tolerance), "id", "left")
 
 
 def dual_source(df: DataFrame) -> DataFrame:
@@ -148,3 +164,31 @@ def wrong_attempts(df: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
         F.count("*").alias("n_wrong"), F.count_if(bad).alias("n_unsalvageable"), F.min(F.when(~bad, F.col("attempt_number"))).alias("first_usable"),
         F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"),
     )
+
+
+def step_problem(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a problem over its searched wrong attempts: ``df`` has keys,
+    wrong_step and total_steps (null where none was found) and reason (null where
+    the attempt could be searched). Distributions are maps by category and reason."""
+    found, bad, n = F.col("wrong_step").isNotNull(), F.col("reason").isNotNull(), F.count("*")
+    place = F.when(found, F.try_divide("wrong_step", "total_steps"))
+
+    def distribution(c: Column) -> Column:
+        values = F.collect_list(c)  # of at most the searched attempts of a problem
+        return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(values)), lambda x: F.struct(x, F.size(F.filter(values, lambda y: y == x)))))
+
+    category = F.when(found, X.position_category(F.col("wrong_step"), F.col("total_steps")))
+    return df.groupBy(*keys).agg(
+        F.count_if(found).alias("wrong_steps_found"), F.round(F.coalesce(F.avg(place), F.lit(0.0)), 6).alias("avg_wrong_step_position"), distribution(category).alias("position_distribution"),
+        ratio(F.count_if(found), n, 1.0).alias("recovery_success_rate"), F.count_if(bad).alias("unsalvageable_solutions"), ratio(F.count_if(bad), n, 1.0).alias("unsalvageable_rate"), distribution(F.col("reason")).alias("unsalvageable_reasons"),
+    )
+
+
+def test_cases(df: DataFrame, outcome: Column) -> DataFrame:
+    """(id, verdict, timeouts, errors) of test functions: ``df`` (id, correct, ...)
+    is laid out to one row for each case, the right one and the wrong ones of
+    :func:`numeric.wrong_cases`, with right_case and test_case; ``outcome`` is what
+    the function said of it."""
+    rows = df.withColumn("_w", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("r"), F.col("correct").alias("v"))), F.transform(N.wrong_cases(F.col("correct")), lambda v: F.struct(F.lit(False).alias("r"), v.alias("v"))))))
+    rows = rows.withColumns({"right_case": F.col("_w.r"), "test_case": F.col("_w.v")}).withColumn("outcome", outcome)
+    return test_verdicts(rows, KEY)

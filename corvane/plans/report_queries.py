@@ -253,3 +253,25 @@ def finalization_prompts(t):
     a = attempts(t).where("model_solution is not null").withColumn("model_solution", F.expr(_WRAPPED))
     f = M.finalization_prompts(a, "Check it.", limit=150)
     return f.select("id", "run_id", "attempt_number", "split_at", "partial_solution", F.md5("full_solution").alias("full_md5"), F.md5("prompt").alias("prompt_md5"), "token_count")
+
+
+_POSITION = "CASE WHEN n <= 2 THEN 'short_solution' WHEN i = 0 THEN 'beginning' WHEN i = n - 1 THEN 'end' WHEN i < n / 3.0 THEN 'early' WHEN i < 2 * n / 3.0 THEN 'middle' ELSE 'late' END"
+_FOUND = "why IS NULL AND attempt_number % 3 <> 0"
+
+
+@query("step_problem_report", f"""WITH {ATT}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, run_id ORDER BY attempt_number) AS r FROM att WHERE NOT is_correct AND model_solution IS NOT NULL) WHERE r <= 3), x AS (SELECT id, run_id, attempt_number, total_attempts AS n, attempt_number - 1 AS i, model_solution AS s, regexp_extract_all(model_solution, '(?s)<step>(.*?)</step>', 1) AS g FROM f),
+ y AS (SELECT *, list_transform(g, lambda q: {_NUM_SQL}) AS nn FROM x), z AS (SELECT *, CASE WHEN attempt_number % 2 = 0 THEN {_WHY} END AS why FROM y), u AS (SELECT *, {_FOUND} AS hit, CASE WHEN {_FOUND} THEN {_POSITION} END AS cat FROM z),
+ pd AS (SELECT id, run_id, string_agg(cat || '=' || c, ',' ORDER BY cat) AS d FROM (SELECT id, run_id, cat, count(*) AS c FROM u WHERE cat IS NOT NULL GROUP BY ALL) GROUP BY id, run_id), wd AS (SELECT id, run_id, string_agg(why || '=' || c, ',' ORDER BY why) AS d FROM (SELECT id, run_id, why, count(*) AS c FROM u WHERE why IS NOT NULL GROUP BY ALL) GROUP BY id, run_id),
+ a AS (SELECT id, run_id, count(*) FILTER (WHERE hit) AS wrong_steps_found, round(coalesce(avg(i * 1.0 / n) FILTER (WHERE hit), 0), 6) AS avg_wrong_step_position, round(count(*) FILTER (WHERE hit) * 1.0 / count(*), 6) AS recovery_success_rate, count(why) AS unsalvageable_solutions, round(count(why) * 1.0 / count(*), 6) AS unsalvageable_rate FROM u GROUP BY id, run_id)
+ SELECT a.*, coalesce(pd.d, '') AS positions, coalesce(wd.d, '') AS reasons FROM a LEFT JOIN pd ON a.id = pd.id AND a.run_id = pd.run_id LEFT JOIN wd ON a.id = wd.id AND a.run_id = wd.run_id""")
+def step_problem_report(t):
+    """First three wrong attempts of a problem; every second one has its steps
+    checked, and of the usable ones those not divisible by three were traced to a
+    step, that of their number."""
+    a = V.first_k(attempts(t).where(~F.col("is_correct") & F.col("model_solution").isNotNull()), KEYS, "attempt_number", 3)
+    a = a.withColumn("reason", F.when(F.col("attempt_number") % 2 == 0, X.unsalvageable(F.col("model_solution"))))
+    hit = F.col("reason").isNull() & (F.col("attempt_number") % 3 != 0)
+    a = a.withColumns({"wrong_step": F.when(hit, F.col("attempt_number") - 1), "total_steps": F.when(hit, F.col("total_attempts"))})
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    r = P.step_problem(a, KEYS)
+    return r.select(*KEYS, "wrong_steps_found", "avg_wrong_step_position", "recovery_success_rate", "unsalvageable_solutions", "unsalvageable_rate", shown("position_distribution").alias("positions"), shown("unsalvageable_reasons").alias("reasons"))

@@ -201,6 +201,12 @@ def chat_render(t):
     return M.fold_chat(a, "k", "attempt_number", "r", "x").select("k.id", "k.run_id", F.md5("prompt").alias("prompt_md5"))
 
 
+@query("chat_render_separated", f"""WITH {ATT} SELECT id, run_id, md5(string_agg('<|im_start|>' || r || '<|im_sep|>' || x || '<|im_end|>', '' ORDER BY o) || '<|im_start|>assistant<|im_sep|>') AS prompt_md5 FROM (SELECT id, run_id, attempt_number AS o, CASE WHEN attempt_number % 2 = 1 THEN 'human' ELSE 'assistant' END AS r, coalesce(model_answer, '') AS x FROM att) GROUP BY id, run_id""")
+def chat_render_separated(t):
+    a = attempts(t).select(F.struct("id", "run_id").alias("k"), "attempt_number", F.when(F.col("attempt_number") % 2 == 1, "Human").otherwise("assistant").alias("r"), F.coalesce("model_answer", F.lit("")).alias("x"))
+    return M.fold_chat_separated(a, "k", "attempt_number", "r", "x").select("k.id", "k.run_id", F.md5("prompt").alias("prompt_md5"))
+
+
 @query("chat_single_message", f"""WITH {ATT}, x AS (SELECT id, run_id, attempt_number AS o, CASE WHEN attempt_number = 1 THEN 'system' WHEN attempt_number % 2 = 0 THEN 'human' ELSE 'assistant' END AS r, coalesce(model_answer, '') AS t FROM att), y AS (SELECT id, run_id, arg_max(t, o) FILTER (WHERE r = 'system') AS s, arg_max(t, o) FILTER (WHERE r = 'human') AS u, arg_max(t, o) AS a FROM x GROUP BY id, run_id)
  SELECT id, run_id, CASE WHEN s <> '' AND u <> '' THEN 'System instructions:' || chr(10) || s || chr(10) || chr(10) || 'User message:' || chr(10) || u WHEN u <> '' THEN u ELSE a END AS message FROM y""")
 def chat_single_message(t):
@@ -285,6 +291,20 @@ def test_matrix(t):
     return wrong.unionByName(x.select("id", F.round("c", 6).alias("test_case"), F.lit(True).alias("expected")))
 
 
+_SAID = "CASE WHEN id % 7 = 0 THEN 'True' WHEN id % 11 = 0 THEN 'Timeout after 1 s' WHEN abs(test_case - CASE WHEN id % 4 = 0 THEN 2 * correct ELSE correct END) <= 0.01 THEN 'True' ELSE 'False' END"
+
+
+@query("pipeline_test_cases", f"""WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 100) / 100.0::DOUBLE ELSE o_totalprice END AS c FROM orders), d AS (SELECT id, c, unnest(list_concat({_CASES}, CASE WHEN abs(c) < 1 THEN {_OFFSETS} ELSE [] END)) AS v FROM x),
+ k AS (SELECT id, c AS correct, v AS test_case, false AS right_case FROM d WHERE abs(v - c) > 0.01 UNION ALL SELECT id, c, c, true FROM x), o AS (SELECT id, right_case, {_SAID} AS o FROM k)
+ SELECT id, CASE WHEN count(*) FILTER (WHERE right_case AND o <> 'True') > 0 THEN 'rejects_correct' WHEN count(*) FILTER (WHERE NOT right_case AND o = 'True') > 0 THEN 'accepts_wrong' WHEN count(*) FILTER (WHERE NOT right_case AND o = 'False') = 0 AND count(*) FILTER (WHERE NOT right_case) > 0 THEN 'only_errors' ELSE 'ok' END AS verdict,
+ count(*) FILTER (WHERE o LIKE 'Timeout%') AS timeouts, count(*) FILTER (WHERE o LIKE 'ERROR%') AS errors FROM o GROUP BY id""")
+def pipeline_test_cases(t):
+    """Cases laid out for each answer, judged by what a test function says of
+    each: most accept the answer alone, some a wrong value, everything or nothing."""
+    c = F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 100) / F.lit(100.0)).otherwise(F.col("o_totalprice"))
+    return P.test_cases(t("orders").select(F.col("o_orderkey").alias("id"), c.cast("double").alias("correct")), F.expr(_SAID))
+
+
 @query("test_cases_filled")
 def test_cases_filled(t):
     """The correct answer and fifty wrong ones for each order."""
@@ -368,14 +388,19 @@ def pipeline_tutor(t):
     return P.tutor(completions(t))
 
 
-@query("pipeline_architect", f"WITH {COMPLETIONS}, {_vote('value', 'comp', 'm')}, s AS (SELECT id, 2 * count(*) AS n_roles, CAST(sum(length(completion)) AS BIGINT) AS plan_chars, CAST(sum(length({_CODE})) AS BIGINT) AS code_chars FROM comp GROUP BY id) SELECT s.*, m.v AS majority_answer FROM s LEFT JOIN m USING (id)")
+_PROGRAMS = """per AS (SELECT id, value AS v, count(*) AS c, min(n) AS f FROM usable GROUP BY 1, 2), sc AS (SELECT a.id, a.v, a.f, a.c * CAST(sum(b.c) AS BIGINT) AS score FROM per a JOIN per b ON a.id = b.id AND abs(a.v - b.v) <= 0.01 GROUP BY a.id, a.v, a.f, a.c),
+ tm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, f) AS r FROM sc) WHERE r = 1), ok AS (SELECT u.id, bool_or(is_correct AND abs(value - v) <= 0.01) AS majority_correct FROM usable u JOIN tm ON u.id = tm.id GROUP BY u.id)"""
+_GUIDE = tag_sql("completion", "response")
+
+
+@query("pipeline_architect", f"""WITH {COMPLETIONS}, {_vote('value', 'comp', 'm')}, {_USABLE}, {_PROGRAMS}, s AS (SELECT id, 2 * count(*) AS n_roles, CAST(sum(length(completion)) AS BIGINT) AS plan_chars, CAST(sum(length({_CODE})) AS BIGINT) AS code_chars,
+ CAST(sum(length(coalesce({_GUIDE}, 'Please solve this problem using appropriate Python libraries and techniques.'))) AS BIGINT) AS guidance_chars, count(*) FILTER (WHERE {_GUIDE} IS NULL) AS without_guidance FROM comp GROUP BY id)
+ SELECT s.*, m.v AS majority_answer, tm.v AS majority_value, tm.score, majority_correct FROM s LEFT JOIN m USING (id) LEFT JOIN tm USING (id) LEFT JOIN ok USING (id)""")
 def pipeline_architect(t):
     return P.architect(completions(t))
 
 
 _DS = "CASE WHEN p AND k AND verified AND is_correct THEN 'matching' WHEN p AND k AND verified THEN 'matching_incorrect' WHEN k AND is_correct THEN 'code_fallback' WHEN p AND is_correct THEN 'proof_fallback' WHEN k THEN 'code_fallback_incorrect' WHEN p THEN 'proof_fallback_incorrect' ELSE 'invalid_solution' END"
-
-
 _RIGHT = "vr AS (SELECT m.id, abs(m.v - want) <= 0.01 AS majority_correct FROM m JOIN (SELECT id, CAST(max(answer) AS DOUBLE) AS want FROM comp GROUP BY id) w ON m.id = w.id)"
 
 
