@@ -151,3 +151,10 @@ def test_larger_records_are_drawn_more_often(spark, catalogue):
     used = mixing.mixture(df, catalogue, total=20_000)[0].where(F.col("source") == "olymp_alpha").groupBy("n_tokens").count().collect()
     n = {r.n_tokens: r["count"] for r in used}
     assert n[40] > 2.5 * n[10]
+
+
+def test_updates_give_the_totals_of_a_fresh_start(spark, sf_dir):
+    from corvane.llm import queries
+
+    rows = lambda df: sorted(map(tuple, df.where("n_texts <> 0").collect()))
+    assert rows(queries.p5_updates(spark, sf_dir)) == rows(queries.p5_token_totals(spark, sf_dir))
