@@ -109,10 +109,22 @@ def _fingerprints(df: DataFrame, bands: int, width: int) -> DataFrame:
     return df.mapInArrow(run, "id bigint, content bigint, n int, " + ", ".join(f"f{k} bigint" for k in range(bands)))
 
 
-def _packing(bands: int, width: int) -> tuple[int, int]:
-    """(bands in a 64-bit word, words of a fingerprint)."""
-    per_word = 63 // width
-    return per_word, -(-bands // per_word)
+def _words(bands: int, width: int) -> int:
+    """64-bit words of a fingerprint."""
+    return -(-bands * width // 64)
+
+
+def _packed(fp: np.ndarray, width: int) -> np.ndarray:
+    """[doc, band] fingerprints as [doc, word], bit after bit; as signed numbers,
+    for the columns of a table."""
+    bits = fp.astype(np.uint64)
+    out = np.zeros((len(fp), _words(fp.shape[1], width)), np.uint64)
+    for k in range(fp.shape[1]):
+        word, at = divmod(k * width, 64)
+        out[:, word] |= bits[:, k] << np.uint64(at)
+        if at + width > 64:
+            out[:, word + 1] |= bits[:, k] >> np.uint64(64 - at)
+    return out.view(np.int64)
 
 
 def _to_anchors(reps: DataFrame, bands: int, width: int, band_threshold: int, salts: dict[int, int] | None = None) -> DataFrame:
@@ -123,7 +135,7 @@ def _to_anchors(reps: DataFrame, bands: int, width: int, band_threshold: int, sa
     from itertools import combinations
 
     extra = width - BITS
-    per_word, words = _packing(bands, width)
+    words = _words(bands, width)
     cols = ", ".join(f"w{k} bigint" for k in range(words))
     kind = np.int64 if extra else np.int32
     flips = [(sum(1 << e for e in c), RADIUS + band_threshold - j) for j in range(min(band_threshold, extra) + 1) for c in combinations(range(extra), j)]
@@ -132,9 +144,7 @@ def _to_anchors(reps: DataFrame, bands: int, width: int, band_threshold: int, sa
         for b in batches:
             ids = b.column("id").to_numpy()
             fp = np.stack([b.column(f"f{k}").to_numpy() for k in range(bands)], 1)
-            packed = np.zeros((len(ids), words), np.int64)
-            for k in range(bands):
-                packed[:, k // per_word] |= fp[:, k] << (width * (k % per_word))
+            packed = _packed(fp, width)
             for k in range(bands):
                 code, beyond = (fp[:, k] & ((1 << BITS) - 1)).astype(np.uint32), fp[:, k] >> BITS
                 syndrome = _syndromes(code)
@@ -240,7 +250,7 @@ def _compare(anchored: DataFrame, bands: int, width: int, limit: int, sure: int)
     come sorted by anchor, homes first. A crowd (more than CROWD members, or more
     than DENSE links for each) gives no more sure links than its
     connected parts need."""
-    _, words = _packing(bands, width)
+    words = _words(bands, width)
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -265,7 +275,7 @@ def _compare(anchored: DataFrame, bands: int, width: int, limit: int, sure: int)
             if not b.num_rows:
                 continue
             key = b.column(0).to_numpy().astype(np.int64)
-            rows = [((key >> 1) << 32) | (b.column(1).to_numpy().astype(np.int64) + 1), key & 1 == 0, b.column(2).to_numpy(), np.stack([b.column(3 + j).to_numpy() for j in range(words)], 1)]
+            rows = [((key >> 1) << 32) | (b.column(1).to_numpy().astype(np.int64) + 1), key & 1 == 0, b.column(2).to_numpy(), np.stack([b.column(3 + j).to_numpy() for j in range(words)], 1).view(np.uint64)]
             if held:
                 rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
@@ -333,7 +343,7 @@ def exact_similarity(pairs: DataFrame, texts: DataFrame, max_broadcast_ids: int
 
 
 def near_duplicate_groups(
-    df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 6, band_threshold: int = 1, sure: int | None = None, limit: int | None = None, bin_rows: int = 2_000_000, extra: int = 0
+    df: DataFrame, id_col: str, text_cols: list[str], similarity: float = 0.6, bands: int = 8, band_threshold: int = 1, sure: int | None = None, limit: int | None = None, bin_rows: int = 2_000_000, extra: int = 0
 ) -> DataFrame:
     """(id, class_id, group_id): one row per record of ``df``.
 

@@ -130,6 +130,18 @@ def test_more_anchors_give_the_same_groups(spark, problems):
         assert plain == {r.id: r.group_id for r in near_dup.near_duplicate_groups(problems, "id", ["problem", "solution"], extra=extra).collect()}
 
 
+BANDS = inspect.signature(near_dup.near_duplicate_groups).parameters["bands"].default
+
+
+@pytest.mark.parametrize("bands, width", [(1, 23), (6, 23), (8, 23), (8, 35), (11, 29)])
+def test_packed_fingerprints_keep_their_distances(bands, width):
+    fp = np.random.default_rng(bands).integers(0, 1 << width, (40, bands))
+    packed = near_dup._packed(fp, width).view(np.uint64)
+    want = sum(np.bitwise_count(fp[:, None, k] ^ fp[None, :, k]).astype(int) for k in range(bands))
+    got = np.stack([near_dup._distance(packed, i, np.arange(40)) for i in range(40)])
+    assert (got == want).all() and packed.shape[1] == -(-bands * width // 64)
+
+
 def test_no_fewer_pairs_meet_with_more_bits():
     rng, size = np.random.default_rng(3), 200_000
     x = rng.integers(0, 1 << 23, size).astype(np.uint32)
@@ -139,8 +151,8 @@ def test_no_fewer_pairs_meet_with_more_bits():
         y = x ^ sum((rng.random(size) < p).astype(np.uint32) << np.uint32(b) for b in range(23))
         d = np.minimum(np.bitwise_count(y ^ home(x)), np.bitwise_count(x ^ home(y)))
         in_band = lambda e: (1 - p) ** e * (d <= 4).mean() + e * p * (1 - p) ** max(0, e - 1) * (d <= 3).mean()  # noqa: B023, E731
-        meet = [1 - (1 - in_band(e)) ** near_dup.bands_for(6, e) for e in range(13)]
-        assert min(meet) >= meet[0] - 0.003
+        meet = [1 - (1 - in_band(e)) ** near_dup.bands_for(BANDS, e) for e in range(13)]
+        assert min(meet) >= meet[0] - 0.003 and meet[0] > {0.6: 0.88, 0.7: 0.97, 0.8: 0.998}[similarity]
     assert inspect.signature(near_dup.near_duplicate_groups).parameters["extra"].default == 0  # the same at every size
 
 
@@ -161,12 +173,12 @@ def test_crowd_keeps_every_undecided_link_between_parts():
 
 
 def test_distance_limit_leaves_room_for_the_threshold(spark, monkeypatch):
-    """A pair at the threshold lies 27.6 bits apart, with a deviation of 4.7."""
+    """A pair at the threshold lies 36.8 bits of 184 apart, with a deviation of 5.4."""
     seen = []
     compare = near_dup._close_pairs
     monkeypatch.setattr(near_dup, "_close_pairs", lambda *a: seen.append(a[4]) or compare(*a))
     near_dup.near_duplicate_groups(spark.createDataFrame([(1, "a b c")], "id bigint, t string"), "id", ["t"])
-    assert seen == [40]
+    assert seen == [53]
 
 
 def test_components(spark):
