@@ -7,7 +7,6 @@ are used with ASCII classes; null gives null unless said otherwise.
 
 from __future__ import annotations
 
-import ast
 import warnings
 
 import pandas as pd
@@ -167,34 +166,37 @@ def code_problems(c: Column) -> Column:
     return F.concat_ws("; ", *[F.when(c.rlike(p), F.lit(said)) for p, said in BANNED_CODE])
 
 
-@F.pandas_udf(T.BooleanType())
-def _parses(codes: pd.Series) -> pd.Series:
-    """Whether texts are programs by their syntax; they are parsed, never run."""
+@F.pandas_udf(T.StringType())
+def _syntax_error(codes: pd.Series) -> pd.Series:
+    """Why texts do not compile, null where they do; nothing is run."""
 
-    def ok(code: str | None) -> bool | None:
+    def said(code: str | None) -> str | None:
         if code is None:
             return None
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(code)
-            return True
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return False
+                compile(code, "<string>", "exec", dont_inherit=True)
+            return None
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            return str(e) or type(e).__name__
+
+    return codes.map(said)
+
 
-    return codes.map(ok).astype("boolean")
+#: What is said of a program.
+EMPTY_CODE, COMPUTES_NOTHING, FIT_CODE = "Empty code", "Code lacks meaningful computation or function definitions", "Code passed quality checks"
 
 
 def code_quality(c: Column) -> Column:
-    """struct(ok, message): empty, not parsable, banned patterns joined by '; ',
-    or nothing computed, the first that applies. Only what passes all other
-    checks is sent to be parsed; a text that breaks off in a bracket or block
-    does not parse."""
+    """struct(ok, message): empty, not compilable (with the error, whose wording
+    follows the workers' Python), banned patterns joined by '; ', or nothing
+    computed, the first that applies. Empty texts are not sent to be compiled."""
     x = F.coalesce(c, F.lit(""))
     said, empty = code_problems(x), strip(x) == ""
-    parsed = _parses(F.when(~empty, x))
-    message = F.when(empty, "Empty code").when(~parsed, "Syntax error").when(said != "", said).when(~computes(x), "Code doesn't appear to compute anything")
-    return F.struct(message.isNull().alias("ok"), F.coalesce(message, F.lit("")).alias("message"))
+    error = _syntax_error(F.when(~empty, x))
+    message = F.when(empty, EMPTY_CODE).when(error.isNotNull(), F.concat(F.lit("Syntax error: "), error)).when(said != "", F.concat(F.lit("Linting issues: "), said)).when(~computes(x), COMPUTES_NOTHING)
+    return F.struct(message.isNull().alias("ok"), F.coalesce(message, F.lit(FIT_CODE)).alias("message"))
 
 
 def has_code_problems(c: Column) -> Column:

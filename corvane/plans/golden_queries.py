@@ -67,20 +67,23 @@ def brace_golden(t):
     return rows.select("case_no", "text", "start", X.matching_brace(F.col("text"), F.col("start")).alias("close"))
 
 
-#: (program, whether it is fit, what is said)
+_FIT, _NOTHING = "Code passed quality checks", "Code lacks meaningful computation or function definitions"
+#: (program, whether it is fit, what is said; of an error only that it is one)
 CODES = [
-    ("print(1)", True, ""), ("def f():\n    return 2", True, ""), ("", False, "Empty code"), (" \n", False, "Empty code"), (None, False, "Empty code"), ("print((1", False, "Syntax error"), ("for x in", False, "Syntax error"),
-    ("x = y + 1", True, ""), ("import os\nos.system('ls')", False, "Contains potentially unsafe system call"), ("eval('1')\nexec('2')", False, "Contains potentially unsafe exec call; Contains potentially unsafe eval call"),
-    ("f = open('a', 'w')", False, "Contains file write operation"), ("import math", False, "Doesn't"), ("42", False, "Doesn't"), ("def f(:\n  os.system(1)", False, "Syntax error"), ("if True:\nprint(1)", False, "Syntax error"),
+    ("print(1)", True, _FIT), ("def f():\n    return 2", True, _FIT), ("", False, "Empty code"), (" \n", False, "Empty code"), (None, False, "Empty code"), ("print((1", False, "Syntax error"), ("for x in", False, "Syntax error"),
+    ("x = y + 1", True, _FIT), ("import os\nos.system('ls')", False, "Linting issues: Contains potentially unsafe system call"),
+    ("eval('1')\nexec('2')", False, "Linting issues: Contains potentially unsafe exec call; Contains potentially unsafe eval call"), ("return 3", False, "Syntax error"),
+    ("f = open('a', 'w')", False, "Linting issues: Contains file write operation"), ("import math", False, _NOTHING), ("42", False, _NOTHING), ("def f(:\n  os.system(1)", False, "Syntax error"), ("if True:\nprint(1)", False, "Syntax error"),
+    ("import requests\nprint(1)", False, "Linting issues: Contains network request library"),
 ]
-_NOTHING = "Code doesn't appear to compute anything"
 
 
-@query("code_golden", _sql("case_no, code, ok, message", [(k, c, ok, _NOTHING if m == "Doesn't" else m) for k, (c, ok, m) in enumerate(CODES)], ("INTEGER", "VARCHAR", "BOOLEAN", "VARCHAR")))
+@query("code_golden", _sql("case_no, code, ok, message", [(k, *r) for k, r in enumerate(CODES)], ("INTEGER", "VARCHAR", "BOOLEAN", "VARCHAR")))
 def code_golden(t):
-    """Programs are parsed, never run."""
+    """Programs are compiled, never run."""
     rows = _cases(t, [(k, r[0]) for k, r in enumerate(CODES)], "case_no int, code string")
-    return rows.select("case_no", "code", X.code_quality(F.col("code")).alias("q")).select("case_no", "code", "q.ok", "q.message")
+    q = rows.select("case_no", "code", X.code_quality(F.col("code")).alias("q"))
+    return q.select("case_no", "code", "q.ok", F.regexp_replace("q.message", "(?s)^Syntax error: .*", "Syntax error").alias("message"))
 
 
 #: (states of the steps, first wrong step from 0)
