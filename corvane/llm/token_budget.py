@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,28 @@ def tokenizer_hash(path: str) -> str:
         return hashlib.md5(f.read()).hexdigest()
 
 
+def send(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file to the executors, once for each Spark context, for
+    those that do not have it at the same place."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_corvane_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+
+
+def local_copy(path: str) -> str:
+    """The file on this machine: at its place, or as it was sent."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def count_tokens(df: DataFrame, keys: list[str], text: str, path: str = f"{TOKENIZERS}/{DEFAULT_FILE}") -> DataFrame:
     """``keys`` and n_tokens of each row's whole text; null and empty have 0."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    send(df.sparkSession, path)
 
     def run(batches):
-        enc = encoding(path)
+        enc = encoding(local_copy(path))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keys))), pa.array(n, pa.int64())], [*keys, "n_tokens"])
