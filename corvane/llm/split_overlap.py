@@ -1,13 +1,16 @@
 """Problem 4: evaluation records that stand, exactly or almost, in training.
 
-Evaluation texts are cut into passages of a few normalised words. All passages
-go, in shards of whole evaluation texts of bounded size, into Aho-Corasick
-automata; every training text is scanned whole by every shard. The matched
+Evaluation texts are cut into passages of a few normalised words. Where a
+passage ends follows from where it begins, so the passages that a training text
+can hold are one for each of its words; each text is cut once and its passages
+go, as hashes, to parts of the keys, where the evaluation texts that have them
+wait. Of pairs that share one, the numbers of shingles and parity maps of the
+texts (exact bounds of the similarity) leave few; these are settled by the exact
+similarity and by an Aho-Corasick automaton of the passages. The matched
 passages of an evaluation text, as intervals of it, are merged into its
-coverage: by one training text, which together with the exact similarity of the
-texts settles the pairs, and by all of them, which is reported for each
-evaluation record. Texts with the same words are one text throughout and come
-apart again only in the result.
+coverage: by one training text, which settles the pairs, and by all of them,
+which is reported for each evaluation record. Texts with the same words are one
+text throughout and come apart again only in the result.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, materialise, new_path, scratch, shingles, word_hashes
+from corvane.llm.common import CHUNK_BYTES, _powers, chunks, materialise, mix64, new_path, scratch, shingles, word_hashes
 from corvane.llm.near_dup import fingerprint_batch
 
 _ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -71,15 +75,121 @@ def _content(df: DataFrame) -> DataFrame:
     return df.select("id", "text", "train").mapInArrow(run, "id bigint, content bigint, n int, train boolean, text string")
 
 
-def _cut(reps: DataFrame) -> DataFrame:
-    """(content, text, passages) of evaluation texts, all passages in order."""
-
-    def run(batches):
-        for b in batches:
-            cut = [[p for _, _, p in passages(normalise(t))] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.list_(pa.binary()))], ["content", "text", "passages"])
-
-    return reps.select("content", "text").mapInArrow(run, "content bigint, text string, passages array<binary>")
+# ---------------------------------------------------------------- passages as keys
+
+DF_BITS = 20  # slots of the passage counts that order the passages of a text
+ODD_BITS = 26  # bits of the filter of odd passages
+PARITY = np.uint64(127)  # a parity map has 128 bits
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return mix64(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class _Spans:
+    """Normalised texts end to end, their blanks, and hashes of what stands
+    between any two of them."""
+
+    def __init__(self, norms: list[bytes]):
+        self.buf = np.frombuffer(b"".join(norms), np.uint8)
+        self.base = np.cumsum([0, *map(len, norms)])
+        self.at = np.flatnonzero(self.buf == 32)
+        self.doc = np.searchsorted(self.base, self.at, "right") - 1
+        self.last = (np.searchsorted(self.at, self.base[1:]) - 1)[self.doc]  # the last blank of the text
+        p, self.inverse = _powers(len(self.buf) + 1)
+        self.cum = np.zeros(len(self.buf) + 1, np.uint64)
+        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * p[: len(self.buf)], out=self.cum[1:])
+
+    def keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words between blanks ``a`` and ``b``."""
+        s, e = self.at[a], self.at[b] + 1
+        return mix64((self.cum[e] - self.cum[s]) * self.inverse[s] + (e - s).astype(np.uint64))
+
+    def ends(self, a: np.ndarray, words: int = 4, least_bytes: int = 18) -> np.ndarray:
+        """The blank at which :func:`passages` ends what begins at ``a``."""
+        return np.maximum(a + words, np.searchsorted(self.at, self.at[a] + least_bytes))
+
+
+def _pieces(norms: list[bytes], limit: int = CHUNK_BYTES):
+    """(number of the first, texts) in pieces that a core's cache holds."""
+    lo, size = 0, 0
+    for k, n in enumerate(norms):
+        if size and size + len(n) > limit:
+            yield lo, norms[lo:k]
+            lo, size = k, 0
+        size += len(n)
+    if lo < len(norms):
+        yield lo, norms[lo:]
+
+
+def _eval_passages(norms: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, key, size, words) of all passages in order; words is 0 but for odd
+    passages: those that end after, or before, the place at which a passage that
+    begins there is cut, as the last of a text may."""
+    out = []
+    for lo, part in _pieces(norms):
+        spans = _Spans(part)
+        cut = [passages(n) for n in part]
+        doc = np.repeat(np.arange(len(part)), [len(c) for c in cut])
+        s = np.array([x[0] for c in cut for x in c], np.int64) + spans.base[doc]
+        e = np.array([x[1] for c in cut for x in c], np.int64) + spans.base[doc]
+        a, b = np.searchsorted(spans.at, s), np.searchsorted(spans.at, e - 1)
+        out.append((lo + doc, spans.keys(a, b), e - s, np.where(spans.ends(a) == b, 0, b - a)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _odd_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = _mixed(keys)
+    return h >> np.uint64(64 - ODD_BITS), h & np.uint64((1 << ODD_BITS) - 1)
+
+
+def _train_passages(norms: list[bytes], odd: np.ndarray, odd_words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text), each once: what a passage would be that began at any word of
+    the texts, and of the stretches with as many words as an odd passage those
+    that pass the filter of these. A passage stands in a text if and only if it is
+    one of them."""
+    keys, docs = [], []
+    for lo, part in _pieces(norms):
+        spans = _Spans(part)
+        a = np.arange(len(spans.at))
+        b = spans.ends(a)
+        whole = b <= spans.last
+        keys.append(spans.keys(a[whole], b[whole]))
+        docs.append(lo + spans.doc[whole])
+        for words in odd_words:
+            x = a[a + words <= spans.last]
+            k = spans.keys(x, x + words)
+            one, two = _odd_slots(k)
+            may = (odd[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            may[may] = (odd[two[may] >> np.uint64(3)] >> (two[may] & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            keys.append(k[may])
+            docs.append(lo + spans.doc[x[may]])
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    return key[new], doc[new]
+
+
+def _parity(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of shingles, two maps of 128 bits) of texts. A bit is the parity of
+    the shingles that fall on it, so the shingles that only one of two texts has
+    are at least as many as the bits in which their maps differ."""
+    sets = _shingle_arrays(texts)
+    n = np.array([len(x) for x in sets], np.int64)
+    maps = np.zeros((len(sets), 4), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        h = _mixed(np.concatenate([sets[k] for k in some]))
+        first = np.cumsum(n[some]) - n[some]
+        for m, bit in enumerate((h & PARITY, h >> np.uint64(7) & PARITY)):
+            one = np.uint64(1) << (bit & np.uint64(63))
+            for half in (0, 1):
+                maps[some, 2 * m + half] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)), first)
+    return n, maps
 
 
 def _shingle_arrays(texts: pa.Array) -> list[np.ndarray]:
@@ -92,48 +202,148 @@ def _shingle_arrays(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-class _Shard:
-    """Evaluation texts, the automaton of all their passages, and by passage the
-    texts that hold it (once for each time it stands there)."""
+def _cut(reps: DataFrame) -> DataFrame:
+    """(content, text, keys, sizes, words) of evaluation texts, all passages in
+    order; see :func:`_eval_passages`."""
+
+    def run(batches):
+        for b in batches:
+            doc, key, size, words = _eval_passages([normalise(t) for t in b.column(1).to_pylist()])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (key.view(np.int64), size.astype(np.int32), words.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["content", "text", "keys", "sizes", "words"])
+
+    return reps.select("content", "text").mapInArrow(run, "content bigint, text string, keys array<bigint>, sizes array<int>, words array<int>")
+
+
+def _counts(cut: DataFrame) -> np.ndarray:
+    """How often passages stand in evaluation texts, by slots of their hash. The
+    counts order the passages of a text and never decide a result, so it does not
+    matter that passages share slots."""
+
+    def run(batches):
+        total = np.zeros(1 << DF_BITS, np.int64)
+        for b in batches:
+            key = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total += np.bincount((key >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=len(total))
+        slot = np.flatnonzero(total)
+        for lo in range(0, len(slot), 1 << 16):
+            part = slot[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "n"])
+
+    out = np.zeros(1 << DF_BITS, np.int64)
+    got = cut.select("keys").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _odd(cut: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """(filter, numbers of words) of the odd passages. The filter has a fixed
+    size; what passes it without being one meets no passage."""
+
+    def run(batches):
+        for b in batches:
+            key = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.flatnonzero(b.column(1).flatten().to_numpy(zero_copy_only=False))
+            slot = np.unique(np.concatenate(_odd_slots(key[at]))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot)], ["slot"])
+
+    bits = np.zeros((1 << ODD_BITS >> 15, 1 << 12), np.uint8)
+    got = cut.select("keys", "words").mapInArrow(run, "slot bigint").groupBy(F.shiftright("slot", 15).alias("k")).agg(F.expr("bitmap_construct_agg(slot & 32767)").alias("b")).toArrow()
+    for k, b in zip(got.column("k").to_pylist(), got.column("b").to_pylist()):
+        bits[k] = np.frombuffer(b, np.uint8)
+    words = cut.select(F.explode("words").alias("w")).where("w > 0").distinct().collect()  # at most 18: shorter than two passages
+    return bits.ravel(), sorted(r.w for r in words)
+
+
+def _parts(key: np.ndarray, parts: int) -> np.ndarray:
+    return (_mixed(key) >> np.uint64(32)) % np.uint64(parts)
+
+
+_BLOBS = ["keys", "rows", "content", "n", "maps"]
+
+
+_LEFT_OUT = np.uint32(1 << 31)  # marks keys that make no pairs
+
+
+def _blobs(parts: int, offset: int, key: np.ndarray, row: np.ndarray, out_of: np.ndarray, every: bool, content: np.ndarray, n: np.ndarray, maps: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the keys: its keys in order, with numbers of rows of
+    the texts that hold them, and these texts. Keys that are ``out_of`` the pairs
+    are marked with ``every`` and else left out."""
+    part = _parts(key, parts)
+    order = np.lexsort((key, part))
+    key, row, out_of, part = key[order], row[order], out_of[order], part[order]
+    out: list[tuple] = []
+    if not every:
+        key, row, out_of, part = (x[~out_of] for x in (key, row, out_of, part))
+    bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    for k in range(parts):
+        at = slice(bounds[k], bounds[k + 1])
+        if at.start < at.stop:
+            own, row_of = np.unique(row[at], return_inverse=True)
+            out.append((offset + k, key[at].tobytes(), (row_of.astype(np.uint32) | out_of[at] * _LEFT_OUT).tobytes(), content[own].tobytes(), n[own].tobytes(), maps[own].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 6))], ["part", *_BLOBS])
 
-    def __init__(self, contents: np.ndarray, texts: pa.Array, cut: list[list[bytes]], least_coverage: float):
-        import ahocorasick
 
-        self.contents, self.texts = contents, _shingle_arrays(texts)
-        self.n = np.array([len(x) for x in self.texts])
-        self.sets: dict[int, frozenset] = {}
-        number: dict[bytes, int] = {}
-        key = np.array([number.setdefault(p, len(number)) for ps in cut for p in ps], np.int64)
-        at = np.repeat(np.arange(len(cut)), [len(ps) for ps in cut])
-        self.holders = at[np.argsort(key, kind="stable")]
-        self.count = np.bincount(key, minlength=len(number))
-        self.start = np.cumsum(self.count) - self.count
-        self.size = np.array([len(p) for p in number], np.float64)
-        self.least = least_coverage * np.bincount(at, self.size[key], len(cut))
-        self.found = np.zeros(len(number), bool)  # by any text so far
-        self.automaton = ahocorasick.Automaton()
-        for p, k in number.items():
-            self.automaton.add_word(p.decode("latin-1"), k)
-        self.automaton.make_automaton()
-
-    def near(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, evaluation text) with enough of the evaluation text covered."""
-        keys = [list({k for _, k in self.automaton.iter(t)}) for t in texts]
-        flat = np.fromiter((k for ks in keys for k in ks), np.int64)
-        self.found[flat] = True
-        count = self.count[flat]
-        rows = np.repeat(self.start[flat] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        owner = np.repeat(np.repeat(np.arange(len(keys)), [len(ks) for ks in keys]), count)
-        covered = np.bincount(owner * len(self.n) + self.holders[rows], np.repeat(self.size[flat], count), len(keys) * len(self.n))
-        return np.nonzero(covered.reshape(len(keys), -1) >= self.least)
-
-    def shingle_set(self, k: int) -> frozenset:
-        if k not in self.sets:
-            self.sets[k] = frozenset(self.texts[k].tolist())
-        return self.sets[k]
-
-
-def _read_shard(path: str, shard: int) -> pa.Table | None:
+_BLOB_SCHEMA = "part int, " + ", ".join(f"{c} binary" for c in _BLOBS)
+
+
+def _opened(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(key, row, content, n, maps) of blobs of one part, keys in order."""
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+    keys, at, content, n, maps = ([np.frombuffer(r[k], kind) for r in rows] for k, kind in enumerate((np.uint64, np.uint32, np.int64, np.int64, np.uint64)))
+    before = np.cumsum([0, *map(len, n)])
+    key, row = np.concatenate(keys), np.concatenate([a + np.uint32(b) for a, b in zip(at, before)])
+    order = np.argsort(key, kind="stable")
+    return key[order], row[order], np.concatenate(content), np.concatenate(n), np.concatenate(maps).reshape(-1, 4)
+
+
+def _eval_blobs(cut: DataFrame, parts: int, least_coverage: float, counts: np.ndarray, every: bool) -> DataFrame:
+    """Blobs of evaluation texts by part. The most frequent passages of a text
+    that together are shorter than the coverage that a pair needs are left out:
+    a pair has at least one of the others. With ``every`` they are there, but marked."""
+
+    def run(batches):
+        for b in batches:
+            lists = [b.column(k) for k in (2, 3)]
+            key = lists[0].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            size = lists[1].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False))
+            order = np.lexsort((-counts[key >> np.uint64(64 - DF_BITS)], doc))
+            total = np.cumsum(size[order])
+            start = np.searchsorted(doc, np.arange(b.num_rows))
+            sofar = total - np.concatenate([[0], total])[start[doc]]
+            out_of = np.zeros(len(key), bool)
+            out_of[order] = sofar < least_coverage * np.bincount(doc, size, b.num_rows)[doc]
+            n, maps = _parity(b.column(1))
+            yield _blobs(parts, 0, key, doc, out_of, every, b.column(0).to_numpy(zero_copy_only=False), n, maps)
+
+    return cut.select("content", "text", "keys", "sizes").mapInArrow(run, _BLOB_SCHEMA)
+
+
+FLUSH = 1024  # training texts whose passages are dealt out at a time
+
+
+def _train_blobs(train: DataFrame, parts: int, blocks: int, odd: np.ndarray, odd_words: list[int]) -> DataFrame:
+    """Blobs of training texts by block of texts and part of keys."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block = int(_mixed(np.array([TaskContext.get().partitionId()]))[0] % np.uint64(blocks))
+        for b in batches:
+            for lo in range(0, b.num_rows, FLUSH):
+                x = b.slice(lo, FLUSH)
+                key, doc = _train_passages([normalise(t) for t in x.column(1).to_pylist()], odd, odd_words)
+                n, maps = _parity(x.column(1))
+                yield _blobs(parts, block * parts, key, doc, np.zeros(len(key), bool), False, x.column(0).to_numpy(zero_copy_only=False), n, maps)
+                block = (block + 1) % blocks
+
+    return train.select("content", "text").mapInArrow(run, _BLOB_SCHEMA)
+
+
+def _read_part(path: str, part: int) -> list[tuple]:
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
@@ -141,78 +351,170 @@ def _read_shard(path: str, shard: int) -> pa.Table | None:
         path = f"file://{path[5:]}"
     system, base = fs.FileSystem.from_uri(path)
     try:
-        infos = system.get_file_info(fs.FileSelector(f"{base}/shard={shard}"))
+        infos = system.get_file_info(fs.FileSelector(f"{base}/part={part}"))
     except FileNotFoundError:
-        return None
-    files = sorted(i.path for i in infos if i.path.endswith(".parquet"))
-    if not files:
-        return None
-    return pa.concat_tables(pq.ParquetFile(system.open_input_file(f)).read(["content", "text", "passages"]) for f in files).combine_chunks()
-
+        return []
+    tables = [pq.ParquetFile(system.open_input_file(i.path)).read(_BLOBS) for i in infos if i.path.endswith(".parquet")]
+    return [r for t in tables for r in zip(*(t.column(c).to_pylist() for c in _BLOBS))]
+
+
+PAIRS = 1 << 16  # compared at a time, so that they stay in a core's cache
+
+
+class _Meeting:
+    """Evaluation texts of a part of the keys against training texts that share one."""
+
+    def __init__(self, rows: list[tuple], similarity: float):
+        key, row, self.content, self.n, self.maps = _opened(rows)
+        self.every = np.unique(key)
+        paired = row < _LEFT_OUT
+        self.key, self.row = key[paired], row[paired]
+        self.similarity, self.differ = similarity, (1 - similarity) / (1 + similarity)
+        self.first = np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1])) if len(self.key) else np.zeros(0, np.int64)
+        self.own = self.key[self.first]
+        self.size = np.diff(np.append(self.first, len(self.key)))
+
+    def _most(self, n: np.ndarray) -> np.ndarray:
+        """Differing bits allowed by a text of ``n`` shingles; beyond 127 all are."""
+        return np.minimum(np.floor(self.differ * n + 1e-6), 127).astype(np.uint8)
+
+    def pairs(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(training content, evaluation content) of pairs that share a key and
+        whose numbers of shingles and parity maps allow the similarity, each once;
+        and the keys that they share with any training text."""
+        key, row, content, n, maps = _opened(rows)
+        if not len(key) or not len(self.every):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        lo, hi = np.searchsorted(key, self.own), np.searchsorted(key, self.own, "right")
+        met = np.flatnonzero(hi > lo)
+        products = self.size[met] * (hi - lo)[met]
+        found: list[np.ndarray] = []
+        held = 0
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal found, held
+            m, k = maps[x], self.maps[y]
+            small, large = np.minimum(n[x], self.n[y]), np.maximum(n[x], self.n[y])
+            most = self.differ * (n[x] + self.n[y]) + 1e-6
+            apart = np.bitwise_count(m ^ k).astype(np.int64)
+            ok = (small >= self.similarity * large - 1e-6) & (apart[:, 0] + apart[:, 1] <= most) & (apart[:, 2] + apart[:, 3] <= most)
+            found.append(x[ok].astype(np.int64) << 32 | y[ok])
+            held += len(found[-1])
+            if held > 1 << 22:
+                found = [np.unique(np.concatenate(found))]
+                held = 0
+
+        # few pairs of a key: many keys at a time
+        few = met[products <= PAIRS // 16]
+        total = np.cumsum(self.size[few] * (hi - lo)[few])
+        for a, b in _runs(total, PAIRS):
+            k = few[a:b]
+            width = (hi - lo)[k]
+            each = self.size[k] * width
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            w = np.repeat(width, each)
+            take(row[np.repeat(lo[k], each) + at % w], self.row[np.repeat(self.first[k], each) + at // w])
+        # many pairs of a key: blocks of them
+        mine, most_y = self.maps[:, :2], self._most(self.n)
+        most_x = self._most(n) + np.uint8(1)
+        space = np.empty(PAIRS, np.uint64), np.empty(PAIRS, np.uint8), np.empty(PAIRS, np.uint8)
+        for k in met[products > PAIRS // 16].tolist():
+            xs, ys = row[lo[k] : hi[k]], self.row[self.first[k] : self.first[k] + self.size[k]]
+            for p in range(0, len(xs), 1024):
+                x = xs[p : p + 1024]
+                x0, x1, mx = maps[x, 0], maps[x, 1], most_x[x]
+                for q in range(0, len(ys), PAIRS // 1024):
+                    y = ys[q : q + PAIRS // 1024]
+                    e = mine[y]
+                    shape = len(y), len(x)
+                    wide, apart, second = (b[: len(y) * len(x)].reshape(shape) for b in space)
+                    np.bitwise_count(np.bitwise_xor(e[:, :1], x0, out=wide), out=apart)
+                    np.bitwise_count(np.bitwise_xor(e[:, 1:], x1, out=wide), out=second)
+                    np.add(apart, second, out=apart)
+                    at = np.flatnonzero(apart <= np.add(most_y[y][:, None], mx, out=second))
+                    if len(at):
+                        take(x[at % len(x)], y[at // len(x)])
+        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return content[pair >> 32], self.content[pair & 0xFFFFFFFF], self.every[np.isin(self.every, key)]
+
+
+def _runs(total: np.ndarray, limit: int):
+    """(start, end) of neighbours that come to about ``limit``, given their running sum."""
+    a = 0
+    while a < len(total):
+        b = int(max(a + 1, np.searchsorted(total, (total[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
+
+
+def _met(train: DataFrame, path: str, parts: int, blocks: int, similarity: float, coverage: bool) -> DataFrame:
+    """(ct, ce, key): pairs that may be near and, with ``coverage`` and without
+    contents, the keys that a block of training texts has. A task holds one part
+    of the keys for one block of training texts."""
 
-def _automaton(t: pa.Table, least_coverage: float) -> _Shard:
-    return _Shard(t.column("content").to_numpy(), pa.concat_arrays(t.column("text").chunks), t.column("passages").to_pylist(), least_coverage)
+    def run(batches):
+        part, rows, meeting = None, [], (None, None)
+
+        def done():
+            nonlocal meeting
+            if meeting[0] != part % parts:
+                meeting = part % parts, _Meeting(_read_part(path, part % parts), similarity)
+            ct, ce, keys = meeting[1].pairs(rows)
+            other = ct != ce
+            ct, ce, keys = ct[other], ce[other], keys if coverage else keys[:0]
+            for lo in range(0, len(ct), 1 << 16):
+                x, y = ct[lo : lo + (1 << 16)], ce[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], ["ct", "ce", "key"])
+            for lo in range(0, len(keys), 1 << 16):
+                x = keys[lo : lo + (1 << 16)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(x)], ["ct", "ce", "key"])
 
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if r[0] != part and rows:
+                    yield from done()
+                    rows = []
+                part = r[0]
+                rows.append(r[1:])
+        if rows:
+            yield from done()
 
-BLOCK = 32  # training texts compared with a shard at a time
+    return train.repartitionById(parts * blocks, F.col("part")).sortWithinPartitions("part").mapInArrow(run, "ct bigint, ce bigint, key bigint")
 
 
-def _scan(train: DataFrame, path: str, shards: int, similarity: float, least_coverage: float, coverage: bool) -> DataFrame:
-    """(ct, ce, shard, passage): contents of training and evaluation texts that are
-    near, and, with ``coverage`` and without contents, the passages of a shard that
-    a task has found in any text, each once. A task reads its texts once, as one list of normalised texts, and lets one shard
-    after the other run over them, so it holds one automaton at a time. A shard
-    holds whole evaluation texts, so their coverage is known where it is found,
-    and the exact similarity is taken there too."""
+def _settled(pairs: DataFrame, similarity: float, least_coverage: float) -> DataFrame:
+    """(ct, ce) of the pairs (ct, ce, train, held) that are near: by the exact
+    similarity of the texts, and by the passages of one, in an automaton, that
+    stand in the other."""
 
     def run(batches):
-        contents: list[int] = []
-        texts: list[str] = []
-        words: list[np.ndarray] = []
-
-        def found():
-            n = np.array([len(x) for x in words])
-            for k in range(shards):
-                table = _read_shard(path, k)
-                if table is None:
-                    continue
-                shard = _automaton(table, least_coverage)
-                ct, ce = [], []
-                for lo in range(0, len(texts), BLOCK):
-                    x, y = shard.near(texts[lo : lo + BLOCK])
-                    x = x + lo
-                    small, large = np.minimum(n[x], shard.n[y]), np.maximum(n[x], shard.n[y])
-                    may = small >= similarity * large - 1e-6
-                    last, own = -1, frozenset()
-                    for i, j in zip(x[may].tolist(), y[may].tolist()):
-                        if i != last:
-                            last, own = i, frozenset(words[i].tolist())
-                        common = len(own & shard.shingle_set(j))
-                        if common / max(1, n[i] + shard.n[j] - common) >= similarity:
-                            ct.append(contents[i])
-                            ce.append(int(shard.contents[j]))
-                found = np.flatnonzero(shard.found) if coverage else np.empty(0, np.int64)
-                del shard, table
-                none = [None] * len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ct + none, pa.int64()), pa.array(ce + none, pa.int64()), pa.array([k] * (len(ct) + len(found)), pa.int32()), pa.array([None] * len(ct) + found.tolist(), pa.int32())],
-                    ["ct", "ce", "shard", "passage"],
-                )
-
-        size = 0
-        for b in batches:
-            words += _shingle_arrays(b.column(1))
-            contents += b.column(0).to_pylist()
-            new = [normalise(t).decode("latin-1") for t in b.column(1).to_pylist()]
-            texts += new
-            size += sum(map(len, new))
-            if size > 1 << 26:  # texts held at a time
-                yield from found()
-                contents, texts, words, size = [], [], [], 0
-        if contents:
-            yield from found()
+        import ahocorasick
 
-    return train.select("content", "text").mapInArrow(run, "ct bigint, ce bigint, shard int, passage int")
+        for b in batches:
+            left, right = (_shingle_arrays(b.column(k)) for k in (2, 3))
+            ok = []
+            for k, (x, y) in enumerate(zip(left, right)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common / max(1, len(x) + len(y) - common) >= similarity:
+                    ok.append(k)
+            automaton = ahocorasick.Automaton()
+            number: dict[bytes, int] = {}
+            cut = {}
+            for k in ok:
+                cut[k] = [number.setdefault(p, len(number)) for _, _, p in passages(normalise(b.column(3)[k].as_py()))]
+            for p, k in number.items():
+                automaton.add_word(p.decode("latin-1"), k)
+            size = [len(p) for p in number]
+            near = []
+            if number:
+                automaton.make_automaton()
+            for k in ok:
+                hit = {p for _, p in automaton.iter(normalise(b.column(2)[k].as_py()).decode("latin-1"))}
+                if sum(size[p] for p in cut[k] if p in hit) >= least_coverage * sum(size[p] for p in cut[k]):
+                    near.append(k)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(near, pa.int64())), b.column(1).take(pa.array(near, pa.int64()))], ["ct", "ce"])
+
+    return pairs.select("ct", "ce", "train", "held").mapInArrow(run, "ct bigint, ce bigint")
 
 
 def merged(found: list[bool], bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -226,58 +528,65 @@ def merged(found: list[bool], bounds: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _coverage(found: DataFrame, path: str, shards: int) -> DataFrame:
+def _coverage(cut: DataFrame, found: DataFrame) -> DataFrame:
     """(ce, coverage, n_intervals, longest) of each evaluation text: the share of
     its normalised text in the merged intervals of passages that any training
     text holds, how many intervals these are, and the length of the longest.
-    ``found`` (shard, passage) is bounded for a shard by its passages."""
-
-    def run(key, pdf):
-        import pandas as pd
-
-        (shard,) = key
-        table = _read_shard(path, int(shard))
-        if table is None:
-            return pd.DataFrame({"ce": [], "coverage": [], "n_intervals": [], "longest": []})
-        hit = set(pdf.passage.dropna().astype(int).tolist())
-        number: dict[bytes, int] = {}
-        rows = []
-        for content, cut in zip(table.column("content").to_pylist(), table.column("passages").to_pylist()):
-            ok, bounds, at = [], [], 0
-            for p in cut:
-                ok.append(number.setdefault(p, len(number)) in hit)
-                bounds.append((at, at + len(p)))
-                at += len(p) - 1  # neighbours share the blank between them
-            spans = merged(ok, bounds)
-            rows.append((content, sum(e - s for s, e in spans) / max(1, bounds[-1][1]), len(spans), max((e - s for s, e in spans), default=0)))
-        return pd.DataFrame(rows, columns=["ce", "coverage", "n_intervals", "longest"])
-
-    every = found.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("int").alias("passage"))
-    return found.unionByName(every).groupBy("shard").applyInPandas(run, "ce bigint, coverage double, n_intervals int, longest int")
+    ``found`` has the keys of such passages, each once."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for content, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                spans.sort(key=lambda x: x["at"])
+                ok, bounds, at = [], [], 0
+                for x in spans:
+                    ok.append(x["hit"])
+                    bounds.append((at, at + x["size"]))
+                    at += x["size"] - 1  # neighbours share the blank between them
+                own = merged(ok, bounds)
+                rows.append((content, sum(e - s for s, e in own) / max(1, bounds[-1][1]), len(own), max((e - s for s, e in own), default=0)))
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["ce", "coverage", "n_intervals", "longest"])
+
+    each = cut.select("content", F.posexplode(F.arrays_zip("keys", "sizes")).alias("at", "x")).select("content", "at", F.col("x.keys").alias("key"), F.col("x.sizes").alias("size"))
+    hit = each.join(found.withColumn("hit", F.lit(True)), "key", "left").select("content", F.struct("at", "size", F.coalesce("hit", F.lit(False)).alias("hit")).alias("x"))
+    return hit.groupBy("content").agg(F.collect_list("x").alias("spans")).mapInArrow(run, "ce bigint, coverage double, n_intervals int, longest int")
+
+
+#: Passages of training texts that a task holds, and shards of evaluation passages
+BLOCK_PASSAGES, SHARDS_HELD = 2_000_000, 8
 
 
 def _search(df: DataFrame, id_col: str, text: str, split: str, train: str, similarity: float, least_coverage: float, shard_passages: int, max_broadcast_ids: int, coverage: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(marks (id, content, train), near (ct, ce), coverage of evaluation contents
     or None), as tables."""
+    if not least_coverage > 0:
+        raise ValueError("least_coverage must be more than 0: texts meet at the passages that they share")
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(split) == train, F.lit(False)).alias("train")).where("id is not null and text is not null")
     hashed = materialise(_content(rows).where("n > 0").withColumn("rid", F.monotonically_increasing_id()), "hashed")
     marks = materialise(hashed.select("id", "content", "train").distinct(), "marks")
-    reps = materialise(hashed.groupBy("content", "train").agg(F.min(F.struct("id", "rid")).alias("r")).select(F.col("r.rid").alias("rid")), "reps")
+    reps = materialise(hashed.groupBy("content", "train").agg(F.min(F.struct("id", "rid", "n")).alias("r")).select("train", F.col("r.rid").alias("rid"), F.col("r.n").alias("n")), "reps")
     copies = materialise(hashed.select("rid").join(reps, "rid", "left_anti"), "copies")
     few = copies.count() <= max_broadcast_ids
     texts = hashed.join(F.broadcast(copies) if few else copies, "rid", "left_anti").select("content", "text", "train")
     cut = materialise(_cut(texts.where("not train")), "cut")
-    n = cut.agg(F.sum(F.size("passages"))).first()[0]
+    n = cut.agg(F.sum(F.size("keys"))).first()[0]
+    shingled = reps.where("train").agg(F.sum("n")).first()[0]  # a text has about as many places at which a passage may begin
     spark = df.sparkSession
     if not n:
         return marks, spark.createDataFrame([], "ct bigint, ce bigint"), spark.createDataFrame([], "ce bigint, coverage double, n_intervals int, longest int")
-    shards = -(-n // shard_passages)
-    path = new_path(spark, "shards")
-    cut.where("size(passages) > 0").withColumn("shard", F.pmod(F.xxhash64("content"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    scanned = materialise(_scan(texts.where("train"), path, shards, similarity, least_coverage, coverage).where("ct is null or ct <> ce"), "scanned")
-    near = scanned.where("ct is not null").select("ct", "ce")
-    found = scanned.where("ct is null").select("shard", "passage").distinct()
-    return marks, near, materialise(_coverage(found, path, shards), "coverage") if coverage else None
+    parts = -(-n // (SHARDS_HELD * shard_passages))
+    blocks = max(-(-(shingled or 0) // (parts * BLOCK_PASSAGES)), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // parts))
+    path = new_path(spark, "parts")
+    _eval_blobs(cut, parts, least_coverage, _counts(cut), coverage).repartition(parts, "part").write.partitionBy("part").parquet(path)
+    met = materialise(_met(_train_blobs(texts.where("train"), parts, blocks, *_odd(cut)), path, parts, blocks, similarity, coverage), "met")
+    may = materialise(met.where("ct is not null").select("ct", "ce").distinct(), "may")
+    sides = may.select(F.col("ct").alias("content"), F.lit(True).alias("train")).unionByName(may.select(F.col("ce").alias("content"), F.lit(False).alias("train"))).distinct()
+    wanted = materialise(texts.join(F.broadcast(sides) if may.count() * 2 <= max_broadcast_ids else sides, ["content", "train"], "left_semi"), "wanted")
+    left, right = wanted.where("train").select(F.col("content").alias("ct"), F.col("text").alias("train")), wanted.where("not train").select(F.col("content").alias("ce"), F.col("text").alias("held"))
+    near = materialise(_settled(may.join(left, "ct").join(right, "ce"), similarity, least_coverage), "near")
+    return marks, near, materialise(_coverage(cut, met.where("ct is null").select("key").distinct()), "coverage") if coverage else None
 
 
 def _sides(marks: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -299,3 +299,67 @@ def test_overlap_of_an_edited_text_with_a_sibling(spark):
     df = spark.createDataFrame(rows, "id bigint, problem string, split_name string")
     assert {(r.train_id, r.eval_id) for r in split_overlap.cross_split_pairs(df).collect()} == want
     assert {(r.train_id, r.eval_id) for r in split_overlap.cross_split_pairs(df, shard_passages=50).collect()} == want
+
+
+def word_texts(rng, n, words=("a", "bc", "def", "ghij", "klmno", "pqrstu", "7", "42", "中", "文字")):
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(n)]
+
+
+def test_keys_find_what_stands_in_a_text():
+    """Passages of any length, the last and short ones too, meet by key the texts
+    in which they stand, and no other."""
+    rng = random.Random(4)
+    held, train = ([split_overlap.normalise(t) for t in word_texts(rng, n)] for n in (300, 200))
+    doc, key, size, words = split_overlap._eval_passages(held)
+    cut = [(k, p) for k, n in enumerate(held) for _, _, p in split_overlap.passages(n)]
+    assert [k for k, _ in cut] == doc.tolist() and [len(p) for _, p in cut] == size.tolist() and 0 < words.astype(bool).sum() <= len(held)
+    odd = np.zeros(1 << split_overlap.ODD_BITS >> 3, np.uint8)
+    for s in np.concatenate(split_overlap._odd_slots(key[words > 0])):
+        odd[s >> np.uint64(3)] |= 1 << int(s & np.uint64(7))
+    keys, rows = split_overlap._train_passages(train, odd, sorted({*words.tolist()} - {0}))
+    pairs = list(zip(keys.tolist(), rows.tolist()))
+    assert len(pairs) == len(set(pairs))
+    got, number = set(pairs), dict(zip([p for _, p in cut], key.tolist()))
+    want = {(k, j) for p, k in number.items() for j, t in enumerate(train) if p in t}
+    assert len(set(number.values())) == len(number) and {x for x in got if x[0] in set(number.values())} == want
+
+
+def test_parity_maps_never_refuse_a_pair():
+    rng = random.Random(5)
+    texts = [BASE.format(*(rng.randrange(99) for _ in range(3))) + t for t in word_texts(rng, 120)]
+    sets = shingle_sets(texts)
+    n, maps = split_overlap._parity(pa.array(texts))
+    assert n.tolist() == [len(s) for s in sets]
+    apart = np.bitwise_count(maps[:, None] ^ maps[None]).astype(int)
+    apart = np.maximum(apart[..., 0] + apart[..., 1], apart[..., 2] + apart[..., 3])
+    assert all(apart[i, j] <= len(sets[i] ^ sets[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_a_training_text_is_dealt_out_once_for_any_number_of_parts(spark):
+    """The passages of the training texts are as many for one part of the
+    evaluation passages as for fifty; scans by every shard would multiply them."""
+    rng = random.Random(6)
+    train = spark.createDataFrame(list(enumerate(word_texts(rng, 60))), "content bigint, text string")
+    odd = np.zeros(1 << split_overlap.ODD_BITS >> 3, np.uint8)
+    held = {}
+    for parts, blocks in ((1, 1), (50, 3)):
+        rows = split_overlap._train_blobs(train, parts, blocks, odd, []).collect()
+        assert {r.part // parts for r in rows} <= set(range(blocks))
+        held[parts] = sorted(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]).tolist())
+    assert held[1] == held[50] and held[1]
+
+
+def test_hot_passages_meet_in_blocks_as_pairs_do(spark):
+    """Every text has one stock passage, so one key has more pairs than are
+    compared at a time."""
+    stock = "which of these numbers is the largest of them all"
+    rng = random.Random(7)
+    body = lambda: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(900)}x" for _ in range(14))
+    bodies = [body() for _ in range(400)]
+    rows = [(k, f"{stock} {b}", "train") for k, b in enumerate(bodies)] + [(1000 + k, f"{stock} {b} {'more ' * (k % 3)}", "test") for k, b in enumerate(bodies[:150])] + [(2000 + k, f"{stock} {body()}", "test") for k in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, problem string, split_name string")
+    sets = {r[0]: s for r, s in zip(rows, shingle_sets([r[1] for r in rows]))}
+    want = {(i, j) for i in range(400) for j in sets if j >= 1000 and jac(sets[i], sets[j]) >= 0.55}
+    assert len(want) >= 150
+    for shard_passages in (250_000, 20):
+        assert {(r.train_id, r.eval_id) for r in split_overlap.cross_split_pairs(df, shard_passages=shard_passages).collect()} == want
